@@ -162,3 +162,53 @@ def quantiles(df: DataFrame, x: str, by: Sequence[str], named: Mapping[str, floa
     return long.groupBy(*by).agg(
         *[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n) for n, p in named.items()]
     )
+
+
+def previous_row(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], block: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add `prev_<column>` from the row before, and `has_prev`, without one task per group.
+
+    Blocks of the first order column are windowed on their own; the last row of each block
+    is handed to the next one through a short table.
+    """
+    by = list(by)
+    base = df.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(block)))
+    packed = F.struct(*[F.col(c) for c in columns])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    rows = base.withColumns({"_here": F.lag(packed).over(inside), "_first": F.row_number().over(inside) == 1})
+    ends = base.groupBy(*by, "_bucket").agg(
+        F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_end")
+    )
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    handed = ends.select(
+        *[F.col(k).alias(f"_k_{k}") for k in [*by, "_bucket"]],
+        F.lag("_end").over(group.orderBy("_bucket")).alias("_before"),
+    )
+    condition = F.lit(True)
+    for key in [*by, "_bucket"]:
+        condition = condition & rows[key].eqNullSafe(handed[f"_k_{key}"])
+    joined = rows.join(handed, condition, "inner")
+    found = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_here"))
+    return joined.select(
+        *[rows[c] for c in df.columns],
+        *[found[c].alias(f"prev_{c}") for c in columns],
+        found.isNotNull().alias("has_prev"),
+    )
+
+
+def positions_by_value(df: DataFrame, value: str, row: str, ascending: bool = True, out: str = "position",
+                       block: int = BLOCK_ROWS) -> DataFrame:
+    """0-based position when sorted by a small-range `value`, input order kept on ties.
+
+    Many rows may share one value, so ties are counted in blocks of the row index; the
+    offsets of the values come from a table with one row per distinct value.
+    """
+    placed = positions(df, [value], [row], "_within", block=block)
+    order = F.asc("_value") if ascending else F.desc("_value")
+    before = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_value", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
+    )
+    joined = placed.join(starts, placed[value].eqNullSafe(starts["_value"]))
+    return joined.select(*[placed[c] for c in df.columns], (F.col("_within") + F.col("_start")).alias(out))

@@ -4,7 +4,7 @@ import importlib
 
 from chartspark.plans.registry import QUERIES, SQL
 
-MODULES = ["evaluation", "text"]
+MODULES = ["evaluation", "text", "gallery", "sequences", "bundle"]
 
 for _module in MODULES:
     importlib.import_module(f"chartspark.plans.{_module}")
