@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chartspark.functions.text import strip, type_text
@@ -93,26 +93,25 @@ FAMILY_OF_SPELLING = {
 }
 
 
-def _rule_cascade(text: Column, raw: Column) -> Column:
-    family = F.when(text == "", "Unknown")
-    for name, parts, wholes in FAMILY_RULES:
-        tests = [F.contains(text, F.lit(p)) for p in parts] + [text == w for w in wholes]
-        hit = tests[0]
-        for test in tests[1:]:
-            hit = hit | test
-        family = family.when(hit, name)
-    return family.otherwise(strip(raw))
+def family_by_rules(raw: Column) -> Column:
+    """Family of the first matching rule; without a match the stripped spelling.
 
+    The rules read the reduced text some sixty times. It is bound once, as the element of a
+    one-item array, so that it is not evaluated per rule wherever the optimizer moves this.
+    """
+    given = F.coalesce(raw, F.lit(""))
 
-def with_family_by_rules(df: DataFrame, raw: str, out: str = "family") -> DataFrame:
-    """Add the family of the first matching rule; without a match the stripped spelling.
+    def cascade(text: Column) -> Column:
+        family = F.when(text == "", "Unknown")
+        for name, parts, wholes in FAMILY_RULES:
+            tests = [F.contains(text, F.lit(p)) for p in parts] + [text == w for w in wholes]
+            hit = tests[0]
+            for test in tests[1:]:
+                hit = hit | test
+            family = family.when(hit, name)
+        return family
 
-    The reduced text is its own projection: the rules read it some sixty times, and the
-    optimizer keeps an expensive expression apart when it has more than one reader.
-    """
-    given = F.coalesce(F.col(raw), F.lit(""))
-    reduced = df.withColumn("_type_text", type_text(given))
-    return reduced.withColumn(out, _rule_cascade(F.col("_type_text"), given)).drop("_type_text")
+    return F.coalesce(F.get(F.transform(F.array(type_text(given)), cascade), F.lit(0)), strip(given))
 
 
 def family_by_spelling(raw: Column) -> Column:

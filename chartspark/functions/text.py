@@ -24,14 +24,9 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
-
-
 def type_text(raw: Column) -> Column:
-    """Chart-type spelling reduced to lower-case words; `/` is kept."""
-    spaced = F.translate(F.lower(strip(raw)), "_-", "  ")
-    return squeeze(F.regexp_replace(spaced, r"(?U)[^a-z0-9\s/]", " "))
+    """Chart-type spelling reduced to lower-case words and `/`, one space apart."""
+    return F.trim(F.regexp_replace(F.lower(raw), "[^a-z0-9/]+", " "))
 
 
 def identifier_text(name: Column) -> Column:

@@ -212,3 +212,48 @@ def positions_by_value(df: DataFrame, value: str, row: str, ascending: bool = Tr
     )
     joined = placed.join(starts, placed[value].eqNullSafe(starts["_value"]))
     return joined.select(*[placed[c] for c in df.columns], (F.col("_within") + F.col("_start")).alias(out))
+
+
+def ranked_desc(df: DataFrame, by: Sequence[str], value: str, out: str = "place") -> DataFrame:
+    """Competition rank of `value` within `by`, largest first; equal values share a rank.
+
+    Ranks are counted over distinct values, so a group of any size is spread over buckets.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_neg", -F.col("_value"))
+    run = running(counts, by, ["_neg"], {"_c": F.col("_n")}, split_points(counts, "_neg"))
+    ranks = run.select(*[F.col(b).alias(f"_k_{b}") for b in by], "_value", (F.col("_c") - F.col("_n") + 1).alias(out))
+    condition = df[value].eqNullSafe(ranks["_value"])
+    for key in by:
+        condition = condition & df[key].eqNullSafe(ranks[f"_k_{key}"])
+    return df.join(ranks, condition, "inner").select(*[df[c] for c in df.columns], out)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Attach one row per group to every row of it; null groups match.
+
+    The group side is an aggregate. Adaptive execution broadcasts it when its measured size
+    is small and splits hot groups of the other side when it is not.
+    """
+    if not by:
+        raise ValueError("no group columns")
+    renamed = groups.withColumnsRenamed({b: f"_k_{b}" for b in by})
+    condition = F.lit(True)
+    for key in by:
+        condition = condition & rows[key].eqNullSafe(renamed[f"_k_{key}"])
+    return rows.join(renamed, condition, how).drop(*[f"_k_{b}" for b in by])
+
+
+def top_by_draw(df: DataFrame, by: Sequence[str], draw: str, draw_range: int, n: int, slices: int = 1 << 16) -> DataFrame:
+    """The n rows of each group with the smallest draws (even draws in [0, draw_range)).
+
+    Slice counts tell which slices of the draw range are needed, so few rows beyond the
+    sample are shuffled, however large a group is.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(draw) / F.lit(draw_range // slices)))
+    counts = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n)
+    near = join_groups(sliced, needed.select(*by, "_slice"), [*by, "_slice"], "left_semi")
+    first = F.row_number().over(group.orderBy(draw))
+    return near.withColumn("_rn", first).where(F.col("_rn") <= n).select(*df.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartspark.functions import images as im
-from chartspark.functions.taxonomy import with_family_by_rules
+from chartspark.functions.taxonomy import family_by_rules
 from chartspark.operators import evaluation as ev
 from chartspark.operators import gallery as ga
 from chartspark.operators import sampling as sa
@@ -21,7 +21,7 @@ def collection_v(spark, sf):
         F.col("graph.type").alias("raw_type"), F.col("dataset.description").alias("description"),
         F.col("graph.short_description").alias("short_description"), im.quality(F.col("images")).alias("quality"),
     )
-    return with_family_by_rules(records, "raw_type")
+    return records.withColumn("family", family_by_rules(F.col("raw_type")))
 
 
 COLLECTION = v.ctes(v.RESULTS, v.CHARTS) + f""", typed as (select *, {type_text_sql('raw_type')} as tt from charts_v),

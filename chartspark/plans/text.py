@@ -46,15 +46,15 @@ def spelling_sql(raw: str) -> str:
   select chart_id, raw_type, {type_text_sql('raw_type')} as tt from charts_v)
 select chart_id, raw_type, {rules_sql('tt', 'raw_type')} as family from t""")
 def family_by_rules(spark, sf):
-    return taxonomy.with_family_by_rules(v.charts_v(spark, sf).select("chart_id", "raw_type"), "raw_type")
+    return v.charts_v(spark, sf).select("chart_id", "raw_type", taxonomy.family_by_rules(F.col("raw_type")).alias("family"))
 
 
 @register("prj7_family_of_text", f"""
 with t as (select doc_id, text, {type_text_sql('text')} as tt from documents)
 select doc_id, {rules_sql('tt', 'text')} as family from t""")
 def family_of_text(spark, sf):
-    docs = v.table(spark, sf, "documents").select("doc_id", "text")
-    return taxonomy.with_family_by_rules(docs, "text").select("doc_id", "family")
+    docs = v.table(spark, sf, "documents")
+    return docs.select("doc_id", taxonomy.family_by_rules(F.col("text")).alias("family"))
 
 
 @register("prj8_family_by_spelling", v.ctes(v.CHARTS) + f"""
