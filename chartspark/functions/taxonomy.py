@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chartspark.functions.text import strip, type_text
+from chartspark.functions.text import bound, strip, type_text
 
 # Fixed values: (family, words the text contains, texts it equals); the first match wins.
 FAMILY_RULES = (
@@ -96,8 +96,7 @@ FAMILY_OF_SPELLING = {
 def family_by_rules(raw: Column) -> Column:
     """Family of the first matching rule; without a match the stripped spelling.
 
-    The rules read the reduced text some sixty times. It is bound once, as the element of a
-    one-item array, so that it is not evaluated per rule wherever the optimizer moves this.
+    The rules read the reduced text some sixty times, so it is bound once.
     """
     given = F.coalesce(raw, F.lit(""))
 
@@ -111,7 +110,7 @@ def family_by_rules(raw: Column) -> Column:
             family = family.when(hit, name)
         return family
 
-    return F.coalesce(F.get(F.transform(F.array(type_text(given)), cascade), F.lit(0)), strip(given))
+    return F.coalesce(bound(type_text(given), cascade), strip(given))
 
 
 def family_by_spelling(raw: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,15 @@ IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp")
 NO_DESCRIPTION = "(no description)"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once, however often `body` reads it.
+
+    The value becomes the element of a one-item array, so the optimizer cannot copy its
+    expression into every place of use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing blanks of every kind, not only spaces."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

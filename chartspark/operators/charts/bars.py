@@ -108,8 +108,8 @@ def funnel(df: DataFrame, user: str, event: str, ts: str, stages: Sequence[str])
 def gantt(df: DataFrame, task: str, ts: str) -> DataFrame:
     """Start, end and duration in seconds per task."""
     spans = df.groupBy(task).agg(F.min(ts).alias("start"), F.max(ts).alias("end"))
-    seconds = F.unix_micros("end") - F.unix_micros("start")
-    return spans.withColumn("seconds", seconds / F.lit(1e6))
+    lasted = (F.col("end") - F.col("start")).cast("interval day to second").cast("interval second")
+    return spans.withColumn("seconds", lasted.cast("decimal(24,6)").cast("double"))
 
 
 def upset(df: DataFrame, entity: str, member: str) -> DataFrame:

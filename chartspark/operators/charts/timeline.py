@@ -16,7 +16,8 @@ STEP = {"year": "interval 1 year", "quarter": "interval 3 month", "month": "inte
 def line(df: DataFrame, t: str, y: str | None, agg: str, unit: str, hue: str | None = None, fill: bool = False) -> DataFrame:
     """`agg` of `y` per time bucket (and hue); with `fill`, empty buckets of the range appear with null."""
     keys = ["bucket"] if hue is None else ["bucket", hue]
-    points = aggregated(df.withColumn("bucket", F.date_trunc(unit, F.col(t))).where(F.col("bucket").isNotNull()), keys, y, agg)
+    bucket = F.date_trunc(unit, F.col(t)).cast(df.schema[t].dataType)
+    points = aggregated(df.withColumn("bucket", bucket).where(F.col("bucket").isNotNull()), keys, y, agg)
     if not fill:
         return points
     span = points.agg(F.struct(F.min("bucket").alias("low"), F.max("bucket").alias("high")).alias("s"))
@@ -48,8 +49,11 @@ def _number(df: DataFrame, column: str) -> Column | None:
     kind = df.schema[column].dataType
     if isinstance(kind, T.NumericType):
         return F.col(column).cast("double")
-    if isinstance(kind, (T.TimestampType, T.DateType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
+        since = F.col(column).cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+        return since.cast("interval second").cast("decimal(24,6)").cast("double")
     return None
 
 

@@ -25,13 +25,13 @@ def rounded(df, places=6, *columns):
 
 @register("cht2_bar", """
 select l_returnflag, 'count' as agg, cast(count(*) as double) as value from lineitem group by 1
-union all select l_returnflag, 'sum', round(sum(l_extendedprice), 1) from lineitem group by 1
+union all select l_returnflag, 'sum', round(sum(l_extendedprice), 2) from lineitem group by 1
 union all select l_returnflag, 'mean', round(avg(l_quantity), 6) from lineitem group by 1
 union all select l_returnflag, 'median', round(quantile_cont(l_extendedprice, 0.5), 6) from lineitem group by 1
 union all select l_returnflag, 'std', round(stddev_samp(l_discount), 6) from lineitem group by 1""")
 def bar(spark, sf):
     li = lineitem(spark, sf)
-    parts = [("count", None, 0), ("sum", "l_extendedprice", 1), ("mean", "l_quantity", 6), ("median", "l_extendedprice", 6), ("std", "l_discount", 6)]
+    parts = [("count", None, 0), ("sum", "l_extendedprice", 2), ("mean", "l_quantity", 6), ("median", "l_extendedprice", 6), ("std", "l_discount", 6)]
     out = None
     for agg, y, places in parts:
         one = bars.bar(li, "l_returnflag", y, agg).select(
@@ -67,9 +67,9 @@ def line_filled(spark, sf):
 @register("cht5_streamgraph", """
 with p as (select date_trunc('quarter', o_orderdate)::timestamp as bucket, o_orderpriority, sum(o_totalprice) as value from orders group by 1, 2),
 s as (select *, sum(value) over (partition by bucket order by o_orderpriority) as y1 from p)
-select bucket, o_orderpriority, round(value, 1) as value, round(y1 - value, 1) as y0, round(y1, 1) as y1 from s""")
+select bucket, o_orderpriority, round(value, 2) as value, round(y1 - value, 2) as y0, round(y1, 2) as y1 from s""")
 def streamgraph(spark, sf):
-    return rounded(ti.streamgraph(orders(spark, sf), "o_orderdate", "o_orderpriority", "o_totalprice", "quarter"), 1, "value", "y0", "y1")
+    return rounded(ti.streamgraph(orders(spark, sf), "o_orderdate", "o_orderpriority", "o_totalprice", "quarter"), 2, "value", "y0", "y1")
 
 
 HIST = """
@@ -332,9 +332,9 @@ def bump(spark, sf):
 @register("cht29_waterfall", """
 with d as (select o_orderdate, sum(o_totalprice) as delta from orders group by 1),
 l as (select *, sum(delta) over (order by o_orderdate) as "end" from d)
-select o_orderdate, round(delta, 2) as delta, round("end" - delta, 1) as start, round("end", 1) as "end" from l""")
+select o_orderdate, round(delta, 2) as delta, round("end" - delta, 2) as start, round("end", 2) as "end" from l""")
 def waterfall(spark, sf):
-    return rounded(rounded(ti.waterfall(orders(spark, sf), "o_orderdate", "o_totalprice"), 2, "delta"), 1, "start", "end")
+    return rounded(rounded(ti.waterfall(orders(spark, sf), "o_orderdate", "o_totalprice"), 2, "delta"), 2, "start", "end")
 
 
 @register("cht30_funnel", """

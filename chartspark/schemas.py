@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
+# Schemas are DDL texts, so that this module loads without a session.
 QUESTION = "struct<question:string,answer:string,answer_basis:string,type:string>"
 
 # `images` holds objects, and in old files bare strings; `structured_data` mixes texts and lists.
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "id string, dataset struct<id:string,description:string>, "
     "graph struct<type:string,style:string,full_description:string,short_description:string,code:string,"
-    f"structured_data:variant,questions:array<{QUESTION}>>, images array<variant>, _corrupt_record string"
+    f"structured_data:variant,questions:array<{QUESTION}>>, images array<variant>"
 )
 
-RESULT = T.StructType.fromDDL(
+RESULT = (
     f"chart_id string, graph_id string, dataset_id string, graph_type string, image string, question {QUESTION}, "
-    "dataset_description string, test_answer string, correct boolean, answer_error string, check_error string, "
-    "_corrupt_record string"
+    "dataset_description string, test_answer string, correct boolean, answer_error string, check_error string"
 )
 
-SUMMARY = T.StructType.fromDDL("model string, type string, correct bigint, incorrect bigint, accuracy double")
+SUMMARY = "model string, type string, correct bigint, incorrect bigint, accuracy double"
 
-USAGE = T.StructType.fromDDL(
-    "model string, phase string, input_tokens bigint, output_tokens bigint, cached_tokens bigint, cost double"
-)
+USAGE = "model string, phase string, input_tokens bigint, output_tokens bigint, cached_tokens bigint, cost double"
 
 # The keys of structured chart data.
 STRUCTURED_KEYS = (

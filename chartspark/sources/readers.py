@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chartspark.functions.images import typed_images
 from chartspark.schemas import RECORD, RESULT, STRUCTURED_KEYS, TEXT_OR_LIST_KEYS
@@ -12,20 +11,13 @@ from chartspark.schemas import RECORD, RESULT, STRUCTURED_KEYS, TEXT_OR_LIST_KEY
 CORRUPT = "_corrupt_record"
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    if CORRUPT in schema.fieldNames():
-        return schema
-    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-
-
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, strict: bool = True, keep_file: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, keep_file: bool = False) -> DataFrame:
     """JSON lines, plain or gzip. Blank lines are skipped.
 
     Strict: the query fails at the first undecodable line, naming its file and text.
     Lenient: such lines are skipped. Either way it is a filter inside the one scan.
     """
-    full = _with_corrupt(schema)
-    lines = spark.read.schema(full).json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    lines = spark.read.schema(f"{schema}, {CORRUPT} string").json(path).select("*", F.col("_metadata.file_path").alias("_file"))
     good = F.col(CORRUPT).isNull()
     if strict:
         message = F.concat(F.lit("Invalid JSON in "), "_file", F.lit(": "), CORRUPT)
@@ -41,13 +33,13 @@ def read_records(spark: SparkSession, path: str | list[str], strict: bool = True
     return raw.withColumn("images", typed_images(F.col("images")))
 
 
-def read_document(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Whole-file JSON: one document per file."""
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULT, strict: bool = True) -> DataFrame:
+def read_results(spark: SparkSession, path: str, schema: str = RESULT, strict: bool = True) -> DataFrame:
     """Every result file of a folder; the file name without extension is the model.
 
     The key is `chart_id`, else `graph_id`; rows without a key are dropped.
@@ -65,7 +57,7 @@ def shard_number(pattern: str, file_path: Column) -> Column:
     return F.regexp_extract(name, f"^{pattern}", 1).try_cast("int")
 
 
-def read_shards(spark: SparkSession, path: str, pattern: str, min_number: int, schema: T.StructType) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, pattern: str, min_number: int, schema: str) -> DataFrame:
     """Shards whose file name fits `pattern` and whose number is at least `min_number`.
 
     The file filter is on the metadata column, so other files are pruned, not read.
@@ -75,7 +67,7 @@ def read_shards(spark: SparkSession, path: str, pattern: str, min_number: int, s
     return rows.where(fits).select("*", F.col("_metadata.file_name").alias("shard"))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Any source table, by suffix: csv, tsv, json, jsonl or parquet."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema else spark.read
@@ -115,8 +107,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_indexed_records(spark: SparkSession, path: str) -> DataFrame:
     """Chart records with the line number that carries their order."""
     lines = read_lines(spark, path).where(F.trim("value") != "")
-    schema = T.StructType([f for f in RECORD.fields if f.name != CORRUPT])
-    parsed = lines.select("file", "row_index", F.from_json("value", schema).alias("_record"))
+    parsed = lines.select("file", "row_index", F.from_json("value", RECORD).alias("_record"))
     return parsed.select("file", "row_index", "_record.*").withColumn("images", typed_images(F.col("images")))
 
 
