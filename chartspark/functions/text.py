@@ -52,6 +52,11 @@ def meaningful_tokens(name: Column) -> Column:
     return F.filter(F.split(identifier_text(name), " "), lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
+def word_tokens(words: Column) -> Column:
+    """Distinct meaningful words of a text that `identifier_text` made."""
+    return F.array_except(F.split(words, " "), F.array(*[F.lit(w) for w in ("", *STOP_WORDS)]))
+
+
 def label_120(description: Column) -> Column:
     """Text before the first ". ", at most 120 characters."""
     first = strip(F.substring_index(strip(F.coalesce(description, F.lit(""))), ". ", 1))
@@ -144,18 +149,17 @@ def prompt_key(dataset_id: Column, image: Column) -> Column:
 
 
 def description_aliases(description: Column, target: Column | None = None) -> Column:
-    """array<struct(raw, alias)>: each `word (long name)`, then what the target represents."""
-    pattern = F.lit(r"(?U)\b([A-Za-z][A-Za-z0-9_]*)\s*\(([^()]+)\)")
-    named = F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(description, pattern, 1).alias("raw"),
-            F.regexp_extract_all(description, pattern, 2).alias("alias"),
-        ),
-        lambda x: F.struct(x["raw"].alias("raw"), x["alias"].alias("alias")),
-    )
+    """array<struct(raw, alias)>: each `word (long name)`, then what the target represents.
+
+    The text is searched once; name and alias are cut from the short hits. Possessive
+    repeats keep the search linear.
+    """
+    found = F.regexp_extract_all(description, F.lit(r"(?U)\b[A-Za-z][A-Za-z0-9_]*+\s*+\([^()]++\)"), 0)
+    named = F.transform(found, lambda hit: F.struct(
+        F.regexp_extract(hit, "^[A-Za-z0-9_]+", 0).alias("raw"), F.regexp_extract(hit, r"(?s)\((.*)\)$", 1).alias("alias")))
     if target is None:
         return named
-    shown = F.regexp_extract_all(description, F.lit(r"(?iU)target attribute[^.]*?representing\s+([^.,;]+)"), 1)
+    shown = F.regexp_extract_all(description, F.lit(r"(?i)target attribute[^.]*?representing[\s\p{Z}]+([^.,;]+)"), 1)
     meant = F.transform(shown, lambda x: F.struct(target.alias("raw"), x.alias("alias")))
     return F.concat(named, F.when(target.isNull() | (target == ""), F.slice(meant, 1, 0)).otherwise(meant))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartspark.functions.text import bound, description_aliases, identifier_text, meaningful_tokens
+from chartspark.functions.text import bound, description_aliases, identifier_text, word_tokens
 
 # Scores of the matching rules.
 SURE = 10.0
@@ -27,20 +27,23 @@ N_SHOWN = 3
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def sequence_ratios(wanted: pd.Series, candidates: pd.Series) -> pd.Series:
-    """Matching-block ratio of every wanted text with every candidate text of the same chart."""
+    """Matching-block ratio of every wanted text with every candidate text of the same chart.
 
-    def table(targets, texts):
-        rows = [[0.0] * len(texts) for _ in targets]
-        matcher = SequenceMatcher(None)
-        for j, text in enumerate(texts):
-            matcher.set_seq2(text)
-            for i, target in enumerate(targets):
-                if target:
-                    matcher.set_seq1(target)
-                    rows[i][j] = matcher.ratio()
-        return rows
+    Charts of one source share their column names, so each pair of a batch is compared once.
+    """
+    matcher = SequenceMatcher(None)
+    known: dict[tuple[str, str], float] = {}
+
+    def ratio(target: str, text: str) -> float:
+        if (target, text) not in known:
+            matcher.set_seqs(target, text)
+            known[target, text] = matcher.ratio()
+        return known[target, text]
 
-    return pd.Series([table(w, c) for w, c in zip(wanted, candidates)])
+    return pd.Series([
+        [[ratio(target, text) if target else 0.0 for text in texts] for target in targets]
+        for targets, texts in zip(wanted, candidates)
+    ])
 
 
 # Marked so that the optimizer leaves the call in its own projection: the array functions
@@ -49,10 +52,9 @@ sequence_ratios = sequence_ratios.asNondeterministic()
 
 
 def _words(name: Column) -> Column:
-    return F.struct(
-        name.alias("name"), identifier_text(name).alias("text"), F.array_distinct(meaningful_tokens(name)).alias("tokens"),
-        F.regexp_replace(name, "[^0-9]", "").alias("digits"),
-    )
+    digits = F.regexp_replace(name, "[^0-9]", "")
+    return bound(identifier_text(name), lambda text: F.struct(
+        name.alias("name"), text.alias("text"), word_tokens(text).alias("tokens"), digits.alias("digits")))
 
 
 def _score(target: Column, candidate: Column, raw: Column, ratio: Column) -> Column:
@@ -62,8 +64,9 @@ def _score(target: Column, candidate: Column, raw: Column, ratio: Column) -> Col
     inside = F.contains(candidate["text"], target["text"]) | F.contains(target["text"], candidate["text"])
     contained = F.when(inside, F.lit(CONTAINED)).otherwise(F.lit(0.0))
     digits = F.when((raw["digits"] != "") & (raw["digits"] == target["digits"]), F.lit(SAME_DIGITS)).otherwise(F.lit(0.0))
-    equal = F.array_sort(raw["tokens"]) == F.array_sort(target["tokens"])
-    tokens = F.when((F.size(raw["tokens"]) > 0) & equal, F.lit(SAME_TOKENS)).otherwise(F.lit(0.0))
+    common = F.size(F.array_intersect(raw["tokens"], target["tokens"]))
+    equal = (common > 0) & (common == F.size(raw["tokens"])) & (common == F.size(target["tokens"]))
+    tokens = F.when(equal, F.lit(SAME_TOKENS)).otherwise(F.lit(0.0))
     return F.when((target["text"] == "") | (candidate["text"] == ""), F.lit(0.0)).otherwise(
         F.greatest(overlap, ratio, contained) + digits + tokens
     )
@@ -96,7 +99,7 @@ def score_columns(df: DataFrame, needed: str = "needed", raw: str = "raw", descr
             c["raw"]["name"].alias("raw"), c["words"]["name"].alias("evidence"),
         ))
         best = bound(scored, lambda rows: F.transform(F.col(raw), lambda _, k: F.array_min(F.filter(rows, lambda s: s["place"] == k))))
-        ordered = F.array_sort(F.transform(best, lambda b: F.struct(
+        ordered = F.sort_array(F.transform(best, lambda b: F.struct(
             b["minus"].alias("minus"), b["place"].alias("place"), b["raw"].alias("raw"), b["evidence"].alias("evidence"),
         )))
         shown = F.transform(ordered, lambda b: F.struct(b["raw"].alias("raw"), (-b["minus"]).alias("score"), b["evidence"].alias("evidence")))

@@ -39,32 +39,31 @@ def read_document(spark: SparkSession, path: str, schema: str | None = None) ->
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def jsonl_name(file_path: Column) -> Column:
+    """Name of the `.jsonl` file a row came from, or of the `.jsonl` folder that Spark wrote."""
+    return F.url_decode(F.regexp_extract(file_path, r"([^/]+\.jsonl)(?:\.gz)?(?:/[^/]*)?$", 1))
+
+
 def read_results(spark: SparkSession, path: str, schema: str = RESULT, strict: bool = True) -> DataFrame:
-    """Every result file of a folder; the file name without extension is the model.
+    """Every `*.jsonl` result of a folder; its name without the extension is the model.
 
     The key is `chart_id`, else `graph_id`; rows without a key are dropped.
     """
-    rows = read_jsonl(spark, path, schema, strict, keep_file=True)
+    rows = read_jsonl(spark, f"{path}/*.jsonl*", schema, strict, keep_file=True)
     key = F.coalesce(F.nullif("chart_id", F.lit("")), F.nullif("graph_id", F.lit("")))
-    stem = F.regexp_extract(F.substring_index("_file", "/", -1), r"^(.*?)(?:\.jsonl)?(?:\.gz)?$", 1)
-    keyed = rows.withColumns({"chart_id": key, "model": F.url_decode(stem)})
+    keyed = rows.withColumns({"chart_id": key, "model": F.regexp_replace(jsonl_name(F.col("_file")), r"\.jsonl$", "")})
     return keyed.where(F.col("chart_id").isNotNull()).drop("_file", "graph_id")
 
 
-def shard_number(pattern: str, file_path: Column) -> Column:
-    """The number that the first group of `pattern` finds in a file name; null when it does not fit."""
-    name = F.substring_index(file_path, "/", -1)
-    return F.regexp_extract(name, f"^{pattern}", 1).try_cast("int")
-
-
 def read_shards(spark: SparkSession, path: str, pattern: str, min_number: int, schema: str) -> DataFrame:
-    """Shards whose file name fits `pattern` and whose number is at least `min_number`.
+    """Shards whose name fits `pattern` and whose number, its first group, is at least `min_number`.
 
-    The file filter is on the metadata column, so other files are pruned, not read.
+    The condition is on the file path only, so other shards are left out before they are read.
     """
-    rows = spark.read.schema(schema).json(path)
-    fits = shard_number(pattern, F.col("_metadata.file_path")) >= min_number
-    return rows.where(fits).select("*", F.col("_metadata.file_name").alias("shard"))
+    rows = spark.read.schema(schema).json(f"{path}/*.jsonl*")
+    name = jsonl_name(F.col("_metadata.file_path"))
+    number = F.regexp_extract(name, f"^{pattern}$", 1).try_cast("int")
+    return rows.select("*", name.alias("shard")).where(number >= min_number)
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
