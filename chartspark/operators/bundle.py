@@ -126,19 +126,20 @@ def dataset_rollup(sized: DataFrame, order: str = "chart_id") -> DataFrame:
     )
 
 
-def manifest(index: DataFrame, models: DataFrame, base_url: str = "", shuffle_seed: int | None = 42) -> DataFrame:
+def manifest(index: DataFrame, models: DataFrame, base_url: str = "", shuffle_seed: int | None = 42, longest: int = 10_000) -> DataFrame:
     """One row: dataset, chart and model counts, sorted models, charts per family by name.
 
-    Families and models are reduced to one row each first, so the lists stay as short as the
-    collection has families and models.
+    All counts come from one (dataset, family) count. A list longer than `longest` is left
+    null here: `gallery.family_counts` gives the same as rows.
     """
-    totals = index.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.count(F.lit(1)).alias("dataset_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("chart_count")
-    )
-    families = index.groupBy("canonical_type").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("canonical_type", "n"))))
-    )
-    listed = models.select("model").distinct().agg(F.array_sort(F.collect_list("model")))
+    cube = index.groupBy("dataset_id", "canonical_type").agg(F.count(F.lit(1)).alias("n"))
+    totals = cube.groupBy("dataset_id").agg(F.sum("n").alias("n")).agg(
+        F.count(F.lit(1)).alias("dataset_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("chart_count"))
+    families = cube.groupBy("canonical_type").agg(F.sum("n").alias("n")).limit(longest + 1).agg(
+        F.array_sort(F.collect_list(F.struct("canonical_type", "n"))).alias("l"))
+    family_map = families.select(F.when(F.size("l") <= longest, F.map_from_entries("l")))
+    distinct = models.select("model").distinct()
+    listed = distinct.limit(longest + 1).agg(F.array_sort(F.collect_list("model")).alias("l"))
     return totals.select(
         F.lit(1).alias("schema_version"),
         F.lit(base_url).alias("base_url"),
@@ -147,6 +148,20 @@ def manifest(index: DataFrame, models: DataFrame, base_url: str = "", shuffle_se
         "chart_count",
         F.lit("metadata" if shuffle_seed is None else "shuffle").alias("chart_order"),
         F.lit(shuffle_seed).cast("int").alias("shuffle_seed"),
-        listed.scalar().alias("models"),
-        families.scalar().alias("canonical_type_counts"),
-    ).withColumn("model_count", F.size("models"))
+        distinct.agg(F.count(F.lit(1)).cast("int")).scalar().alias("model_count"),
+        listed.select(F.when(F.size("l") <= longest, F.col("l"))).scalar().alias("models"),
+        family_map.scalar().alias("canonical_type_counts"),
+    )
+
+
+def rewritten_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Records whose stored images point to their copy in the bundle, others to their file name.
+
+    `resolved` has chart_id, path and source; the paths of one chart are as many as its record lists.
+    """
+    copied = F.concat(F.lit("images/"), F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", ""), F.lit(".jpg"))
+    maps = resolved.where(F.col("source").isNotNull()).select("chart_id", "path", copied.alias("copy")).distinct().groupBy(
+        F.col("chart_id").cast("string").alias("_chart")
+    ).agg(F.map_from_entries(F.collect_list(F.struct("path", "copy"))).alias("_paths"))
+    joined = records.join(maps, records["id"] == maps["_chart"], "left")
+    return joined.withColumn("images", im.mapped_paths(F.col("images"), F.col("_paths"))).drop("_chart", "_paths")

@@ -59,10 +59,17 @@ def bin_index(x: Column, low: Column, high: Column, bins: int) -> Column:
 def axis_values(df: DataFrame, column: str, max_values: int = MAX_AXIS) -> Column:
     """Sorted distinct values of a chart axis as one array; fails beyond `max_values`.
 
-    Distinct values are reduced first; an axis that no chart can show is an error, not cut.
+    At most one value more than that is gathered. An axis that no chart can show is an
+    error; nothing is cut from it.
     """
-    listed = df.select(column).distinct().agg(F.array_sort(F.collect_list(column)).alias("_axis"))
-    message = F.lit(f"more than {max_values} values on axis {column}")
-    checked = listed.select(F.when(F.size("_axis") <= max_values, F.col("_axis")).otherwise(
-        F.raise_error(message).cast(listed.schema["_axis"].dataType)).alias("_axis"))
-    return checked.scalar()
+    gathered = df.select(column).distinct().limit(max_values + 1).agg(F.array_sort(F.collect_list(column)).alias("_axis"))
+    too_long = F.raise_error(F.lit(f"more than {max_values} values on axis {column}")).cast(gathered.schema["_axis"].dataType)
+    return gathered.select(F.when(F.size("_axis") <= max_values, F.col("_axis")).otherwise(too_long).alias("_axis")).scalar()
+
+
+def with_short_axis(df: DataFrame, column: str) -> DataFrame:
+    """The same rows; fails when the axis has more values than a chart can show.
+
+    Called where the rows of one axis meet in one task.
+    """
+    return df.where(F.size(axis_values(df, column)) >= 0)

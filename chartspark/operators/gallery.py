@@ -78,43 +78,34 @@ def facets(df: DataFrame, family: str = ALL, dataset: str = ALL, quality: str =
     """Counts per facet value, each facet under the terms of the other facets.
 
     A chosen family without charts under the other terms falls back to "(all)" before the
-    datasets are counted. Searching scans the collection once; the three facets read the
-    short table of (family, dataset, quality) counts that it leaves.
+    datasets are counted. One pass: every chart names the facet values that it counts for,
+    and these are combined inside its task; only the fallback needs a second look, which ends
+    at the first hit.
     """
-    cube = (
-        df.where(search_term(search_columns, search))
-        .groupBy("family", "dataset_id", "quality")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     on = terms(family, dataset, quality)
+    found = df.where(search_term(search_columns, search))
 
-    def under(*names: str) -> list[Column]:
-        return [on[name] for name in names if name in on]
+    def under(*names: str) -> Column:
+        return all_of([on[name] for name in names if name in on])
 
-    by_quality = cube.where(all_of(under("family", "dataset_id"))).agg(
-        F.sum(F.when(F.col("quality") == "good", F.col("n"))).alias("good"),
-        F.sum(F.when(F.col("quality") == "bad", F.col("n"))).alias("bad"),
-        F.sum("n").alias("all"),
-    )
-    qualities = by_quality.select(F.inline(F.array(*[
-        F.struct(F.lit("quality").alias("facet"), F.lit(name).alias("value"), F.coalesce(F.col(name), F.lit(0)).alias("charts"))
-        for name in ("good", "bad", "all")
-    ])))
-    families = (
-        cube.where(all_of(under("dataset_id", "quality")))
-        .groupBy(F.lit("family").alias("facet"), F.col("family").alias("value"))
-        .agg(F.sum("n").alias("charts"))
-    )
-    family_stays = F.lit(True)
+    family_stays = on.get("family", F.lit(True))
     if "family" in on:
-        present = cube.where(all_of(under("dataset_id", "quality", "family"))).agg(F.count(F.lit(1)).alias("rows")).scalar()
-        family_stays = on["family"] | (present == 0)
-    datasets = (
-        cube.where(all_of([*under("quality"), family_stays]))
-        .groupBy(F.lit("dataset").alias("facet"), F.col("dataset_id").cast("string").alias("value"))
-        .agg(F.sum("n").alias("charts"))
+        first = found.where(under("dataset_id", "quality", "family")).limit(1)
+        family_stays = family_stays | (first.agg(F.count(F.lit(1)).alias("rows")).scalar() == 0)
+
+    def entry(condition: Column, name: str, value: Column) -> Column:
+        return F.when(condition, F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value"), F.lit(1).alias("n")))
+
+    entries = F.array(
+        entry(under("family", "dataset_id"), "quality", F.col("quality")),
+        entry(under("family", "dataset_id"), "quality", F.lit("all")),
+        entry(under("dataset_id", "quality"), "family", F.col("family")),
+        entry(under("quality") & family_stays, "dataset", F.coalesce(F.col("dataset_id").cast("string"), F.lit("?"))),
     )
-    return qualities.unionByName(families).unionByName(datasets)
+    counted = found.select(F.inline(F.array_compact(entries))).groupBy("facet", "value").agg(F.sum("n").alias("charts"))
+    always = [F.struct(F.lit("quality").alias("facet"), F.lit(q).alias("value"), F.lit(0).cast("bigint").alias("charts")) for q in ("good", "bad", "all")]
+    zeros = df.sparkSession.range(1).select(F.inline(F.array(*always)))
+    return counted.unionByName(zeros).groupBy("facet", "value").agg(F.sum("charts").alias("charts"))
 
 
 def with_labels(facet: DataFrame, labels: DataFrame) -> DataFrame:

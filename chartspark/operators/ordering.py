@@ -10,21 +10,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BUCKETS = 64
 BLOCK_ROWS = 1_000_000
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on every key, so that a null group keeps its rows."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def split_points(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
     """Distinct inner cut points of a numeric column; at most `buckets` numbers reach the driver."""
     probabilities = [i / buckets for i in range(1, buckets)]
@@ -59,37 +51,43 @@ def running(
     With `totals`, `<name>_total` carries the sum over the whole group.
     """
     by = list(by)
-    if splits is not None:
-        base = with_bucket(df, order[0], splits)
-    else:
-        base = df.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(block or BLOCK_ROWS)))
-    base = base.withColumns({f"_v_{name}": expr for name, expr in values.items()})
+    base = _keyed(df, by, order[0], splits, block).withColumns({f"_v_{name}": expr for name, expr in values.items()})
 
-    inside = (
-        Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = base.withColumns({f"_r_{name}": F.sum(f"_v_{name}").over(inside) for name in values})
 
-    short = base.groupBy(*by, "_bucket").agg(
-        *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values]
-    )
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    short = base.groupBy("_key").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values])
+    group = _group_window(by)
+    before = group.orderBy("_key._bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = short.select(
-        *[F.col(k).alias(f"_k_{k}") for k in [*by, "_bucket"]],
+        F.col("_key").alias("_k"),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values],
         *[F.sum(f"_s_{n}").over(group).alias(f"_t_{n}") for n in values if totals],
     )
-    condition = F.lit(True)
-    for key in [*by, "_bucket"]:
-        condition = condition & rows[key].eqNullSafe(offsets[f"_k_{key}"])
-    joined = rows.join(offsets, condition, "inner")
+    joined = rows.join(offsets, rows["_key"] == offsets["_k"], "inner")
     added = [(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in values]
     if totals:
         added += [F.col(f"_t_{n}").alias(f"{n}_total") for n in values]
     return joined.select(*[rows[c] for c in df.columns], *added)
 
 
+def _keyed(df: DataFrame, by: Sequence[str], column: str, splits: Sequence[float] | None, block: int | None) -> DataFrame:
+    """Add `_key`, a struct of the group columns and the bucket.
+
+    One struct serves as window, group and join key alike: it is never null, its null fields
+    compare equal, and the rows are shuffled on it once.
+    """
+    if splits is not None:
+        base = with_bucket(df, column, splits)
+    else:
+        base = df.withColumn("_bucket", F.floor(F.col(column) / F.lit(block or BLOCK_ROWS)))
+    return base.withColumn("_key", F.struct(*by, F.col("_bucket").cast("bigint").alias("_bucket"))).drop("_bucket")
+
+
+def _group_window(by: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*[F.col("_key")[b] for b in by]) if by else Window.partitionBy(F.lit(0))
+
+
 def positions(
     df: DataFrame,
     by: Sequence[str],
@@ -173,22 +171,13 @@ def previous_row(
     is handed to the next one through a short table.
     """
     by = list(by)
-    base = df.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(block)))
+    base = _keyed(df, by, order[0], None, block)
     packed = F.struct(*[F.col(c) for c in columns])
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    inside = Window.partitionBy("_key").orderBy(*order)
     rows = base.withColumns({"_here": F.lag(packed).over(inside), "_first": F.row_number().over(inside) == 1})
-    ends = base.groupBy(*by, "_bucket").agg(
-        F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_end")
-    )
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    handed = ends.select(
-        *[F.col(k).alias(f"_k_{k}") for k in [*by, "_bucket"]],
-        F.lag("_end").over(group.orderBy("_bucket")).alias("_before"),
-    )
-    condition = F.lit(True)
-    for key in [*by, "_bucket"]:
-        condition = condition & rows[key].eqNullSafe(handed[f"_k_{key}"])
-    joined = rows.join(handed, condition, "inner")
+    ends = base.groupBy("_key").agg(F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_end"))
+    handed = ends.select(F.col("_key").alias("_k"), F.lag("_end").over(_group_window(by).orderBy("_key._bucket")).alias("_before"))
+    joined = rows.join(handed, rows["_key"] == handed["_k"], "inner")
     found = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_here"))
     return joined.select(
         *[rows[c] for c in df.columns],

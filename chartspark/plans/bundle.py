@@ -144,3 +144,12 @@ def manifest(spark, sf):
     out = bu.manifest(index(spark, sf), v.results_v(spark, sf), BASE)
     pairs = F.transform(F.map_entries("canonical_type_counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
     return out.withColumns({"models": F.array_join("models", ","), "canonical_type_counts": F.array_join(pairs, ",")})
+
+
+@register("prj13_rewritten_records", v.ctes(v.RESULTS, v.CHARTS, v.REC_IMAGES, LISTING) + """, plain as (
+  select r.doc_id, r.pos, r.path, l.path is not null as stored from rec_images r left join listing l on r.path = l.path)
+select cast(doc_id as varchar) as id, cast(pos as integer) as pos, case when stored then replace(path, '.png', '.jpg') else path end as path from plain""")
+def rewritten_records(spark, sf):
+    resolved = bu.resolve_images(record_images(spark, sf), listing(spark, sf), folder="none/")
+    rewritten = bu.rewritten_records(v.records_v(spark, sf), resolved)
+    return rewritten.select("id", F.posexplode("images").alias("pos", "i")).select("id", "pos", "i.path")

@@ -54,14 +54,13 @@ def gzip_jsonl(spark, sf):
 
 
 @register("src4_document", """
-select source as dataset_id, count(*) as chart_count, cast(sum(n_chars) as bigint) as chars from documents group by 1""")
+select cast(1 as integer) as schema_version, count(*) as chart_count, cast(sum(n_chars) as bigint) as chars, min(lang) as first_lang from documents""")
 def document(spark, sf):
-    docs = v.table(spark, sf, "documents").groupBy(F.col("source").alias("dataset_id")).agg(
-        F.count(F.lit(1)).alias("chart_count"), F.sum("n_chars").alias("chars"))
+    totals = v.table(spark, sf, "documents").agg(
+        F.lit(1).alias("schema_version"), F.count(F.lit(1)).alias("chart_count"), F.sum("n_chars").alias("chars"), F.min("lang").alias("first_lang"))
     path = scratch_dir(spark, "manifest")
-    wr.write_document(docs.agg(F.lit(1).alias("schema_version"), F.collect_list(F.struct("*")).alias("datasets")), path)
-    schema = "schema_version int, datasets array<struct<dataset_id:string,chart_count:bigint,chars:bigint>>"
-    return rd.read_document(spark, path, schema).select(F.inline("datasets"))
+    wr.write_document(totals, path)
+    return rd.read_document(spark, path, "schema_version int, chart_count bigint, chars bigint, first_lang string")
 
 
 STORED = "row_id bigint, chart_id string, graph_id string, correct boolean, value double"
