@@ -13,17 +13,26 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+MIN_BUCKETS, MAX_BUCKETS = 16, 8192
 BLOCK_ROWS = 1_000_000
+SMALL_ROWS = 1_000_000
 
 
-def split_points(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
-    """Distinct inner cut points of a numeric column; at most `buckets` numbers reach the driver."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), probabilities, F.lit(1000)).alias("p")
-    ).first()
-    return sorted(set(row.p)) if row and row.p else []
+def split_points(df: DataFrame, column: str, rows_per_bucket: int = BLOCK_ROWS) -> list[float]:
+    """Inner cut points of a numeric column, so many that a bucket holds about `rows_per_bucket` rows.
+
+    One aggregation; at most MAX_BUCKETS numbers reach the driver. They only decide how the
+    work is spread, never what comes out.
+    """
+    # One text literal instead of thousands of number literals in the plan.
+    listed = ",".join(str(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS))
+    probabilities = F.split(F.lit(listed), ",").cast("array<double>")
+    value = F.col(column).cast("double")
+    row = df.agg(F.count(value).alias("n"), F.percentile_approx(value, probabilities, F.lit(2 * MAX_BUCKETS)).alias("p")).first()
+    if not row.n:
+        return []
+    wanted = min(max(row.n // rows_per_bucket, MIN_BUCKETS), MAX_BUCKETS)
+    return sorted({row.p[i * MAX_BUCKETS // wanted - 1] for i in range(1, wanted)})
 
 
 def with_bucket(df: DataFrame, column: str, splits: Sequence[float], out: str = "_bucket") -> DataFrame:
@@ -118,28 +127,41 @@ def ranked_values(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     return running(counts, by, ["_x"], {"_c": F.col("_n")}, split_points(df, x), totals=True)
 
 
-def quantiles_long(df: DataFrame, x: str, by: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles, one row per (group, p): `by…, p, q`."""
-    ranked = ranked_values(df, by, x)
-    first = F.col("_c") - F.col("_n")
+def quantiles_long(
+    df: DataFrame, x: str, by: Sequence[str], probabilities: Sequence[float], small_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """Exact linear-interpolation quantiles, one row per (group, p): `by…, p, q`.
 
-    def covers(rank: Column) -> Column:
-        return (rank >= first) & (rank < F.col("_c"))
+    The built-in exact percentile holds all values of a group in one task, so it is used only
+    when the table was counted and has at most `small_rows` values. Beyond that, values are
+    ranked over buckets and the neighbours of each quantile are picked out.
+    """
+    known = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+    if known.count() <= small_rows:
+        value = F.col(x).cast("double")
+        listed = F.array(*[F.lit(float(p)) for p in probabilities])
+        grouped = known.groupBy(*by).agg(F.percentile(value, listed).alias("_q"))
+        pairs = [F.struct(F.lit(float(p)).alias("p"), F.col("_q")[i].alias("q")) for i, p in enumerate(probabilities)]
+        return grouped.where(F.col("_q").isNotNull()).select(*by, F.inline(F.array(*pairs)))
+    ranked = ranked_values(df, by, x)
+    first, after = F.col("_c") - F.col("_n"), F.col("_c")
 
-    points = F.array(*[F.lit(float(p)) for p in probabilities])
-    place = F.col("p") * (F.col("_c_total") - 1)
-    low, high = F.floor(place), F.ceil(place)
+    def place(p: Column) -> Column:
+        return p * (F.col("_c_total") - 1)
 
     def wanted(p: Column) -> Column:
-        at = p * (F.col("_c_total") - 1)
-        return covers(F.floor(at)) | covers(F.ceil(at))
-
-    hits = (
-        ranked.where(F.exists(points, wanted))
-        .withColumn("p", F.explode(F.filter(points, wanted)))
-        .withColumns({"_place": place, "_low": F.when(covers(low), F.col("_x")),
-                      "_high": F.when(covers(high), F.col("_x"))})
-    )
+        """The ranks of a value, first up to after, hold a neighbour of the quantile's place."""
+        return (F.floor(place(p)) < after) & (F.ceil(place(p)) >= first)
+
+    points = [F.lit(float(p)) for p in probabilities]
+    near = wanted(points[0])
+    for p in points[1:]:
+        near = near | wanted(p)
+    hits = ranked.where(near).withColumn("p", F.explode(F.filter(F.array(*points), wanted))).withColumns({
+        "_place": place(F.col("p")),
+        "_low": F.when(F.floor(place(F.col("p"))) >= first, F.col("_x")),
+        "_high": F.when(F.ceil(place(F.col("p"))) < after, F.col("_x")),
+    })
     found = hits.groupBy(*by, "p").agg(
         F.max("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_place").alias("_place")
     )

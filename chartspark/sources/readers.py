@@ -17,14 +17,18 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict:
     Strict: the query fails at the first undecodable line, naming its file and text.
     Lenient: such lines are skipped. Either way it is a filter inside the one scan.
     """
-    lines = spark.read.schema(f"{schema}, {CORRUPT} string").json(path).select("*", F.col("_metadata.file_path").alias("_file"))
-    good = F.col(CORRUPT).isNull()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.where(~F.rlike("value", F.lit(r"^\s*$"))).withColumn(
+        "_row", F.from_json("value", f"{schema}, {CORRUPT} string", options))
+    good = F.col(f"_row.{CORRUPT}").isNull()
     if strict:
-        message = F.concat(F.lit("Invalid JSON in "), "_file", F.lit(": "), CORRUPT)
-        rows = lines.where(F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+        message = F.concat(F.lit("Invalid JSON in "), "_file", F.lit(": "), "value")
+        rows = parsed.where(F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
     else:
-        rows = lines.where(good)
-    return rows.drop(CORRUPT) if keep_file else rows.drop(CORRUPT, "_file")
+        rows = parsed.where(good)
+    out = rows.select("_row.*", "_file").drop(CORRUPT)
+    return out if keep_file else out.drop("_file")
 
 
 def read_records(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
