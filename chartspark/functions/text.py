@@ -48,8 +48,8 @@ def identifier_text(name: Column) -> Column:
 
 
 def meaningful_tokens(name: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.split(identifier_text(name), " "), lambda w: (w != "") & ~F.array_contains(stop, w))
+    """Words of a name without the stop words, in order, with repeats."""
+    return F.filter(F.split(identifier_text(name), " "), lambda w: ~w.isin("", *STOP_WORDS))
 
 
 def word_tokens(words: Column) -> Column:

@@ -30,13 +30,21 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Rows, missing, extremes, moments and quartiles of every numeric column."""
-    long = _long(df, columns_of(df)["numeric"], "double")
-    moments = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("missing"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-    )
-    quartiles = quantiles(long, "value", ["column"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, exact)
+    """Rows, missing, extremes, moments and quartiles of every numeric column.
+
+    Counts and moments come from one aggregation of the table as it is; only the quartiles
+    need one row per column and value.
+    """
+    numeric = columns_of(df)["numeric"]
+    measures = []
+    for c in numeric:
+        value = F.col(f"`{c}`").cast("double")
+        measures.append(F.struct(
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(value.isNull()).alias("missing"),
+            F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
+        ))
+    moments = df.agg(F.array(*measures).alias("_m")).select(F.inline("_m"))
+    quartiles = quantiles(_long(df, numeric, "double"), "value", ["column"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, exact)
     return join_groups(moments, quartiles, ["column"], "left")
 
 

@@ -72,11 +72,18 @@ def _score(target: Column, candidate: Column, raw: Column, ratio: Column) -> Col
     )
 
 
-def score_columns(df: DataFrame, needed: str = "needed", raw: str = "raw", description: str = "description", target: str | None = None) -> DataFrame:
+def _settled(raw: str, overrides: str | None, name: Column) -> Column:
+    """Same name among the raw columns, or an override for it."""
+    same = F.array_contains(F.col(raw), name)
+    return same if overrides is None else same | F.coalesce(F.map_contains_key(F.col(overrides), name), F.lit(False))
+
+
+def score_columns(df: DataFrame, needed: str = "needed", raw: str = "raw", description: str = "description",
+                  target: str | None = None, overrides: str | None = None) -> DataFrame:
     """Add `_scores`: per needed column the raw columns with their best evidence, best first.
 
     Candidates of a raw column are its name and its aliases in the description; the first of
-    equal scores stays. Columns that exist under their needed name are not scored.
+    equal scores stays. Columns found by name or by override are not scored.
     """
     aliases = description_aliases(F.col(description), None if target is None else F.col(target))
     wanted = F.transform(F.col(needed), lambda n: _words(n))
@@ -89,7 +96,7 @@ def score_columns(df: DataFrame, needed: str = "needed", raw: str = "raw", descr
 
     candidates = bound(aliases, lambda known: F.flatten(F.transform(F.col(raw), lambda name, i: evidence(known, name, i))))
     prepared = df.withColumns({"_wanted": wanted, "_candidates": candidates})
-    open_texts = F.transform("_wanted", lambda n: F.when(F.array_contains(F.col(raw), n["name"]), F.lit("")).otherwise(n["text"]))
+    open_texts = F.transform("_wanted", lambda n: F.when(_settled(raw, overrides, n["name"]), F.lit("")).otherwise(n["text"]))
     rated = prepared.withColumn("_ratios", sequence_ratios(open_texts, F.transform("_candidates", lambda c: c["words"]["text"])))
 
     def ranked(n: Column, i: Column) -> Column:
@@ -103,7 +110,7 @@ def score_columns(df: DataFrame, needed: str = "needed", raw: str = "raw", descr
             b["minus"].alias("minus"), b["place"].alias("place"), b["raw"].alias("raw"), b["evidence"].alias("evidence"),
         )))
         shown = F.transform(ordered, lambda b: F.struct(b["raw"].alias("raw"), (-b["minus"]).alias("score"), b["evidence"].alias("evidence")))
-        return F.struct(n["name"].alias("needed"), shown.alias("candidates"))
+        return F.struct(n["name"].alias("needed"), F.when(~_settled(raw, overrides, n["name"]), shown).alias("candidates"))
 
     return rated.withColumn("_scores", F.transform("_wanted", ranked)).drop("_wanted", "_candidates", "_ratios")
 
@@ -119,7 +126,7 @@ def match_columns(df: DataFrame, needed: str = "needed", raw: str = "raw", descr
     best unused raw column that scores at least 0.40. An override whose raw column is absent
     gives a match without raw column and the evidence "manual, absent".
     """
-    scored = score_columns(df, needed, raw, description, target)
+    scored = score_columns(df, needed, raw, description, target, overrides)
     manual = F.col(overrides) if overrides else F.lit(None).cast("map<string,string>")
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<{MATCH}>").alias("matches"))
 
@@ -142,7 +149,7 @@ def match_columns(df: DataFrame, needed: str = "needed", raw: str = "raw", descr
         )
 
     matches = F.aggregate("_scores", start, step, lambda state: state["matches"])
-    open_scores = F.filter("_scores", lambda e: ~F.array_contains(F.col(raw), e["needed"]) & F.try_element_at(manual, e["needed"]).isNull())
+    open_scores = F.filter("_scores", lambda e: e["candidates"].isNotNull())
     suggestions = F.transform(open_scores, lambda e: F.struct(
         e["needed"].alias("needed"), F.slice(e["candidates"], 1, N_SUGGESTIONS).alias("candidates")))
     return scored.withColumns({"matches": matches, "suggestions": suggestions}).drop("_scores")
