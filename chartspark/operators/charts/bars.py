@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartspark.operators.charts.common import aggregated, with_share, with_short_axis
-from chartspark.operators.ordering import join_groups
+from chartspark.operators.ordering import join_groups, join_spread
 
 OTHER = "Other"
 
@@ -91,8 +91,7 @@ def funnel(df: DataFrame, user: str, event: str, ts: str, stages: Sequence[str])
     for i, stage in enumerate(stages):
         here = df.where(F.col(event) == stage).select(F.col(user).alias("_user"), F.col(ts).alias("_ts"))
         if reached is not None:
-            before = reached.select(F.col("_user").alias("_u"), F.col("_at").alias("_before"))
-            here = here.join(before, (F.col("_user") == F.col("_u")) & (F.col("_ts") > F.col("_before")))
+            here = join_spread(here, reached.withColumnRenamed("_at", "_before"), ["_user"]).where(F.col("_ts") > F.col("_before"))
         reached = here.groupBy("_user").agg(F.min("_ts").alias("_at"))
         counts.append(reached.agg(F.count(F.lit(1)).alias("users")).select(F.lit(i).alias("step"), F.lit(stage).alias("stage"), "users"))
     steps = counts[0]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chartspark.operators.charts.common import bin_index, finite, limits
 from chartspark.operators.ordering import (
-    join_groups, quantiles, quantiles_long, ranked_values, top_by_draw, value_counts,
+    join_groups, join_spread, quantiles, quantiles_long, ranked_values, top_by_draw, value_counts,
 )
 from chartspark.operators.sampling import DRAW_RANGE, draw, uniform
 
@@ -45,7 +45,7 @@ def density(df: DataFrame, x: str, grid: int = 64, by: str | None = None) -> Dat
         F.count(F.lit(1)).alias("_count"), F.stddev_samp(F.col(x).cast("double")).alias("_sd"),
         F.min(F.col(x).cast("double")).alias("_low"), F.max(F.col(x).cast("double")).alias("_high"),
     ).withColumn("_h", F.col("_sd") * F.pow(F.col("_count"), F.lit(-0.2)))
-    weighted = join_groups(value_counts(rows, ["_g"], x), stats.where(F.col("_h") > 0), ["_g"])
+    weighted = join_spread(value_counts(rows, ["_g"], x), stats.where(F.col("_h") > 0), ["_g"])
     places = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
     spread = weighted.select("*", places.alias("point"))
     at = F.col("_low") + F.col("point") * (F.col("_high") - F.col("_low")) / F.lit(grid - 1)
@@ -82,7 +82,7 @@ def box_stats(df: DataFrame, y: str, by: str, whis: float = 1.5) -> DataFrame:
     quartiles = quantiles(df, y, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     spread = F.lit(whis) * (F.col("q3") - F.col("q1"))
     fenced = quartiles.withColumns({"_low": F.col("q1") - spread, "_high": F.col("q3") + spread})
-    values = join_groups(value_counts(df, [by], y), fenced, [by])
+    values = join_spread(value_counts(df, [by], y), fenced, [by])
     inside = F.col("_x").between(F.col("_low"), F.col("_high"))
     return values.groupBy(by).agg(
         F.sum("_n").alias("n"),

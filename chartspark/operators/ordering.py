@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MIN_BUCKETS, MAX_BUCKETS = 16, 8192
 BLOCK_ROWS = 1_000_000
 SMALL_ROWS = 1_000_000
+HOT_ROWS = 10_000_000
 
 
 def split_points(df: DataFrame, column: str, rows_per_bucket: int = BLOCK_ROWS) -> list[float]:
@@ -254,6 +255,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], how: str
     return rows.join(renamed, condition, how).drop(*[f"_k_{b}" for b in by])
 
 
+def join_spread(rows: DataFrame, groups: DataFrame, by: Sequence[str], per_slice: int = HOT_ROWS) -> DataFrame:
+    """`join_groups` for rows that are aggregated by the same keys afterwards.
+
+    Such a join keeps every row of a group in one task, and adaptive execution leaves it so to
+    save the later shuffle. Groups with more than `per_slice` rows are therefore cut into
+    slices, and their one row on the group side is repeated per slice. There are at most
+    rows / per_slice of them, so their list is broadcast.
+    """
+    hot = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > per_slice).select(
+        *by, F.ceil(F.col("_size") / per_slice).alias("_slices"))
+    tagged = join_groups(rows, F.broadcast(hot), by, "left")
+    sliced = tagged.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_slices", F.lit(1)))).drop("_slices")
+    repeated = join_groups(groups, F.broadcast(hot), by, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
+    return join_groups(sliced, repeated, [*by, "_slice"]).drop("_slice")
+
+
 def top_by_draw(df: DataFrame, by: Sequence[str], draw: str, draw_range: int, n: int, slices: int = 1 << 16) -> DataFrame:
     """The n rows of each group with the smallest draws (even draws in [0, draw_range)).
 

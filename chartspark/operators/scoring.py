@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType, pandas_udf
+from pyspark.sql.functions import pandas_udf
 
 from chartspark.functions import prompts as pr
 from chartspark.functions.text import prompt_key, verdict
@@ -78,7 +78,7 @@ def replies_udf(factory: Callable[[], Model], batch_size: int = BATCH, tries: in
                             rows.append(_failed(error))
             yield pd.DataFrame(rows, columns=["text", "error", *COUNTS, "cost"])
 
-    return pandas_udf(run, REPLY, PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return pandas_udf(run, REPLY).asNondeterministic()
 
 
 def score(df: DataFrame, prompt: Column, factory: Callable[[], Model], out: str = "reply", tasks: int | None = None, **options) -> DataFrame:

@@ -114,3 +114,13 @@ def test_quantiles_of_any_list(spark, values):
     for g in {v[0] for v in values}:
         for p in (0.25, 0.5):
             assert got[g, p] == pytest.approx(np.quantile([x for h, x in values if h == g], p), rel=1e-9, abs=1e-9)
+
+
+def test_join_spread_keeps_every_row_of_a_hot_group(table, rows):
+    means = table.groupBy("g").agg(F.avg("x").alias("m"))
+    joined = o.join_spread(table, means, ["g"], per_slice=50)
+    got = {r.i: r.m for r in joined.collect()}
+    assert len(got) == joined.count() == len(rows)
+    for members in by_group(rows).values():
+        mean = sum(x for _, x in members) / len(members)
+        assert all(got[i] == pytest.approx(mean) for i, _ in members)
