@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 QUESTION_TYPES = ("metadata", "value extraction", "comparison", "trends", "reasoning")
 FULL = "full"
 
+ANSWER = ("chart_id", "question", "model", "correct")
+
 
 def right(correct: str = "correct") -> Column:
     return F.coalesce(F.col(correct), F.lit(False))
@@ -81,7 +83,7 @@ def last_answers(df: DataFrame, keys: Sequence[str] = ("chart_id", "question", "
 
 def questions_with_answers(questions: DataFrame, results: DataFrame, order: str = "row_id") -> DataFrame:
     """Each chart question with the last answer of each model; unanswered questions stay."""
-    answers = last_answers(results, order=order).select(
+    answers = last_answers(results.select(*ANSWER, order), order=order).select(
         F.col("chart_id").alias("_chart"), F.col("question").alias("_question"), "model", "correct",
         F.col(order).alias("answer_row"),
     )
@@ -91,7 +93,7 @@ def questions_with_answers(questions: DataFrame, results: DataFrame, order: str
 
 def question_accuracy(questions: DataFrame, results: DataFrame, order: str = "row_id") -> DataFrame:
     """Share of models that are right per question text of a chart; null without answers."""
-    answers = last_answers(results, order=order).groupBy(
+    answers = last_answers(results.select(*ANSWER, order), order=order).groupBy(
         F.col("chart_id").alias("_chart"), F.col("question").alias("_question")
     ).agg(F.count(F.lit(1)).alias("answers"), F.count_if(right()).alias("right_answers"))
     match = (questions["chart_id"] == answers["_chart"]) & (questions["question"] == answers["_question"])

@@ -26,11 +26,16 @@ def search_term(columns: Sequence[str], search: str) -> Column:
 
 
 def terms(family: str = ALL, dataset: str = ALL, quality: str = ALL) -> dict[str, Column]:
-    """One condition per active term, over columns family, dataset_id and quality."""
+    """One condition per active term, over columns dataset_id, quality and family.
+
+    The plain column comes first: it is compared in the scan, the derived ones afterwards.
+    A missing dataset id is shown, and chosen, as "?".
+    """
+    stored = F.col("dataset_id").cast("string")
     given = {
-        "family": (family, F.col("family") == family),
-        "dataset_id": (dataset, F.coalesce(F.col("dataset_id").cast("string"), F.lit("?")) == dataset),
+        "dataset_id": (dataset, (stored == dataset) | stored.isNull() if dataset == "?" else stored == dataset),
         "quality": (quality, F.col("quality") == quality),
+        "family": (family, F.col("family") == family),
     }
     return {name: test for name, (value, test) in given.items() if value != ALL}
 
