@@ -207,9 +207,9 @@ rain as (select *, ('0x' || left(md5('42-jitter-' || {key}), 15))::bigint / 1152
 
 
 @register("cht17_sample_points", "with " + SAMPLE.format(key="p_partkey", table="part", by="p_brand", n=20) + """
-select p_partkey, p_size, p_retailprice, p_brand, round(jitter, 12) as jitter from rain""")
+select p_partkey, p_size, p_retailprice, p_brand, round(jitter, 9) as jitter from rain""")
 def sample_points(spark, sf):
-    return rounded(di.sample_points(v.table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"], 20, "p_brand"), 12, "jitter")
+    return rounded(di.sample_points(v.table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"], 20, "p_brand"), 9, "jitter")
 
 
 @register("cht18_bubble", """

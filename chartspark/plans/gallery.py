@@ -127,9 +127,9 @@ U = "('0x' || left(md5('5-{i}-' || event_id), 15))::bigint / 1152921504606846976
 
 
 @register("srt7_creativity", f"""
-select event_id, round(list_sort([{', '.join(U.format(i=i) for i in range(5))}])[2], 12) as creativity from events""")
+select event_id, round(list_sort([{', '.join(U.format(i=i) for i in range(5))}])[2], 9) as creativity from events""")
 def creativity(spark, sf):
-    return v.table(spark, sf, "events").select("event_id", F.round(sa.creativity(5, F.col("event_id")), 12).alias("creativity"))
+    return v.table(spark, sf, "events").select("event_id", F.round(sa.creativity(5, F.col("event_id")), 9).alias("creativity"))
 
 
 @register("srt9_chart_uuid", """

@@ -59,3 +59,35 @@ select doc_id as did, source as name from documents where doc_id = (select max(d
 def chosen_metadata(spark, sf):
     docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("did"), F.col("source").alias("name"))
     return docs.where(F.col("did") == docs.agg(F.max("did").alias("m")).scalar())
+
+
+NAMED = """named as (
+  select doc_id as chart_id, 'the ' || lang || ' source of a row' as a, 'row ' || doc_id || ' letters' as b from documents)"""
+
+
+def named(spark, sf):
+    """Charts whose needed columns repeat an alias word for word, so that the best score is known."""
+    docs = v.table(spark, sf, "documents")
+    a = F.concat(F.lit("the "), "lang", F.lit(" source of a row"))
+    b = F.concat(F.lit("row "), F.col("doc_id").cast("string"), F.lit(" letters"))
+    return docs.select(
+        F.col("doc_id").alias("chart_id"),
+        F.concat(F.lit("qzx ("), a, F.lit("), wvj ("), b, F.lit("). "), "text").alias("description"),
+        F.array(F.lit("wvj"), F.lit("qzx"), F.lit("kkkk")).alias("raw"),
+        F.array(F.initcap(F.replace(a, F.lit(" "), F.lit("_"))), F.upper(b)).alias("needed"),
+    )
+
+
+@register("joi8_alias_matches", v.ctes(NAMED) + """
+select chart_id, replace(upper(left(a, 1)) || substr(a, 2), ' ', '_') as renamed, 'qzx' as raw, 1.0::double as score, a as evidence from named
+union all select chart_id, upper(b), 'wvj', 1.0::double, b from named""")
+def alias_matches(spark, sf):
+    rows = ma.match_columns(named(spark, sf)).select("chart_id", F.inline("matches"))
+    return rows.withColumn("score", F.round("score", 9))
+
+
+@register("joi9_unresolved_names", v.ctes(NAMED) + """
+select chart_id, 'none of them' as missing from named""")
+def unresolved_names(spark, sf):
+    charts = named(spark, sf).withColumn("needed", F.array_append("needed", F.lit("none of them"))).withColumn("raw", F.slice("raw", 1, 2))
+    return ma.unresolved(ma.match_columns(charts), "chart_id").select("chart_id", "missing")

@@ -48,7 +48,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     temporary folder; on a cluster that would not be shared, so it is an error there.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
