@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartspark.functions.text import label_sentence
-from chartspark.operators.ordering import BLOCK_ROWS, positions_by_value
+from chartspark.operators.ordering import positions_by_value
 
 # The term that switches a filter off, and the page size.
 ALL = "(all)"
@@ -120,7 +120,7 @@ def with_labels(facet: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select(*facet.columns, F.coalesce("_label", "value").alias("label"))
 
 
-def sorted_places(df: DataFrame, ascending: bool, row: str = "chart_id", block: int = BLOCK_ROWS) -> DataFrame:
+def sorted_places(df: DataFrame, ascending: bool, row: str = "chart_id", block: int | None = None) -> DataFrame:
     """Place of each chart by number of wrong answers, input order kept on ties both ways."""
     return positions_by_value(df, "incorrect", row, ascending, "place", block)
 

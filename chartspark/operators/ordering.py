@@ -57,7 +57,8 @@ def running(
 ) -> DataFrame:
     """Add inclusive running sums of `values` within `by`, ordered by `order`.
 
-    Buckets are cut on the first order column: at `splits`, else every `block` units of it.
+    Buckets are cut on the first order column: at `splits`, else every `block` units of it
+    (for a column known to be dense), else at cut points measured first.
     With `totals`, `<name>_total` carries the sum over the whole group.
     """
     by = list(by)
@@ -87,10 +88,10 @@ def _keyed(df: DataFrame, by: Sequence[str], column: str, splits: Sequence[float
     One struct serves as window, group and join key alike: it is never null, its null fields
     compare equal, and the rows are shuffled on it once.
     """
-    if splits is not None:
-        base = with_bucket(df, column, splits)
+    if block is not None:
+        base = df.withColumn("_bucket", F.floor(F.col(column) / F.lit(block)))
     else:
-        base = df.withColumn("_bucket", F.floor(F.col(column) / F.lit(block or BLOCK_ROWS)))
+        base = with_bucket(df, column, split_points(df, column) if splits is None else splits)
     return base.withColumn("_key", F.struct(*by, F.col("_bucket").cast("bigint").alias("_bucket"))).drop("_bucket")
 
 
@@ -186,7 +187,8 @@ def quantiles(df: DataFrame, x: str, by: Sequence[str], named: Mapping[str, floa
 
 
 def previous_row(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], block: int = BLOCK_ROWS
+    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], block: int | None = None,
+    splits: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add `prev_<column>` from the row before, and `has_prev`, without one task per group.
 
@@ -194,7 +196,7 @@ def previous_row(
     is handed to the next one through a short table.
     """
     by = list(by)
-    base = _keyed(df, by, order[0], None, block)
+    base = _keyed(df, by, order[0], splits, block)
     packed = F.struct(*[F.col(c) for c in columns])
     inside = Window.partitionBy("_key").orderBy(*order)
     rows = base.withColumns({"_here": F.lag(packed).over(inside), "_first": F.row_number().over(inside) == 1})
@@ -210,7 +212,7 @@ def previous_row(
 
 
 def positions_by_value(df: DataFrame, value: str, row: str, ascending: bool = True, out: str = "position",
-                       block: int = BLOCK_ROWS) -> DataFrame:
+                       block: int | None = None) -> DataFrame:
     """0-based position when sorted by a small-range `value`, input order kept on ties.
 
     Many rows may share one value, so ties are counted in blocks of the row index; the

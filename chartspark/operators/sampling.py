@@ -11,6 +11,7 @@ from chartspark.operators.ordering import positions
 
 HEX_DIGITS = 15
 DRAW_RANGE = 16**HEX_DIGITS
+SLICES = 1 << 16
 
 
 def draw(seed: object, *keys: Column) -> Column:
@@ -31,7 +32,7 @@ def shuffled(df: DataFrame, key: str, seed: int | None = 42, out: str = "place")
     if seed is None:
         return positions(df, [], [key], out)
     drawn = df.withColumn("_draw", draw(seed, F.col(key)))
-    return positions(drawn, [], ["_draw", key], out, block=DRAW_RANGE // 256).drop("_draw")
+    return positions(drawn, [], ["_draw", key], out, block=DRAW_RANGE // SLICES).drop("_draw")
 
 
 def pick_one(df: DataFrame, key: str, seed: int, number: int = 0) -> DataFrame:

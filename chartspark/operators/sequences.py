@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chartspark.functions.images import iteration
 from chartspark.functions.text import strip
-from chartspark.operators.ordering import BLOCK_ROWS, positions, previous_row, running
+from chartspark.operators.ordering import positions, previous_row, running, split_points
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -19,7 +19,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def iterations(images: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def iterations(images: DataFrame, block: int | None = None) -> DataFrame:
     """Images of a chart once per path, in order of iteration: `step`, label `it<step>`, `is_last`."""
     named = images.where(F.coalesce(F.col("path"), F.lit("")) != "")
     once = first_per_key(named, ["chart_id", "path"], "pos").withColumn("iteration", iteration(F.col("path")))
@@ -40,7 +40,7 @@ def refinement(images: DataFrame) -> DataFrame:
     )
 
 
-def feedback_changes(images: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def feedback_changes(images: DataFrame, block: int | None = None) -> DataFrame:
     """Per round: did feedback appear, clear or change against the round before."""
     clean = strip(F.coalesce("feedback", F.lit(""))) == ""
     rounds = images.select("chart_id", "pos", clean.alias("clean"), F.length("feedback").alias("chars"))
@@ -52,24 +52,29 @@ def feedback_changes(images: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     )
 
 
-def prefix_flags(rows: DataFrame, row: str = "row_id", keys: Sequence[str] = ("dataset_id", "image"), block: int = BLOCK_ROWS) -> DataFrame:
+def prefix_flags(rows: DataFrame, row: str = "row_id", keys: Sequence[str] = ("dataset_id", "image"), block: int | None = None,
+                 splits: Sequence[float] | None = None) -> DataFrame:
     """`new_prefix`: the prompt prefix differs from the row before; true for the first row."""
-    seen = previous_row(rows, [], [row], keys, block)
+    seen = previous_row(rows, [], [row], keys, block, splits)
     same = F.lit(True)
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"prev_{key}"))
     return seen.select(*rows.columns, (~(F.col("has_prev") & same)).alias("new_prefix"))
 
 
-def prefix_blocks(rows: DataFrame, row: str = "row_id", keys: Sequence[str] = ("dataset_id", "image"), block: int = BLOCK_ROWS) -> DataFrame:
-    """Number the runs of equal prefixes; the first row of a run warms the cache, the rest follow."""
-    flagged = prefix_flags(rows, row, keys, block)
-    numbered = running(flagged, [], [row], {"prefix_block": F.col("new_prefix").cast("int")}, block=block)
-    placed = positions(numbered, ["prefix_block"], [row], "place", block=block)
+def prefix_blocks(rows: DataFrame, row: str = "row_id", keys: Sequence[str] = ("dataset_id", "image"), block: int | None = None) -> DataFrame:
+    """Number the runs of equal prefixes; the first row of a run warms the cache, the rest follow.
+
+    The row index is measured once for all three steps.
+    """
+    splits = split_points(rows, row) if block is None else None
+    flagged = prefix_flags(rows, row, keys, block, splits)
+    numbered = running(flagged, [], [row], {"prefix_block": F.col("new_prefix").cast("int")}, splits, block)
+    placed = positions(numbered, ["prefix_block"], [row], "place", splits, block)
     return placed.withColumn("warms_cache", F.col("place") == 0)
 
 
-def group_lists(df: DataFrame, by: Sequence[str], order: str, item: Column, size: int = 1000, block: int = BLOCK_ROWS) -> DataFrame:
+def group_lists(df: DataFrame, by: Sequence[str], order: str, item: Column, size: int = 1000, block: int | None = None) -> DataFrame:
     """Items of each group in input order, as lists of at most `size`, numbered by `part`.
 
     A group may hold a third of all rows, so its list never has to fit into one value: read

@@ -76,7 +76,7 @@ def new_prefix(spark, sf):
 select *, row_number() over (partition by prefix_block order by row_id) - 1 as place,
        row_number() over (partition by prefix_block order by row_id) = 1 as warms_cache from numbered""")
 def prefix_blocks(spark, sf):
-    return sq.prefix_blocks(keyed_rows(spark, sf), block=1000)
+    return sq.prefix_blocks(keyed_rows(spark, sf))
 
 
 @register("agg13_group_lists", v.ctes(v.CHARTS) + """, placed as (
@@ -108,8 +108,7 @@ def union_shards(spark, sf):
 @register("set2_union_once", v.ctes(SHARDS) + """
 select id, source, lang from (select *, row_number() over (partition by id order by shard) as rn from shards) s where rn = 1""")
 def union_once(spark, sf):
-    parts = shards(spark, sf)
-    return sq.union_once(parts[::1], "id", "source")
+    return sq.union_once(shards(spark, sf), "id", "source")
 
 
 @register("set3_feature_differences", """
