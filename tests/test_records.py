@@ -198,3 +198,9 @@ def test_last_answer_wins(spark):
     asked = spark.createDataFrame([(1, "q"), (1, "open"), (2, "q")], "chart_id long, question string")
     got = {(r.chart_id, r.question): (r.answers, r.right_answers, r.accuracy) for r in ev.question_accuracy(asked, results).collect()}
     assert got == {(1, "q"): (2, 1, 0.5), (1, "open"): (0, 0, None), (2, "q"): (0, 0, None)}
+
+
+def test_a_question_typed_full_counts_on_both_sides_of_the_full_line(spark):
+    df = spark.createDataFrame([("m", "full", True), ("m", "trends", False)], "model string, qtype string, correct boolean")
+    got = {r.type: (r.correct, r.incorrect) for r in ev.accuracy_by_type(df).collect()}
+    assert got["full"] == (2, 1) and got["trends"] == (0, 1)
