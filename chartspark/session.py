@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,13 +45,14 @@ def local_session(cpus: int | None = None, app: str = "chartspark-local") -> Spa
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's checkpoint folder.
 
-    The folder comes from `spark.checkpoint.dir`. Where it is unset, a local master gets a
-    temporary folder; on a cluster that would not be shared, so it is an error there.
+    The folder comes from `spark.checkpoint.dir`. Where it is unset, a session that runs in this
+    one process gets a temporary folder; executors elsewhere would not share it, so it is an
+    error there.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="chartspark-")
         context.setCheckpointDir(base)
