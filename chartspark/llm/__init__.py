@@ -8,7 +8,7 @@ import importlib
 from chartspark.llm.registry import QUERIES, SQL
 
 MODULES = [
-    "simhash",
+    "simhash", "lattice", "packing", "chat", "secrets",
 ]
 
 for _module in MODULES:
