@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.llm.common import map_rows, stored, table, text_bytes
@@ -68,41 +68,41 @@ def plan_levels(sample: np.ndarray, count: int, leaf: int, seed: int = 7) -> lis
     return levels
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def shards_of(fps: np.ndarray, levels: list[tuple[int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): each fingerprint's own leaf and every smaller one that its ball meets.
 
-
-def _fits(cost: Column, radius: int):
-    return lambda x: x["c"] + cost <= radius
+    Crossing a level's boundary costs the distance left to it; crossings are added level by
+    level as long as their sum fits into the radius. Of two leaves that see the same pair, only
+    the smaller one is queried.
+    """
+    rows, flips, spent = np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64), np.zeros(len(fps), dtype=np.int64)
+    code = np.zeros(len(fps), dtype=np.int64)
+    for i, (mask, vantage, threshold) in enumerate(levels):
+        d = np.bitwise_count((fps ^ np.uint64(vantage)) & np.uint64(mask)).astype(np.int64)
+        code |= (d > threshold).astype(np.int64) << i
+        cost = np.where(d > threshold, d - threshold, threshold + 1 - d)
+        more = np.flatnonzero(spent + cost[rows] <= radius)
+        rows, flips, spent = (np.concatenate(x) for x in (
+            (rows, rows[more]), (flips, flips[more] | 1 << i), (spent, spent[more] + cost[rows[more]])))
+    leaf = code[rows] ^ flips
+    keep = leaf <= code[rows]
+    return rows[keep], leaf[keep], flips[keep] == 0
 
 
-def _flipped(cost: Column, bit: Column):
-    return lambda x: F.struct((x["c"] + cost).alias("c"), (x["bit"] + bit).alias("bit"))
+def with_shards(points: DataFrame, levels: list[tuple[int, int, int]], radius: int) -> DataFrame:
+    """`(leaf, fp, home)`: every fingerprint in its own leaf, and as a query in each leaf that its ball meets."""
 
+    def each(batches):
+        import pyarrow as pa
 
-def with_shards(points: DataFrame, levels: list[tuple[int, int, int]], radius: int) -> DataFrame:
-    """`(leaf, fp, home)`: every fingerprint in its own leaf, and as a query in each leaf that its ball meets.
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            for at in range(0, len(fps), 4096):
+                part = fps[at : at + 4096]
+                rows, leaf, home = shards_of(part.view(np.uint64), levels, radius)
+                yield pa.RecordBatch.from_pydict({"leaf": leaf, "fp": part[rows], "home": home})
 
-    Of two leaves that see the same pair, only the smaller one is queried.
-    """
-    code, near = F.lit(0).cast("long"), []
-    for i, (mask, vantage, threshold) in enumerate(levels):
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(vantage))).bitwiseAND(F.lit(_signed(mask))))
-        code = code + F.when(d > threshold, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-        cost = F.when(d > threshold, d - threshold).otherwise(threshold + 1 - d)
-        near.append(F.struct(cost.cast("int").alias("c"), F.lit(1 << i).cast("long").alias("bit")))
-    start = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("bit")))
-    rows = points.select("fp", code.alias("_code"), *[s.alias(f"_n{i}") for i, s in enumerate(near)])
-    # Flips that fit into the radius so far; each level adds its own flip to those that still have room.
-    flips = start
-    for i in range(len(levels)):
-        cost, bit = F.col(f"_n{i}.c"), F.col(f"_n{i}.bit")
-        room = F.filter("_f", _fits(cost, radius))
-        rows = rows.withColumn("_f", flips).withColumn("_f", F.when(cost > radius, F.col("_f")).otherwise(F.concat("_f", F.transform(room, _flipped(cost, bit)))))
-        flips = F.col("_f")
-    out = rows.select("fp", "_code", F.explode(flips["bit"] if levels else F.array(F.lit(0).cast("long"))).alias("_flip"))
-    leaf = F.col("_code").bitwiseXOR(F.col("_flip"))
-    return out.select(leaf.alias("leaf"), "fp", (F.col("_flip") == 0).alias("home")).where(F.col("leaf") <= F.col("_code"))
+    return points.select("fp").mapInArrow(each, "leaf long, fp long, home boolean")
 
 
 def linked_fingerprints(points: DataFrame, radius: int = 2, leaf: int = 1024, block: int = 2048, sample: int = 4096) -> DataFrame:
