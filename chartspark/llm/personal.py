@@ -230,7 +230,7 @@ def mask(docs: DataFrame) -> DataFrame:
             spans = row.pop("_spans")
             if spans:
                 row["text"] = masked_text(row["text"], [tuple(s.values()) for s in spans])
-                if row.get("n_chars") is not None:
+                if isinstance(row.get("n_chars"), int):
                     row["n_chars"] = len(row["text"])
             yield row
 
