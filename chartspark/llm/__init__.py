@@ -8,7 +8,7 @@ import importlib
 from chartspark.llm.registry import QUERIES, SQL
 
 MODULES = [
-    "simhash", "lattice", "packing", "chat", "secrets", "toxicity", "personal", "decontamination", "passages",
+    "simhash", "lattice", "packing", "chat", "secrets", "toxicity", "personal", "decontamination", "passages", "neighbours",
 ]
 
 for _module in MODULES:
