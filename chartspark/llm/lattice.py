@@ -28,19 +28,27 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(docs: DataFrame, text: str = "_t") -> DataFrame:
-    """`(word, c)` over all rows. Words are summed in each task, at most HELD different ones at a time, before the shuffle."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """`(word, c)`: all words of `docs(_t, held_out)` with their uses in rows that are not held out.
+
+    Words are summed in each task, at most HELD different ones at a time, before the shuffle.
+    """
 
     def convert(rows: Iterator[dict]) -> Iterator[dict]:
         seen: Counter = Counter()
         for row in rows:
-            seen.update(words_of(row["_t"]))
+            found = words_of(row["_t"])
+            if row["held_out"]:
+                for w in found:
+                    seen.setdefault(w, 0)
+            else:
+                seen.update(found)
             if len(seen) > HELD:
                 yield from ({"word": w, "c": c} for w, c in seen.items())
                 seen.clear()
         yield from ({"word": w, "c": c} for w, c in seen.items())
 
-    partial = map_rows(docs.select(F.col(text).alias("_t")), convert, "word binary, c long", rows=20_000)
+    partial = map_rows(docs.select("_t", "held_out"), convert, "word binary, c long", rows=20_000)
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -87,28 +95,66 @@ class Lattice:
                 self.bytes[int(piece[1:-1], 16)] = math.log(p)
             elif not (model.is_control(i) or model.is_unknown(i)) and MARK not in piece[1:]:
                 self.pieces[piece] = math.log(p)
-        self.longest = max(map(len, self.pieces))
         self.end = math.log10((ends + smoothing) / total)
+        #: Every beginning of an entry: its log probability if it is an entry itself, else None.
+        self.begins: dict[str, float | None] = {}
+        for piece, p in self.pieces.items():
+            for j in range(2, len(piece)):
+                self.begins.setdefault(piece[:j], None)
+            if len(piece) > 1:
+                self.begins[piece] = p
+        self.single: dict[str, float] = {}
+
+    def _one(self, char: str, first: bool) -> float:
+        """A single character: as an entry, or spelled by bytes. The mark stands for a word's start only; inside a word it is spelled."""
+        spelled = sum(self.bytes[b] for b in char.encode())
+        p = self.pieces.get(char) if first or char != MARK else None
+        return spelled if p is None else max(p, spelled) + math.log1p(math.exp(-abs(p - spelled)))
 
     def log10(self, word: str) -> float:
         text, n = MARK + word, len(word) + 1
-        forward = [0.0] + [-math.inf] * n
-        pieces = self.pieces
+        paths: list[list[float]] = [[] for _ in range(n + 1)]
+        begins, single, exp, forward = self.begins, self.single, math.exp, 0.0
         for i in range(n):
-            base = forward[i]
-            spelled = base + sum(self.bytes[b] for b in text[i].encode())
-            # The mark stands for a word's start only; the same character inside a word is spelled.
-            steps = [(i + 1, spelled)]
-            if i == 0 or text[i] != MARK:
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    p = pieces.get(text[i:j])
-                    if p is not None:
-                        steps.append((j, base + p))
-            for j, s in steps:
-                old = forward[j]
-                low, high = (old, s) if old < s else (s, old)
-                forward[j] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
-        return forward[n] / math.log(10)
+            if i:
+                held = paths[i]
+                if len(held) == 1:
+                    forward = held[0]
+                else:
+                    high = max(held)
+                    forward = high + math.log(sum([exp(x - high) for x in held]))
+            char = text[i]
+            if i and (one := single.get(char)) is not None:
+                paths[i + 1].append(forward + one)
+            else:
+                one = self._one(char, i == 0)
+                if i and len(single) < HELD:
+                    single[char] = one
+                paths[i + 1].append(forward + one)
+            if i and char == MARK:
+                continue
+            for j in range(i + 2, n + 1):
+                p = begins.get(text[i:j], 1.0)
+                if p is None:
+                    continue
+                if p > 0:
+                    break
+                paths[j].append(forward + p)
+        held = paths[n]
+        high = max(held)
+        return (high + math.log(sum([exp(x - high) for x in held]))) / math.log(10)
+
+
+def word_marginals(words: DataFrame, path: str, counts: dict[int, float], ends: int) -> DataFrame:
+    """`(word, c, m)`: m is the word's log10 probability, computed once for each different word."""
+    shared = words.sparkSession.sparkContext.broadcast(counts)
+
+    def convert(rows: Iterator[dict]) -> Iterator[dict]:
+        lattice = Lattice(path, shared.value, ends)
+        for row in rows:
+            yield {**row, "m": lattice.log10(row["word"].decode())}
+
+    return map_rows(words, convert, "word binary, c long, m double", rows=20_000)
 
 
 def scored(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", frequent: int = 50_000, held_out: int = 10) -> DataFrame:
@@ -119,57 +165,53 @@ def scored(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     the whole text, the sum over its words of the lattice's marginal probability and one end.
     `base_score` adds the smoothed unigram probability of every word and the end.
 
-    The `frequent` most frequent words are looked up inside the tasks (a list of that bounded
-    length); all other words are joined with the full table of counts. Null and empty texts
+    Marginals are computed once for each different word. At most `frequent` frequent words are looked up
+    inside the tasks; all others are joined with the full table of words. Null and empty texts
     hold the end only; a null identifier counts as the empty text; repeated rows are counted and
     returned each; other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     crc = crc_of_id(doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("_t"), (crc % held_out == 0).alias("held_out"))
-    words = stored(word_counts(rows.where(~F.col("held_out"))), "lattice-words")
+    words = stored(word_counts(rows), "lattice-words")
     ends = rows.where(~F.col("held_out")).count()
-    total = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    total = words.where(F.col("c") > 0).agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     tokens, distinct = int(total.n) + ends, total.v + (ends > 0)
     below = math.log10(tokens + 0.1 * (distinct + 1))
-    pieces = piece_counts(words, path)
-    top = {bytes(r.word): r.c for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()}
-    shared = spark.sparkContext.broadcast((pieces, top))
+    pieces = piece_counts(words.where(F.col("c") > 0), path)
+    words = stored(word_marginals(words, path, pieces, ends), "lattice-marginals")
+    # Few words are more frequent than one in two million, so few rows are sorted.
+    often = words.where(F.col("c") >= tokens / 2e6).orderBy(F.desc("c"), "word").limit(frequent)
+    shared = spark.sparkContext.broadcast({bytes(r.word): (r.c, r.m) for r in often.collect()})
+    last = Lattice(path, pieces, ends).end
 
     def convert(source: Iterator[dict]) -> Iterator[dict]:
-        counts, known = shared.value
-        lattice = Lattice(path, counts, ends)
         number = row_numbers()
-        base = {w: math.log10(c + 0.1) - below for w, c in known.items()}
-        marginal: dict[bytes, float] = {}
+        known = {w: (math.log10(c + 0.1) - below, m) for w, (c, m) in shared.value.items() if c}
         end = math.log10(ends + 0.1) - below
         for row in source:
             found = words_of(row["_t"])
-            score, sure, n_known, rare = lattice.end, end, int(ends > 0), []
+            score, sure, n_known, rare = last, end, int(ends > 0), []
             for w, n in Counter(found).items():
-                m = marginal.get(w)
-                if m is None:
-                    if len(marginal) > HELD:
-                        marginal.clear()
-                    m = marginal[w] = lattice.log10(w.decode())
-                score += n * m
-                b = base.get(w)
-                if b is None:
+                both = known.get(w)
+                if both is None:
                     rare.append({"word": w, "n": n})
                 else:
-                    sure += n * b
+                    sure += n * both[0]
+                    score += n * both[1]
                     n_known += n
             yield {"row": next(number), "doc_id": row["doc_id"], "held_out": row["held_out"], "n_tokens": len(found) + 1,
                    "n_known": n_known, "base": sure, "score": score, "rare": rare}
 
     first = stored(map_rows(rows, convert, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
                             "rare array<struct<word: binary, n: long>>"), "lattice-first")
-    rest = first.select("row", F.inline("rare")).join(words, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - F.lit(below))).alias("_base"))
+    rest = first.select("row", F.inline("rare")).join(words, "word").groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"), F.sum(F.col("n") * F.col("m")).alias("_score"),
+        F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(0.1)) - F.lit(below))).alias("_base"))
     return first.drop("rare").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score")
+        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"))
 
 
 @query("op7_lattice_likelihood")
