@@ -126,20 +126,18 @@ def dataset_rollup(sized: DataFrame, order: str = "chart_id") -> DataFrame:
     )
 
 
-def manifest(index: DataFrame, models: DataFrame, base_url: str = "", shuffle_seed: int | None = 42, longest: int = 10_000) -> DataFrame:
+def manifest(index: DataFrame, models: DataFrame, base_url: str = "", shuffle_seed: int | None = 42) -> DataFrame:
     """One row: dataset, chart and model counts, sorted models, charts per family by name.
 
-    All counts come from one (dataset, family) count. A list longer than `longest` is left
-    null here: `gallery.family_counts` gives the same as rows.
+    All counts come from one (dataset, family) count. The lists are whole, as the one
+    document that holds them asks for; `manifest_families` and `manifest_models` give the same as rows.
     """
     cube = index.groupBy("dataset_id", "canonical_type").agg(F.count(F.lit(1)).alias("n"))
     totals = cube.groupBy("dataset_id").agg(F.sum("n").alias("n")).agg(
         F.count(F.lit(1)).alias("dataset_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("chart_count"))
-    families = cube.groupBy("canonical_type").agg(F.sum("n").alias("n")).limit(longest + 1).agg(
-        F.array_sort(F.collect_list(F.struct("canonical_type", "n"))).alias("l"))
-    family_map = families.select(F.when(F.size("l") <= longest, F.map_from_entries("l")))
+    families = cube.groupBy("canonical_type").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("canonical_type", "n"))).alias("l"))
     distinct = models.select("model").distinct()
-    listed = distinct.limit(longest + 1).agg(F.array_sort(F.collect_list("model")).alias("l"))
+    listed = distinct.agg(F.array_sort(F.collect_list("model")).alias("l"))
     return totals.select(
         F.lit(1).alias("schema_version"),
         F.lit(base_url).alias("base_url"),
@@ -149,11 +147,21 @@ def manifest(index: DataFrame, models: DataFrame, base_url: str = "", shuffle_se
         F.lit("metadata" if shuffle_seed is None else "shuffle").alias("chart_order"),
         F.lit(shuffle_seed).cast("int").alias("shuffle_seed"),
         distinct.agg(F.count(F.lit(1)).cast("int")).scalar().alias("model_count"),
-        listed.select(F.when(F.size("l") <= longest, F.col("l"))).scalar().alias("models"),
-        family_map.scalar().alias("canonical_type_counts"),
+        listed.scalar().alias("models"),
+        families.select(F.map_from_entries("l")).scalar().alias("canonical_type_counts"),
     )
 
 
+def manifest_families(index: DataFrame) -> DataFrame:
+    """Charts per family, a row each: for any number of families."""
+    return index.groupBy("canonical_type").agg(F.count(F.lit(1)).alias("chart_count"))
+
+
+def manifest_models(models: DataFrame) -> DataFrame:
+    """The models, a row each: for any number of models."""
+    return models.select("model").distinct()
+
+
 def rewritten_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
     """Records whose stored images point to their copy in the bundle, others to their file name.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartspark.operators.charts.common import aggregated, with_share, with_short_axis
+from chartspark.operators.charts.common import aggregated, running_by_category, with_share
 from chartspark.operators.ordering import join_groups, join_spread
 
 OTHER = "Other"
@@ -54,12 +54,10 @@ def hierarchy(df: DataFrame, levels: Sequence[str], y: str | None = None) -> Dat
 def mosaic(df: DataFrame, x: str, hue: str, y: str | None = None) -> DataFrame:
     """Tiles: width is the share of `x`, height the share of `hue` within it, with offsets."""
     tiles = aggregated(df, [x, hue], y, "count" if y is None else "sum")
-    cells = with_share(with_short_axis(with_short_axis(tiles, x), hue), [x], out="height")
+    cells = with_share(tiles, [x], out="height")
     columns = with_share(cells.groupBy(x).agg(F.sum("value").alias("_sum")), [], "_sum", "width").drop("_sum")
-    before = Window.partitionBy(F.lit(0)).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    placed = columns.withColumn("x0", F.coalesce(F.sum("width").over(before), F.lit(0.0)))
-    below = Window.partitionBy(x).orderBy(hue).rowsBetween(Window.unboundedPreceding, -1)
-    stacked = cells.withColumn("y0", F.coalesce(F.sum("height").over(below), F.lit(0.0)))
+    placed = running_by_category(columns, [], x, "width", "_to").withColumn("x0", F.col("_to") - F.col("width"))
+    stacked = running_by_category(cells, [x], hue, "height", "_up").withColumn("y0", F.col("_up") - F.col("height"))
     return join_groups(stacked, placed, [x]).select(x, hue, "value", "x0", "width", "y0", "height")
 
 
@@ -115,10 +113,9 @@ def gantt(df: DataFrame, task: str, ts: str) -> DataFrame:
 def upset(df: DataFrame, entity: str, member: str) -> DataFrame:
     """Number of entities for each exact combination of members.
 
-    Pairs are made distinct first, so a collected set is never longer than the axis of sets,
-    and that is checked.
+    Pairs are made distinct first, so a collected set is never longer than the axis of sets.
     """
-    pairs = with_short_axis(df.select(entity, member).distinct(), member)
+    pairs = df.select(entity, member).distinct()
     sets = pairs.groupBy(entity).agg(F.array_sort(F.collect_list(member)).alias("members"))
     return sets.groupBy("members").agg(F.count(F.lit(1)).alias("entities")).withColumn("degree", F.size("members"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartspark.operators.charts.common import aggregated, with_short_axis
+from chartspark.operators.charts.common import aggregated, running_by_category
 from chartspark.operators.ordering import join_groups, ranked_desc, running, split_points
 
 STEP = {"year": "interval 1 year", "quarter": "interval 3 month", "month": "interval 1 month", "week": "interval 7 day",
@@ -33,9 +33,8 @@ def line(df: DataFrame, t: str, y: str | None, agg: str, unit: str, hue: str | N
 
 def streamgraph(df: DataFrame, t: str, hue: str, y: str | None, unit: str) -> DataFrame:
     """Layers per time bucket: `y0` and `y1` stacked in order of hue."""
-    points = with_short_axis(line(df, t, y, "count" if y is None else "sum", unit, hue), hue)
-    stack = Window.partitionBy("bucket").orderBy(hue).rowsBetween(Window.unboundedPreceding, 0)
-    top = points.withColumn("y1", F.sum("value").over(stack))
+    points = line(df, t, y, "count" if y is None else "sum", unit, hue)
+    top = running_by_category(points, ["bucket"], hue, "value", "y1")
     return top.select("bucket", hue, "value", (F.col("y1") - F.col("value")).alias("y0"), "y1")
 
 
@@ -62,9 +61,7 @@ def waterfall(df: DataFrame, step: str, y: str) -> DataFrame:
     deltas = df.groupBy(step).agg(F.sum(y).alias("delta"))
     place = _number(deltas, step)
     if place is None:
-        deltas = with_short_axis(deltas, step)
-        upto = Window.partitionBy(F.lit(0)).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-        levels = deltas.withColumn("end", F.sum("delta").over(upto))
+        levels = running_by_category(deltas, [], step, "delta", "end")
     else:
         placed = deltas.withColumn("_place", place)
         levels = running(placed, [], ["_place"], {"end": F.col("delta")}, split_points(placed, "_place")).drop("_place")

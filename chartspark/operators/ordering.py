@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 MIN_BUCKETS, MAX_BUCKETS = 16, 8192
 BLOCK_ROWS = 1_000_000
-SMALL_ROWS = 1_000_000
 HOT_ROWS = 10_000_000
 
 
@@ -129,22 +128,12 @@ def ranked_values(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     return running(counts, by, ["_x"], {"_c": F.col("_n")}, split_points(df, x), totals=True)
 
 
-def quantiles_long(
-    df: DataFrame, x: str, by: Sequence[str], probabilities: Sequence[float], small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def quantiles_long(df: DataFrame, x: str, by: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per (group, p): `by…, p, q`.
 
-    The built-in exact percentile holds all values of a group in one task, so it is used only
-    when the table was counted and has at most `small_rows` values. Beyond that, values are
-    ranked over buckets and the neighbours of each quantile are picked out.
+    The built-in exact percentile holds all values of a group in one task; here values are
+    ranked over buckets and the neighbours of each quantile are picked out, at every size.
     """
-    known = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
-    if known.count() <= small_rows:
-        value = F.col(x).cast("double")
-        listed = F.array(*[F.lit(float(p)) for p in probabilities])
-        grouped = known.groupBy(*by).agg(F.percentile(value, listed).alias("_q"))
-        pairs = [F.struct(F.lit(float(p)).alias("p"), F.col("_q")[i].alias("q")) for i, p in enumerate(probabilities)]
-        return grouped.where(F.col("_q").isNotNull()).select(*by, F.inline(F.array(*pairs)))
     ranked = ranked_values(df, by, x)
     first, after = F.col("_c") - F.col("_n"), F.col("_c")
 

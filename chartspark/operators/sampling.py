@@ -60,13 +60,15 @@ def chart_uuid(seed: object, *keys: Column) -> Column:
 
 
 def sized_datasets(catalogue: DataFrame, min_rows: int = 200, max_features: int = 2000) -> DataFrame:
-    """Datasets with enough rows and 1 to `max_features` features; missing is 0, unreadable is out."""
+    """Datasets with enough rows and 1 to `max_features` features, fractions cut off; missing is 0, unreadable, NaN and infinite are out."""
 
-    def whole(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit("0")).try_cast("double").cast("bigint")
+    def number(name: str) -> Column:
+        value = F.coalesce(F.col(name), F.lit("0")).try_cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
-    rows, features = whole("NumberOfInstances"), whole("NumberOfFeatures")
-    return catalogue.where(F.col("did").try_cast("bigint").isNotNull() & (rows >= min_rows) & features.between(1, max_features))
+    rows, features = number("NumberOfInstances"), number("NumberOfFeatures")
+    # Comparisons on the double itself: no number is too large for them.
+    return catalogue.where(F.col("did").try_cast("bigint").isNotNull() & (rows >= min_rows) & (features >= 1) & (features < max_features + 1))
 
 
 def of_format(catalogue: DataFrame, kind: str = "ARFF") -> DataFrame:

@@ -146,6 +146,16 @@ def manifest(spark, sf):
     return out.withColumns({"models": F.array_join("models", ","), "canonical_type_counts": F.array_join(pairs, ",")})
 
 
+@register("agg10_families", INDEX + "select canonical_type, count(*) as chart_count from idx group by 1")
+def families(spark, sf):
+    return bu.manifest_families(index(spark, sf))
+
+
+@register("agg10_models", INDEX + "select distinct model from results_v")
+def models(spark, sf):
+    return bu.manifest_models(v.results_v(spark, sf))
+
+
 @register("prj13_rewritten_records", v.ctes(v.RESULTS, v.CHARTS, v.REC_IMAGES, LISTING) + """, plain as (
   select r.doc_id, r.pos, r.path, l.path is not null as stored from rec_images r left join listing l on r.path = l.path)
 select cast(doc_id as varchar) as id, cast(pos as integer) as pos, case when stored then replace(path, '.png', '.jpg') else path end as path from plain""")

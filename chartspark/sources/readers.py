@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,17 @@ from chartspark.schemas import RECORD, RESULT, STRUCTURED_KEYS, TEXT_OR_LIST_KEY
 CORRUPT = "_corrupt_record"
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, keep_file: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, keep_file: bool = False,
+               files: Callable[[Column], Column] | None = None) -> DataFrame:
     """JSON lines, plain or gzip. Blank lines are skipped.
 
     Strict: the query fails at the first undecodable line, naming its file and text.
-    Lenient: such lines are skipped. Either way it is a filter inside the one scan.
+    Lenient: such lines are skipped. Either way it is a filter inside the one scan. `files`
+    is a condition on the file path: files that fail it are not read.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    if files is not None:
+        lines = lines.where(files(F.col("_file")))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = lines.where(~F.rlike("value", F.lit(r"^\s*$"))).withColumn(
         "_row", F.from_json("value", f"{schema}, {CORRUPT} string", options))
@@ -59,15 +65,18 @@ def read_results(spark: SparkSession, path: str, schema: str = RESULT, strict: b
     return keyed.where(F.col("chart_id").isNotNull()).drop("_file", "graph_id")
 
 
-def read_shards(spark: SparkSession, path: str, pattern: str, min_number: int, schema: str) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, pattern: str, min_number: int, schema: str, strict: bool = True) -> DataFrame:
     """Shards whose name fits `pattern` and whose number, its first group, is at least `min_number`.
 
     The condition is on the file path only, so other shards are left out before they are read.
+    An undecodable line fails the query, or is skipped when not strict.
     """
-    rows = spark.read.schema(schema).json(f"{path}/*.jsonl*")
-    name = jsonl_name(F.col("_metadata.file_path"))
-    number = F.regexp_extract(name, f"^{pattern}$", 1).try_cast("int")
-    return rows.select("*", name.alias("shard")).where(number >= min_number)
+
+    def wanted(file_path: Column) -> Column:
+        return F.regexp_extract(jsonl_name(file_path), f"^{pattern}$", 1).try_cast("int") >= min_number
+
+    rows = read_jsonl(spark, f"{path}/*.jsonl*", schema, strict, keep_file=True, files=wanted)
+    return rows.withColumn("shard", jsonl_name(F.col("_file"))).drop("_file")
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -107,11 +116,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("file", (F.col("_rn") - 1 + F.col("_start")).alias("row_index"), "value")
 
 
-def read_indexed_records(spark: SparkSession, path: str) -> DataFrame:
-    """Chart records with the line number that carries their order."""
-    lines = read_lines(spark, path).where(F.trim("value") != "")
-    parsed = lines.select("file", "row_index", F.from_json("value", RECORD).alias("_record"))
-    return parsed.select("file", "row_index", "_record.*").withColumn("images", typed_images(F.col("images")))
+def read_indexed_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Chart records with the line number that carries their order.
+
+    Strict: the query fails at an undecodable line, naming its file, 1-based number and text. Lenient: it is skipped.
+    """
+    lines = read_lines(spark, path).where(~F.rlike("value", F.lit(r"^\s*$")))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.withColumn("_record", F.from_json("value", RECORD if CORRUPT in RECORD else f"{RECORD}, {CORRUPT} string", options))
+    good = F.col(f"_record.{CORRUPT}").isNull()
+    if strict:
+        message = F.concat(F.lit("Invalid JSON in "), "file", F.lit(", line "), (F.col("row_index") + 1).cast("string"), F.lit(": "), "value")
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return parsed.where(good).select("file", "row_index", "_record.*").drop(CORRUPT).withColumn("images", typed_images(F.col("images")))
 
 
 def find_record(records: DataFrame, chart_id: str | None = None, index: int | None = None) -> DataFrame:

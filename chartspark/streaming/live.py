@@ -51,13 +51,3 @@ def ingest(records: DataFrame, path: str, checkpoint: str, flatten: Callable[[Da
         flatten(records).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     )
-
-
-def latest_usage(df: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Changed totals after every batch, in an in-memory table of one row per (model, phase)."""
-    return (
-        df.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-
-

@@ -66,21 +66,19 @@ def test_previous_row_of_empty_blocks(spark):
     assert got == {1: None, 50: "a", 900: "b"}
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_quantiles_match_numpy_on_both_ways(table, rows, small_rows):
+def test_quantiles_match_numpy(table, rows):
     points = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.g, r.p): r.q for r in o.quantiles_long(table, "x", ["g"], points, small_rows).collect()}
+    got = {(r.g, r.p): r.q for r in o.quantiles_long(table, "x", ["g"], points).collect()}
     for g, members in by_group(rows).items():
         for p in points:
             assert got[g, p] == pytest.approx(np.quantile([x for _, x in members], p))
     assert len(got) == 4 * len(points)
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_quantiles_ignore_null_and_nan(spark, small_rows):
+def test_quantiles_ignore_null_and_nan(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (4.0,)], "x double")
-    assert o.quantiles_long(df, "x", [], [0.5], small_rows).collect()[0].q == 2.5
-    empty = o.quantiles_long(df.where("x > 9 and not isnan(x)"), "x", [], [0.5], small_rows)
+    assert o.quantiles_long(df, "x", [], [0.5]).collect()[0].q == 2.5
+    empty = o.quantiles_long(df.where("x > 9 and not isnan(x)"), "x", [], [0.5])
     assert empty.collect() == []
 
 
@@ -110,7 +108,7 @@ def test_split_points_balance(table):
 @given(st.lists(st.tuples(st.sampled_from(["a", None]), st.floats(-1e6, 1e6, width=32)), min_size=1, max_size=40))
 def test_quantiles_of_any_list(spark, values):
     df = spark.createDataFrame(values, "g string, x double")
-    got = {(r.g, r.p): r.q for r in o.quantiles_long(df, "x", ["g"], [0.25, 0.5], 0).collect()}
+    got = {(r.g, r.p): r.q for r in o.quantiles_long(df, "x", ["g"], [0.25, 0.5]).collect()}
     for g in {v[0] for v in values}:
         for p in (0.25, 0.5):
             assert got[g, p] == pytest.approx(np.quantile([x for h, x in values if h == g], p), rel=1e-9, abs=1e-9)

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from chartspark.operators import bundle
 from chartspark.operators import gallery as ga
 from chartspark.operators import sampling as sa
-from chartspark.operators.charts import bars, common, distributions as di, grids, relations as re
+from chartspark.operators.charts import bars, common, distributions as di, grids, relations as re, timeline
 from chartspark.plans import views as v
 from chartspark.plans.gallery import collection_v, counted
 
@@ -99,11 +100,28 @@ def test_facets_sum_to_the_filtered_count(spark):
     assert total["family"] == charts.count()
 
 
-def test_axis_beyond_its_limit_is_an_error(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("c"))
-    assert len(df.limit(1).select(common.axis_values(df, "c", 50)).first()[0]) == 50
-    with pytest.raises(Exception, match="more than 49 values"):
-        df.select(common.axis_values(df, "c", 49)).collect()
+def test_long_axes_are_whole(spark):
+    """20,001 categories: no chart refuses or cuts them."""
+    n = 20_001
+    df = spark.range(n).select(F.format_string("c%06d", "id").alias("c"), (F.col("id") % 2).cast("string").alias("h"), F.lit(1).alias("one"), F.timestamp_seconds(F.col("id") % 3).alias("t"))
+    tiles = bars.mosaic(df, "c", "h").agg(F.count(F.lit(1)), F.max("x0"), F.max(F.abs(F.col("x0") - F.substring("c", 2, 6).cast("int") / n))).first()
+    assert tiles[0] == n and tiles[2] < 1e-9
+    assert bars.upset(df, "h", "c").agg(F.sum("degree")).first()[0] == n
+    levels = timeline.waterfall(df, "c", "one")
+    assert levels.where(F.col("end") == F.substring("c", 2, 6).cast("int") + 1).count() == n
+    layers = timeline.streamgraph(df, "t", "c", None, "second")
+    assert layers.groupBy("bucket").agg(F.max("y1").alias("m"), F.sum("value").alias("s")).where("m = s").count() == 3
+    assert grids.heatmap(df, "h", "c").count() == 2 * n
+    families = df.select(F.lit("d").alias("dataset_id"), F.col("c").alias("canonical_type"), F.col("c").alias("model"))
+    row = bundle.manifest(families, families).first()
+    assert len(row.canonical_type_counts) == len(row.models) == n == bundle.manifest_families(families).count() == bundle.manifest_models(families).count()
+
+
+def test_category_places_follow_the_text_order(spark):
+    words = ["", "a", "ab", "abcdefg", "abcdefh", "b", "é", "ñandú", "\U0001f600", "Z", None]
+    df = spark.createDataFrame([(w,) for w in words], "c string")
+    placed = [r.c for r in common.with_place(df, "c").orderBy("_place", "c").collect()]
+    assert placed == [None, *sorted((w for w in words if w is not None), key=lambda w: w.encode())]
 
 
 def test_sample_keeps_small_groups_whole(spark):

@@ -8,6 +8,7 @@ from chartspark.functions import images as im
 from chartspark.functions import text as tx
 from chartspark.functions.taxonomy import family_by_rules, family_by_spelling
 from chartspark.operators import evaluation as ev
+from chartspark.operators import sampling as sa
 from chartspark.sources import readers as rd
 from chartspark.sources import writers as wr
 
@@ -123,7 +124,10 @@ def test_structured_data(spark, stored):
 def test_row_index_and_lookup(spark, stored):
     lines = {r.row_index: r.value for r in rd.read_lines(spark, stored).collect()}
     assert lines == dict(enumerate(LINES))
-    records = rd.read_indexed_records(spark, stored)
+    # The file holds an undecodable line: an error when strict, so it is read leniently here.
+    with pytest.raises(PySparkException, match="Invalid JSON"):
+        rd.read_indexed_records(spark, stored).collect()
+    records = rd.read_indexed_records(spark, stored, strict=False)
     assert rd.find_record(records, index=7).first().id == "tie"
     assert rd.find_record(records, chart_id="list").first().row_index == 3
     with pytest.raises(LookupError):
@@ -204,3 +208,23 @@ def test_a_question_typed_full_counts_on_both_sides_of_the_full_line(spark):
     df = spark.createDataFrame([("m", "full", True), ("m", "trends", False)], "model string, qtype string, correct boolean")
     got = {r.type: (r.correct, r.incorrect) for r in ev.accuracy_by_type(df).collect()}
     assert got["full"] == (2, 1) and got["trends"] == (0, 1)
+
+
+def test_bad_lines_fail_or_are_skipped_in_shards_and_indexed_records(spark, tmp_path):
+    (tmp_path / "part_3.jsonl").write_text('{"id": "a"}\n\n{bad\n{"id": "b"}\n')
+    (tmp_path / "part_1.jsonl").write_text("{never read\n")
+    lenient = rd.read_shards(spark, str(tmp_path), r"part_([0-9]+)\.jsonl", 2, "id string", strict=False)
+    assert sorted((r.id, r.shard) for r in lenient.collect()) == [("a", "part_3.jsonl"), ("b", "part_3.jsonl")]
+    with pytest.raises(PySparkException, match="Invalid JSON"):
+        rd.read_shards(spark, str(tmp_path), r"part_([0-9]+)\.jsonl", 2, "id string").collect()
+    path = str(tmp_path / "part_3.jsonl")
+    kept = rd.read_indexed_records(spark, path, strict=False).collect()
+    assert sorted((r.row_index, r.id) for r in kept) == [(0, "a"), (3, "b")]
+    with pytest.raises(PySparkException, match="line 3: "):
+        rd.read_indexed_records(spark, path).collect()
+
+
+def test_size_filter_takes_odd_numbers(spark):
+    rows = [(1, "NaN", "5"), (2, "Infinity", "5"), (3, "1e30", "5"), (4, "200", "NaN"), (5, "200.9", "2000.9"), (6, "199.9", "5"), (7, "500", "2001"), (8, "500", "0.9"), (9, None, "5"), (10, "abc", "5"), (11, "200", "1")]
+    df = spark.createDataFrame(rows, "did int, NumberOfInstances string, NumberOfFeatures string")
+    assert sorted(r.did for r in sa.sized_datasets(df).collect()) == [3, 5, 11]
