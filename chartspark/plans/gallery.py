@@ -38,13 +38,15 @@ BLOB = "lower(concat_ws(' ', cast(chart_id as varchar), coalesce(dataset_id, '')
 
 
 @register("flt1_filter_charts", COLLECTION + """
-select chart_id, dataset_id, family, quality from collection
-where family = 'Pie / Donut' and quality = 'good' and dataset_id = (select min(dataset_id) from collection)""")
+select 'family' as term, chart_id, dataset_id, family, quality from collection where family = 'Pie / Donut'
+union all select 'dataset', chart_id, dataset_id, family, quality from collection where dataset_id = 'src3'
+union all select 'quality', chart_id, dataset_id, family, quality from collection where quality = 'bad'
+union all select 'two', chart_id, dataset_id, family, quality from collection where family = 'Heatmap' and quality = 'good'""")
 def filter_charts(spark, sf):
     charts = collection_v(spark, sf)
-    first = charts.agg(F.min("dataset_id")).first()[0]
-    out = ga.filter_charts(charts, family="Pie / Donut", dataset=first, quality="good")
-    return out.select("chart_id", "dataset_id", "family", "quality")
+    terms = {"family": {"family": "Pie / Donut"}, "dataset": {"dataset": "src3"}, "quality": {"quality": "bad"}, "two": {"family": "Heatmap", "quality": "good"}}
+    sets = [ga.filter_charts(charts, **chosen).select(F.lit(name).alias("term"), "chart_id", "dataset_id", "family", "quality") for name, chosen in terms.items()]
+    return sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(sets[3])
 
 
 @register("flt2_search", COLLECTION + f"""

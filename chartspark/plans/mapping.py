@@ -32,7 +32,7 @@ def column_suggestions(spark, sf):
 @register("win3_top_candidates")
 def top_candidates(spark, sf):
     out = ma.suggestions_long(matched(spark, sf).select("chart_id", "suggestions"), "chart_id")
-    return out.where("needed = 'McGeoch_Signal_Score'").select("chart_id", "place", "raw", F.round("score", 9).alias("score"))
+    return out.select("chart_id", "needed", "place", "raw", F.round("score", 9).alias("score"))
 
 
 @register("joi8_column_matches", """

@@ -69,7 +69,7 @@ def keyed_rows(spark, sf):
 
 @register("win1_new_prefix", PREFIX + "select row_id, dataset_id, image, new_prefix from flagged")
 def new_prefix(spark, sf):
-    return sq.prefix_flags(keyed_rows(spark, sf), block=1000)
+    return sq.prefix_flags(keyed_rows(spark, sf))
 
 
 @register("win2_prefix_blocks", PREFIX + """

@@ -98,22 +98,18 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their 0-based number in the file: `file`, `row_index`, `value`.
 
-    Lines are numbered inside each split of a file; the line counts of the earlier splits,
-    one row per split, are added.
+    Identifiers are consecutive inside each split of a file, so the first one and the line
+    counts of the earlier splits, one row per split, number the lines without sorting any.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    inside = Window.partitionBy("file", "_split").orderBy("_id")
-    counts = spark.read.text(path).groupBy(
-        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s")
-    ).agg(F.count(F.lit(1)).alias("_n"))
+    counts = lines.groupBy(F.col("file").alias("_f"), F.col("_split").alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_f", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = lines.withColumn("_rn", F.row_number().over(inside))
-    joined = numbered.join(starts, (F.col("file") == F.col("_f")) & (F.col("_split") == F.col("_s")))
-    return joined.select("file", (F.col("_rn") - 1 + F.col("_start")).alias("row_index"), "value")
+    starts = counts.select("_f", "_s", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    joined = lines.join(starts, (F.col("file") == F.col("_f")) & (F.col("_split") == F.col("_s")))
+    return joined.select("file", (F.col("_id") + F.col("_shift")).alias("row_index"), "value")
 
 
 def read_indexed_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
