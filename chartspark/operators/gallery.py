@@ -113,6 +113,23 @@ def facets(df: DataFrame, family: str = ALL, dataset: str = ALL, quality: str =
     return counted.unionByName(zeros).groupBy("facet", "value").agg(F.sum("charts").alias("charts"))
 
 
+def effective_selection(df: DataFrame, family: str = ALL, dataset: str = ALL, quality: str = "good", search: str = "",
+                        search_columns: Sequence[str] = ("chart_id", "dataset_id", "description", "raw_type", "family")) -> DataFrame:
+    """One row `family, dataset`: the choices that still have charts, "(all)" for those that have none.
+
+    The family is looked up under the other terms first, then the dataset under the family that
+    remains. Two flags of one pass decide both.
+    """
+    on = terms(family, dataset, quality)
+    found = df.where(search_term(search_columns, search))
+    loose = all_of([on[name] for name in ("dataset_id", "quality") if name in on])
+    both = all_of(list(on.values()))
+    flags = found.agg(F.coalesce(F.bool_or(both), F.lit(False)).alias("both"), F.coalesce(F.bool_or(loose), F.lit(False)).alias("loose"))
+    return flags.select(
+        F.when(F.col("both"), F.lit(family)).otherwise(F.lit(ALL)).alias("family"),
+        F.when(F.col("both") | F.col("loose"), F.lit(dataset)).otherwise(F.lit(ALL)).alias("dataset"))
+
+
 def with_labels(facet: DataFrame, labels: DataFrame) -> DataFrame:
     """Facet values with their label; a value without one shows itself."""
     named = labels.select(F.col("dataset_id").cast("string").alias("_id"), F.col("label").alias("_label"))

@@ -203,6 +203,24 @@ def facets_reset(spark, sf):
     return ga.facets(collection_v(spark, sf), family="No such family")
 
 
+SELECTIONS = [("Heatmap", "src3"), ("Heatmap", "absent"), ("No such family", "src3"), ("No such family", "absent"), ("(all)", "src3"), ("Heatmap", "(all)")]
+
+
+@register("agg7_selection", COLLECTION + """, chosen(n, f, d) as (values (0, 'Heatmap', 'src3'), (1, 'Heatmap', 'absent'), (2, 'No such family', 'src3'),
+  (3, 'No such family', 'absent'), (4, '(all)', 'src3'), (5, 'Heatmap', '(all)')),
+first as (select n, f, d, case when exists (select 1 from collection where quality = 'good' and (d = '(all)' or dataset_id = d) and (f = '(all)' or family = f))
+  then f else '(all)' end as family from chosen)
+select cast(n as integer) as n, family,
+       case when exists (select 1 from collection where quality = 'good' and (d = '(all)' or dataset_id = d) and (first.family = '(all)' or collection.family = first.family))
+       then d else '(all)' end as dataset from first""")
+def selection(spark, sf):
+    charts, out = collection_v(spark, sf), None
+    for n, (family, dataset) in enumerate(SELECTIONS):
+        row = ga.effective_selection(charts, family, dataset).select(F.lit(n).alias("n"), "family", "dataset")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("joi4_facet_labels", v.ctes(v.CHARTS) + """
 select 'dataset' as facet, dataset_id as value, count(*) as charts,
        case when dataset_id < 'f' then dataset_id else 'about ' || dataset_id end as label
