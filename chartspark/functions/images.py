@@ -5,6 +5,8 @@ An element without a path stands for an entry that was not an image object; it k
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +101,48 @@ def mapped_paths(images: Column, paths: Column) -> Column:
     return F.transform(valid_images(images), one)
 
 
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def with_changed_path(image: Column, change: Callable[[Column], Column]) -> Column:
+    """A stored image (variant) with its text path changed; other keys, and all that is no such object, stay as they are."""
+    path = F.try_variant_get(image, "$.path", "variant")
+    changed = F.transform_values(
+        image.cast("map<string,variant>"),
+        lambda key, value: F.when(key == "path", change(F.try_variant_get(value, "$", "string")).cast("variant")).otherwise(value))
+    return F.when(is_object(image) & (F.schema_of_variant(path) == "STRING"), F.to_variant_object(changed)).otherwise(image)
+
+
+def stored_without_prefix(record: Column, prefix: str) -> Column:
+    """Cut `prefix` from the image paths of a whole record (map<string,variant>); everything else is kept as stored."""
+
+    def cut(path: Column) -> Column:
+        return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 2**31 - 1)).otherwise(path)
+
+    def one(key: Column, value: Column) -> Column:
+        listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: with_changed_path(x, cut)).cast("variant")
+        return F.when((key == "images") & F.schema_of_variant(value).startswith("ARRAY"), listed).otherwise(value)
+
+    return F.transform_values(record, one)
+
+
+def stored_mapped_paths(record: Column, paths: Column) -> Column:
+    """A whole record (map<string,variant>) with every image path looked up in `paths`, else moved to `bundle_path`.
+
+    Image entries that are no objects go; objects without a text path stay. A record without an image list gets an empty one.
+    """
+    known = F.coalesce(paths, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+    def moved(path: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, path), bundle_path(path))
+
+    listed = F.try_variant_get(F.try_element_at(record, F.lit("images")), "$", "array<variant>")
+    objects = F.filter(F.coalesce(listed, F.array().cast("array<variant>")), is_object)
+    changed = F.transform(objects, lambda x: with_changed_path(x, moved)).cast("variant")
+    return F.map_concat(F.map_filter(record, lambda key, _: key != "images"), F.create_map(F.lit("images"), changed))
+
+
 def chosen_code(images: Column, graph_code: Column, source: str = "image") -> Column:
     """Code of the last image, else of the chart; `source="graph"` asks for the latter."""
     if source == "graph":

@@ -165,11 +165,13 @@ def manifest_models(models: DataFrame) -> DataFrame:
 def rewritten_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
     """Records whose stored images point to their copy in the bundle, others to their file name.
 
+    `records` has whole records as `record` (map<string,variant>), whose other keys stay as they are.
     `resolved` has chart_id, path and source; the paths of one chart are as many as its record lists.
     """
     copied = F.concat(F.lit("images/"), F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", ""), F.lit(".jpg"))
     maps = resolved.where(F.col("source").isNotNull()).select("chart_id", "path", copied.alias("copy")).distinct().groupBy(
         F.col("chart_id").cast("string").alias("_chart")
     ).agg(F.map_from_entries(F.collect_list(F.struct("path", "copy"))).alias("_paths"))
-    joined = records.join(maps, records["id"] == maps["_chart"], "left")
-    return joined.withColumn("images", im.mapped_paths(F.col("images"), F.col("_paths"))).drop("_chart", "_paths")
+    key = F.try_variant_get(F.try_element_at("record", F.lit("id")), "$", "string")
+    joined = records.join(maps, key == F.col("_chart"), "left")
+    return joined.withColumn("record", im.stored_mapped_paths(F.col("record"), F.col("_paths"))).drop("_chart", "_paths")

@@ -157,9 +157,12 @@ def models(spark, sf):
 
 
 @register("prj13_rewritten_records", v.ctes(v.RESULTS, v.CHARTS, v.REC_IMAGES, LISTING) + """, plain as (
-  select r.doc_id, r.pos, r.path, l.path is not null as stored from rec_images r left join listing l on r.path = l.path)
-select cast(doc_id as varchar) as id, cast(pos as integer) as pos, case when stored then replace(path, '.png', '.jpg') else path end as path from plain""")
+  select r.*, case when l.path is not null then replace(r.path, '.png', '.jpg') else r.path end as shown from rec_images r left join listing l on r.path = l.path)
+select cast(doc_id as varchar) as id, '{"level":2,"none":null}' as extra, cast(pos as integer) as pos,
+       '{"code":"df[\\"' || source || '\\"].plot(\\"v' || pos || '\\")","feedback":"' || feedback || '","path":"' || shown || '"}' as image
+from plain union all
+select cast(doc_id as varchar), '{"level":2,"none":null}', cast(doc_id % 5 + o.pos as integer), replace(o.image, '#', cast(doc_id as varchar))
+from documents, (values (0, '{"feedback":["a"," b "],"path":"images/#-x.png","w":3.5}'), (1, '{"w":[1,null]}'), (2, '{"path":7}')) o(pos, image)""")
 def rewritten_records(spark, sf):
     resolved = bu.resolve_images(record_images(spark, sf), listing(spark, sf), folder="none/")
-    rewritten = bu.rewritten_records(v.records_v(spark, sf), resolved)
-    return rewritten.select("id", F.posexplode("images").alias("pos", "i")).select("id", "pos", "i.path")
+    return v.stored_images(bu.rewritten_records(v.stored_records_v(spark, sf), resolved))

@@ -189,17 +189,25 @@ def overwrite_jsonl(spark, sf):
     return rd.read_jsonl(spark, path, "doc_id bigint, text string")
 
 
-@register("snk4_rewrite", v.ctes(v.REC_IMAGES) + """
-select cast(doc_id as varchar) as id, cast(pos as integer) as pos, substr(path, 8) as path, feedback, code from rec_images""")
+EXTRA = """'{"level":2,"none":null}' as extra"""
+
+
+@register("snk4_rewrite", v.ctes(v.REC_IMAGES) + f"""
+select cast(doc_id as varchar) as id, {EXTRA}, cast(pos as integer) as pos,
+       '{{"code":"df[\\"' || source || '\\"].plot(\\"v' || pos || '\\")","feedback":"' || feedback || '","path":"' || substr(path, 8) || '"}}' as image
+from rec_images union all
+select cast(doc_id as varchar), {EXTRA}, cast(doc_id % 5 + o.pos as integer), replace(o.image, '#', cast(doc_id as varchar))
+from documents, (values (0, '{{"feedback":["a"," b "],"path":"#-x.png","w":3.5}}'), (1, '"images/bare.png"'), (2, '5'), (3, 'null'),
+                        (4, '{{"w":[1,null]}}'), (5, '{{"path":7}}')) o(pos, image)""")
 def rewrite(spark, sf):
     path = scratch_dir(spark, "rewrite")
-    wr.overwrite_jsonl(v.records_v(spark, sf), path)
+    wr.overwrite_objects(v.stored_records_v(spark, sf), path)
     wr.rewrite(
         spark, path,
-        change=lambda records: records.withColumn("images", im.without_prefix(F.col("images"), "images/")),
-        read=lambda p: rd.read_records(spark, p), write=wr.overwrite_jsonl,
+        change=lambda records: records.withColumn("record", im.stored_without_prefix(F.col("record"), "images/")),
+        read=lambda p: rd.read_objects(spark, p), write=wr.overwrite_objects,
     )
-    return rd.read_records(spark, path).select("id", F.posexplode("images").alias("pos", "i")).select("id", "pos", "i.*")
+    return v.stored_images(rd.read_objects(spark, path))
 
 
 @register("snk5_by_dataset", "select source as dataset_id, doc_id as chart_id, text as description from documents")

@@ -128,6 +128,28 @@ def records_v(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_records_v(spark: SparkSession, sf: str) -> DataFrame:
+    """The records as stored lines hold them (`record`, map<string,variant>), with odd entries after their images:
+    a bare text, a number, null, an object with unknown keys, one without a path and one whose path is a number."""
+    name = F.col("id")
+    listed = F.transform("images", lambda x: F.parse_json(F.to_json(x)))
+    own = F.concat(F.lit('{"path":"images/'), name, F.lit('-x.png","feedback":["a"," b "],"w":3.5}'))
+    odd = ['"images/bare.png"', "5", "null", '{"w":[1,null]}', '{"path":7}']
+    return records_v(spark, sf).select(F.create_map(
+        F.lit("id"), name.cast("variant"), F.lit("dataset"), F.to_variant_object("dataset"), F.lit("graph"), F.to_variant_object("graph"),
+        F.lit("extra"), F.parse_json(F.lit('{"level":2,"none":null}')),
+        F.lit("images"), F.concat(listed, F.array(F.parse_json(own), *[F.parse_json(F.lit(x)) for x in odd])).cast("variant"),
+    ).alias("record"))
+
+
+def stored_images(records: DataFrame) -> DataFrame:
+    """Image entries of stored records, one row each, with their whole JSON text."""
+    get = lambda key, kind: F.try_variant_get(F.try_element_at("record", F.lit(key)), "$", kind)
+    rows = records.select(get("id", "string").alias("id"), F.to_json(F.try_element_at("record", F.lit("extra"))).alias("extra"),
+                          F.posexplode(get("images", "array<variant>")).alias("pos", "image"))
+    return rows.select("id", "extra", "pos", F.to_json("image").alias("image"))
+
+
 REC_IMAGES = """rec_images as (
   select doc_id, i as pos,
          concat('images/', cast(doc_id as varchar), '_it', cast(i as varchar), '.png') as path,

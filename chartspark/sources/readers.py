@@ -43,6 +43,20 @@ def read_records(spark: SparkSession, path: str | list[str], strict: bool = True
     return raw.withColumn("images", typed_images(F.col("images")))
 
 
+def read_objects(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+    """JSON objects, one a line, as `record` (map<string,variant>): every key and value as stored.
+
+    Strict: a line that is no object fails the query, naming its file and text. Lenient: it is skipped.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    parsed = lines.where(~F.rlike("value", F.lit(r"^\s*$"))).withColumn("record", F.from_json("value", "map<string,variant>"))
+    good = F.col("record").isNotNull()
+    if strict:
+        message = F.concat(F.lit("Invalid JSON in "), "_file", F.lit(": "), "value")
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return parsed.where(good).select("record")
+
+
 def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Whole-file JSON: one document per file."""
     reader = spark.read.option("multiLine", True)

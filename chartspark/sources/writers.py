@@ -17,6 +17,11 @@ def overwrite_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def overwrite_objects(df: DataFrame, path: str) -> None:
+    """`record` (map<string,variant>) as JSON lines; nulls are written as well."""
+    df.select(F.to_json("record", {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_jsonl_gz(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, compression="gzip")
 
