@@ -111,18 +111,36 @@ def chart_sizes(charts: DataFrame, results: DataFrame, images: DataFrame, listin
     return joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in sizes})
 
 
-def dataset_rollup(sized: DataFrame, order: str = "chart_id") -> DataFrame:
-    """One row per dataset: label, chart, result and image counts, bytes, and its file names."""
+def chart_entries(sized: DataFrame) -> DataFrame:
+    """One row per chart for the entry list of its dataset: places of its files, counts and bytes."""
+    dataset, chart = F.col("dataset_id").cast("string"), F.col("chart_id").cast("string")
+    detail = F.concat(F.lit("charts/"), dataset, F.lit("/"), chart, F.lit("/"))
+    return sized.select(
+        dataset.alias("dataset_id"), chart.alias("id"), detail.alias("detail"),
+        F.concat(detail, F.lit("metadata.json")).alias("metadata"), F.concat(detail, F.lit("results.jsonl.gz")).alias("results"),
+        "detail_bytes", "result_record_count", "image_count",
+    )
+
+
+def results_of_datasets(results: DataFrame, charts: DataFrame) -> DataFrame:
+    """Results with the dataset of their chart; those of unknown charts are left out. `charts` has one row per chart."""
+    return results.join(charts.select("chart_id", "dataset_id"), "chart_id")
+
+
+def dataset_rollup(sized: DataFrame, order: str = "chart_id", base_url: str = "") -> DataFrame:
+    """One row per dataset: label, chart, result and image counts, bytes, its file names and their addresses (null without `base_url`)."""
     rolled = sized.groupBy(F.col("dataset_id").cast("string").alias("dataset_id")).agg(
         F.min_by("description", order).alias("description"),
         F.count(F.lit(1)).alias("chart_count"),
         *[F.sum(c).alias(c) for c in ("image_count", "result_record_count", "detail_bytes")],
     )
+    entry = F.concat(F.lit("datasets/"), "dataset_id", F.lit(".json"))
+    charts = F.concat(F.lit("datasets/"), "dataset_id", F.lit(".charts.jsonl"))
     return rolled.select(
         "dataset_id", "description", label_120(F.col("description")).alias("label"), "chart_count", "image_count",
         "result_record_count", "detail_bytes",
-        F.concat(F.lit("datasets/"), "dataset_id", F.lit(".json")).alias("manifest"),
-        F.concat(F.lit("datasets/"), "dataset_id", F.lit(".charts.jsonl")).alias("charts"),
+        entry.alias("manifest"), url_or_null(base_url, entry).alias("manifest_url"),
+        charts.alias("charts"), url_or_null(base_url, charts).alias("charts_url"),
     )
 
 
@@ -130,7 +148,8 @@ def manifest(index: DataFrame, models: DataFrame, base_url: str = "", shuffle_se
     """One row: dataset, chart and model counts, sorted models, charts per family by name.
 
     All counts come from one (dataset, family) count. The lists are whole, as the one
-    document that holds them asks for; `manifest_families` and `manifest_models` give the same as rows.
+    document that holds them asks for; `manifest_families` and `manifest_models` give the same as rows,
+    and `dataset_rollup` the entries of its datasets.
     """
     cube = index.groupBy("dataset_id", "canonical_type").agg(F.count(F.lit(1)).alias("n"))
     totals = cube.groupBy("dataset_id").agg(F.sum("n").alias("n")).agg(
@@ -142,6 +161,7 @@ def manifest(index: DataFrame, models: DataFrame, base_url: str = "", shuffle_se
         F.lit(1).alias("schema_version"),
         F.lit(base_url).alias("base_url"),
         F.lit("charts.jsonl.gz").alias("chart_index"),
+        url_or_null(base_url, F.lit("charts.jsonl.gz")).alias("chart_index_url"),
         "dataset_count",
         "chart_count",
         F.lit("metadata" if shuffle_seed is None else "shuffle").alias("chart_order"),

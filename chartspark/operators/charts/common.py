@@ -42,10 +42,11 @@ def with_share(df: DataFrame, by: Sequence[str], value: str = "value", out: str
 
 
 def limits(df: DataFrame, *columns: str) -> Column:
-    """struct(min_<c>, max_<c>…) of the whole table as one value of the plan."""
+    """struct(min_<c>, max_<c>…) of the whole table as one value of the plan; NaN is no limit."""
     pieces = []
     for c in columns:
-        pieces += [F.min(F.col(c).cast("double")).alias(f"min_{c}"), F.max(F.col(c).cast("double")).alias(f"max_{c}")]
+        value = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        pieces += [F.min(value).alias(f"min_{c}"), F.max(value).alias(f"max_{c}")]
     return df.agg(F.struct(*pieces).alias("_limits")).scalar()
 
 

@@ -33,14 +33,16 @@ def numeric_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Rows, missing, extremes, moments and quartiles of every numeric column.
 
     Counts and moments come from one aggregation of the table as it is; only the quartiles
-    need one row per column and value.
+    need one row per column and value. NaN counts as a row, and enters neither extremes,
+    moments nor quartiles.
     """
     numeric = columns_of(df)["numeric"]
     measures = []
     for c in numeric:
-        value = F.col(f"`{c}`").cast("double")
+        given = F.col(f"`{c}`").cast("double")
+        value = F.nanvl(given, F.lit(None).cast("double"))
         measures.append(F.struct(
-            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(value.isNull()).alias("missing"),
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(given.isNull()).alias("missing"),
             F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         ))
     moments = df.agg(F.array(*measures).alias("_m")).select(F.inline("_m"))

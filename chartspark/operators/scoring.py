@@ -59,7 +59,11 @@ def _failed(error: Exception) -> dict:
 
 
 def replies_udf(factory: Callable[[], Model], batch_size: int = BATCH, tries: int = TRIES, sleep: float = SLEEP):
-    """Batches keep their order; when a batch fails to the end, each of its prompts is tried alone."""
+    """Batches keep their order. A batch that fails to the end gets null texts and its error.
+
+    Only a ValueError, which blames a prompt (refused input, a wrong number of replies), makes each
+    prompt of the batch be tried alone; a dead server is not asked again for every prompt.
+    """
 
     def run(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
@@ -70,7 +74,10 @@ def replies_udf(factory: Callable[[], Model], batch_size: int = BATCH, tries: in
                 batch = prompts[start:start + batch_size]
                 try:
                     rows += [_row(r) for r in _ask(model, batch, tries, sleep)]
-                except Exception:
+                except Exception as whole:
+                    if not isinstance(whole, ValueError):
+                        rows += [_failed(whole)] * len(batch)
+                        continue
                     for prompt in batch:
                         try:
                             rows.append(_row(_ask(model, [prompt], tries, sleep)[0]))

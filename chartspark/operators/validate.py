@@ -85,11 +85,13 @@ def spec_checks(df: DataFrame, key: str, reply: str, features: str) -> DataFrame
 def rename_checks(df: DataFrame, key: str, names: str, features: str) -> DataFrame:
     new, old = F.col(names), F.col(features)
     same = F.size(F.filter(F.arrays_zip(old.alias("o"), new.alias("n")), lambda x: x["o"].eqNullSafe(x["n"])))
+    # A name may stay as it is, but an old name at another place means that the order changed.
+    moved = F.transform(new, lambda n, i: F.coalesce(F.array_contains(old, n) & ~F.get(old, i).eqNullSafe(n), F.lit(False)))
     return checks(df, key, {
         "same length": (F.size(new) == F.size(old), F.concat_ws("/", F.size(new).cast("string"), F.size(old).cast("string"))),
         "no empty name": (F.forall(new, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), F.lit(None)),
         "names differ": (F.size(F.array_distinct(new)) == F.size(new), F.size(F.array_distinct(new))),
-        "kept in place": (F.lit(True), same),
+        "kept in place": (F.size(F.filter(moved, lambda x: x)) == 0, same),
     })
 
 

@@ -115,25 +115,42 @@ def detail_urls(spark, sf):
     return bu.detail_urls(holed, BASE)
 
 
-@register("agg9_dataset_rollup", SOLVED + f""", sized as (
+SIZED = SOLVED + """, sized as (
   select c.chart_id, c.dataset_id, c.description as text, coalesce(r.n, 0) as n, coalesce(a.found, 0) as found,
          coalesce(a.image_bytes, 0) as image_bytes
   from charts_v c left join (select chart_id, count(*) as n from results_v group by 1) r on c.chart_id = r.chart_id
-  left join avail a on c.chart_id = a.chart_id),
+  left join avail a on c.chart_id = a.chart_id)
+"""
+
+
+def sized(spark, sf):
+    charts = v.charts_v(spark, sf).select("chart_id", "dataset_id", "description")
+    return bu.chart_sizes(charts, v.results_v(spark, sf), shown_images(spark, sf), listing(spark, sf))
+
+
+@register("agg9_chart_entries", SIZED + """
+select dataset_id, cast(chart_id as varchar) as id, 'charts/' || dataset_id || '/' || chart_id || '/' as detail,
+       'charts/' || dataset_id || '/' || chart_id || '/metadata.json' as metadata,
+       'charts/' || dataset_id || '/' || chart_id || '/results.jsonl.gz' as results,
+       cast(image_bytes as bigint) as detail_bytes, n as result_record_count, found as image_count from sized""")
+def chart_entries(spark, sf):
+    return bu.chart_entries(sized(spark, sf))
+
+
+@register("agg9_dataset_rollup", SIZED + f""",
 rolled as (select dataset_id, arg_min(text, chart_id) as text, count(*) as chart_count, cast(sum(found) as bigint) as image_count,
                   cast(sum(n) as bigint) as result_record_count, cast(sum(image_bytes) as bigint) as detail_bytes from sized group by 1)
 select dataset_id, text as description, case when {FIRST} = '' then '(no description)' else left({FIRST}, 120) end as label,
        chart_count, image_count, result_record_count, detail_bytes,
-       'datasets/' || dataset_id || '.json' as manifest, 'datasets/' || dataset_id || '.charts.jsonl' as charts
+       'datasets/' || dataset_id || '.json' as manifest, 'http://host/data/datasets/' || dataset_id || '.json' as manifest_url,
+       'datasets/' || dataset_id || '.charts.jsonl' as charts, 'http://host/data/datasets/' || dataset_id || '.charts.jsonl' as charts_url
 from rolled""")
 def dataset_rollup(spark, sf):
-    charts = v.charts_v(spark, sf).select("chart_id", "dataset_id", "description")
-    sized = bu.chart_sizes(charts, v.results_v(spark, sf), shown_images(spark, sf), listing(spark, sf))
-    return bu.dataset_rollup(sized)
+    return bu.dataset_rollup(sized(spark, sf), base_url=BASE)
 
 
 @register("agg10_manifest", INDEX + """
-select 1 as schema_version, 'http://host/data/' as base_url, 'charts.jsonl.gz' as chart_index,
+select 1 as schema_version, 'http://host/data/' as base_url, 'charts.jsonl.gz' as chart_index, 'http://host/data/charts.jsonl.gz' as chart_index_url,
        (select count(distinct dataset_id) from idx) as dataset_count, (select count(*) from idx) as chart_count,
        'shuffle' as chart_order, 42 as shuffle_seed,
        (select cast(count(distinct model) as integer) from results_v) as model_count,

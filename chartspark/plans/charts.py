@@ -54,14 +54,12 @@ def line(spark, sf):
 
 
 @register("cht4_line_filled", """
-with p as (select date_trunc('day', o_orderdate)::timestamp as bucket, o_orderpriority, count(*) as value from orders
-           where o_orderstatus = 'F' group by 1, 2),
+with p as (select date_trunc('day', o_orderdate)::timestamp as bucket, o_orderpriority, count(*) as value from orders group by 1, 2),
 spine as (select o_orderpriority, unnest(generate_series((select min(bucket) from p), (select max(bucket) from p), interval 1 day)) as bucket
           from (select distinct o_orderpriority from p) h)
 select s.bucket, s.o_orderpriority, p.value from spine s left join p on s.bucket = p.bucket and s.o_orderpriority = p.o_orderpriority""")
 def line_filled(spark, sf):
-    done = orders(spark, sf).where("o_orderstatus = 'F'")
-    return ti.line(done, "o_orderdate", None, "count", "day", "o_orderpriority", fill=True)
+    return ti.line(orders(spark, sf), "o_orderdate", None, "count", "day", "o_orderpriority", fill=True)
 
 
 @register("cht5_streamgraph", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartspark.functions import images as im
+from chartspark.operators import bundle as bu
 from chartspark.operators import evaluation as ev
 from chartspark.plans import views as v
 from chartspark.plans.evaluation import BY_TYPE
@@ -37,13 +38,13 @@ def strict_jsonl(spark, sf):
 
 
 @register("src2_lenient_jsonl", """
-select doc_id, lang from documents where doc_id % 5 > 1""")
+select doc_id, lang, text from documents where doc_id % 5 > 1""")
 def lenient_jsonl(spark, sf):
     fifth = F.col("doc_id") % 5
     line = F.when(fifth == 0, "{bad").when(fifth == 1, "  ").otherwise(F.to_json(F.struct("doc_id", "lang", "text")))
     path = scratch_dir(spark, "lines")
     v.table(spark, sf, "documents").select(line.alias("value")).write.text(path)
-    return rd.read_jsonl(spark, path, "doc_id bigint, lang string", strict=False)
+    return rd.read_jsonl(spark, path, "doc_id bigint, lang string, text string", strict=False)
 
 
 @register("src3_gzip_jsonl", RECORD_SQL)
@@ -88,14 +89,14 @@ def model_results(spark, sf):
 
 
 @register("src6_shards", """
-select doc_id, lang, 'metadata' || doc_id % 4 || '.jsonl' as shard from documents where doc_id % 4 >= 2""")
+select doc_id, lang, text, 'metadata' || doc_id % 4 || '.jsonl' as shard from documents where doc_id % 4 >= 2""")
 def shards(spark, sf):
     path = scratch_dir(spark, "shards")
-    docs = v.table(spark, sf, "documents").select("doc_id", "lang")
+    docs = v.table(spark, sf, "documents").select("doc_id", "lang", "text")
     for n in range(4):
         wr.overwrite_jsonl(docs.where(F.col("doc_id") % 4 == n), f"{path}/metadata{n}.jsonl")
         wr.overwrite_jsonl(docs.where(F.col("doc_id") % 4 == n), f"{path}/metadata{n}_{n}.jsonl")
-    return rd.read_shards(spark, path, r"metadata(\d)\.jsonl", 2, "doc_id bigint, lang string")
+    return rd.read_shards(spark, path, r"metadata(\d)\.jsonl", 2, "doc_id bigint, lang string, text string")
 
 
 @register("src7_tables", " union all ".join(f"""
@@ -107,15 +108,15 @@ def tables(spark, sf):
     options = {"header": True, "quote": '"', "escape": '"'}
     docs.write.options(**options).csv(f"{path}/t.csv")
     docs.write.options(**options, sep="\t").csv(f"{path}/t.tsv")
-    docs.write.json(f"{path}/t.json")
+    # A `.json` file is one document: here an array of the rows of a thousand identifiers.
+    arrays = docs.groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/t.json")
     docs.write.json(f"{path}/t.jsonl")
     docs.write.parquet(f"{path}/t.parquet")
     schema = "doc_id bigint, lang string, source string, n_chars bigint, text string"
     out = None
     for suffix in ("csv", "tsv", "json", "jsonl", "parquet"):
-        # A `.json` file is one document; folders written by Spark hold lines, which the line reader takes.
-        given = rd.read_table(spark, f"{path}/t.{suffix}", schema) if suffix != "json" else spark.read.schema(schema).json(f"{path}/t.json")
-        one = given.groupBy("lang", "source").agg(
+        one = rd.read_table(spark, f"{path}/t.{suffix}", schema).groupBy("lang", "source").agg(
             F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"), F.sum(F.length("text").cast("bigint")).alias("letters"))
         one = one.withColumn("suffix", F.lit(suffix))
         out = one if out is None else out.unionByName(one)
@@ -155,18 +156,22 @@ def point_lookup(spark, sf):
 select chart_id, cast(count(*) filter (where coalesce(correct, false)) as bigint) as correct,
        cast(count(*) filter (where not coalesce(correct, false)) as bigint) as incorrect from results_v group by 1""")
 def changed_files(spark, sf):
-    """A stored state in which one model's file has another size and wrong counts, and one file is gone."""
-    results = v.results_v(spark, sf).withColumnRenamed("model", "name")
-    current = results.groupBy("name").agg(F.count(F.lit(1)).alias("length"), F.max("row_id").alias("modified"))
-    recounted = results.groupBy("name", "chart_id").agg(
-        F.count_if(ev.right()).alias("correct"), F.count_if(~ev.right()).alias("incorrect"))
-    stale = F.col("name") == "error"
-    stored_files = current.withColumn("length", F.when(stale, F.col("length") - 1).otherwise(F.col("length"))).unionByName(
-        current.withColumn("name", F.concat(F.lit("gone-"), "name")))
-    stored = recounted.withColumn("correct", F.when(stale, F.lit(0)).otherwise(F.col("correct"))).unionByName(
-        recounted.withColumn("name", F.concat(F.lit("gone-"), "name")))
-    changed = ch.changed_files(current, stored_files)
-    return ch.totals(ch.refresh_counts(stored, recounted, current, changed))
+    """One model's results are stored in half and counted; then its files are replaced by the whole, and only the new files are read."""
+    folder, before, after = result_folder(spark, sf), scratch_dir(spark, "counts"), scratch_dir(spark, "counts")
+    schema = "chart_id string, graph_id string, row_id bigint, correct boolean"
+
+    def count(paths):
+        rows = rd.read_jsonl(spark, paths, schema, keep_file=True).withColumnRenamed("_file", "file")
+        # The row number gives back the chart of rows stored without a key.
+        return rows.groupBy("file", (F.col("row_id") % 1100).alias("chart_id")).agg(
+            F.count_if(ev.right()).alias("correct"), F.count_if(~ev.right()).alias("incorrect"))
+
+    whole = v.results_v(spark, sf).where("model = 'error'").select("row_id", "correct")
+    wr.overwrite_jsonl(whole.where("row_id % 2 = 0"), f"{folder}/error.jsonl")
+    ch.refresh_folder(spark, folder, None, before, count)
+    wr.overwrite_jsonl(whole, f"{folder}/error.jsonl")
+    ch.refresh_folder(spark, folder, before, after, count)
+    return ch.totals(spark.read.parquet(f"{after}/counts"))
 
 
 @register("snk1_append_jsonl", """
@@ -213,10 +218,19 @@ def rewrite(spark, sf):
 @register("snk5_by_dataset", "select source as dataset_id, doc_id as chart_id, text as description from documents")
 def by_dataset(spark, sf):
     path = scratch_dir(spark, "bundle")
-    wr.write_by_dataset(v.charts_v(spark, sf).select("dataset_id", "chart_id", "description"), path)
+    wr.write_by_dataset(v.charts_v(spark, sf).select("dataset_id", "chart_id", "description"), path, ["chart_id"])
     return spark.read.schema("chart_id bigint, description string, dataset_id string").json(path)
 
 
+@register("snk5_results", v.ctes(v.RESULTS) + """
+select d.source as dataset_id, r.chart_id, r.row_id, r.model, r.question, r.correct from results_v r join documents d on r.chart_id = d.doc_id""")
+def results_by_dataset(spark, sf):
+    path = scratch_dir(spark, "results")
+    results = v.results_v(spark, sf).select("chart_id", "row_id", "model", "question", "correct")
+    wr.write_by_dataset(bu.results_of_datasets(results, v.charts_v(spark, sf)), path, ["chart_id", "row_id"])
+    return spark.read.schema("chart_id bigint, row_id bigint, model string, question string, correct boolean, dataset_id string").json(path)
+
+
 @register("snk6_manifest", """
 select count(distinct source) as dataset_count, count(*) as chart_count, (select string_agg(event_type, ',' order by event_type)
        from (select distinct event_type from events) e) as models from documents""")

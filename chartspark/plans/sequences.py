@@ -90,23 +90,24 @@ def group_lists(spark, sf):
 
 
 SHARDS = """shards as (
-  select 0 as shard, doc_id as id, source, null as lang from documents
-  union all select 1, doc_id, source, lang from documents where n_chars > 500)"""
+  select 0 as shard, doc_id as id, source, text, null as lang from documents where doc_id % 3 <> 0
+  union all select 1, doc_id, source, text, lang from documents)"""
 
 
 def shards(spark, sf):
     docs = v.table(spark, sf, "documents")
-    first = docs.select(F.col("doc_id").alias("id"), "source")
-    return [first, docs.where("n_chars > 500").select(F.col("doc_id").alias("id"), "source", "lang")]
+    rows = docs.select(F.col("doc_id").alias("id"), "source", "text", "lang")
+    # The second shard is the whole table, the first lacks the identifiers that are to come from the second alone.
+    return [rows.where("id % 3 <> 0").drop("lang"), rows]
 
 
-@register("set1_union_shards", v.ctes(SHARDS) + "select shard, id, source, lang from shards")
+@register("set1_union_shards", v.ctes(SHARDS) + "select shard, id, source, text, lang from shards")
 def union_shards(spark, sf):
     return sq.union_shards(shards(spark, sf))
 
 
 @register("set2_union_once", v.ctes(SHARDS) + """
-select id, source, lang from (select *, row_number() over (partition by id order by shard) as rn from shards) s where rn = 1""")
+select id, source, text, lang from (select *, row_number() over (partition by id order by shard) as rn from shards) s where rn = 1""")
 def union_once(spark, sf):
     return sq.union_once(shards(spark, sf), "id", "source")
 

@@ -76,10 +76,11 @@ def specs(spark, sf):
     "same length": ("key % 3 <> 0", "case when key % 3 = 0 then '1/2' else '2/2' end"),
     "no empty name": ("key % 3 = 0 or key % 4 <> 0", "null"),
     "names differ": ("key % 3 = 0 or key % 4 = 0 or source || 'x' <> lang", "case when key % 3 = 0 then 1 else 2 end"),
-    "kept in place": ("true", "case when key % 3 = 0 or key % 4 = 0 then 0 else 1 end"),
+    "kept in place": ("key % 3 = 0 or key % 4 = 0 or key % 5 <> 1", "case when key % 3 = 0 or key % 4 = 0 or key % 5 = 1 then 0 else 1 end"),
 }, "select doc_id as key, source, lang from documents"))
 def renames(spark, sf):
-    names = F.when(doc() % 3 == 0, F.array(F.concat(source(), F.lit("x")))).when(doc() % 4 == 0, F.array(F.concat(source(), F.lit("x")), F.lit(" ")))
+    names = F.when(doc() % 3 == 0, F.array(F.concat(source(), F.lit("x")))).when(doc() % 4 == 0, F.array(F.concat(source(), F.lit("x")), F.lit(" "))).when(
+        doc() % 5 == 1, F.array(lang(), source()))
     docs = v.table(spark, sf, "documents").select(
         "doc_id", F.array(source(), lang()).alias("features"), names.otherwise(F.array(F.concat(source(), F.lit("x")), lang())).alias("names"))
     return slim(va.rename_checks(docs, "doc_id", "names", "features"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartspark.sources.readers import read_listing
+
 FINGERPRINT = ("name", "length", "modified")
 
 
@@ -30,3 +35,28 @@ def refresh_counts(stored: DataFrame, recounted: DataFrame, current: DataFrame,
 
 def totals(per_file: DataFrame) -> DataFrame:
     return per_file.groupBy("chart_id").agg(F.sum("correct").alias("correct"), F.sum("incorrect").alias("incorrect"))
+
+
+def refresh_folder(spark: SparkSession, folder: str, before: str | None, after: str, count: Callable[[list[str]], DataFrame]) -> list[str]:
+    """Write the state of a result folder to `after`: `files` (fingerprints) and `counts` per file and chart.
+
+    `before` is the last state, None at first. Only files that are new or changed since are read, by
+    `count(paths)`, which returns file (as in `_metadata.file_path`), chart_id, correct, incorrect. Counts of
+    other files are carried over, those of gone files dropped. Returns the paths read; like every
+    scan, it lists them on the driver, names only.
+    """
+    read_listing(spark, folder).withColumn("name", F.col("file")).where(F.col("length") > 0).write.parquet(f"{after}/files")
+    current = spark.read.parquet(f"{after}/files")
+    changed = current if before is None else changed_files(current, spark.read.parquet(f"{before}/files"))
+    # Names may hold characters that a path pattern would read as wildcards.
+    paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in changed.select("path").collect()]
+    recounted = count(paths).withColumnRenamed("file", "name") if paths else None
+    if before is None:
+        if recounted is None:
+            raise LookupError(f"no file below {folder}")
+        counts = recounted
+    else:
+        stored = spark.read.parquet(f"{before}/counts")
+        counts = refresh_counts(stored, stored.limit(0) if recounted is None else recounted, current, changed)
+    counts.write.parquet(f"{after}/counts")
+    return paths

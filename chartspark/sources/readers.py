@@ -155,10 +155,10 @@ def find_record(records: DataFrame, chart_id: str | None = None, index: int | No
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder: path, name, length, modified. File contents are not read."""
+    """Files below a folder: path, file (the path as `_metadata` of rows has it), name, length, modified. File contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
-        "path", F.substring_index("path", "/", -1).alias("name"), "length", F.col("modificationTime").alias("modified")
+        "path", F.col("_metadata.file_path").alias("file"), F.substring_index("path", "/", -1).alias("name"), "length", F.col("modificationTime").alias("modified")
     )
 
 

@@ -31,8 +31,8 @@ def write_document(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_by_dataset(df: DataFrame, path: str, order: Sequence[str] = ("chart_id",)) -> None:
-    """One folder per dataset, rows sorted by chart inside each file.
+def write_by_dataset(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """One folder per dataset, rows sorted by `order` (chart first) inside each file.
 
     Range partitioning on (dataset, order) gives a dataset with a third of all rows a third
     of the tasks; a column that tells rows of one chart apart in `order` splits a hot chart.
@@ -46,7 +46,7 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").partitionBy("model").json(path)
 
 
-def write_results_index(results: DataFrame, path: str, key: str = "chart_id", order: Sequence[str] = ()) -> None:
+def write_results_index(results: DataFrame, path: str, key: str, order: Sequence[str]) -> None:
     """Results clustered by chart, so that a look-up reads a few row groups only.
 
     `order` names columns that spread the rows of one hot chart over several tasks.
