@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 MIN_BUCKETS, MAX_BUCKETS = 16, 8192
 BLOCK_ROWS = 1_000_000
 HOT_ROWS = 10_000_000
+#: Accuracy of the sketches that bracket quantiles: ranks are right within rows / SKETCH.
+SKETCH = 100_000
 
 
 def split_points(df: DataFrame, column: str, rows_per_bucket: int = BLOCK_ROWS) -> list[float]:
@@ -98,6 +100,10 @@ def _group_window(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*[F.col("_key")[b] for b in by]) if by else Window.partitionBy(F.lit(0))
 
 
+def _window(by: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
+
 def positions(
     df: DataFrame,
     by: Sequence[str],
@@ -131,33 +137,68 @@ def ranked_values(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
 def quantiles_long(df: DataFrame, x: str, by: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per (group, p): `by…, p, q`.
 
-    The built-in exact percentile holds all values of a group in one task; here values are
-    ranked over buckets and the neighbours of each quantile are picked out, at every size.
+    The built-in exact percentile holds all values of a group in one task. Here a bounded sketch
+    per group brackets each quantile first. Then the values below a bracket are only counted, and the
+    few inside it are ranked, so hardly a value is shuffled. The brackets are ten times as
+    wide as the sketch's error, and open where that is under five ranks (at most SKETCH / 2 rows); a
+    quantile outside of its bracket would fail the query.
     """
-    ranked = ranked_values(df, by, x)
-    first, after = F.col("_c") - F.col("_n"), F.col("_c")
-
-    def place(p: Column) -> Column:
-        return p * (F.col("_c_total") - 1)
-
-    def wanted(p: Column) -> Column:
-        """The ranks of a value, first up to after, hold a neighbour of the quantile's place."""
-        return (F.floor(place(p)) < after) & (F.ceil(place(p)) >= first)
-
-    points = [F.lit(float(p)) for p in probabilities]
-    near = wanted(points[0])
-    for p in points[1:]:
-        near = near | wanted(p)
-    hits = ranked.where(near).withColumn("p", F.explode(F.filter(F.array(*points), wanted))).withColumns({
-        "_place": place(F.col("p")),
-        "_low": F.when(F.floor(place(F.col("p"))) >= first, F.col("_x")),
-        "_high": F.when(F.ceil(place(F.col("p"))) < after, F.col("_x")),
-    })
-    found = hits.groupBy(*by, "p").agg(
-        F.max("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_place").alias("_place")
-    )
-    weight = F.col("_place") - F.floor("_place")
-    return found.select(*by, "p", (F.col("_low") + weight * (F.col("_high") - F.col("_low"))).alias("q"))
+    by = list(by)
+    value = F.col(x).cast("double")
+    rows = df.where(value.isNotNull() & ~F.isnan(value)).select(*by, value.alias("_x"))
+    points = sorted({float(p) for p in probabilities})
+    margin = 10 / SKETCH
+
+    wide = F.col("_rows") * margin >= 5
+
+    def edge(place: int, closed: bool, open_at: str) -> Column:
+        return F.when(wide & F.lit(closed), F.get("_s", F.lit(place))).otherwise(F.lit(float(open_at)))
+
+    ends = [F.lit(min(max(q, 0.0), 1.0)) for p in points for q in (p - margin, p + margin)]
+    sketched = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx("_x", F.array(*ends), F.lit(SKETCH)).alias("_s"))
+    brackets = sketched.select(
+        *by, "_rows",
+        F.array(*[edge(2 * i, p > margin, "-inf") for i, p in enumerate(points)]).alias("_low"),
+        F.array(*[edge(2 * i + 1, p < 1 - margin, "inf") for i, p in enumerate(points)]).alias("_high"))
+    if by:
+        bracketed = join_groups(rows, brackets, by)
+    else:
+        one = brackets.select(F.struct("_rows", "_low", "_high").alias("s")).scalar()
+        bracketed = rows.withColumns({c: one[c] for c in ("_rows", "_low", "_high")})
+    x_ = F.col("_x")
+
+    def stretch(first: int, end: int) -> Column:
+        """Number of the first bracket that ends at or after the value, by halving."""
+        if first == end:
+            return F.lit(first)
+        middle = (first + end) // 2
+        return F.when(x_ > F.get("_high", F.lit(middle)), stretch(middle + 1, end)).otherwise(stretch(first, middle))
+
+    # Brackets are in order, so a value is inside one if it is inside that bracket. Any other
+    # value becomes a null of the stretch before the bracket, and is counted there.
+    placed = bracketed.withColumn("_at", stretch(0, len(points)))
+    counted = placed.groupBy(*by, "_at", F.when(x_ >= F.get("_low", F.col("_at")), x_).alias("_x")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_rows").alias("_rows"))
+    upward = _window(by).orderBy("_at", F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_after", F.sum("_n").over(upward))
+
+    def holding(place: Column) -> Column:
+        """The value whose ranks, first up to after, hold this place."""
+        return F.max(F.when((F.col("_after") - F.col("_n") <= place) & (place < F.col("_after")), F.col("_x")))
+
+    def quantile(i: int, p: float) -> Column:
+        place = F.lit(p) * (F.col("_count") - 1)
+        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
+        q = low + (place - F.floor(place)) * (high - low)
+        failed = F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double")
+        return F.struct(F.lit(p).alias("p"), F.when(low.isNull() | high.isNull(), failed).otherwise(q).alias("q"))
+
+    neighbours = []
+    for i, p in enumerate(points):
+        place = F.lit(p) * (F.col("_rows") - 1)
+        neighbours += [holding(F.floor(place)).alias(f"_l{i}"), holding(F.ceil(place)).alias(f"_h{i}")]
+    found = ranked.groupBy(*by).agg(F.max("_rows").alias("_count"), *neighbours).where(F.col("_count").isNotNull())
+    return found.select(*by, F.inline(F.array(*[quantile(i, p) for i, p in enumerate(points)])))
 
 
 def quantiles(df: DataFrame, x: str, by: Sequence[str], named: Mapping[str, float], exact: bool = True) -> DataFrame:

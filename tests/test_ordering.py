@@ -122,3 +122,17 @@ def test_join_spread_keeps_every_row_of_a_hot_group(table, rows):
     for members in by_group(rows).values():
         mean = sum(x for _, x in members) / len(members)
         assert all(got[i] == pytest.approx(mean) for i, _ in members)
+
+
+@pytest.mark.parametrize("n", [49_999, 50_000, 300_000])
+def test_quantiles_with_narrow_brackets(spark, n):
+    """A hot group with many ties and single values, and a small one, on both sides of the bracket rule."""
+    df = spark.range(0, n + 10, 1, 7).select(
+        F.when(F.col("id") < n, "hot").otherwise("small").alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.xxhash64("id") % 100_003).cast("double")).alias("x"))
+    points = [0.0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.g, r.p): r.q for r in o.quantiles_long(df, "x", ["g"], points).collect()}
+    for g, values in df.toPandas().groupby("g")["x"]:
+        for p in points:
+            assert got[g, p] == pytest.approx(np.quantile(values, p))
+    assert len(got) == 2 * len(points)
