@@ -71,6 +71,14 @@ def sized_datasets(catalogue: DataFrame, min_rows: int = 200, max_features: int
     return catalogue.where(F.col("did").try_cast("bigint").isNotNull() & (rows >= min_rows) & (features >= 1) & (features < max_features + 1))
 
 
+def random_dataset(catalogue: DataFrame, seed: int, number: int = 0, **limits) -> DataFrame:
+    """One dataset at random of those that `sized_datasets` keeps; fails when there is none."""
+    picked = pick_one(sized_datasets(catalogue, **limits), "did", seed, number)
+    if picked.isEmpty():
+        raise LookupError("no dataset passes the size filter")
+    return picked
+
+
 def of_format(catalogue: DataFrame, kind: str = "ARFF") -> DataFrame:
     return catalogue.where(F.upper(F.coalesce("format", F.lit(""))) == kind)
 

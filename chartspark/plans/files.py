@@ -99,6 +99,16 @@ def shards(spark, sf):
     return rd.read_shards(spark, path, r"metadata(\d)\.jsonl", 2, "doc_id bigint, lang string, text string")
 
 
+@register("src6_bad_lines", """
+select doc_id, text, 'metadata7.jsonl' as shard from documents where doc_id % 5 > 1""")
+def bad_shard_lines(spark, sf):
+    fifth = F.col("doc_id") % 5
+    line = F.when(fifth == 0, "{bad").when(fifth == 1, " ").otherwise(F.to_json(F.struct("doc_id", "text")))
+    path = scratch_dir(spark, "shards")
+    v.table(spark, sf, "documents").select(line.alias("value")).write.text(f"{path}/metadata7.jsonl")
+    return rd.read_shards(spark, path, r"metadata(\d)\.jsonl", 2, "doc_id bigint, text string", strict=False)
+
+
 @register("src7_tables", " union all ".join(f"""
 select '{s}' as suffix, lang, source, count(*) as rows, cast(sum(n_chars) as bigint) as chars, cast(sum(length(text)) as bigint) as letters
 from documents group by 2, 3""" for s in ("csv", "tsv", "json", "jsonl", "parquet")))
@@ -143,6 +153,17 @@ def find_record(spark, sf):
     return found.select("id", F.col("dataset.id").alias("dataset_id"))
 
 
+@register("src8_bad_lines", """
+select cast(doc_id as varchar) as id, source as dataset_id, text as description from documents where doc_id % 5 > 1""")
+def bad_record_lines(spark, sf):
+    fifth = F.col("id").cast("long") % 5
+    record = F.to_json(F.struct("id", "dataset", "graph", "images"))
+    path = scratch_dir(spark, "lines")
+    v.records_v(spark, sf).select(F.when(fifth == 0, "{bad").when(fifth == 1, "  ").otherwise(record).alias("value")).write.text(path)
+    kept = rd.read_indexed_records(spark, path, strict=False)
+    return kept.select("id", F.col("dataset.id").alias("dataset_id"), F.col("dataset.description").alias("description"))
+
+
 @register("src9_point_lookup", v.ctes(v.RESULTS) + "select * from results_v where chart_id = (select min(chart_id) + 5 from results_v)")
 def point_lookup(spark, sf):
     path = scratch_dir(spark, "index")

@@ -86,6 +86,16 @@ def sized_datasets(spark, sf):
     return sized.select("did", (F.upper("format") == "ARFF").alias("arff"))
 
 
+@register("flt3_odd_numbers", """
+select doc_id as did from documents where doc_id % 7 in (2, 3, 5)""")
+def odd_numbers(spark, sf):
+    """Row counts that are no numbers, infinite, very large, whole, just too small, with a fraction, or missing."""
+    counts = F.array(*[F.lit(x) for x in ("NaN", "Infinity", "1e30", "200", "199.9", "200.9", None)])
+    datasets = v.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("did"), F.get(counts, (F.col("doc_id") % 7).cast("int")).alias("NumberOfInstances"), F.lit("2000.9").alias("NumberOfFeatures"))
+    return sa.sized_datasets(datasets).select("did")
+
+
 @register("flt4_format", v.ctes(CATALOGUE) + "select did from catalogue where upper(format) = 'ARFF'")
 def of_format(spark, sf):
     return sa.of_format(catalogue(spark, sf)).select("did")
@@ -104,8 +114,7 @@ select n, did from (
   select 0 as n, did, row_number() over (order by {DRAW.format(seed='7-0', key='did')}, did) as rn from sized
   union all select 1, did, row_number() over (order by {DRAW.format(seed='7-1', key='did')}, did) from sized) p where rn = 1""")
 def random_dataset(spark, sf):
-    sized = sa.sized_datasets(catalogue(spark, sf))
-    picks = [sa.pick_one(sized, "did", 7, n).select(F.lit(n).alias("n"), "did") for n in (0, 1)]
+    picks = [sa.random_dataset(catalogue(spark, sf), 7, n).select(F.lit(n).alias("n"), "did") for n in (0, 1)]
     return picks[0].union(picks[1])
 
 

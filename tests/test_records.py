@@ -1,5 +1,7 @@
 """Edge cases of chart records, texts, families and summaries on literal rows."""
 
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -7,8 +9,12 @@ from pyspark.sql import functions as F
 from chartspark.functions import images as im
 from chartspark.functions import text as tx
 from chartspark.functions.taxonomy import family_by_rules, family_by_spelling
+from chartspark.operators import bundle as bu
 from chartspark.operators import evaluation as ev
 from chartspark.operators import sampling as sa
+from chartspark.operators.charts.profile import numeric_profile
+from chartspark.operators.validate import rename_checks
+from chartspark.sources import changes as ch
 from chartspark.sources import readers as rd
 from chartspark.sources import writers as wr
 
@@ -228,3 +234,74 @@ def test_size_filter_takes_odd_numbers(spark):
     rows = [(1, "NaN", "5"), (2, "Infinity", "5"), (3, "1e30", "5"), (4, "200", "NaN"), (5, "200.9", "2000.9"), (6, "199.9", "5"), (7, "500", "2001"), (8, "500", "0.9"), (9, None, "5"), (10, "abc", "5"), (11, "200", "1")]
     df = spark.createDataFrame(rows, "did int, NumberOfInstances string, NumberOfFeatures string")
     assert sorted(r.did for r in sa.sized_datasets(df).collect()) == [3, 5, 11]
+
+
+LINE = ('{"id":"x","n":null,"f":1.5,"big":12345678901234567890123,"images":["old/b.png",5,null,{"path":"old/a.png","w":[1,{"q":null}]},'
+        '{"path":7},{"w":2},{"path":"b.png"}]}')
+
+
+def test_rewritten_lines_keep_everything_but_the_prefix(spark, tmp_path):
+    path = tmp_path / "in.jsonl"
+    path.write_text("\n".join([LINE, "", '{"id":5}', '{"images":"odd"}', "{}"]))
+    cut = rd.read_objects(spark, str(path)).withColumn("record", im.stored_without_prefix(F.col("record"), "old/"))
+    wr.overwrite_objects(cut, str(tmp_path / "out"))
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert got == [json.loads(LINE.replace("old/a", "a")), {"id": 5}, {"images": "odd"}, {}]
+    path.write_text("{}\n[1]\n")
+    assert rd.read_objects(spark, str(path), strict=False).count() == 1
+    with pytest.raises(PySparkException, match="Invalid JSON"):
+        rd.read_objects(spark, str(path)).collect()
+
+
+def test_bundled_records_keep_objects_without_a_path(spark, tmp_path):
+    path = tmp_path / "in.jsonl"
+    path.write_text("\n".join([LINE, '{"id":5,"k":1}']))
+    resolved = spark.createDataFrame([("x", "old/a.png", "disk/a.png"), ("y", "b.png", "disk/b.png")], "chart_id string, path string, source string")
+    rows = bu.rewritten_records(rd.read_objects(spark, str(path)), resolved).select(F.to_json("record", {"ignoreNullFields": "false"}).alias("j")).collect()
+    got = {str(r["id"]): r for r in (json.loads(r.j) for r in rows)}
+    assert got["x"] == json.loads(LINE) | {"images": [{"path": "images/a.jpg", "w": [1, {"q": None}]}, {"path": 7}, {"w": 2}, {"path": "images/b.png"}]}
+    assert got["5"] == {"id": 5, "k": 1, "images": []}
+
+
+def test_only_changed_files_are_read_again(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def count(paths):
+        rows = rd.read_jsonl(spark, paths, "chart_id bigint, correct boolean", keep_file=True).withColumnRenamed("_file", "file")
+        return rows.groupBy("file", "chart_id").agg(F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("incorrect"))
+
+    def totals(state):
+        return {r.chart_id: (r.correct, r.incorrect) for r in ch.totals(spark.read.parquet(f"{state}/counts")).collect()}
+
+    for name in ("a b.jsonl", "c[1].jsonl", "gone.jsonl"):
+        (folder / name).write_text('{"chart_id": 1, "correct": true}\n{"chart_id": 2, "correct": false}\n')
+    states = [str(tmp_path / f"s{i}") for i in range(3)]
+    assert len(ch.refresh_folder(spark, str(folder), None, states[0], count)) == 3
+    assert totals(states[0]) == {1: (3, 0), 2: (0, 3)}
+    (folder / "c[1].jsonl").write_text('{"chart_id": 1, "correct": false}\n')
+    (folder / "gone.jsonl").unlink()
+    (folder / "new.jsonl").write_text('{"chart_id": 9, "correct": true}\n')
+    assert len(ch.refresh_folder(spark, str(folder), states[0], states[1], count)) == 2
+    assert totals(states[1]) == {1: (1, 1), 2: (0, 1), 9: (1, 0)}
+    assert ch.refresh_folder(spark, str(folder), states[1], states[2], count) == []
+    assert totals(states[2]) == totals(states[1])
+
+
+def test_no_dataset_of_the_wanted_size_fails(spark):
+    df = spark.createDataFrame([(1, "10", "5")], "did int, NumberOfInstances string, NumberOfFeatures string")
+    with pytest.raises(LookupError):
+        sa.random_dataset(df, 1)
+    assert sa.random_dataset(df, 1, min_rows=5).first().did == 1
+
+
+def test_nan_is_no_extreme(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    r = numeric_profile(df).first()
+    assert (r.rows, r.missing, r.min, r.max, r.mean, r.median) == (4, 1, 1.0, 3.0, 2.0, 2.0)
+
+
+def test_moved_names_are_noticed(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], ["a", "new"]), (2, ["a", "b"], ["b", "x"]), (3, ["a"], [None])], "k int, old array<string>, new array<string>")
+    got = {r.key: r.ok for r in rename_checks(df, "k", "new", "old").where("rule = 'kept in place'").collect()}
+    assert got == {1: True, 2: False, 3: True}

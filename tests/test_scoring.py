@@ -96,3 +96,22 @@ def test_retries_stop_after_three(spark):
 
     got = {r.id: r.attempt for r in sc.with_retries(df, "id", attempt, F.col("done")).collect()}
     assert got == {0: 1, 1: 2, 2: 3} and tries == [1, 2, 3]
+
+
+def counted_model(path):
+    def factory():
+        def model(prompts):
+            with open(path, "a") as f:
+                f.write("x")
+            raise ConnectionError("down")
+
+        return model
+
+    return factory
+
+
+def test_a_dead_server_is_not_asked_for_every_prompt(spark, tmp_path):
+    df = spark.range(20).coalesce(1).withColumn("p", F.lit("x"))
+    rows = sc.score(df, F.col("p"), counted_model(str(tmp_path / "calls")), sleep=0.0, tries=3, batch_size=10).collect()
+    assert [(r.reply.text, r.reply.error) for r in rows] == [(None, "down")] * 20
+    assert (tmp_path / "calls").read_text() == "x" * 6
