@@ -203,8 +203,10 @@ def answered(rows: DataFrame, factory, online: bool = False, order: Sequence[str
     """Add `test_answer`, `answer_error` and usage for every question row.
 
     Online rows are spread by prompt prefix and sorted inside a task, so that a server sees
-    the questions of one chart in a row; `order` splits a chart with very many questions.
+    the questions of one chart in a row; `order`, required then, splits a chart with very many questions.
     """
+    if online and not order:
+        raise ValueError("online answering needs columns that tell the questions of one chart apart")
     dataset, question, image = F.col("dataset_description"), F.col("question.question"), F.col("image")
     if online:
         rows = rows.withColumn("prompt_key", prompt_key(F.col("dataset_id"), image))

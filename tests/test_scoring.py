@@ -3,6 +3,7 @@
 import json
 import sys
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -115,3 +116,8 @@ def test_a_dead_server_is_not_asked_for_every_prompt(spark, tmp_path):
     rows = sc.score(df, F.col("p"), counted_model(str(tmp_path / "calls")), sleep=0.0, tries=3, batch_size=10).collect()
     assert [(r.reply.text, r.reply.error) for r in rows] == [(None, "down")] * 20
     assert (tmp_path / "calls").read_text() == "x" * 6
+
+
+def test_online_answering_needs_an_order(spark):
+    with pytest.raises(ValueError, match="tell the questions"):
+        sc.answered(spark.range(1), flaky_model, online=True)
