@@ -33,21 +33,29 @@ def seed_hashes(words: textarrays.Words, mask: str, number: int) -> tuple[np.nda
     return inside, textarrays.mixed(total[inside])
 
 
-def overlap(own: np.ndarray, other: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int]:
-    """Best aligned stretch of two word sequences, `(start in own, end, equal words)`, with at least this share of equal words.
+def overlap(own: np.ndarray, other: np.ndarray, shift: int, similarity: float, least: int = 1) -> tuple[int, int, int]:
+    """Aligned stretch of at least `least` words, this share of them equal, with the most equal words: `(start in own, end, equal words)`, or zeros.
 
-    Word i of `own` faces word i - shift of `other`. Equal words score 1 - similarity and others
-    -similarity, so a stretch scores 0 or more just if it is similar enough; the highest score wins.
+    Word i of `own` faces word i - shift of `other`. Equal words count 1 - similarity and others
+    -similarity, so a stretch is similar enough just if its sum is 0 or more. For every end, the first
+    start with such a sum leaves the most equal words. Words at the ends that differ are dropped as far as `least` allows.
     """
     low, high = max(0, shift), min(len(own), len(other) + shift)
-    if high <= low:
+    if high - low < least:
         return 0, 0, 0
     same = own[low:high] == other[low - shift : high - shift]
-    run = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity))])
-    least = np.minimum.accumulate(run)
-    end = int(np.argmax(run - least))
-    start = int(np.argmin(run[: end + 1]))
-    return low + start, low + end, int(same[start:end].sum())
+    ends = np.arange(len(same) + 1)
+    # The small slope keeps rounding from losing stretches with exactly this share.
+    run = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity))]) + 1e-9 * ends
+    first = np.searchsorted(-np.minimum.accumulate(run), -run, side="left")
+    hits = np.concatenate([[0], np.cumsum(same)])
+    equal = np.where(ends - first >= least, hits - hits[first], 0)
+    end = int(np.argmax(equal))
+    if not equal[end]:
+        return 0, 0, 0
+    start = int(first[end])
+    start = max(start, min(start + int(np.argmax(same[start:end])), end - least))
+    return low + start, low + end, int(equal[end])
 
 
 def _bench_words(batches):
@@ -92,7 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
     is shorter), `similarity` of them equal; start and end count the text's words. Words are
     runs of letters and digits, A-Z lower-cased. Candidates share the hash of a mask's words;
     every candidate alignment is verified on all its words. Items shorter than a mask are
-    looked up by all their words. A pair has one row, its longest stretch in equal words; of items
+    looked up by all their words. A pair has one row, the stretch with the most equal words; of items
     with equal words the smallest identifier stands for all.
 
     Hashes are joined, not broadcast: a bit set of fixed size keeps unmatched ones out of the
@@ -159,8 +167,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
             out = {"doc_id": [], "item_id": [], "start": [], "end": [], "equal": []}
             for row in range(batch.num_rows):
                 own, other = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.uint64) for c in ("words", "other"))
-                best = max((overlap(own, other, s, similarity) for s in sorted(batch.column("shifts")[row].as_py())), key=lambda x: x[2])
-                if best[1] - best[0] >= min(least, len(other)):
+                need = min(least, len(other))
+                best = max((overlap(own, other, s, similarity, need) for s in sorted(batch.column("shifts")[row].as_py())), key=lambda x: x[2])
+                if best[2]:
                     for key, value in zip(out, (batch.column("doc_id")[row].as_py(), batch.column("item")[row].as_py(), *best), strict=True):
                         out[key].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from chartspark.llm import decontamination as D
@@ -89,3 +90,50 @@ def test_clean_documents_stay(spark, data):
 def test_empty_tables(spark, data):
     docs, bench = (spark.createDataFrame(x, s) for x, s in zip(data, (DOCS, BENCH), strict=True))
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def every_stretch(own, other, shift, least, similarity):
+    """Most equal words of any aligned stretch of `least` words or more, by trying all of them; 0 if there is none."""
+    low, high = max(0, shift), min(len(own), len(other) + shift)
+    same = [own[p] == other[p - shift] for p in range(low, high)]
+    return max((sum(same[a:b]) for a in range(len(same)) for b in range(a + least, len(same) + 1) if sum(same[a:b]) >= similarity * (b - a) - 1e-9), default=0)
+
+
+def test_overlap_against_every_stretch():
+    rng = random.Random(4)
+    for _ in range(1500):
+        n, extra = rng.randint(1, 40), rng.randint(0, 6)
+        other = np.array([rng.randrange(1000) for _ in range(n)], dtype=np.uint64)
+        inner = other.copy()
+        for k in rng.sample(range(n), rng.randint(0, n // 3)):
+            inner[k] = 5000
+        own = np.concatenate([np.array([rng.randrange(2000, 3000) for _ in range(extra)], dtype=np.uint64), inner[rng.randint(0, 3) :]])
+        shift, least = extra - rng.randint(0, 3), min(13, n)
+        start, end, equal = D.overlap(own, other, shift, 0.8, least)
+        assert equal == every_stretch(own, other, shift, least, 0.8)
+        if equal:
+            assert end - start >= least and equal >= 0.8 * (end - start) - 1e-9
+            assert equal == sum(own[p] == other[p - shift] for p in range(start, end))
+
+
+def test_substitutions_spread_over_the_passage_are_found(spark):
+    item = [f"q{i}" for i in range(30)]
+    docs = []
+    for i, (n, places) in enumerate([(13, [6]), (13, [4, 9]), (15, [4, 9, 14]), (20, [3, 8, 13, 18]), (30, [4, 9, 14, 19, 24, 29]), (20, [2, 5, 8, 11, 14, 17]), (10, [])]):
+        docs.append((i, " ".join(["before"] * 7 + ["zz" if k in places else w for k, w in enumerate(item[:n])] + ["after"] * 7), None, None, None))
+    got = D.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item), None)], BENCH)).collect()
+    assert sorted((r.doc_id, r.equal) for r in got) == [(0, 12), (1, 11), (2, 12), (3, 16), (4, 24)]
+
+
+def test_pairs_against_every_stretch(spark, data):
+    """Items of 13 words or more: no seed is asked for, as a fifth of substituted words always leaves one."""
+    docs, bench = data
+    got = D.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, BENCH)).collect()
+    want = []
+    for d, t, *_ in docs:
+        own = words(t)
+        for i, b, *_ in bench[:4] if d != 102 else []:
+            other = words(b)
+            if most := max((every_stretch(own, other, s, 13, 0.8) for s in range(-len(other) + 1, len(own))), default=0):
+                want.append((str(d), i, most))
+    assert sorted((str(r.doc_id), r.item_id, r.equal) for r in got if r.doc_id != 102 and r.item_id < 4) == sorted(want)
