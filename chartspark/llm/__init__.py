@@ -9,6 +9,7 @@ from chartspark.llm.registry import QUERIES, SQL
 
 MODULES = [
     "simhash", "lattice", "packing", "chat", "secrets", "toxicity", "personal", "decontamination", "passages", "neighbours",
+    "exact", "middle", "resampling",
 ]
 
 for _module in MODULES:
