@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -42,7 +43,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("_t")), convert, "doc_id long, fp long")
 
 
-def plan_levels(sample: np.ndarray, count: int, leaf: int, seed: int = 7) -> list[tuple[int, int, int]]:
+def plan_levels(sample: np.ndarray, depth: int, seed: int = 7) -> list[tuple[int, int, int]]:
     """Levels of the tree as (mask, vantage, threshold).
 
     Level i measures the Hamming distance to its vantage point on its own block of bits, and
@@ -50,7 +51,7 @@ def plan_levels(sample: np.ndarray, count: int, leaf: int, seed: int = 7) -> lis
     bounds of all levels add up: two fingerprints within r bits differ by at most r over all
     levels together, and a query needs only the leaves whose crossed boundaries cost r in sum.
     """
-    depth = min(BITS // 2, max(0, math.ceil(math.log2(max(1, count) / leaf)))) if len(sample) else 0
+    depth = min(BITS // 2, depth) if len(sample) else 0
     if not depth:
         return []
     rng = np.random.default_rng(seed)
@@ -68,12 +69,11 @@ def plan_levels(sample: np.ndarray, count: int, leaf: int, seed: int = 7) -> lis
     return levels
 
 
-def shards_of(fps: np.ndarray, levels: list[tuple[int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home): each fingerprint's own leaf and every smaller one that its ball meets.
+def balls(fps: np.ndarray, levels: list[tuple[int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, own leaf): every leaf that a fingerprint's ball meets.
 
     Crossing a level's boundary costs the distance left to it; crossings are added level by
-    level as long as their sum fits into the radius. Of two leaves that see the same pair, only
-    the smaller one is queried.
+    level as long as their sum fits into the radius.
     """
     rows, flips, spent = np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64), np.zeros(len(fps), dtype=np.int64)
     code = np.zeros(len(fps), dtype=np.int64)
@@ -84,9 +84,14 @@ def shards_of(fps: np.ndarray, levels: list[tuple[int, int, int]], radius: int)
         more = np.flatnonzero(spent + cost[rows] <= radius)
         rows, flips, spent = (np.concatenate(x) for x in (
             (rows, rows[more]), (flips, flips[more] | 1 << i), (spent, spent[more] + cost[rows[more]])))
-    leaf = code[rows] ^ flips
-    keep = leaf <= code[rows]
-    return rows[keep], leaf[keep], flips[keep] == 0
+    return rows, code[rows] ^ flips, code[rows]
+
+
+def shards_of(fps: np.ndarray, levels: list[tuple[int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): each fingerprint's own leaf and every smaller one that its ball meets. Of two leaves that see the same pair, only the smaller one is queried."""
+    rows, leaf, own = balls(fps, levels, radius)
+    keep = leaf <= own
+    return rows[keep], leaf[keep], leaf[keep] == own[keep]
 
 
 def with_shards(points: DataFrame, levels: list[tuple[int, int, int]], radius: int) -> DataFrame:
@@ -105,20 +110,45 @@ def with_shards(points: DataFrame, levels: list[tuple[int, int, int]], radius: i
     return points.select("fp").mapInArrow(each, "leaf long, fp long, home boolean")
 
 
-def linked_fingerprints(points: DataFrame, radius: int = 2, leaf: int = 1024, block: int = 2048, sample: int = 4096) -> DataFrame:
+def pairs_within(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, point) pairs of places within `radius` bits, by a tree of the points' own: a cell's work grows little faster than its size."""
+    levels = plan_levels(points[:: max(1, len(points) // 2048)], max(0, math.ceil(math.log2(max(1, len(points)) / leaf))))
+    zero = np.zeros(len(points), dtype=np.int64)
+    home = balls(points, levels, -1)[2] if levels else zero
+    by_leaf = np.argsort(home, kind="stable")
+    leaves, first = np.unique(home[by_leaf], return_index=True)
+    first = np.append(first, len(points))
+    for start in range(0, len(queries), 1 << 15):
+        rows, met, _ = balls(queries[start : start + (1 << 15)], levels, radius)
+        order = np.argsort(met, kind="stable")
+        rows, met = rows[order] + start, met[order]
+        for k, one in enumerate(leaves):
+            own, asked = by_leaf[first[k] : first[k + 1]], rows[np.searchsorted(met, one) : np.searchsorted(met, one, side="right")]
+            for a in range(0, len(asked), 512):
+                for b in range(0, len(own), 1 << 14):
+                    part = own[b : b + (1 << 14)]
+                    i, j = np.nonzero(np.bitwise_count(queries[asked[a : a + 512], None] ^ points[None, part]) <= radius)
+                    yield asked[a + i], part[j]
+
+
+def linked_fingerprints(points: DataFrame, radius: int = 2, leaf: int = 1 << 15, cell: int = 1 << 30, sample: int = 4096) -> DataFrame:
     """Edges `(a, b)` whose components are exactly those of all pairs of fingerprints within `radius` bits.
 
-    `points(fp)` holds distinct fingerprints. Leaves with more than `block` points or queries
-    are cut into a grid of cells, so no task holds a whole hot leaf, and a cell returns a
-    spanning forest of the pairs it verified, not the pairs.
+    `points(fp)` holds distinct fingerprints. The shared tree has 16 leaves at least and goes on until a leaf has
+    about `leaf` points; below it every cell searches a tree of its own, so a query goes to few places however
+    large the table is. Leaves with more than `cell` pairs of point and query are cut into a grid of cells, so no
+    task holds a whole hot leaf, and a cell returns a spanning forest of the pairs it verified, not the pairs.
     """
     count = points.count()
     some = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    levels = plan_levels(np.array([r.fp for r in some], dtype=np.int64).view(np.uint64), count, leaf)
+    depth = max(4, math.ceil(math.log2(max(1, count) / leaf))) if count > 16 else 0
+    levels = plan_levels(np.array([r.fp for r in some], dtype=np.int64).view(np.uint64), depth)
     shards = stored(with_shards(points, levels, radius), "simhash-shards")
-    sizes = shards.groupBy("leaf").agg(
-        F.ceil(F.sum(F.col("home").cast("long")) / block).cast("int").alias("_h"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_q"))
-    sized = shards.join(sizes, "leaf").where(F.col("_h") > 0)
+    sizes = shards.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("_p"), F.count(F.lit(1)).alias("_a"))
+    # Both sides are cut into pieces of about the root of `cell`, unless one is smaller than that.
+    side = math.isqrt(cell)
+    pieces = lambda n, other: F.ceil(F.col(n) / F.greatest(F.lit(side), F.lit(cell) / F.greatest(F.col(other), F.lit(1)))).cast("int")
+    sized = shards.join(sizes.select("leaf", pieces("_p", "_a").alias("_h"), pieces("_a", "_p").alias("_q")), "leaf").where(F.col("_h") > 0)
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     asked = sized.select("leaf", "fp", F.explode(spread("_h")).alias("hb"), mine("_q").alias("qb"), F.lit(False).alias("home"))
@@ -131,22 +161,31 @@ def linked_fingerprints(points: DataFrame, radius: int = 2, leaf: int = 1024, bl
         points, queries = fp[home].view(np.uint64), fp[~home].view(np.uint64)
         every, place = np.unique(np.concatenate([points, queries]), return_inverse=True)
         h, q = place[: len(points)], place[len(points) :]
-        label, pairs = np.arange(len(every)), []
-        for at in range(0, len(queries), 256):
-            i, j = np.nonzero(np.bitwise_count(queries[at : at + 256, None] ^ points[None, :]) <= radius)
-            u, v = q[at + i], h[j]
-            keep = u != v
-            pairs.append((u[keep].astype(np.int32), v[keep].astype(np.int32)))
-        u, v = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-        while True:
-            low = np.minimum(label[u], label[v])
-            new = label.copy()
-            np.minimum.at(new, u, low)
-            np.minimum.at(new, v, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        label, held, size = np.arange(len(every)), [], 0
+
+        def joined(pairs):
+            """Labels after the pairs: the smallest place of each component."""
+            nonlocal label
+            u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            while True:
+                low = np.minimum(label[u], label[v])
+                new = label.copy()
+                for end in (u, v, label[u], label[v]):
+                    np.minimum.at(new, end, low)
+                new = new[new]
+                if (new == label).all():
+                    return
+                label = new
+
+        for i, j in pairs_within(points, queries, radius):
+            keep = label[q[i]] != label[h[j]]
+            held.append((q[i[keep]], h[j[keep]]))
+            size += len(held[-1][0])
+            if size > 1 << 20:
+                joined(held)
+                held, size = [], 0
+        if size:
+            joined(held)
         moved = np.flatnonzero(label != np.arange(len(every)))
         return pa.table({"a": every[moved].view(np.int64), "b": every[label[moved]].view(np.int64)})
 

@@ -62,8 +62,8 @@ def test_tree_with_many_levels_and_cells_loses_no_link(spark):
     flips = [b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 4), replace=False))) for b in base[:60] for _ in range(4)]
     fps = sorted({int(x) for x in [*base, *flips, 0, 1, 3, 7, 2**64 - 1]})
     points = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    for leaf, block in ((8, 16), (10_000, 50)):
-        edges = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in simhash.linked_fingerprints(points, leaf=leaf, block=block).collect()]
+    for leaf, cell in ((8, 16 * 16), (10_000, 20 * 20), (10_000, 1 << 30)):
+        edges = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in simhash.linked_fingerprints(points, leaf=leaf, cell=cell).collect()]
         assert all(bin(a ^ b).count("1") <= 2 * 2 * len(fps) and a != b for a, b in edges)
         group = {f: f for f in fps}
 
@@ -78,6 +78,16 @@ def test_tree_with_many_levels_and_cells_loses_no_link(spark):
         assert {f: find(f) for f in fps} == {f: want[f, f] for f in fps}
 
 
+@pytest.mark.parametrize("leaf", [4, 100_000])
+def test_the_tree_of_a_cell_finds_all_pairs(leaf):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    points = np.unique(np.concatenate([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 6)]))
+    queries = np.concatenate([base, points[::3]])
+    got = {(int(i), int(j)) for a, b in simhash.pairs_within(points, queries, 2, leaf) for i, j in zip(a, b, strict=True)}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(queries[:, None] ^ points[None, :]) <= 2), strict=True)}
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
