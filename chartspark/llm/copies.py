@@ -1,21 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through the first hashes of each text in a common order."""
+"""Near copies by exact Jaccard similarity of word shingles, found through a SimHash tree and banded min-hashes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartspark.llm import textarrays
-from chartspark.llm.common import stored, text_bytes
+from chartspark.llm import simhash, textarrays
+from chartspark.llm.common import fresh, stored, text_bytes
 from chartspark.llm.components import components
 
 #: Longs of a text's parity signature.
 LONGS = 8
-#: Hashes among the keys of so many rows count as frequent; a bit set of 2 ** FILTER_BITS bits holds them.
-FREQUENT, FILTER_BITS = 8, 24
+#: Bytes of text whose sets are held at once; they take some 60 times as much.
+HELD = 1 << 19
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -28,72 +27,60 @@ def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """Two sets this similar share one of so many first hashes of each: the others are too few for the overlap."""
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-
-
 def _parity(own: np.ndarray) -> np.ndarray:
     """Parity of the hashes that fall on each of the signature's bits: every bit in which two signatures differ is a hash that only one set has."""
     bits = np.bincount((own >> np.uint64(8)).astype(np.int64) & (64 * LONGS - 1), minlength=64 * LONGS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _place(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
+def _print(own: np.ndarray) -> int:
+    """SimHash of a set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(own), 1 << 15):
+        ones += np.unpackbits(own[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)[0])
 
-def _frequent(rows: DataFrame, shingle: int, similarity: float) -> np.ndarray:
-    """Packed bit set, 2 MB, of the hashes that are among the smallest ones of many texts."""
 
-    def keys(batches):
-        for batch in batches:
-            for _, part in textarrays.chunks(batch.column("_t")):
-                found = [s[: prefix_length(len(s), similarity)] for s in shingle_sets(part, shingle)]
-                yield pa.RecordBatch.from_pydict({"key": np.concatenate(found).view(np.int64)})
-
-    def fill(batches):
-        flags = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
-            flags[_place(batch.column(0).to_numpy().view(np.uint64))] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(flags).tobytes()], type=pa.binary())})
+def band_keys(sets: list[np.ndarray], bands: int, width: int) -> np.ndarray:
+    """A row of `bands` keys for each set, which must not be empty: each stands for the sets' minima under `width` hash functions."""
+    flat, first = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    keys = np.zeros((len(sets), bands), dtype=np.uint64)
+    for band in range(bands):
+        total = np.full(len(sets), np.uint64(band + 1))
+        for f in range(width):
+            total = total * textarrays.FACTOR + np.minimum.reduceat(textarrays.with_seed(flat, band * width + f), first)
+        keys[:, band] = textarrays.mixed(total)
+    return keys
 
-    many = rows.select("_t").mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
-    packed = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in stored(many.select("key"), "copies-frequent").coalesce(8).mapInArrow(fill, "bits binary").collect():
-        packed |= np.frombuffer(r.bits, dtype=np.uint8)
-    return packed
 
-
-def _marked(rows: DataFrame, shingle: int, similarity: float, frequent: Broadcast) -> DataFrame:
-    """`(row, n, d0, d1, keys, s0 …)`: size of each text's set, two digests of it, its first hashes and its signature.
-
-    Hashes are ordered by their bit in `frequent` and then by value. Any order that is the same for all texts loses no pair;
-    this one keeps texts apart that have only a frequent line or passage in common.
-    """
+def _marked(rows: DataFrame, shingle: int, bands: int, width: int) -> DataFrame:
+    """`(row, n, d0, d1, fp, keys, s0 …)`: size of each text's set, two digests of it, its fingerprint, band keys and signature."""
     signs = [f"s{i}" for i in range(LONGS)]
 
     def each(batches):
-        flags = np.unpackbits(frequent.value).astype(bool)
         for batch in batches:
-            for at, part in textarrays.chunks(batch.column("_t")):
+            for at, part in textarrays.chunks(batch.column("_t"), HELD):
                 sets = shingle_sets(part, shingle)
                 sums = [[int(textarrays.with_seed(s, k).sum(dtype=np.uint64)) if len(s) else 0 for s in sets] for k in (0, 1)]
                 signature = np.array([_parity(s) for s in sets], dtype=np.int64).reshape(-1, LONGS)
-                last = [flags[_place(s)] for s in sets]
-                keys = [np.concatenate([s[~f], s[f]])[: prefix_length(len(s), similarity)].view(np.int64) for s, f in zip(sets, last, strict=True)]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                keys: list = [[]] * len(sets)
+                if full:
+                    for i, own in zip(full, band_keys([sets[i] for i in full], bands, width).view(np.int64), strict=True):
+                        keys[i] = own
                 yield pa.RecordBatch.from_arrays([
                     batch.column("row").slice(at, len(part)), pa.array([len(s) for s in sets], type=pa.int64()),
-                    *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in sums), pa.array(keys, type=pa.list_(pa.int64())),
-                    *(pa.array(signature[:, i]) for i in range(LONGS))], names=["row", "n", "d0", "d1", "keys", *signs])
+                    *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in sums), pa.array([_print(s) for s in sets], type=pa.int64()),
+                    pa.array(keys, type=pa.list_(pa.int64())), *(pa.array(signature[:, i]) for i in range(LONGS))],
+                    names=["row", "n", "d0", "d1", "fp", "keys", *signs])
 
-    return rows.select("row", "_t").mapInArrow(each, "row long, n long, d0 long, d1 long, keys array<long>, " + ", ".join(f"{s} long" for s in signs))
+    return rows.select("row", "_t").mapInArrow(each, "row long, n long, d0 long, d1 long, fp long, keys array<long>, " + ", ".join(f"{s} long" for s in signs))
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     def each(batches):
         for batch in batches:
-            for at, part in textarrays.chunks(batch.column("_t")):
+            for at, part in textarrays.chunks(batch.column("_t"), HELD):
                 held = [s.tobytes() for s in shingle_sets(part, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(part)), pa.array(held, type=pa.binary())], names=["row", "hashes"])
 
@@ -128,31 +115,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
 
 
-def near_copies(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
+def _near_prints(points: DataFrame) -> DataFrame:
+    """`(a, b)`: points whose fingerprints the vantage-point tree puts together, each with the smallest point of its own or the joined fingerprint."""
+    own = stored(points.groupBy("fp").agg(F.min("row").alias("first")), "copies-prints")
+    edges = stored(simhash.linked_fingerprints(own.select("fp")), "copies-tree")
+    equal = points.select("row", "fp").join(own, "fp").where(F.col("row") != F.col("first")).select(F.col("row").alias("a"), F.col("first").alias("b"))
+    first = lambda side: own.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_"))
+    joined = edges.join(first("a"), "a").join(first("b"), "b")
+    return equal.unionByName(joined.select(F.greatest("a_", "b_").alias("a"), F.least("a_", "b_").alias("b")))
+
+
+def near_copies(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, width: int = 5, block: int = 1024) -> DataFrame:
     """`(row, root)` for every row of `rows(row, text)`: texts are linked whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    The components are exactly those of all pairs. Texts of equal sets count as one. Any two similar texts share one of
-    their first hashes, the keys, in any common order of the hashes. First every text is compared with the smallest text of each of its keys. Then all
+    Texts of equal sets count as one. Candidates are pairs that the vantage-point tree finds within two bits of SimHash, and pairs that share
+    one of `bands` keys, each of `width` min-hashes: a pair at a similarity of exactly 0.8 shares one with probability 0.9996, a closer one sooner.
+    First every text is compared with the smallest text of each of its keys. Then all
     pairs of a key that are not yet in one component are, in blocks, unless sizes or signatures rule them out; so a
-    large group of copies costs one comparison for each member.
+    large group of copies costs one comparison for each member. Every pair is verified on its whole sets.
 
     Words are lower-cased (A-Z) and end at white space. Null and empty texts are equal. `row` must be different in every row.
     """
     texts = rows.select("row", text_bytes().alias("_t"))
-    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(texts, shingle, similarity))
-    marked = stored(_marked(texts, shingle, similarity, frequent), "copies-marked")
+    marked = stored(_marked(texts, shingle, bands, width), "copies-marked")
     signs = [f"s{i}" for i in range(LONGS)]
-    same = stored(marked.groupBy("n", "d0", "d1").agg(F.min("row").alias("point")), "copies-points")
-    points = marked.join(same.select(F.col("point").alias("row")), "row", "left_semi")
-    keyed = stored(points.select("row", F.explode("keys").alias("key")), "copies-keys")
+    same = stored(marked.groupBy("n", "d0", "d1").agg(F.min("row").alias("point"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "copies-points")
+    near = stored(_near_prints(same.where(F.col("n") > 0).select(F.col("point").alias("row"), "fp")), "copies-near")
+    keyed = stored(same.select(F.col("point").alias("row"), F.explode("keys").alias("key")), "copies-keys")
     shared = keyed.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("c")).where(F.col("low") < F.col("high"))
     members = stored(keyed.join(shared.select("key", "low", "c"), "key"), "copies-members")
-    known = stored(marked.select("row", "n", *signs).join(members.select("row").distinct(), "row", "left_semi"), "copies-known")
+    met = members.select("row").unionByName(near.select(F.col("a").alias("row"))).unionByName(near.select(F.col("b").alias("row"))).distinct()
+    known = stored(marked.select("row", "n", *signs).join(met, "row", "left_semi"), "copies-known")
 
     def of(side: str) -> DataFrame:
         return known.select(F.col("row").alias(side), F.col("n").alias(f"{side}n"), *(F.col(s).alias(f"{side}{s}") for s in signs))
 
-    stars = members.where(F.col("row") > F.col("low")).select(F.col("row").alias("a"), F.col("low").alias("b")).distinct()
+    stars = members.where(F.col("row") > F.col("low")).select(F.col("row").alias("a"), F.col("low").alias("b")).unionByName(near).distinct()
     stars = stars.join(of("a"), "a").join(of("b"), "b").where(_possible("a", "b", similarity)).select("a", "b")
     links = stored(_verified(stars, texts, shingle, similarity), "copies-links")
     roots = components(links, "copies-roots")
@@ -180,8 +178,9 @@ def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     identifier are kept if no row with one is linked to them, and then one of them stays. The
     columns are those of `docs`.
     """
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "copies-rows")
-    members = near_copies(keyed.select(F.col("_row").alias("row"), "text"), shingle, similarity).select(F.col("row").alias("_row"), "root")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    chosen = keyed.select("_row", "doc_id").join(members, "_row").groupBy("root").agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_row"))
-    return keyed.join(chosen, "_row", "left_semi").drop("_row")
+    name = fresh(docs.columns, "_row")
+    keyed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "copies-rows")
+    members = near_copies(keyed.select(F.col(name).alias("row"), "text"), shingle, similarity)
+    rows = keyed.select(F.col(name).alias("row"), "doc_id").join(members, "row")
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(name))
+    return keyed.join(chosen, name, "left_semi").select(*docs.columns)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.llm import textarrays
-from chartspark.llm.common import stored, table, text_bytes
+from chartspark.llm.common import fresh, stored, table, text_bytes
 from chartspark.llm.registry import query
 
 #: Positions that count (1) and positions whose word may differ (0). Two substitutions among any 15 words leave one mask intact.
@@ -20,6 +22,16 @@ def _taken(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def short_masks(n: int, similarity: float) -> list[str]:
+    """Masks over a whole item of `n` words: one of them keeps none of the words that differ, whichever those are.
+
+    As many words may differ as `similarity` allows; the item is cut into three blocks more than that, and each mask leaves so many blocks out.
+    """
+    differ = min(n - 1, int((1 - similarity) * n + 1e-9))
+    blocks = np.array_split(np.arange(n), min(n, differ + 3))
+    return ["".join("0" if any(k in blocks[b] for b in out) else "1" for k in range(n)) for out in combinations(range(len(blocks)), differ)]
+
+
 def seed_hashes(words: textarrays.Words, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
     """(position of the first word, hash of the words that the mask keeps), for every place that lies within one text."""
     n = len(words.hashes) - len(mask) + 1
@@ -99,8 +111,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
     An overlap is an aligned stretch of at least `least` words (of the whole item, if that
     is shorter), `similarity` of them equal; start and end count the text's words. Words are
     runs of letters and digits, A-Z lower-cased. Candidates share the hash of a mask's words;
-    every candidate alignment is verified on all its words. Items shorter than a mask are
-    looked up by all their words. A pair has one row, the stretch with the most equal words; of items
+    every candidate alignment is verified on all its words. Items of fewer than `least` words have masks
+    as long as they are, which miss no similar alignment. A pair has one row, the stretch with the most equal words; of items
     with equal words the smallest identifier stands for all.
 
     Hashes are joined, not broadcast: a bit set of fixed size keeps unmatched ones out of the
@@ -111,16 +123,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
     masks = MASKS if masks is None else masks
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("_t")).mapInArrow(_bench_words, "item_id long, words binary")
     items = stored(items.groupBy("words").agg(F.min("item_id").alias("item_id")).where(F.length("words") > 0), "bench-items")
-    shortest = max(map(len, masks))
-    lengths = [r.n for r in items.select((F.length("words") / 8).cast("int").alias("n")).where(F.col("n") < shortest).distinct().collect()]
-    used = list(enumerate(masks)) + [(100 + n, "1" * n) for n in sorted(lengths)]
+    lengths = [r.n for r in items.select((F.length("words") / 8).cast("int").alias("n")).where(F.col("n") < least).distinct().collect()]
+    used = list(enumerate(masks)) + [(100 * n + i, mask) for n in sorted(lengths) for i, mask in enumerate(short_masks(n, similarity), 1)]
 
     def seeds(batches):
         for batch in batches:
             for item, data in zip(batch.column("item_id"), batch.column("words"), strict=True):
                 words = _as_words(data.as_py())
                 for number, mask in used:
-                    if number >= 100 and len(mask) != len(words.hashes):
+                    if (len(words.hashes) < least) != (number >= 100) or number >= 100 and len(mask) != len(words.hashes):
                         continue
                     place, h = seed_hashes(words, mask, number)
                     yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "item": pa.array([item.as_py()] * len(h), type=pa.int64()), "at": place.astype(np.int32)})
@@ -179,9 +190,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of `docs` whose text overlaps no benchmark item; columns as they are."""
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "bench-rows")
-    found = contaminated(keyed.drop("doc_id").withColumnRenamed("_row", "doc_id"), benchmark)
-    return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    name = fresh(docs.columns, "_row")
+    keyed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "bench-rows")
+    found = contaminated(keyed.select(F.col(name).alias("doc_id"), "text"), benchmark)
+    return keyed.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(*docs.columns)
 
 
 @query("op4_spaced_seed_decontamination")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.llm import textarrays
-from chartspark.llm.common import map_rows, row_numbers, stored, table, text_bytes
+from chartspark.llm.common import fresh, map_rows, row_numbers, stored, table, text_bytes
 from chartspark.llm.registry import query
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -221,13 +221,15 @@ def masked_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask(docs: DataFrame) -> DataFrame:
     """`docs` with personal data replaced by its kind in brackets; n_chars, if there is one, follows the text. Null texts stay null."""
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "personal-rows")
-    found = extract(keyed, "_row").select(F.col("doc_id").alias("_row"), F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("_spans"))
-    joined = keyed.join(found.where(F.size("_spans") > 0), "_row", "left").drop("_row")
+    name, place = fresh(docs.columns, "_row"), fresh(docs.columns, "_spans")
+    keyed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "personal-rows")
+    found = extract(keyed.select(F.col(name).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias(name), F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).alias(place))
+    joined = keyed.join(found.where(F.size(place) > 0), name, "left").drop(name)
 
     def convert(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
-            spans = row.pop("_spans")
+            spans = row.pop(place)
             if spans:
                 row["text"] = masked_text(row["text"], [tuple(s.values()) for s in spans])
                 if isinstance(row.get("n_chars"), int):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm.common import map_rows, stored, table, text_bytes
+from chartspark.llm.common import fresh, map_rows, stored, table, text_bytes
 from chartspark.llm.components import components
 from chartspark.llm.registry import query
 
@@ -216,12 +216,12 @@ def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     identifier are kept if no row with one is linked to them, and then one of them stays. The
     columns are those of `docs`.
     """
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    marked = near_duplicates(keyed, "_row", "text", radius)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    members = marked.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    chosen = keyed.select("_row", "doc_id").join(members, "_row").groupBy("_group").agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_row"))
-    return keyed.join(chosen, "_row", "left_semi").drop("_row")
+    name = fresh(docs.columns, "_row")
+    keyed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "simhash-rows")
+    groups = near_duplicates(keyed.select(F.col(name).alias("row"), "text"), "row", "text", radius).select(F.col("doc_id").alias("row"), "component_id")
+    rows = keyed.select(F.col(name).alias("row"), "doc_id").join(groups, "row")
+    chosen = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(name))
+    return keyed.join(chosen, name, "left_semi").select(*docs.columns)
 
 
 @query("op8_simhash_neardup")

@@ -7,9 +7,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartspark.llm import textarrays
-from chartspark.llm.common import crc_of_id, table, text_bytes
+from chartspark.llm.common import crc_of_id, stored, table, text_bytes
 from chartspark.llm.registry import query
 
 #: Terms of one list stand for groups of people and may be swapped for one another.
@@ -127,12 +128,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, size: int =
     `support` of them) become features, so the driver holds a bounded model and sample. Every
     sampled text that names a group is paired with its swapped text, and score differences of such
     pairs are penalised. Unlabelled texts, null labels and identifiers are left out; an identifier
-    with several labels is toxic if one says so. Without a labelled text all scores are 0.
+    with several labels is toxic if one says so, and of its rows the smallest text counts. Without a labelled text all scores are 0.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", text_bytes().alias("_t")).join(F.broadcast(drawn), "doc_id").select("doc_id", "_t", F.col("toxic").cast("int").alias("toxic"))
+    texts = stored(docs.select("doc_id", text_bytes().alias("_t")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(
+        F.min("_t").alias("_t"), F.max("toxic").cast("int").alias("toxic")), "toxicity-sample")
 
     def tally(batches):
         for batch in batches:
@@ -174,21 +176,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, size: int =
     return Model(chosen, *_fit(rows, len(chosen), counterfactual, sparsity))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with a column `score` from 0 to 1. Whole texts are read; null and empty ones get the score of no word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != "score"]
-    kept = docs.select(*columns, text_bytes(text).alias("_t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with a column `out` from 0 to 1. Whole texts are read; null and empty ones get the score of no word.
+
+    All columns go through the task once; a column of `docs` that is named `out` already is an error.
+    """
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"column {out} exists")
+    shared, columns, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.columns.index(text)
 
     def each(batches):
         model = shared.value
         for batch in batches:
-            texts = batch.column("_t")
+            texts = batch.column(place).cast(pa.binary())
             scores = np.concatenate([model.scores(part) for _, part in textarrays.chunks(texts)]) if len(texts) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(scores, type=pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*columns, out])
 
-    return kept.mapInArrow(each, f"{schema}, score double")
+    return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 @query("op2_counterfactual_toxicity")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chartspark.llm import decontamination as D
 
@@ -14,7 +15,7 @@ def words(text):
 
 
 def plain_pairs(docs, bench, least=13, similarity=0.8):
-    """All alignments of all pairs; those that share no seed are left out, as the operator leaves them."""
+    """All alignments of all pairs, every stretch of each; of longer items, alignments that share no seed are left out, as the operator leaves them."""
     items = {}
     for i, t, *_ in bench:
         w = tuple(words(t))
@@ -24,25 +25,16 @@ def plain_pairs(docs, bench, least=13, similarity=0.8):
     for d, t, *_ in docs:
         own = words(t)
         for other, i in items.items():
-            best = (0, 0, 0)
-            masks = D.MASKS + (["1" * len(other)] if len(other) < max(map(len, D.MASKS)) else [])
+            most = 0
             for shift in range(-len(other) + 1, len(own)):
                 same = [own[p] == other[p - shift] if 0 <= p - shift < len(other) else False for p in range(len(own))]
-                seeded = any(all(0 <= p + k < len(own) and same[p + k] for k in D._taken(m)) and max(0, shift) <= p and p + len(m) <= min(len(own), len(other) + shift)
-                             for m in masks for p in range(len(own)))
-                if not seeded:
-                    continue
-                low, high, top = max(0, shift), min(len(own), len(other) + shift), None
-                for a in range(low, high):
-                    total = 0.0
-                    for b in range(a, high):
-                        total += (1 - similarity) if same[b] else -similarity
-                        if top is None or total > top[0] + 1e-9:
-                            top = (total, a, b + 1)
-                if top and (e := sum(same[top[1] : top[2]])) > best[2]:
-                    best = (top[1], top[2], e)
-            if best[1] - best[0] >= min(least, len(other)) and best[2]:
-                out.append((str(d), i, best[2]))
+                seeded = len(other) < least or any(
+                    all(same[p + k] for k in D._taken(m)) and max(0, shift) <= p and p + len(m) <= min(len(own), len(other) + shift)
+                    for m in D.MASKS for p in range(len(own) - len(m) + 1))
+                if seeded:
+                    most = max(most, every_stretch(own, other, shift, min(least, len(other)), similarity))
+            if most:
+                out.append((str(d), i, most))
     return sorted(out)
 
 
@@ -84,9 +76,25 @@ def test_clean_documents_stay(spark, data):
     kept = D.keep_clean(frame, spark.createDataFrame(bench[:4], BENCH))
     bad = {d for d, _, _ in plain_pairs([d for d in docs if d[0] != 102], bench[:4])}
     assert kept.columns == frame.columns
+    clash = frame.withColumn("_row", F.lit("mine"))
+    assert {r._row for r in D.keep_clean(clash, spark.createDataFrame(bench[:4], BENCH)).collect()} == {"mine"}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if str(d[0]) not in bad)
 
 
+@pytest.mark.parametrize("n", range(1, 13))
+def test_short_items_are_found_whatever_words_differ(spark, n):
+    rng = random.Random(n)
+    bench = [(i, " ".join(f"q{i}x{k}" for k in range(n)), None) for i in range(20)]
+    docs = []
+    for i in range(20):
+        item = bench[i][1].split()
+        for k in rng.sample(range(n), int(0.2 * n + 1e-9)):
+            item[k] = "zz"
+        docs.append((i, " ".join(["before", *item, "after"]), None, None, None))
+    got = D.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, BENCH)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(20)]
+
+
 def test_empty_tables(spark, data):
     docs, bench = (spark.createDataFrame(x, s) for x, s in zip(data, (DOCS, BENCH), strict=True))
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0

@@ -8,8 +8,8 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline
 from chartspark.llm import packing, personal
+from test_copies import plain_roots
 from test_decontamination import plain_pairs
-from test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,7 +39,7 @@ def test_toxic_documents_go(stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = stages[1]
-    root = plain_components([(r["doc_id"], plain_fingerprint(r["text"])) for r in before], 2)
+    root = plain_roots([(r["doc_id"], r["text"]) for r in before])
     assert sorted(r["doc_id"] for r in after) == sorted(set(root.values()))
 
 
@@ -78,3 +78,26 @@ def test_all_tokens_are_packed(stages):
 def test_run_gives_the_last_stage_s_rows(stages, spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() == len(stages[-1][1])
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_rows_and_clashing_columns(spark, stage):
+    """Null and empty texts, repeated rows, null identifiers and columns named like the stages' own stay as they are."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(5000, None), (5001, ""), (None, "alone here"), (5002, " \n"), (5003, "twice said"), (5003, "twice said")], "doc_id long, text string")
+    docs = docs.unionByName(odd.select("doc_id", "text", *(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes[2:])))
+    names = ["_row", "score", "_t", "row", "root", "key", "_spans", "_score", "length"]
+    docs = docs.withColumns({n: F.lit(7.0) for n in names})
+    got = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    if stage < 4:
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        rows = got.collect()
+        assert all(r[n] == 7.0 for r in rows for n in names)
+        assert 0 < len(rows) <= docs.count() and None in {r.doc_id for r in rows}
+        assert 5003 in {r.doc_id for r in rows} and (stage == 1 or len(rows) > 50)
+    else:
+        assert got.where("doc_id in (5000, 5001) and length = 1").count() == 2 and got.where("doc_id = 5003").count() == 2
+    empty = corpus_pipeline.STAGES[stage][1](spark, docs.limit(0), SF)
+    assert empty.count() == 0 and empty.columns == got.columns
