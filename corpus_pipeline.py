@@ -11,11 +11,16 @@ from chartspark.llm import common, copies, decontamination, packing, personal, t
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 stay. The model learns from the labelled documents among the given ones."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.drop("score"), model).where(F.col("score") < 0.7).select(*docs.columns)
+    score = common.fresh(docs.columns, "score")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < 0.7).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest identifier: a Jaccard similarity of 0.8 over five-word shingles."""
+    """One document of each group of near copies stays, that of the smallest identifier.
+
+    Candidates come from the vantage-point tree over SimHash fingerprints and from banded min-hashes; a pair counts from a Jaccard
+    similarity of 0.8 over five-word shingles.
+    """
     return copies.keep_first(docs)
 
 
