@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Arrays of a chunk take some 40 bytes for each of these.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Any odd multiplier serves; both sides of a comparison use these.
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LOWER = np.arange(256, dtype=np.uint8)

@@ -162,14 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, size: int =
         chosen, terms = shared.value
         swapper = Swapper(terms)
         for batch in batches:
-            own, other = batch.column("_t"), [swapper.swap(t.as_py()) for t in batch.column("_t")]
-            held = []
-            for texts in (own, pa.array(other, type=pa.binary())):
-                text, at = _present(texts, chosen)
-                held.append([x.tolist() for x in np.split(at, np.searchsorted(text, np.arange(1, len(texts))))] if len(texts) else [])
-            pairs = [x if o is not None else None for x, o in zip(held[1], other, strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {"own": pa.array(held[0], type=pa.list_(pa.int32())), "swapped": pa.array(pairs, type=pa.list_(pa.int32())), "toxic": batch.column("toxic")})
+            for at, own in textarrays.chunks(batch.column("_t")):
+                other, held = [swapper.swap(t.as_py()) for t in own], []
+                for some in (own, pa.array(other, type=pa.binary())):
+                    text, feature = _present(some, chosen)
+                    held.append([x.tolist() for x in np.split(feature, np.searchsorted(text, np.arange(1, len(some))))])
+                pairs = [x if o is not None else None for x, o in zip(held[1], other, strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "own": pa.array(held[0], type=pa.list_(pa.int32())), "swapped": pa.array(pairs, type=pa.list_(pa.int32())),
+                    "toxic": batch.column("toxic").slice(at, len(own))})
 
     fitted = texts.select("doc_id", "_t", "toxic").mapInArrow(lists, "own array<int>, swapped array<int>, toxic int").collect()
     rows = sorted(((r.own, r.swapped, int(r.toxic > 0)) for r in fitted), key=repr)
