@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -33,6 +34,43 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+#: Rows of a run.
+RUN = 1 << 14
+
+
+def numbered(docs: DataFrame, label: str, **more: Column) -> DataFrame:
+    """`(doc, run, place, …)`: `docs` as one column, stored with a number for every row: run and place in it.
+
+    The rows are stored in buckets by run, so what is joined to them by the run is the only side to be shuffled.
+    Columns of `more` are computed from `doc`.
+    """
+    spark, row = docs.sparkSession, F.col("row")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc", F.shiftright(row, RUN.bit_length() - 1).alias("run"), row.bitwiseAND(F.lit(RUN - 1)).cast("int").alias("place"),
+                       *(c.alias(name) for name, c in more.items()))
+    buckets, name = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), f"rows_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "run").option("path", scratch_dir(spark, label)).format("parquet").saveAsTable(name)
+    kept = spark.table(name)
+    # The frame knows its files by now; the name is of no more use, and the files stay in the scratch folder.
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
+def row_number() -> Column:
+    """The number of a row of `numbered`."""
+    return F.col("run") * RUN + F.col("place")
+
+
+def where_row(rows: DataFrame, chosen: DataFrame, stay: bool = True) -> DataFrame:
+    """Documents of `numbered` rows whose number is in `chosen(row)`, or is not. Each run gets a bitmap of its places; no text is shuffled."""
+    bit = F.expr("shiftleft(1L, cast(row & 63 as int))")
+    words = chosen.groupBy(F.shiftright("row", RUN.bit_length() - 1).alias("run"), F.shiftright(F.col("row").bitwiseAND(F.lit(RUN - 1)), 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("b"))
+    maps = words.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("_bits"))
+    joined = rows.join(stored(maps, "rows-chosen").hint("shuffle_hash"), "run", "left")
+    own = F.getbit(F.try_element_at("_bits", F.shiftright("place", 6)), F.col("place").bitwiseAND(F.lit(63)))
+    return joined.where(F.coalesce(own == 1, F.lit(False)) == F.lit(stay)).select("doc.*")
+
+
 def text_bytes(text: str | Column = "text") -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartspark.llm import simhash, textarrays
-from chartspark.llm.common import fresh, stored, text_bytes
+from chartspark.llm.common import numbered, row_number, stored, text_bytes, where_row
 from chartspark.llm.components import components
 
 #: Longs of a text's parity signature.
@@ -125,14 +125,30 @@ def _near_prints(points: DataFrame) -> DataFrame:
     return equal.unionByName(joined.select(F.greatest("a_", "b_").alias("a"), F.least("a_", "b_").alias("b")))
 
 
-def near_copies(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, width: int = 5, block: int = 1024) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels(row, root)` after `links(a, b)` between rows."""
+    ends = [labels.select(F.col("row").alias(c), F.col("root").alias(f"{c}_")) for c in ("a", "b")]
+    joined = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")), "copies-roots")
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return stored(labels.join(joined, "root", "left").select("row", F.coalesce("new", "root").alias("root")), "copies-labels")
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """`(key, row, c, root)` of the keys whose rows are not yet in one component."""
+    labelled = members.select("key", "row", "c").join(labels, "row")
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where(F.col("_l") < F.col("_h")).select("key")
+    return labelled.join(open_keys, "key")
+
+
+def near_copies(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, width: int = 5, block: int = 1024,
+                pivots: int = 3) -> DataFrame:
     """`(row, root)` for every row of `rows(row, text)`: texts are linked whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     Texts of equal sets count as one. Candidates are pairs that the vantage-point tree finds within two bits of SimHash, and pairs that share
     one of `bands` keys, each of `width` min-hashes: a pair at a similarity of exactly 0.8 shares one with probability 0.9996, a closer one sooner.
-    First every text is compared with the smallest text of each of its keys. Then all
-    pairs of a key that are not yet in one component are, in blocks, unless sizes or signatures rule them out; so a
-    large group of copies costs one comparison for each member. Every pair is verified on its whole sets.
+    First every text is compared with the smallest text of each of its keys, then `pivots` times with two texts drawn from each key that
+    is not yet in one component, and at last all pairs of such a key are compared, in blocks, unless sizes or signatures rule them out. So a
+    large group of copies costs a few comparisons for each member. Every pair is verified on its whole sets.
 
     Words are lower-cased (A-Z) and end at white space. Null and empty texts are equal. `row` must be different in every row.
     """
@@ -153,10 +169,19 @@ def near_copies(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     stars = members.where(F.col("row") > F.col("low")).select(F.col("row").alias("a"), F.col("low").alias("b")).unionByName(near).distinct()
     stars = stars.join(of("a"), "a").join(of("b"), "b").where(_possible("a", "b", similarity)).select("a", "b")
     links = stored(_verified(stars, texts, shingle, similarity), "copies-links")
-    roots = components(links, "copies-roots")
-    labelled = members.join(roots, F.col("row") == F.col("node"), "left").select("key", "row", "c", F.coalesce("root", "row").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where(F.col("_l") < F.col("_h")).select("key")
-    cells = labelled.join(open_keys, "key").join(known, "row").withColumn("_n", F.ceil(F.col("c") / block).cast("int"))
+    labels = _merged(members.select("row", F.col("row").alias("root")).distinct(), links)
+    for i in range(pivots):
+        unsettled = stored(_unsettled(members, labels), "copies-unsettled")
+        if unsettled.isEmpty():
+            break
+        order = F.xxhash64("row", "key", F.lit(i))
+        chosen = unsettled.groupBy("key").agg(*(f(c, order).alias(f"{c}{k}") for k, f in enumerate((F.min_by, F.max_by)) for c in ("row", "root")))
+        rays = unsettled.join(chosen, "key").select("row", "root", F.inline(F.array(*(F.struct(F.col(f"row{k}").alias("to"), F.col(f"root{k}").alias("to_root")) for k in (0, 1)))))
+        rays = rays.where(F.col("root") != F.col("to_root")).select(F.greatest("row", "to").alias("a"), F.least("row", "to").alias("b")).distinct()
+        rays = rays.join(of("a"), "a").join(of("b"), "b").where(_possible("a", "b", similarity)).select("a", "b")
+        more = stored(_verified(rays, texts, shingle, similarity), "copies-more")
+        links, labels = links.unionByName(more), _merged(labels, more)
+    cells = _unsettled(members, labels).join(known, "row").withColumn("_n", F.ceil(F.col("c") / block).cast("int"))
     cells = stored(cells.withColumn("_own", F.pmod(F.xxhash64("row"), F.col("_n")).cast("int")), "copies-cells")
     # A pair of blocks meets in one cell, the lower block as left side; inside a block the larger row is on the left.
     left = cells.select("key", F.col("_own").alias("x"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("y"), F.col("row").alias("a"),
@@ -178,9 +203,8 @@ def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     identifier are kept if no row with one is linked to them, and then one of them stays. The
     columns are those of `docs`.
     """
-    name = fresh(docs.columns, "_row")
-    keyed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "copies-rows")
-    members = near_copies(keyed.select(F.col(name).alias("row"), "text"), shingle, similarity)
-    rows = keyed.select(F.col(name).alias("row"), "doc_id").join(members, "row")
-    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(name))
-    return keyed.join(chosen, name, "left_semi").select(*docs.columns)
+    rows = numbered(docs, "copies-rows")
+    texts = rows.select(row_number().alias("row"), F.col("doc.doc_id").alias("own"), F.col("doc.text").alias("text"))
+    members = texts.select("row", "own").join(near_copies(texts, shingle, similarity), "row")
+    chosen = members.groupBy("root").agg(F.min(F.struct(F.col("own").isNull(), "own", "row")).alias("first"))
+    return where_row(rows, chosen.select("first.row"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.llm import textarrays
-from chartspark.llm.common import fresh, stored, table, text_bytes
+from chartspark.llm.common import numbered, row_number, stored, table, text_bytes, where_row
 from chartspark.llm.registry import query
 
 #: Positions that count (1) and positions whose word may differ (0). Two substitutions among any 15 words leave one mask intact.
@@ -190,10 +190,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of `docs` whose text overlaps no benchmark item; columns as they are."""
-    name = fresh(docs.columns, "_row")
-    keyed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "bench-rows")
-    found = contaminated(keyed.select(F.col(name).alias("doc_id"), "text"), benchmark)
-    return keyed.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(*docs.columns)
+    rows = numbered(docs, "bench-rows")
+    found = contaminated(rows.select(row_number().alias("doc_id"), F.col("doc.text").alias("text")), benchmark)
+    return where_row(rows, found.select(F.col("doc_id").alias("row")), stay=False)
 
 
 @query("op4_spaced_seed_decontamination")

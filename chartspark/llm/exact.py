@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,12 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm.common import stored, table
+from chartspark.llm.common import RUN, numbered, row_number, stored, table
 from chartspark.llm.registry import query
-from chartspark.session import scratch_dir
 
-#: Rows of a run. A run's bitmap is an array of RUN / 64 longs.
-RUN = 1 << 14
 #: Fingerprints that an owner compares, about.
 OWNED = 1 << 20
 #: Bits of a fingerprint beyond those that number the rows: one row in 2 ** SPARE is a suspect by chance.
@@ -51,22 +47,6 @@ def _edges(owners: int, bits: int) -> np.ndarray:
     return np.array([(i << bits) // owners for i in range(owners + 1)], dtype=np.int64)
 
 
-def _run_table(docs: DataFrame, digest: Callable[[Column], Column], text: str) -> DataFrame:
-    """`docs` as the column `doc`, with text, run, place in it, hash and digest, stored in buckets by run: joins on the run move no text."""
-    spark, whole = docs.sparkSession, F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select(
-        "doc", F.shiftright("row", int(math.log2(RUN))).alias("run"), F.col("row").bitwiseAND(F.lit(RUN - 1)).cast("int").alias("place"),
-        F.xxhash64(whole).alias("h"), digest(whole).alias("digest"))
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"runs_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "run").option("path", scratch_dir(spark, "exact-runs")).format("parquet").saveAsTable(name)
-    stored_rows = spark.table(name).withColumn("t", whole)
-    # The frame knows its files by now; the name is of no more use, and its files stay in the scratch folder.
-    spark.sql(f"DROP TABLE {name}")
-    return stored_rows
-
-
 def _bitmap(places: np.ndarray) -> np.ndarray:
     flags = np.zeros(RUN, dtype=np.uint8)
     flags[places] = 1
@@ -125,11 +105,12 @@ def suspect_places(runs: DataFrame, count: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, list[str]]:
     """`(rows, groups, keys)`: all rows with `suspect`, and the groups of equal texts among the suspects, to be joined on `keys`."""
-    runs = _run_table(docs, digest, text)
+    whole = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
+    runs = numbered(docs, "exact-runs", h=F.xxhash64(whole), digest=digest(whole)).withColumn("t", whole)
     marked = stored(suspect_places(runs, runs.count()), "exact-suspects")
     bit = F.getbit(F.element_at("bits", F.shiftright("place", 6) + 1), F.col("place").bitwiseAND(F.lit(63))) == 1
     rows = runs.join(marked.hint("shuffle_hash"), "run", "left").withColumn("suspect", F.col("bits").isNotNull() & F.coalesce(bit, F.lit(False))).drop("bits")
-    number, own = F.col("run") * RUN + F.col("place"), F.col(f"doc.`{doc_id}`").cast("long")
+    number, own = row_number(), F.col(f"doc.`{doc_id}`").cast("long")
     # Grouping by the text itself compares bytes; equal texts of one task are one row before they are shuffled.
     groups = rows.where("suspect").groupBy("digest", "t").agg(
         F.count(F.lit(1)).alias("size"), F.max(own).alias("keep"), F.coalesce(F.max_by(number, own), F.min(number)).alias("keep_row"))
@@ -152,7 +133,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     rows, groups, keys = _grouped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", digest)
     own = F.col("doc.doc_id").cast("long").alias("doc_id")
-    number = F.col("run") * RUN + F.col("place")
+    number = row_number()
     clean = rows.where(~F.col("suspect")).select(own, own.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     found = rows.where("suspect").join(groups, keys, "left").select(
         own, F.when(F.col("size").isNull(), own).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
@@ -163,7 +144,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that `exact_duplicates` keeps, with all their columns."""
     rows, groups, keys = _grouped(docs, doc_id, text, lambda t: F.sha2(t, 256))
-    number = F.col("run") * RUN + F.col("place")
+    number = row_number()
     found = rows.where("suspect").join(groups, keys, "left").where(F.col("size").isNull() | (F.col("keep_row") == number))
     return rows.where(~F.col("suspect")).select("doc.*").unionByName(found.select("doc.*"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.llm import textarrays
-from chartspark.llm.common import fresh, map_rows, row_numbers, stored, table, text_bytes
+from chartspark.llm.common import RUN, fresh, map_rows, numbered, row_number, row_numbers, stored, table, text_bytes
 from chartspark.llm.registry import query
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -221,11 +221,12 @@ def masked_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask(docs: DataFrame) -> DataFrame:
     """`docs` with personal data replaced by its kind in brackets; n_chars, if there is one, follows the text. Null texts stay null."""
-    name, place = fresh(docs.columns, "_row"), fresh(docs.columns, "_spans")
-    keyed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "personal-rows")
-    found = extract(keyed.select(F.col(name).alias("doc_id"), "text")).select(
-        F.col("doc_id").alias(name), F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).alias(place))
-    joined = keyed.join(found.where(F.size(place) > 0), name, "left").drop(name)
+    rows, place = numbered(docs, "personal-rows"), fresh(docs.columns, "_spans")
+    found = extract(rows.select(row_number().alias("doc_id"), F.col("doc.text").alias("text"))).where(F.size("spans") > 0).select(
+        F.shiftright("doc_id", RUN.bit_length() - 1).alias("run"), F.col("doc_id").bitwiseAND(F.lit(RUN - 1)).cast("int").alias("at"),
+        F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("s"))
+    runs = stored(found.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("_of")), "personal-runs")
+    joined = rows.join(runs.hint("shuffle_hash"), "run", "left").select("doc.*", F.try_element_at("_of", F.col("place")).alias(place))
 
     def convert(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm.common import fresh, map_rows, stored, table, text_bytes
+from chartspark.llm.common import map_rows, numbered, row_number, stored, table, text_bytes, where_row
 from chartspark.llm.components import components
 from chartspark.llm.registry import query
 
@@ -216,12 +216,11 @@ def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     identifier are kept if no row with one is linked to them, and then one of them stays. The
     columns are those of `docs`.
     """
-    name = fresh(docs.columns, "_row")
-    keyed = stored(docs.withColumn(name, F.monotonically_increasing_id()), "simhash-rows")
-    groups = near_duplicates(keyed.select(F.col(name).alias("row"), "text"), "row", "text", radius).select(F.col("doc_id").alias("row"), "component_id")
-    rows = keyed.select(F.col(name).alias("row"), "doc_id").join(groups, "row")
-    chosen = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(name))
-    return keyed.join(chosen, name, "left_semi").select(*docs.columns)
+    rows = numbered(docs, "simhash-rows")
+    texts = rows.select(row_number().alias("row"), F.col("doc.doc_id").alias("own"), F.col("doc.text").alias("text"))
+    groups = near_duplicates(texts, "row", "text", radius).select(F.col("doc_id").alias("row"), "component_id")
+    chosen = texts.select("row", "own").join(groups, "row").groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "row")).alias("first"))
+    return where_row(rows, chosen.select("first.row"))
 
 
 @query("op8_simhash_neardup")

@@ -44,9 +44,9 @@ def rows():
     return list(zip(order, texts, strict=True))
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_components_are_those_of_all_pairs(spark, rows, block):
-    got = {r.row: r.root for r in copies.near_copies(spark.createDataFrame(rows, SCHEMA), block=block).collect()}
+@pytest.mark.parametrize("block,pivots", [(1024, 3), (3, 0), (1024, 1)])
+def test_components_are_those_of_all_pairs(spark, rows, block, pivots):
+    got = {r.row: r.root for r in copies.near_copies(spark.createDataFrame(rows, SCHEMA), block=block, pivots=pivots).collect()}
     groups, want = {}, {}
     for found, out in ((got, groups), (plain_roots(rows), want)):
         for r, root in found.items():
@@ -76,3 +76,14 @@ def test_rows_without_identifier_and_empty_table(spark):
     assert sorted((str(r.doc_id), r.text) for r in copies.keep_first(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) in (
         [("5", "A b  c"), ("7", ""), ("None", "x")], [("5", "a b c"), ("7", ""), ("None", "x")])
     assert copies.keep_first(docs.limit(0)).count() == 0
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs of a similarity just over 0.8, each of texts of its own: nearly all are found."""
+    rng, texts = random.Random(6), []
+    for _ in range(400):
+        own = [f"w{rng.randrange(100_000)}" for _ in range(100)]
+        # Two words apart from each other change ten shingles of 96: 86 / 106 are equal.
+        texts += [" ".join(own), " ".join([*own[:30], "other", *own[31:60], "more", *own[61:]])]
+    got = copies.near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert sum(r.root != r.row for r in got) >= 396
