@@ -17,13 +17,13 @@ from pyspark.sql.functions import pandas_udf
 
 from chartspark.functions import prompts as pr
 from chartspark.functions.text import prompt_key, verdict
+from chartspark.operators.replies import REPLY, ask_once, in_waves
 from chartspark.operators.sampling import creativity
 from chartspark.operators.validate import LABEL_TRIES
 from chartspark.session import scratch_dir
 
 Model = Callable[[list[str]], list]
 
-REPLY = "text string, error string, input_tokens bigint, output_tokens bigint, cached_tokens bigint, cost double"
 COUNTS = ("input_tokens", "output_tokens", "cached_tokens")
 
 # Batch size, tries, seconds of back-off, rounds of refinement, tries per spec.
@@ -58,11 +58,12 @@ def _failed(error: Exception) -> dict:
     return {"text": None, "error": str(error), "cost": 0.0} | {c: 0 for c in COUNTS}
 
 
-def replies_udf(factory: Callable[[], Model], batch_size: int = BATCH, tries: int = TRIES, sleep: float = SLEEP):
+def replies_udf(factory: Callable[[], Model], batch_size: int = BATCH, tries: int = TRIES, sleep: float = SLEEP, strict: bool = False):
     """Batches keep their order. A batch that fails to the end gets null texts and its error.
 
     Only a ValueError, which blames a prompt (refused input, a wrong number of replies), makes each
-    prompt of the batch be tried alone; a dead server is not asked again for every prompt.
+    prompt of the batch be tried alone; a dead server is not asked again for every prompt. With
+    `strict`, a dead server fails the task instead.
     """
 
     def run(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -76,6 +77,8 @@ def replies_udf(factory: Callable[[], Model], batch_size: int = BATCH, tries: in
                     rows += [_row(r) for r in _ask(model, batch, tries, sleep)]
                 except Exception as whole:
                     if not isinstance(whole, ValueError):
+                        if strict:
+                            raise
                         rows += [_failed(whole)] * len(batch)
                         continue
                     for prompt in batch:
@@ -88,11 +91,18 @@ def replies_udf(factory: Callable[[], Model], batch_size: int = BATCH, tries: in
     return pandas_udf(run, REPLY).asNondeterministic()
 
 
-def score(df: DataFrame, prompt: Column, factory: Callable[[], Model], out: str = "reply", tasks: int | None = None, **options) -> DataFrame:
+def score(df: DataFrame, prompt: Column, factory: Callable[[], Model], out: str = "reply", tasks: int | None = None,
+          store: str | None = None, model: str = "", per_task: int = 1000, **options) -> DataFrame:
     """Add `out`: struct(text, error, tokens, cost). Only the prompt travels to Python.
 
-    `tasks` spreads the rows over that many tasks first, for models slower than the scan.
+    `tasks` spreads the rows over that many tasks first, for models slower than the scan. With `store`, a shared folder, replies of
+    `model` are kept there task by task and looked up first: a job that died goes on where it was, and equal prompts are asked once.
     """
+    if store:
+        def ask(rows: DataFrame) -> DataFrame:
+            return rows.select("key", replies_udf(factory, **options)(F.col("prompt")).alias("reply"))
+
+        return ask_once(df, prompt, model, store, ask, out, per_task)
     rows = df.repartition(tasks) if tasks else df
     return rows.withColumn(out, replies_udf(factory, **options)(prompt))
 
@@ -202,22 +212,29 @@ def typed_questions(df: DataFrame, questions: str, factory, rounds: int = LABEL_
 def answered(rows: DataFrame, factory, online: bool = False, order: Sequence[str] = (), **options) -> DataFrame:
     """Add `test_answer`, `answer_error` and usage for every question row.
 
-    Online rows are spread by prompt prefix and sorted inside a task, so that a server sees
+    Online rows are asked in two waves: the first question of every prompt prefix, which warms a server's cache, and when all of those are
+    stored the others (`wave` 0 and 1). They are spread by prompt prefix and sorted inside a task, so that a server sees
     the questions of one chart in a row; `order`, required then, splits a chart with very many questions.
     """
     if online and not order:
         raise ValueError("online answering needs columns that tell the questions of one chart apart")
     dataset, question, image = F.col("dataset_description"), F.col("question.question"), F.col("image")
-    if online:
-        rows = rows.withColumn("prompt_key", prompt_key(F.col("dataset_id"), image))
-        rows = rows.repartitionByRange("prompt_key", *order).sortWithinPartitions("prompt_key", *order)
-        prompt = pr.answer_online(dataset, image, question)
-    else:
-        prompt = pr.answer_offline(dataset, question)
-    scored = score(rows, prompt, factory, **options)
-    return scored.withColumns({
-        "test_answer": F.trim(pr.parsed_answer(F.col("reply.text"))), "answer_error": F.col("reply.error"), "answer_usage": F.col("reply"),
-    }).drop("reply")
+
+    def ask(part: DataFrame) -> DataFrame:
+        if online:
+            part = part.repartitionByRange("prompt_key", *order).sortWithinPartitions("prompt_key", *order)
+            prompt = pr.answer_online(dataset, image, question)
+        else:
+            prompt = pr.answer_offline(dataset, question)
+        scored = score(part, prompt, factory, **options)
+        return scored.withColumns({
+            "test_answer": F.trim(pr.parsed_answer(F.col("reply.text"))), "answer_error": F.col("reply.error"), "answer_usage": F.col("reply"),
+        }).drop("reply")
+
+    if not online:
+        return ask(rows)
+    # Rows without an image share no key, but the prefix of their data set.
+    return in_waves(rows.withColumn("prompt_key", prompt_key(F.col("dataset_id"), image)), F.to_json(F.struct("dataset_id", image.alias("image"))), order, ask, stored)
 
 
 def graded(rows: DataFrame, factory, **options) -> DataFrame:
@@ -229,10 +246,11 @@ def graded(rows: DataFrame, factory, **options) -> DataFrame:
     }).drop("reply")
 
 
-def evaluated(rows: DataFrame, answer_factory, check_factory, online: bool = False, order: Sequence[str] = (), **options) -> DataFrame:
-    """Answer all questions, store the answers, then grade them."""
-    answers = stored(answered(rows, answer_factory, online, order, **options), "answers")
-    return graded(answers, check_factory, **options)
+def evaluated(rows: DataFrame, answer_factory, check_factory, online: bool = False, order: Sequence[str] = (), store: str | None = None, **options) -> DataFrame:
+    """Answer all questions, store the answers, then grade them. With `store`, both phases go on where an earlier run died."""
+    kept = [{"store": f"{store}/{phase}"} if store else {} for phase in ("answer", "check")]
+    answers = stored(answered(rows, answer_factory, online, order, **kept[0], **options), "answers")
+    return graded(answers, check_factory, **kept[1], **options)
 
 
 def usage_rows(evaluated_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

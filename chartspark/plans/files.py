@@ -173,6 +173,24 @@ def point_lookup(spark, sf):
     return wr.lookup(spark, path, wanted)
 
 
+@register("src9_key_index", v.ctes(v.RESULTS) + """
+select 'one' as lookup, * from results_v where chart_id = (select min(chart_id) + 5 from results_v)
+union all select 'absent', * from results_v where chart_id = -1
+union all select 'many', * from results_v where chart_id in (select doc_id * 3 from documents where doc_id % 2 = 0)""")
+def key_index(spark, sf):
+    """One key, a key that no file holds, and a table of keys with repeats, nulls and keys that don't occur."""
+    path = scratch_dir(spark, "key-index")
+    results = v.results_v(spark, sf)
+    wr.write_key_index(results, path, "chart_id", ["row_id"], slots=32)
+    wanted = results.agg(F.min("chart_id") + 5).first()[0]
+    docs = v.table(spark, sf, "documents").select((F.col("doc_id") * 3).alias("chart"), F.col("doc_id") % 2 == 0)
+    keys = docs.select(F.when(docs[1], F.col("chart")).alias("chart"))
+    found = {"one": wr.lookup_key(spark, path, wanted, slots=32), "absent": wr.lookup_key(spark, path, -1, slots=32),
+             "many": wr.lookup_keys(spark, path, keys.unionByName(keys), slots=32)}
+    parts = [rows.select(F.lit(name).alias("lookup"), *results.columns) for name, rows in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register("src10_changed_files", v.ctes(v.RESULTS) + """
 select chart_id, cast(count(*) filter (where coalesce(correct, false)) as bigint) as correct,
        cast(count(*) filter (where not coalesce(correct, false)) as bigint) as incorrect from results_v group by 1""")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartspark.functions import images as im
 from chartspark.functions.taxonomy import family_by_rules
 from chartspark.operators import evaluation as ev
 from chartspark.operators import gallery as ga
+from chartspark.operators import gallery_index as gi
 from chartspark.operators import sampling as sa
 from chartspark.plans import views as v
 from chartspark.plans.registry import register
 from chartspark.plans.text import SENTENCE, rules_sql, type_text_sql
+from chartspark.session import scratch_dir
 
 
 def collection_v(spark, sf):
@@ -190,7 +195,7 @@ def quality_counts(spark, sf):
     return ga.quality_counts(collection_v(spark, sf))
 
 
-@register("agg7_facets", COLLECTION + f""", found as (select * from collection where contains({BLOB}, 'plot')),
+FACETS = COLLECTION + f""", found as (select * from collection where contains({BLOB}, 'plot')),
 bad as (select * from found where quality = 'bad')
 select 'quality' as facet, value, cast(charts as bigint) as charts from (
   select 'good' as value, count(*) filter (where quality = 'good') as charts from found where family = 'Density Plot'
@@ -198,16 +203,22 @@ select 'quality' as facet, value, cast(charts as bigint) as charts from (
   union all select 'all', count(*) from found where family = 'Density Plot') q
 union all select 'family', family, count(*) from bad group by 2
 union all select 'dataset', dataset_id, count(*) from bad
-          where family = 'Density Plot' or not exists (select 1 from bad where family = 'Density Plot') group by 2""")
+          where family = 'Density Plot' or not exists (select 1 from bad where family = 'Density Plot') group by 2"""
+
+
+@register("agg7_facets", FACETS)
 def facets(spark, sf):
     return ga.facets(collection_v(spark, sf), family="Density Plot", quality="bad", search="plot")
 
 
-@register("agg7_facets_reset", COLLECTION + """
+FACETS_RESET = COLLECTION + """
 select 'quality' as facet, 'good' as value, cast(0 as bigint) as charts union all select 'quality', 'bad', 0
 union all select 'quality', 'all', 0
 union all select 'family', family, count(*) from collection where quality = 'good' group by 2
-union all select 'dataset', dataset_id, count(*) from collection where quality = 'good' group by 2""")
+union all select 'dataset', dataset_id, count(*) from collection where quality = 'good' group by 2"""
+
+
+@register("agg7_facets_reset", FACETS_RESET)
 def facets_reset(spark, sf):
     return ga.facets(collection_v(spark, sf), family="No such family")
 
@@ -215,13 +226,16 @@ def facets_reset(spark, sf):
 SELECTIONS = [("Heatmap", "src3"), ("Heatmap", "absent"), ("No such family", "src3"), ("No such family", "absent"), ("(all)", "src3"), ("Heatmap", "(all)")]
 
 
-@register("agg7_selection", COLLECTION + """, chosen(n, f, d) as (values (0, 'Heatmap', 'src3'), (1, 'Heatmap', 'absent'), (2, 'No such family', 'src3'),
+SELECTED = COLLECTION + """, chosen(n, f, d) as (values (0, 'Heatmap', 'src3'), (1, 'Heatmap', 'absent'), (2, 'No such family', 'src3'),
   (3, 'No such family', 'absent'), (4, '(all)', 'src3'), (5, 'Heatmap', '(all)')),
 first as (select n, f, d, case when exists (select 1 from collection where quality = 'good' and (d = '(all)' or dataset_id = d) and (f = '(all)' or family = f))
   then f else '(all)' end as family from chosen)
 select cast(n as integer) as n, family,
        case when exists (select 1 from collection where quality = 'good' and (d = '(all)' or dataset_id = d) and (first.family = '(all)' or collection.family = first.family))
-       then d else '(all)' end as dataset from first""")
+       then d else '(all)' end as dataset from first"""
+
+
+@register("agg7_selection", SELECTED)
 def selection(spark, sf):
     charts, out = collection_v(spark, sf), None
     for n, (family, dataset) in enumerate(SELECTIONS):
@@ -280,3 +294,39 @@ from orders order by o_orderkey limit 25""")
 def head_json(spark, sf):
     orders = v.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     return ga.head_json(orders, ["o_orderkey"], 25)
+
+
+def indexed(spark, sf):
+    """An index of the collection in the scratch folder."""
+    path = scratch_dir(spark, "gallery-index")
+    gi.write_index(collection_v(spark, sf), path)
+    return path
+
+
+SEARCHES = [" Plot ", "the on", "q-", "7", "src3", "no such text", ""]
+
+
+@register("flt2_indexed_search", COLLECTION + " union all ".join(
+    f"select {n} as search, chart_id, family from collection where contains({BLOB}, '{term.strip().lower()}')" for n, term in enumerate(SEARCHES)))
+def indexed_search(spark, sf):
+    """Whole terms, terms of one and two characters, one that no chart holds and none at all."""
+    path = indexed(spark, sf)
+    parts = [gi.search(spark, path, term).select(F.lit(n).alias("search"), "chart_id", "family") for n, term in enumerate(SEARCHES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("agg7_indexed_facets", FACETS)
+def indexed_facets(spark, sf):
+    return gi.facets(spark, indexed(spark, sf), family="Density Plot", quality="bad", term="plot")
+
+
+@register("agg7_indexed_reset", FACETS_RESET)
+def indexed_reset(spark, sf):
+    return gi.facets(spark, indexed(spark, sf), family="No such family")
+
+
+@register("agg7_indexed_selection", SELECTED)
+def indexed_selection(spark, sf):
+    path = indexed(spark, sf)
+    rows = [gi.selection(spark, path, family, dataset).select(F.lit(n).alias("n"), "family", "dataset") for n, (family, dataset) in enumerate(SELECTIONS)]
+    return reduce(DataFrame.unionByName, rows)

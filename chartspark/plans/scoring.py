@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from chartspark.functions import prompts as pr
 from chartspark.operators import evaluation as ev
+from chartspark.operators import replies as rp
 from chartspark.operators import scoring as sc
 from chartspark.operators.columns import evaluation_rows
 from chartspark.plans import views as v
 from chartspark.plans.registry import register
+from chartspark.session import scratch_dir
 
 FAST = {"sleep": 0.0, "tries": 2}
 
@@ -334,3 +336,73 @@ def retries(spark, sf):
         return sc.score(rows, prompt, stubborn_model, **FAST).select("doc_id", "needs", F.col("reply.text").alias("outcome"))
 
     return sc.with_retries(docs, "doc_id", attempt, F.col("outcome") == "good").select("doc_id", "outcome", "attempt")
+
+
+def run_model(run: int, fails: int):
+    """A model that names its run, and that refuses texts whose length `fails` divides."""
+
+    def factory():
+        def reply(prompts):
+            if any(fails and len(p) % fails == 0 for p in prompts):
+                raise ValueError("refused")
+            return [{"text": f"{run}:{len(p)}", "input_tokens": 1} for p in prompts]
+
+        return reply
+
+    return factory
+
+
+@register("score15_resumed", """
+select conv_id, turn, case when length(text) % 3 = 0 then '2:' else '1:' end || length(text) as reply, cast(1 as bigint) as answers, true as only_open_asked
+from conversations""")
+def resumed(spark, sf):
+    """A run whose model fails for a third of the prompts, then a second run over the same store: `answers` counts the stored replies of a prompt."""
+    rows = v.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    path = scratch_dir(spark, "replies")
+    first = sc.stored(sc.score(rows, F.col("text"), run_model(1, 3), store=path, model="m", **FAST), "first")
+    answered = first.where(F.col("reply.error").isNull()).select(rp.request_key(F.col("text"), "m").alias("key")).distinct()
+    out = sc.stored(sc.score(rows, F.col("text"), run_model(2, 0), store=path, model="m", **FAST), "second")
+    kept = spark.read.parquet(path).where(F.col("reply.error").isNull())
+    counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("answers"), F.bool_or(F.col("reply.text").startswith("2:")).alias("asked_again"))
+    counts = counts.join(answered.withColumn("old", F.lit(True)), "key", "left")
+    checked = out.withColumn("key", rp.request_key(F.col("text"), "m")).join(counts, "key")
+    return checked.select("conv_id", "turn", F.col("reply.text").alias("reply"), "answers",
+                          (F.col("asked_again") != F.coalesce("old", F.lit(False))).alias("only_open_asked"))
+
+
+@register("score16_two_waves", ONLINE + """
+select graph_id, pos, test_answer, answer_error, cast(case when pos = 0 then 0 else 1 end as integer) as wave from e""")
+def two_waves(spark, sf):
+    """Every chart is a prefix of its own: its first question is asked in the first wave, the others when all of those are stored."""
+    rows = question_rows(spark, sf).withColumn("dataset_id", F.concat_ws("-", "dataset_id", "graph_id"))
+    return sc.answered(rows, answer_model, online=True, order=["pos"], **FAST).select("graph_id", "pos", "test_answer", "answer_error", "wave")
+
+
+@register("score16_prefixes", ONLINE + """
+select dataset_id, image, cast(least(count(*), 1) as bigint) as cold, cast(count(*) - 1 as bigint) as warm from e group by 1, 2""")
+def prefixes(spark, sf):
+    """One cold question for each data set and image, however many charts share them."""
+    out = sc.answered(question_rows(spark, sf), answer_model, online=True, order=["pos", "graph_id"], **FAST)
+    return out.groupBy("dataset_id", "image").agg(F.count_if(F.col("wave") == 0).alias("cold"), F.count_if(F.col("wave") == 1).alias("warm"))
+
+
+@register("score12_resumed_evaluation", ONLINE + "select graph_id, pos, test_answer, answer_error, correct from e")
+def resumed_evaluation(spark, sf):
+    """Both phases over a store: the second run reads all its replies there, as its models would answer otherwise."""
+    path = scratch_dir(spark, "evaluation")
+    rows = question_rows(spark, sf)
+    options = FAST | {"online": True, "order": ["pos", "graph_id"], "store": path}
+    sc.stored(sc.evaluated(rows, answer_model, grade_model, **options), "evaluated")
+    out = sc.evaluated(rows, other_model, other_model, **options)
+    return out.select("graph_id", "pos", "test_answer", "answer_error", "correct")
+
+
+def other_model():
+    """Refuses q3 like `answer_model`; any other prompt fails the query."""
+
+    def reply(prompts):
+        if any(p.rstrip().endswith("QUESTION:\nq3") for p in prompts):
+            raise ValueError("refused")
+        raise RuntimeError("asked twice")
+
+    return reply

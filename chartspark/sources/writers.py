@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,45 @@ def lookup(spark: SparkSession, path: str, chart_id, key: str = "chart_id") -> D
     return spark.read.parquet(path).where(F.col(key) == chart_id)
 
 
+def _slot(key: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(slots)).cast("int")
+
+
+def write_key_index(results: DataFrame, path: str, key: str, order: Sequence[str], slots: int = 256, keys: int = 1_000_000) -> None:
+    """Results in `slots` folders by a hash of the key, sorted by key in each, with Bloom filters of the key in every row group.
+
+    A look-up opens the folders of its keys only, and of their row groups those whose filter may hold one. `order` names columns that spread
+    the rows of one hot key over several tasks. `keys` is about how many keys a file holds, for the size of its filters.
+    """
+    placed = results.withColumn("slot", _slot(F.col(key), slots))
+    sorted_rows = placed.repartitionByRange("slot", key, *order).sortWithinPartitions("slot", key, *order)
+    sorted_rows.write.partitionBy("slot").option(f"parquet.bloom.filter.enabled#{key}", "true").option(
+        f"parquet.bloom.filter.expected.ndv#{key}", max(1, keys)).option("parquet.bloom.filter.adaptive.enabled", "true").mode("overwrite").parquet(path)
+
+
+def lookup_key(spark: SparkSession, path: str, value, key: str = "chart_id", slots: int = 256) -> DataFrame:
+    """Results of one chart from `write_key_index`: one folder, and row groups whose filter may hold the key."""
+    rows = spark.read.parquet(path)
+    typed = F.lit(value).cast(rows.schema[key].dataType)
+    return rows.where((F.col("slot") == _slot(typed, slots)) & (F.col(key) == typed)).drop("slot")
+
+
+def lookup_keys(spark: SparkSession, path: str, keys: DataFrame, key: str = "chart_id", slots: int = 256) -> DataFrame:
+    """Results of all charts listed in the first column of `keys`, over all models, each once however often it is listed.
+
+    The keys' slots, at most `slots` numbers, are found first: other folders are not opened. Up to ten keys are compared in the scan as well,
+    where the filters skip row groups; more are joined. A null key finds nothing.
+    """
+    rows = spark.read.parquet(path)
+    wanted = keys.select(F.col(f"`{keys.columns[0]}`").cast(rows.schema[key].dataType).alias(key)).where(F.col(key).isNotNull()).distinct()
+    wanted = wanted.withColumn("slot", _slot(F.col(key), slots))
+    opened = rows.where(F.col("slot").isin([r.slot for r in wanted.select("slot").distinct().collect()]))
+    few = wanted.limit(11).collect()
+    if len(few) <= 10:
+        return opened.where(F.col(key).isin([r[key] for r in few])).drop("slot")
+    return opened.join(wanted, ["slot", key], "left_semi").drop("slot")
+
+
 def rewrite(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], read: Callable[[str], DataFrame], write: Callable[[DataFrame, str], None]) -> None:
     """Replace a folder by a changed copy: written beside it, then swapped in.
 
