@@ -113,11 +113,16 @@ def gantt(df: DataFrame, task: str, ts: str) -> DataFrame:
 def upset(df: DataFrame, entity: str, member: str) -> DataFrame:
     """Number of entities for each exact combination of members.
 
-    Pairs are made distinct first, so a collected set is never longer than the axis of sets.
+    A combination is told by its number of members and two sums of their hashes, which do not depend on the order and are combined inside the
+    tasks, so an entity with very many members is never one row. Members are listed once for each combination, from its smallest
+    entity. Null members do not count; a null entity is one.
     """
-    pairs = df.select(entity, member).distinct()
-    sets = pairs.groupBy(entity).agg(F.array_sort(F.collect_list(member)).alias("members"))
-    return sets.groupBy("members").agg(F.count(F.lit(1)).alias("entities")).withColumn("degree", F.size("members"))
+    pairs = df.select(F.col(entity).alias("e"), F.col(member).alias("m")).distinct()
+    hashed = lambda salt: F.coalesce(F.bit_xor(F.when(F.col("m").isNotNull(), F.xxhash64("m", F.lit(salt)))), F.lit(0).cast("long"))
+    prints = pairs.groupBy("e").agg(F.count("m").alias("degree"), hashed(1).alias("p"), hashed(2).alias("q"))
+    combined = prints.groupBy("degree", "p", "q").agg(F.count(F.lit(1)).alias("entities"), F.min("e").alias("first"))
+    listed = combined.join(pairs, F.col("first").eqNullSafe(F.col("e"))).groupBy("degree", "p", "q", "entities").agg(F.array_sort(F.collect_list("m")).alias("members"))
+    return listed.select("members", "entities", F.col("degree").cast("int").alias("degree"))
 
 
 def flow(df: DataFrame, source: str, target: str, y: str | None = None) -> DataFrame:

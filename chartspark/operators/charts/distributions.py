@@ -34,20 +34,31 @@ def histogram(df: DataFrame, x: str, bins: int, hue: str | None = None) -> DataF
     )
 
 
+#: Bandwidths within which a kernel counts: exp(-9² / 2) is a hundredth of the spacing of doubles at 1.
+REACH = 9.0
+
+
 def density(df: DataFrame, x: str, grid: int = 64, by: str | None = None) -> DataFrame:
     """Gaussian kernel density on `grid` points per group; bandwidth sd·n^(-1/5).
 
-    Equal values are counted once. Each value meets the grid inside its own task and the
-    sums are combined there, so the shuffle carries one row per task and grid point.
+    Equal values are counted once. A value meets only the grid points within REACH bandwidths of it, beyond which the kernel
+    is lost in double precision: with a narrow bandwidth a value makes a few rows, however fine the grid is. They are made inside its
+    own task and the sums are combined there, so the shuffle carries one row per task and grid point.
     """
     rows = finite(df, x).withColumn("_g", F.lit(0) if by is None else F.col(by))
     stats = rows.groupBy("_g").agg(
         F.count(F.lit(1)).alias("_count"), F.stddev_samp(F.col(x).cast("double")).alias("_sd"),
         F.min(F.col(x).cast("double")).alias("_low"), F.max(F.col(x).cast("double")).alias("_high"),
-    ).withColumn("_h", F.col("_sd") * F.pow(F.col("_count"), F.lit(-0.2)))
-    weighted = join_spread(value_counts(rows, ["_g"], x), stats.where(F.col("_h") > 0), ["_g"])
-    places = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    spread = weighted.select("*", places.alias("point"))
+    ).withColumn("_h", F.col("_sd") * F.pow(F.col("_count"), F.lit(-0.2))).where(F.col("_h") > 0)
+    step = (F.col("_high") - F.col("_low")) / F.lit(grid - 1)
+    weighted = join_spread(value_counts(rows, ["_g"], x), stats, ["_g"])
+    first = F.greatest(F.lit(0), F.ceil((F.col("_x") - REACH * F.col("_h") - F.col("_low")) / step)).cast("int")
+    last = F.least(F.lit(grid - 1), F.floor((F.col("_x") + REACH * F.col("_h") - F.col("_low")) / step)).cast("int")
+    near = weighted.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
+    near = near.withColumn("point", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    # A point that no value is near to has density 0.
+    spine = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")).withColumns({"_x": F.col("_low"), "_n": F.lit(0).cast("long")})
+    spread = near.unionByName(spine, allowMissingColumns=True)
     at = F.col("_low") + F.col("point") * (F.col("_high") - F.col("_low")) / F.lit(grid - 1)
     u = (at - F.col("_x")) / F.col("_h")
     sums = spread.groupBy("_g", "point").agg(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from chartspark.operators import sequences as sq
 from chartspark.plans import views as v
 from chartspark.plans.registry import register
+from chartspark.session import scratch_dir
+from chartspark.sources import upsert as up
 
 ONCE = v.ctes(v.IMAGES) + """, twice as (
   select * from images_v union all select chart_id, pos + 1000, path, 'again' from images_v),
@@ -106,12 +108,27 @@ def union_shards(spark, sf):
     return sq.union_shards(shards(spark, sf))
 
 
-@register("set2_union_once", v.ctes(SHARDS) + """
-select id, source, text, lang from (select *, row_number() over (partition by id order by shard) as rn from shards) s where rn = 1""")
+UNION_ONCE = v.ctes(SHARDS) + """
+select id, source, text, lang from (select *, row_number() over (partition by id order by shard) as rn from shards) s where rn = 1"""
+
+
+@register("set2_union_once", UNION_ONCE)
 def union_once(spark, sf):
     return sq.union_once(shards(spark, sf), "id", "source")
 
 
+@register("set2_incremental_union", UNION_ONCE)
+def incremental_union(spark, sf):
+    """The second shard comes first, the first one in two uneven parts after it; a part that comes again changes nothing."""
+    path = scratch_dir(spark, "union")
+    first, second = shards(spark, sf)
+    early = F.col("id") % 10 == 1
+    up.upsert(second, path, "id", "source", 1, buckets=16)
+    for part in (first.where(early), first.where(~early), first.where(early)):
+        up.upsert(part, path, "id", "source", 0, buckets=16)
+    return up.read(spark, path).select("id", "source", "text", "lang")
+
+
 @register("set3_feature_differences", """
 with f as (select doc_id, [source, lang, 'n_chars'] as expected, ['lang', 'n_chars', 'source', lang] as cols,
                   [source, 'x'] as used, [lang, source, 'x', 'y'] as plotted from documents)

@@ -28,7 +28,7 @@ def live_accuracy(spark, sf):
     wr.append_jsonl(v.results_v(spark, sf).repartition(4).select("model", "qtype", "correct"), source)
     results = live.stream_jsonl(spark, source, "model string, qtype string, correct boolean", files_per_batch=2)
     finished(live.write_latest(live.live_accuracy(results), report, scratch_dir(spark, "state")))
-    return spark.read.parquet(report).withColumn("accuracy", F.round("accuracy", 9))
+    return live.read_latest(spark, report).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @register("str2_shard_ingest", v.ctes(v.REC_QUESTIONS) + """
@@ -61,4 +61,4 @@ def live_usage(spark, sf):
     wr.append_jsonl(usage.repartition(3), source)
     rows = live.stream_jsonl(spark, source, "model string, phase string, input_tokens bigint, cost double", files_per_batch=1)
     finished(live.write_latest(live.live_usage(rows), report, scratch_dir(spark, "state")))
-    return spark.read.parquet(report).withColumn("cost_total", F.round("cost_total", 4))
+    return live.read_latest(spark, report).withColumn("cost_total", F.round("cost_total", 4))

@@ -29,11 +29,53 @@ def live_usage(usage: DataFrame, by: Sequence[str] = ("model", "phase"), columns
     return usage_totals(usage, by, columns)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def published(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a report that are complete, in order."""
+    files, marks = _files(spark, f"{path}/_published")
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(marks)) if files.exists(marks) else []
+
+
+def _commit(spark: SparkSession, path: str, version: int) -> None:
+    files, mark = _files(spark, f"{path}/_published/{version}")
+    files.create(mark, True).close()
+
+
+def publish(report: DataFrame, path: str, version: int, keep: int = 3) -> None:
+    """Write a version of a report beside the earlier ones; an empty file, created when all its rows are there, makes it the current one.
+
+    A version that is published already is left alone, so a batch may be replayed; what a killed batch left without its mark is
+    written anew. The last `keep` versions stay, for readers that have opened one of them.
+    """
+    spark = report.sparkSession
+    done = published(spark, path)
+    if version in done:
+        return
+    report.write.mode("overwrite").parquet(f"{path}/version-{version}")
+    _commit(spark, path, version)
+    for old in [n for n in sorted([*done, version]) if n < version][: -(keep - 1) or None]:
+        for gone in (f"{path}/_published/{old}", f"{path}/version-{old}"):
+            files, where = _files(spark, gone)
+            files.delete(where, True)
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The report of the last published version, whole."""
+    done = published(spark, path)
+    if not done:
+        raise LookupError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/version-{done[-1]}")
+
+
 def write_latest(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Overwrite `path` with the full current report after every batch."""
+    """Publish the full current report after every batch, as the version of the batch; `read_latest` gives it back."""
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def save(batch: DataFrame, number: int) -> None:
+        publish(batch, path, number)
 
     return (
         df.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint)
