@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,10 @@ from chartspark.llm.common import map_rows, stored, table
 from chartspark.llm.registry import query
 
 HELD = 400_000
+#: No fill of the program is worth less than the best one by more than twice this share.
+NEAR = 0.1
+#: Places in configurations that the program may hand out; their table, 40 bytes for each, is sent to all tasks. Best-fit takes over beyond that.
+PLACES = 1 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,7 +36,7 @@ class WordTokenizer:
     Pieces of a text between white space are tokenized on their own by this vocabulary, and its
     words hold letters only, single digits only, or other signs only. Texts in plain Latin
     characters are therefore cut into words here and each new word goes to the vocabulary's
-    merges; any other text goes through the tokenizer as it is.
+    merges; any other text, and one that spells a special token, goes through the tokenizer as it is.
     """
 
     #: Characters up to U+024F are their own normal form; U+0130 grows in lower case.
@@ -44,7 +49,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         letters = sorted(pre_tokenizers.ByteLevel.alphabet())
         plain = [b for b in range(256) if chr(b) in letters and (33 <= b <= 126 or 161 <= b != 173)]
         others = iter(c for c in letters if ord(c) > 255)
@@ -52,8 +58,8 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        """The text's identifiers, without special ones."""
-        if not self.PLAIN.fullmatch(text):
+        """The text's identifiers; no special ones are added, those that the text spells stay."""
+        if not self.PLAIN.fullmatch(text) or self.special and self.special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         known, words = self.known, self.WORDS.findall(text.lower())
         try:
@@ -90,82 +96,135 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, do
     return map_rows(rows, convert, "part int, place long, doc_id long, piece int, start long, length long, ids_crc32 long", rows=10_000)
 
 
-def best_configuration(values: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
-    """Positions in `lengths`, with repeats, of a fill of `capacity` with the largest total value (knapsack by dynamic programming)."""
+def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to `capacity` the largest value of a fill, and the position in `lengths` of one of its items, -1 if that room adds nothing."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
+        top, item = best[room - 1], -1
         if k := upto[room]:
             gains = best[room - lengths[:k]] + values[:k]
-            if gains[i := int(gains.argmax())] > best[room] + 1e-12:
-                best[room], choice[room] = gains[i], i
-    taken, room = [], capacity
+            if gains[i := int(gains.argmax())] > top * (1 + 1e-12):
+                top, item = gains[i], i
+        best[room], choice[room] = top, item
+    return best, choice
+
+
+def _fill(room: int, choice: list[int], lengths: list[int]) -> list[int]:
+    taken = []
     while room > 0:
-        if choice[room] < 0:
+        if (i := choice[room]) < 0:
             room -= 1
         else:
-            taken.append(int(choice[room]))
-            room -= int(lengths[choice[room]])
+            taken.append(i)
+            room -= lengths[i]
     return taken
 
 
-def solve_configurations(histogram: dict[int, int], capacity: int, rounds: int = 200, rate: float = 0.5) -> list[tuple[tuple[int, ...], float]]:
-    """Fractional cover of the histogram by configurations (multisets of lengths that fit together).
+def solve_configurations(histogram: dict[int, int], capacity: int, rounds: int = 500,
+                         near: float = 0.01, share: float = 0.1, rate: float = 0.3) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """`(uses, bound)`: configurations (multisets of lengths that fit together) with how often to use each, in order, and a lower bound of what any cover takes.
 
-    Multiplicative weights: a length's price starts at its share of the capacity, the knapsack
-    finds the configuration worth most, it is used as far as its scarcest length allows,
-    and the prices of the lengths it covered fall by exp(-rate x the share covered).
-    Lengths that are wholly covered leave the program. The rounds are bounded; what is left
-    uncovered is the rounding's business.
+    Multiplicative weights: a length's price is its weight times its length. In each round the knapsack finds the fill worth
+    most; what all items of the open lengths are worth over that is a bound, since no configuration is worth more. The best fill through
+    each length, if within `near` of it, is used for `share` of its scarcest length's items, rounded down to whole uses and once at least, and the
+    weights of the lengths it covers fall by exp(-`rate` x the part covered). A fill that asks for more than there is takes the longest
+    items that fit instead, if that fills it. Lengths without items leave. The rounds end when all items are covered or no fill near the best one can be
+    had; `near` is widened before that. What is left then is for the caller.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(x)] for x in lengths], dtype=float)
-    left, price, out = need.copy(), lengths / capacity, []
+    left, weight, listed = need.astype(np.int64), np.ones(len(lengths)), lengths.tolist()
+    uses, bound, places = [], 0.0, 0
     for _ in range(rounds):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_):
-            break
-        taken = best_configuration(price[open_], lengths[open_], capacity)
-        if not taken:
+        open_ = np.flatnonzero(left)
+        if not len(open_) or places > PLACES:
             break
-        # The knapsack may use more of a length than there is: that room goes to the longest items that fit.
-        held = np.zeros(len(lengths), dtype=np.int64)
-        np.add.at(held, open_[taken], 1)
-        held = np.minimum(held, np.floor(left)).astype(np.int64)
-        room = capacity - int(held @ lengths)
-        for k in open_[::-1]:
-            if lengths[k] <= room and (more := min(room // int(lengths[k]), int(left[k]) - int(held[k]))) > 0:
-                held[k] += more
-                room -= more * int(lengths[k])
-        used = np.flatnonzero(held)
-        times = held[used]
-        step = float((left[used] / times).min())
-        step = max(1.0, step / 2)
-        out.append((tuple(int(x) for x in np.repeat(lengths[used], times)), step))
-        left[used] -= times * step
-        price[used] *= np.exp(-rate * times * step / need[used])
-    return out
-
-
-def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = 200) -> list[tuple[int, int, int, int, int]]:
+        price, own = lengths * weight, lengths[open_]
+        best, choice = knapsack(price[open_], own, capacity)
+        top, picks, short = best[capacity], choice.tolist(), own.tolist()
+        bound = max(bound, float(price[open_] @ need[open_] / top))
+        able = np.flatnonzero(price[open_] + best[capacity - own] >= (1 - near) * top)
+        before = len(uses)
+        for first in able[np.argsort(-left[open_][able] / need[open_][able], kind="stable")].tolist():
+            held = Counter(open_[[first, *_fill(capacity - short[first], picks, short)]].tolist())
+            if any(left[k] < n for k, n in held.items()):
+                held = Counter({k: min(n, int(left[k])) for k, n in held.items() if left[k]})
+                room = capacity - sum(listed[k] * n for k, n in held.items())
+                at = bisect_right(listed, room) - 1
+                while at >= 0 and room > 0:
+                    if (more := min(room // listed[at], int(left[at]) - held[at])) > 0:
+                        held[at] += more
+                        room -= more * listed[at]
+                    at = min(at - 1, bisect_right(listed, room) - 1)
+                if room:
+                    continue
+            used, times = np.array(sorted(held), dtype=np.int64), np.array([held[k] for k in sorted(held)], dtype=np.int64)
+            # Weights have fallen since the prices were taken.
+            if not len(used) or float((lengths * weight)[used] @ times) < (1 - 2 * near) * top:
+                continue
+            count = max(1, int(share * int((left[used] // times).min())))
+            uses.append((tuple(listed[k] for k in used.tolist() for _ in range(held[k])), count))
+            places += len(uses[-1][0])
+            left[used] -= times * count
+            weight[used] *= np.exp(-rate * times * count / need[used])
+        if len(uses) == before:
+            near *= 1.5
+            if near > NEAR:
+                break
+    return uses, bound
+
+
+def _best_fit(left: dict[int, int], gaps: dict[int, list[tuple[int, int]]], next_item: dict[int, int], sequence: int, capacity: int) -> tuple[list[tuple], int]:
+    """Slots of the items that are `left`, longest first, each into the smallest gap that holds it or a new sequence; and how many sequences there are then."""
+    slots, rooms = [], sorted(g for g, held in gaps.items() if held)
+
+    def add(room: int, first: int, count: int) -> None:
+        if not gaps[room]:
+            insort(rooms, room)
+        gaps[room].append((first, count))
+
+    for length in sorted(left, reverse=True):
+        while left[length]:
+            k = bisect_left(rooms, length)
+            if k == len(rooms):
+                each = min(capacity // length, left[length])
+                count, at = left[length] // each, 0
+                for _ in range(each):
+                    slots.append((length, next_item[length], count, sequence, at))
+                    next_item[length] += count
+                    left[length] -= count
+                    at += length
+                add(capacity - at, sequence, count)
+                sequence += count
+                continue
+            room = rooms[k]
+            first, count = gaps[room].pop()
+            if not gaps[room]:
+                rooms.pop(k)
+            use = min(count, left[length])
+            slots.append((length, next_item[length], use, first, capacity - room))
+            next_item[length] += use
+            left[length] -= use
+            if use < count:
+                add(room, first + use, count - use)
+            add(room - length, first, use)
+    return slots, sequence
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = 500) -> list[tuple[int, int, int, int, int]]:
     """Slots `(length, first, count, sequence, offset)` for every item of a histogram of lengths.
 
     Items `first … first+count-1` of a length go to sequences `sequence …`, one each, at the
-    same offset. The fractional program is rounded down; all other items are placed best-fit,
-    longest first, into the gaps and then into new sequences. The number of slots depends on
+    same offset. Items that the configuration program leaves are placed best-fit, longest first, into the gaps
+    and then into new sequences. Should best-fit alone need fewer sequences, its packing is taken. The number of slots depends on
     the capacity and the rounds, not on the number of items.
     """
+    plain, fewest = _best_fit(dict(histogram), defaultdict(list), dict.fromkeys(histogram, 0), 0, capacity)
     next_item: dict[int, int] = dict.fromkeys(histogram, 0)
     left, slots, sequence = dict(histogram), [], 0
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left: (first sequence, how many)
-    for configuration, amount in solve_configurations(histogram, capacity, rounds):
-        held: dict[int, int] = defaultdict(int)
-        for length in configuration:
-            held[length] += 1
-        count = min([int(amount), *(left[x] // n for x, n in held.items())])
-        if count < 1:
-            continue
+    for configuration, count in solve_configurations(histogram, capacity, rounds)[0]:
         offset = 0
         for length in configuration:
             slots.append((length, next_item[length], count, sequence, offset))
@@ -174,33 +233,11 @@ def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = 200)
             offset += length
         gaps[capacity - offset].append((sequence, count))
         sequence += count
-    for length in sorted(left, reverse=True):
-        while left[length]:
-            room = min((g for g, held in gaps.items() if g >= length and held), default=None)
-            if room is None:
-                each = min(capacity // length, left[length])
-                count = left[length] // each
-                first, at, room = sequence, 0, capacity
-                sequence += count
-                for _ in range(each):
-                    slots.append((length, next_item[length], count, first, at))
-                    next_item[length] += count
-                    left[length] -= count
-                    at += length
-                gaps[capacity - at].append((first, count))
-                continue
-            first, count = gaps[room].pop()
-            use = min(count, left[length])
-            slots.append((length, next_item[length], use, first, capacity - room))
-            next_item[length] += use
-            left[length] -= use
-            gaps[room - length].append((first, use))
-            if use < count:
-                gaps[room].append((first + use, count - use))
-    return slots
+    rest, sequence = _best_fit(left, gaps, next_item, sequence, capacity)
+    return plain if fewest < sequence else slots + rest
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, rounds: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, rounds: int = 500, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Assign all tokens of `docs` to sequences: `doc_id, piece, start, length, ids_crc32, sequence_id, offset`.
 
     Every text is tokenized with one end token; only texts longer than `capacity` are cut.

@@ -14,7 +14,6 @@ TEXTS = ["It's A test, don't!", "Ünïcode ñandú ª²½ №5", "İstanbul ́e
 
 def test_words_give_the_tokenizer_s_own_identifiers():
     plain = Tokenizer.from_file(packing.vocabulary_path())
-    plain.encode_special_tokens = True
     own = packing.WordTokenizer(packing.vocabulary_path())
     every = ["".join(chr(c) for c in range(a, a + 16)) + " x" + "".join("a" + chr(c) for c in range(a, a + 16)) for a in range(32, 0x260, 16)]
     for text in TEXTS + every + [t.upper() for t in every] + TEXTS:
@@ -29,7 +28,6 @@ def test_every_token_once_and_no_overlap(spark):
     for capacity in (64, 2048):
         got = packing.pack(spark.createDataFrame(data, SCHEMA), packing.vocabulary_path(), capacity).collect()
         plain = Tokenizer.from_file(packing.vocabulary_path())
-        plain.encode_special_tokens = True
         want = []
         for d, t, *_ in data:
             ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
@@ -58,8 +56,61 @@ def test_knapsack_against_all_fills():
         best = [0.0] * (capacity + 1)
         for room in range(1, capacity + 1):
             best[room] = max([best[room - 1]] + [best[room - x] + v for x, v in zip(lengths, values, strict=True) if x <= room])
-        taken = packing.best_configuration(values, lengths, capacity)
-        assert sum(lengths[taken]) <= capacity and abs(sum(values[taken]) - best[capacity]) < 1e-9
+        found, choice = packing.knapsack(values, lengths, capacity)
+        taken = packing._fill(capacity, choice.tolist(), lengths.tolist())
+        assert np.allclose(found, best) and sum(lengths[taken]) <= capacity and abs(sum(values[taken]) - best[capacity]) < 1e-9
+
+
+def fewest(histogram, capacity):
+    """Fewest sequences of a small histogram, by trying all ways to fill the next one with the longest item in it."""
+    from functools import cache
+
+    lengths = sorted(histogram, reverse=True)
+
+    def fills(left, at, room):
+        if at == len(lengths):
+            yield ()
+            return
+        for n in range(min(left[at], room // lengths[at]), -1, -1):
+            for rest in fills(left, at + 1, room - n * lengths[at]):
+                yield (n, *rest)
+
+    @cache
+    def least(left):
+        if not any(left):
+            return 0
+        longest = next(i for i, n in enumerate(left) if n)
+        return 1 + min(least(tuple(a - b for a, b in zip(left, f, strict=True))) for f in fills(left, 0, capacity) if f[longest])
+
+    return least(tuple(histogram[x] for x in lengths))
+
+
+def count_of(slots):
+    return max((s[2] + s[3] for s in slots), default=0)
+
+
+def test_small_histograms_against_the_optimum():
+    rng, over = random.Random(7), 0
+    for _ in range(60):
+        capacity = rng.randint(5, 14)
+        histogram = {x: rng.randint(1, 4) for x in rng.sample(range(1, capacity + 1), rng.randint(1, 4))}
+        want, got = fewest(histogram, capacity), count_of(packing.pack_histogram(histogram, capacity))
+        bound = packing.solve_configurations(histogram, capacity)[1]
+        assert bound <= want + 1e-9 and want <= got <= want + 1
+        over += got > want
+    assert over <= 2
+
+
+def test_configurations_place_nearly_all_items_and_beat_best_fit():
+    """Lengths whose best-fit packing wastes room: the program comes within a thousandth of its bound."""
+    rng = random.Random(5)
+    histogram = {rng.randint(150, 900): rng.randint(100, 3000) for _ in range(150)}
+    uses, bound = packing.solve_configurations(histogram, 2048)
+    placed = sum(len(c) * n for c, n in uses)
+    alone = packing._best_fit(dict(histogram), defaultdict(list), dict.fromkeys(histogram, 0), 0, 2048)[1]
+    got = count_of(packing.pack_histogram(histogram, 2048))
+    assert placed >= 0.99 * sum(histogram.values()) and all(sum(c) <= 2048 for c, _ in uses)
+    assert bound <= got <= min(alone, 1.002 * bound + 2)
 
 
 def test_slots_cover_each_item_once():
