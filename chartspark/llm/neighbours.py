@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,16 +100,16 @@ def _kept(links: DataFrame, neighbours: int, threshold: float, growth: int) -> D
     return ranked.where((F.col("rank") <= neighbours) | (F.col("sim") >= threshold))
 
 
-def refined(points: DataFrame, lists: DataFrame, neighbours: int, threshold: float, emitted: int = 6) -> DataFrame:
+def refined(points: DataFrame, lists: DataFrame, neighbours: int, threshold: float, growth: int = 1, emitted: int = 6) -> DataFrame:
     """New links between neighbours of the same point, in either direction: `(pid, id, sim)`.
 
-    Each point's lists, shortened to its nearest 2 x `neighbours`, meet once with their vectors; a pair goes
+    Each point's lists, as far as they may have grown, in both directions and so twice as long at most, meet once with their vectors; a pair goes
     on if it beats the last place of its own list, or is a link.
     """
     both = lists.select(F.col("pid").alias("center"), F.col("id").alias("member"), "sim").unionByName(
         lists.select(F.col("id").alias("center"), F.col("pid").alias("member"), "sim")).groupBy("center", "member").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("center").orderBy(F.desc("sim"), "member")
-    near = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * neighbours).select("center", "member")
+    near = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * neighbours * growth).select("center", "member")
     last = lists.where(F.col("rank") == neighbours).select(F.col("pid").alias("member"), F.least("sim", F.lit(threshold)).alias("least"))
     known = points.select(F.col("pid").alias("member"), "v").join(last, "member", "left").select("member", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
     groups = near.join(known, "member").groupBy("center").agg(F.collect_list(F.struct("member", "least", "v")).alias("m"))
@@ -134,10 +135,10 @@ def refined(points: DataFrame, lists: DataFrame, neighbours: int, threshold: flo
     return groups.select("m").mapInArrow(each, "pid long, id long, sim double")
 
 
-def audited_recall(points: DataFrame, lists: DataFrame, neighbours: int, threshold: float, sample: int) -> tuple[int, int]:
-    """(links reached, links there are) of a stated sample of points, compared with all points.
+def audited(points: DataFrame, found: DataFrame, threshold: float, sample: int) -> tuple[int, int]:
+    """(links counted, links there are) of a stated sample of points, compared with all points; `found(pid, n)` holds the counts.
 
-    A link is reached if either end lists the other, or the sampled point's list is full of links: such points are completed later.
+    Tasks return a number for each point of the sample, not the links.
     """
     drawn = points.orderBy(F.xxhash64("pid"), "pid").limit(sample).select("pid", "v").toArrow()
     if not drawn.num_rows:
@@ -147,21 +148,75 @@ def audited_recall(points: DataFrame, lists: DataFrame, neighbours: int, thresho
 
     def each(batches):
         ids, matrix = shared.value
+        total = np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
-            own = batch.column("pid").to_numpy()
-            i, j = np.nonzero(_matrix(batch.column("v")) @ matrix.T >= threshold)
-            keep = own[i] != ids[j]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[j[keep]]), pa.array(own[i[keep]])], names=["pid", "id"])
-
-    true = points.select("pid", "v").mapInArrow(each, "pid long, id long")
-    full = lists.where((F.col("rank") == neighbours) & (F.col("sim") >= threshold)).select("pid", F.lit(True).alias("_full"))
-    either = lists.where(F.col("sim") >= threshold).select("pid", "id")
-    either = either.unionByName(either.select(F.col("id").alias("pid"), F.col("pid").alias("id"))).distinct().withColumn("_listed", F.lit(True))
-    row = true.join(either, ["pid", "id"], "left").join(full, "pid", "left").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("_listed").isNotNull() | F.col("_full").isNotNull()).cast("long")), F.lit(0)).alias("k")).first()
+            own, n = batch.column("pid").to_numpy(), batch.column("n").to_numpy()
+            for at in range(0, len(own), 2048):
+                part = batch.column("v").slice(at, 2048)
+                links = (_matrix(part) @ matrix.T >= threshold) & (own[at : at + 2048, None] != ids[None, :])
+                total += n[at : at + 2048] @ links
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["pid", "true"])
+
+    true = points.select("pid", "n", "v").mapInArrow(each, "pid long, true long").groupBy("pid").agg(F.sum("true").alias("true"))
+    row = true.join(found, "pid", "left").agg(F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("k"), F.sum("true").alias("n")).first()
     return int(row.k), int(row.n)
 
 
+def _centres(placed: DataFrame, dimension: int) -> DataFrame:
+    """`(pid, v, radius)` of each component of `placed(root, pid, v)`: mean direction, named by the root, and the widest angle to it."""
+
+    def sums(batches):
+        for batch in batches:
+            roots, place = np.unique(batch.column("root").to_numpy(), return_inverse=True)
+            total = np.zeros((len(roots), dimension))
+            np.add.at(total, place, _matrix(batch.column("v")))
+            yield pa.RecordBatch.from_pydict({"root": roots, "s": pa.array(list(total), type=pa.list_(pa.float64()))})
+
+    parts = placed.select("root", "v").mapInArrow(sums, "root long, s array<double>").select("root", F.posexplode("s").alias("i", "x"))
+    whole = parts.groupBy("root", "i").agg(F.sum("x").alias("x")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    centres = stored(whole.select("root", F.transform("s", lambda e: e["x"]).alias("centre")).where(usable(F.col("centre"))), "nn-centres")
+
+    def angles(batches):
+        for batch in batches:
+            cosine = np.einsum("ij,ij->i", _matrix(batch.column("v")), _matrix(batch.column("centre")))
+            yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array(np.arccos(np.clip(cosine, -1, 1)))], names=["root", "angle"])
+
+    wide = placed.select("root", "v").join(centres, "root").select("root", "v", "centre").mapInArrow(angles, "root long, angle double").groupBy("root").agg(F.max("angle").alias("radius"))
+    return stored(centres.join(wide, "root").select(F.col("root").alias("pid"), F.col("centre").alias("v"), "radius"), "nn-spheres")
+
+
+def bridges(placed: DataFrame, dimension: int, threshold: float, neighbours: int, trees: int, block: int, seed: int) -> DataFrame:
+    """Links `(a, b)` between different components of `placed(root, pid, v)`, one for each pair of blocks that has any.
+
+    Components are candidates if their centres are near in lists of centres, and the angle between these allows a link beyond both
+    radii. Candidates are compared point by point, in blocks.
+    """
+    spheres = _centres(placed, dimension)
+    count = spheres.count()
+    if count < 2:
+        return placed.select(F.col("pid").alias("a"), F.col("pid").alias("b")).limit(0)
+    lists = stored(_kept(first_lists(spheres, count, dimension, neighbours, trees, seed), neighbours, 2.0, 1), "nn-spheres-lists")
+    lists = lists.select("pid", "id", "sim").unionByName(refined(spheres, lists, neighbours, 2.0))
+    of = lambda side: spheres.select(F.col("pid").alias(side), F.col("radius").alias(f"{side}r"))
+    near = lists.groupBy(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).agg(F.max("sim").alias("sim")).join(of("a"), "a").join(of("b"), "b")
+    near = near.where(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "sim"))) <= F.col("ar") + F.col("br") + math.acos(threshold) + 1e-6)
+    pairs = stored(near.select(F.col("a").alias("left"), F.col("b").alias("right")), "nn-near")
+    sized = placed.join(placed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_b")), "root").withColumn("_own", F.pmod(F.xxhash64("pid"), F.col("_b")).cast("int"))
+    blocks = sized.select("root", "_b").distinct()
+    other = lambda side, mine: pairs.join(blocks.select(F.col("root").alias(side), F.col("_b").alias("_n")), side).withColumnRenamed(mine, "root")
+    spread = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    lefts = other("right", "left").join(sized, "root").select(F.col("root").alias("left"), "right", F.col("_own").alias("x"), spread.alias("y"), F.lit(True).alias("l"), "pid", "v")
+    rights = other("left", "right").join(sized, "root").select("left", F.col("root").alias("right"), spread.alias("x"), F.col("_own").alias("y"), F.lit(False).alias("l"), "pid", "v")
+
+    def compare(cell):
+        l, ids, matrix = cell["l"].to_numpy(zero_copy_only=False), cell["pid"].to_numpy(), _matrix(cell["v"].combine_chunks())
+        links = matrix[l] @ matrix[~l].T >= threshold
+        i, j = np.unravel_index(links.argmax(), links.shape) if links.any() else ([], [])
+        return pa.table({"a": np.atleast_1d(ids[l][i]), "b": np.atleast_1d(ids[~l][j])})
+
+    return lefts.unionByName(rights).groupBy("left", "right", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def completed(points: DataFrame, members: DataFrame, threshold: float, block: int) -> DataFrame:
     """`(pid, n)`: exact number of links of every point inside its component, copies counted, itself not.
 
@@ -187,43 +242,57 @@ def completed(points: DataFrame, members: DataFrame, threshold: float, block: in
     return cells.groupBy("root", "x", "y").applyInArrow(count, "pid long, n long").groupBy("pid").agg(F.sum("n").alias("n"))
 
 
+def _linked(points: DataFrame, dimension: int, threshold: float, neighbours: int, trees: int, rounds: int, recall: float, audit: int, block: int, seed: int) -> DataFrame:
+    """`(pid, n, root)` for every one of `points(pid, n, v)`: links to other points, their copies counted, and component."""
+    count = points.count()
+    lists = stored(_kept(first_lists(points, count, dimension, neighbours, trees, seed), neighbours, threshold, 1), "nn-lists")
+    reached = there = 0
+    for i in range(rounds):
+        more = refined(points, lists, neighbours, threshold, 2**i)
+        lists = stored(_kept(lists.select("pid", "id", "sim").unionByName(more), neighbours, threshold, 2 ** (i + 1)), "nn-lists")
+        links = lists.where(F.col("sim") >= threshold).select(F.col("pid").alias("a"), F.col("id").alias("b"))
+        full = lists.where((F.col("sim") >= threshold) & (F.col("rank") >= neighbours)).select("pid").distinct()
+        while True:
+            members = stored(components(links, "nn-components").select(F.col("node").alias("pid"), "root"), "nn-members")
+            placed = stored(members.join(full, "pid").join(points.select("pid", "v"), "pid").select("root", "pid", "v"), "nn-dense")
+            found = stored(bridges(placed, dimension, threshold, 2 * neighbours, trees, 4 * block, seed + 1), "nn-bridges")
+            if found.isEmpty():
+                break
+            links = stored(links.unionByName(found), "nn-links")
+        inside = stored(completed(points, members, threshold, block), "nn-inside")
+        reached, there = audited(points, inside, threshold, audit)
+        if reached >= recall * there:
+            counted = points.select("pid").join(members, "pid", "left").join(inside, "pid", "left")
+            return counted.select("pid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "pid").alias("root"))
+    raise RuntimeError(f"{reached} of {there} audited links were found after {rounds} rounds, less than {recall}")
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, neighbours: int = 10,
                     trees: int = 8, rounds: int = 5, recall: float = 0.99, audit: int = 2048, block: int = 128, seed: int = 11) -> DataFrame:
     """`(vec_id, n_links, component_id)` for every row: links are other rows with a cosine of `threshold` or more.
 
     Equal vectors become one point first. The points' neighbour lists start from random orders and are refined in
-    rounds through neighbours of neighbours; lists full of links may double in each round. After a round, the links of
-    `audit` points are compared with all points, and the rounds end when `recall` of them is reached.
-    Links form components; inside a component every pair is then compared exactly, so counts are whole there and no
-    pair below the threshold is linked.
-
-    Vectors that are null, zero or hold null or non-finite components link with nothing, nor do those of another
-    length than the most frequent one. Repeated rows are vectors of their own and link with each other. The
+    rounds through neighbours of neighbours; lists full of links may double in each round. Links form components. A full list may
+    hide links to another component: components of such points whose centres and radii allow a link are compared point by
+    point, until none is new. Inside a component every pair is then compared exactly, so counts are whole there and no
+    pair below the threshold is linked. At last the counts of `audit` points are held against all points; below `recall` of their
+    links another round follows, and after `rounds` of them the call fails.
+
+    Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different lengths don't
+    link with each other, each length is searched by itself. Repeated rows are vectors of their own and link with each other. The
     smallest identifier names a component; a null identifier never does if there is another. Other columns are ignored, an
     empty table gives an empty result.
     """
     rows = stored(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")).withColumn("row", F.monotonically_increasing_id()), "nn-rows")
     good = rows.where(usable(F.col("v")))
-    common = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    dimension = common.d if common else 1
-    good = good.where(F.size("v") == dimension)
     # One point for equal vectors: named by its smallest row, carrying its copies and smallest identifier.
     points = stored(good.groupBy("v").agg(F.min("row").alias("pid"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "nn-points")
-    count = points.count()
-    lists = stored(_kept(first_lists(points, count, dimension, neighbours, trees, seed), neighbours, threshold, 1), "nn-lists")
-    for i in range(rounds):
-        reached, there = audited_recall(points, lists, neighbours, threshold, audit)
-        if i and reached >= recall * there:
-            break
-        more = refined(points, lists, neighbours, threshold)
-        lists = stored(_kept(lists.select("pid", "id", "sim").unionByName(more), neighbours, threshold, 2 ** (i + 1)), "nn-lists")
-    members = components(lists.where(F.col("sim") >= threshold).select(F.col("pid").alias("a"), F.col("id").alias("b")), "nn-components")
-    members = members.select(F.col("node").alias("pid"), "root")
-    inside = completed(points.select("pid", "n", "v"), members, threshold, block).withColumnRenamed("n", "_links")
-    named = points.select("pid", "n", "least").join(members, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
+    lengths = sorted(r.d for r in points.select(F.size("v").alias("d")).distinct().collect())
+    linked = [_linked(points.where(F.size("v") == d).select("pid", "n", "v"), d, threshold, neighbours, trees, rounds, recall, audit, block, seed) for d in lengths]
+    linked = reduce(DataFrame.unionByName, linked) if linked else points.select("pid", "n", F.col("pid").alias("root"))
+    named = points.select("pid", "n", "least").join(linked.withColumnRenamed("n", "_links"), "pid")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    done = stored(named.join(least, "root").join(inside, "pid", "left").select(
-        "pid", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "nn-done")
+    done = stored(named.join(least, "root").select("pid", (F.col("_links") + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "nn-done")
     keyed = stored(good.join(points.select("v", "pid"), "v").select("row", "pid"), "nn-keyed")
     result = keyed.join(done, "pid").select("row", "n_links", "component_id")
     return rows.select("row", "vec_id").join(result, "row", "left").select(
