@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = "8m"
 
 
+def set_small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES for this session from now on, for results that are computed later, when their caller writes them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of BATCH_BYTES for what is run inside; the session's own setting is back afterwards."""
