@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.llm import common, copies, decontamination, packing, personal, toxicity
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 stay. The model learns from the labelled documents among the given ones."""
@@ -39,12 +43,22 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.vocabulary_path())
 
 
+def _bounded(stage: Stage) -> Stage:
+    """The stage with small Arrow batches: its result holds whole texts and is computed when it is written, after the function has returned."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.set_small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", without_toxic),
-    ("simhash near-duplicates", without_near_copies),
-    ("benchmark decontamination", without_benchmark),
-    ("personal data", without_personal_data),
-    ("best-fit packing", packed),
+    ("toxicity", _bounded(without_toxic)),
+    ("simhash near-duplicates", _bounded(without_near_copies)),
+    ("benchmark decontamination", _bounded(without_benchmark)),
+    ("personal data", _bounded(without_personal_data)),
+    ("best-fit packing", _bounded(packed)),
 ]
 
 #: The stages apply learned models, hash trees and tokenizers, which SQL cannot express.
