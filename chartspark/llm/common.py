@@ -140,5 +140,8 @@ def map_rows(df: DataFrame, convert: Callable[[Iterator[dict]], Iterator[dict]],
                 held = []
         if held:
             yield pa.RecordBatch.from_pydict({n: [r[n] for r in held] for n in names}, schema=arrow)
+        held.clear()
+        # Workers are used again; what their buffers took goes back to the system.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(each, kind)

@@ -141,7 +141,7 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_copies(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, width: int = 5, block: int = 1024,
-                pivots: int = 3) -> DataFrame:
+                pivots: int = 1) -> DataFrame:
     """`(row, root)` for every row of `rows(row, text)`: texts are linked whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     Texts of equal sets count as one. Candidates are pairs that the vantage-point tree finds within two bits of SimHash, and pairs that share
