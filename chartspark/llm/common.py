@@ -45,7 +45,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write `df` below spark.checkpoint.dir and read it back: lineage ends here and no row is computed twice."""
     path = scratch_dir(df.sparkSession, label)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
