@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartspark.operators.ordering import join_groups, quantiles
+from chartspark.sources.changes import refresh_folder
 
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -50,6 +53,76 @@ def numeric_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     return join_groups(moments, quartiles, ["column"], "left")
 
 
+#: Size of a stored quantile sketch: ranks are right within about 0.4 % of the rows.
+KLL = 800
+
+
+def profile_states(df: DataFrame, by: str = "file") -> DataFrame:
+    """One row per value of `by` and column, which `merged_profile` and `merged_categories` add up.
+
+    Counts, extremes, mean and sum of squared distances to it are exact; quantiles and distinct
+    values are bounded sketches, so a state has the same size whatever it describes. NaN counts
+    as a row only, as in `numeric_profile`.
+    """
+    kinds = columns_of(df.drop(by))
+    cells = []
+    for c in kinds["numeric"]:
+        given = F.col(f"`{c}`").cast("double")
+        value = F.nanvl(given, F.lit(None).cast("double"))
+        n = F.count(value)
+        cells.append(F.struct(
+            F.lit(c).alias("column"), F.lit("numeric").alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_if(given.isNull()).alias("missing"),
+            n.alias("values"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), (F.var_pop(value) * n).alias("squares"),
+            F.when(n > 0, F.kll_sketch_agg_double(value, F.lit(KLL))).alias("quantiles"), F.lit(None).cast("binary").alias("distinct")))
+    for c in kinds["category"]:
+        given = F.col(f"`{c}`").cast("string")
+        nothing = [F.lit(None).cast("double").alias(name) for name in ("min", "max", "mean", "squares")]
+        cells.append(F.struct(
+            F.lit(c).alias("column"), F.lit("category").alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_if(given.isNull()).alias("missing"),
+            F.count(given).alias("values"), *nothing, F.lit(None).cast("binary").alias("quantiles"), F.hll_sketch_agg(given).alias("distinct")))
+    if not cells:
+        raise ValueError("no numeric or categorical column")
+    return df.groupBy(by).agg(F.array(*cells).alias("_cells")).select(by, F.inline("_cells"))
+
+
+def merged_profile(states: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """`numeric_profile` of all that the states describe, without reading it again.
+
+    Squared distances are moved to the common mean, not differenced from a sum of squares. The
+    quartiles come from the merged sketches; give the table as `rows` to have them exact.
+    """
+    numeric = states.where("kind = 'numeric'")
+    whole = numeric.groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("missing").alias("missing"), F.sum("values").alias("_n"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.try_divide(F.sum(F.col("values") * F.col("mean")), F.sum("values")).alias("mean"), F.kll_merge_agg_double("quantiles").alias("_sketch"))
+    apart = join_groups(numeric.select("column", "values", "squares", F.col("mean").alias("_own")), whole.select("column", F.col("mean").alias("_all")), ["column"])
+    spread = apart.groupBy("column").agg(F.sum(F.col("squares") + F.col("values") * F.pow(F.col("_own") - F.col("_all"), 2)).alias("_squares"))
+    sd = F.when(F.col("_n") > 1, F.sqrt(F.col("_squares") / (F.col("_n") - 1))).alias("sd")
+    merged = join_groups(whole, spread, ["column"])
+    measured = ["column", "rows", "missing", "min", "max", "mean", sd]
+    named = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    if rows is None:
+        sketched = [F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(p))).alias(name) for name, p in named.items()]
+        return merged.select(*measured, *sketched)
+    return join_groups(merged.select(*measured), quantiles(_long(rows, columns_of(rows)["numeric"], "double"), "value", ["column"], named), ["column"], "left")
+
+
+def merged_categories(states: DataFrame) -> DataFrame:
+    """Rows, missing and about how many distinct values every categorical column has in all that the states describe."""
+    return states.where("kind = 'category'").groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("missing").alias("missing"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("about_distinct"))
+
+
+def refresh_profile(spark: SparkSession, folder: str, before: str | None, after: str, read: Callable[[list[str]], DataFrame]) -> list[str]:
+    """Write the profile states of every file of `folder` to `after`/counts, reading only what changed since `before`.
+
+    `read(paths)` returns the rows of these files with `file`, as in `_metadata.file_path`. States
+    of other files are carried over, those of gone files dropped. Returns the paths read.
+    """
+    return refresh_folder(spark, folder, before, after, lambda paths: profile_states(read(paths)))
+
+
 def _value_counts(df: DataFrame) -> DataFrame:
     return _long(df, columns_of(df)["category"], "string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -9,6 +9,7 @@ from chartspark.operators.charts.spec import run_spec
 from chartspark.plans import views as v
 from chartspark.plans.charts import rounded
 from chartspark.plans.registry import register
+from chartspark.session import scratch_dir
 
 NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -30,6 +31,38 @@ def categorical_profile(spark, sf):
     return pf.categorical_profile(v.table(spark, sf, "documents"))
 
 
+def refreshed_states(spark, rows, key):
+    """States of three folders of files, profiled when one still lacks half its rows, and again after it is whole."""
+    folder, before, after = scratch_dir(spark, "profiled"), scratch_dir(spark, "states"), scratch_dir(spark, "states")
+    part = F.pmod(key, F.lit(3))
+    for n in range(2):
+        rows.where(part == n).write.parquet(f"{folder}/part{n}")
+    rows.where((part == 2) & (F.pmod(key, F.lit(2)) == 0)).write.parquet(f"{folder}/part2")
+
+    def read(paths):
+        return spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("file"))
+
+    pf.refresh_profile(spark, folder, None, before, read)
+    rows.where(part == 2).write.mode("overwrite").parquet(f"{folder}/part2")
+    pf.refresh_profile(spark, folder, before, after, read)
+    return spark.read.parquet(f"{after}/counts")
+
+
+@register("agg15_refreshed_profile", " union all ".join(f"""
+select '{c}' as "column", count(*) as rows, count(*) - count({c}) as missing, min({c})::double as min, max({c})::double as max,
+       round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as sd from lineitem""" for c in NUMERIC))
+def refreshed_profile(spark, sf):
+    items = v.table(spark, sf, "lineitem").select(*NUMERIC)
+    return rounded(pf.merged_profile(refreshed_states(spark, items, F.col("l_orderkey"))).drop("q1", "median", "q3"), 4, "mean", "sd")
+
+
+@register("agg15_refreshed_categories", " union all ".join(f"""
+select '{c}' as "column", count(*) as rows, count(*) - count({c}) as missing from documents""" for c in DOCS))
+def refreshed_categories(spark, sf):
+    docs = v.table(spark, sf, "documents").select("doc_id", *DOCS)
+    return pf.merged_categories(refreshed_states(spark, docs, F.col("doc_id"))).drop("about_distinct")
+
+
 @register("agg15_top_categories", " union all ".join(f"""
 select * from (select '{c}' as "column", {c} as value, count(*) as rows, cast(row_number() over (order by count(*) desc, {c}) as integer) as place
                from orders group by {c}) t where place <= 3""" for c in ("o_orderstatus", "o_orderpriority")))

@@ -26,7 +26,7 @@ def gone_files(current: DataFrame, stored: DataFrame) -> DataFrame:
 def refresh_counts(stored: DataFrame, recounted: DataFrame, current: DataFrame, changed: DataFrame) -> DataFrame:
     """Per-file counts after a change: kept where the file is as before, else the new ones.
 
-    `stored` and `recounted` have one row per (file name, chart_id) with correct, incorrect.
+    `stored` and `recounted` have the same columns, among them the file's `name`.
     """
     same = current.join(changed.select("name"), "name", "left_anti").select("name")
     kept = stored.join(same, "name", "left_semi")
@@ -38,10 +38,10 @@ def totals(per_file: DataFrame) -> DataFrame:
 
 
 def refresh_folder(spark: SparkSession, folder: str, before: str | None, after: str, count: Callable[[list[str]], DataFrame]) -> list[str]:
-    """Write the state of a result folder to `after`: `files` (fingerprints) and `counts` per file and chart.
+    """Write the state of a result folder to `after`: `files` (fingerprints) and `counts` per file.
 
     `before` is the last state, None at first. Only files that are new or changed since are read, by
-    `count(paths)`, which returns file (as in `_metadata.file_path`), chart_id, correct, incorrect. Counts of
+    `count(paths)`, which returns `file` (as in `_metadata.file_path`) and any columns besides. Counts of
     other files are carried over, those of gone files dropped. Returns the paths read; like every
     scan, it lists them on the driver, names only.
     """

@@ -1,6 +1,7 @@
 """Published versions, the incremental union, and chart data that is combined inside the tasks."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,55 @@ def test_density_against_all_values_and_points(spark):
         at = min(own) + r.point * (max(own) - min(own)) / 99
         want = sum(math.exp(-(((at - v) / h) ** 2) / 2) for v in own) / (len(own) * h * math.sqrt(2 * math.pi))
         assert abs(r.x - at) < 1e-9 and abs(r.density - want) < 1e-9
+
+
+def test_merged_profile_equals_the_profile_and_reads_changed_files_only(spark, tmp_path):
+    from chartspark.operators.charts import profile as pf
+
+    rng = random.Random(7)
+    rows = [(n, None if n % 11 == 0 else rng.gauss(1e9, 3.0), float("nan") if n % 7 == 0 else float(n), None, None if n % 5 == 0 else f"c{n % 40}") for n in range(3000)]
+    schema = "`odd.name` long, far double, holes double, nothing double, word string"
+    folder, states = str(tmp_path / "data"), [str(tmp_path / f"states{i}") for i in range(4)]
+
+    def write(name, part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    def read(paths):
+        return spark.read.schema(schema).parquet(*paths).select("*", F.col("_metadata.file_path").alias("file"))
+
+    write("a", rows[:5])
+    write("b", rows[5:1500])
+    write("gone", rows[:100])
+    assert len(pf.refresh_profile(spark, folder, None, states[0], read)) == 3
+    write("c", rows[1500:])
+    write("gone", [])
+    paths = pf.refresh_profile(spark, folder, states[0], states[1], read)
+    assert sorted(p.rsplit("/", 2)[1] for p in paths) == ["c", "gone"]
+    # Nothing changed: nothing is read, the state is carried over.
+    assert pf.refresh_profile(spark, folder, states[1], states[2], read) == []
+    kept = spark.read.parquet(f"{states[2]}/counts")
+    whole = spark.createDataFrame(rows, schema)
+    expected = {r["column"]: r for r in pf.numeric_profile(whole).collect()}
+    got = {r["column"]: r for r in pf.merged_profile(kept).collect()}
+    assert set(got) == set(expected) == {"odd.name", "far", "holes", "nothing"}
+    for name, row in expected.items():
+        for field in ("rows", "missing", "min", "max"):
+            assert got[name][field] == row[field]
+        assert got[name]["mean"] == (None if row["mean"] is None else pytest.approx(row["mean"], rel=1e-12))
+    assert got["nothing"].sd is None
+    # Means near 1e9 are doubles 1e-7 apart, so a deviation of 3 around them is known to about 1e-8 of itself.
+    exact_sd = {"odd.name": (0, 1e-12), "far": (1, 1e-7), "holes": (2, 1e-12)}
+    for name, (place, rel) in exact_sd.items():
+        given = [r[place] for r in rows if r[place] is not None and r[place] == r[place]]
+        assert got[name].sd == pytest.approx(statistics.stdev(given), rel=rel)
+    assert got["nothing"].median is None and expected["nothing"]["rows"] == 3000
+    # The sketches' quartiles are within 1 % of the ranks; on request they are exact.
+    values = sorted(r[0] for r in rows)
+    for field, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert abs(sum(x <= got["odd.name"][field] for x in values) / len(values) - p) < 0.01
+    exact = {r["column"]: r for r in pf.merged_profile(kept, whole).collect()}
+    assert [exact["far"][f] for f in ("q1", "median", "q3")] == [expected["far"][f] for f in ("q1", "median", "q3")]
+    categories = {r["column"]: r for r in pf.merged_categories(kept).collect()}
+    assert categories["word"]["rows"] == 3000 and categories["word"].missing == 600 and abs(categories["word"].about_distinct - 32) <= 2
+    write("gone", rows[:1])
+    assert len(pf.refresh_profile(spark, folder, states[2], states[3], read)) == 1
