@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartspark.operators.charts.axes import leading_axes
 from chartspark.operators.charts.bars import top_or_other
 from chartspark.operators.charts.common import finite, limits
 from chartspark.operators.ordering import join_groups, ranked_desc
 
+#: Widest vectors whose scatter matrix (8 MB) is gathered in one pass.
+GRAM_DIMENSIONS = 1024
+
 
 def bubble(df: DataFrame, entity: str, x: str, y: str, size: str) -> DataFrame:
     """One bubble per entity: mean position and summed size."""
@@ -56,19 +62,26 @@ def radar(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     return means.select(by, F.inline(F.array(*axes)))
 
 
-def projection(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
+def projection(df: DataFrame, key: str, vector: str, k: int, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """First k principal components of an array column: (scores per row, loadings).
 
-    Vectors are centred first. The sign of a component makes its largest loading positive.
+    Vectors are centred first. The sign of a component makes its largest loading positive. Up to `GRAM_DIMENSIONS` dimensions one
+    pass gathers the whole scatter matrix, 8 MB at most. Wider vectors, or any with a `block` width, go through `leading_axes`,
+    which reads the rows once a round and never holds that matrix; give it a stored table, not a costly plan.
     """
     rows = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-    centred = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(rows).transform(rows)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    axes = model.pc.toArray()
+    scaler = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(rows)
+    centred, dimension = scaler.transform(rows), scaler.mean.size
+    if block is None and dimension <= GRAM_DIMENSIONS:
+        model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
+        axes = model.pc.toArray()
+        placed = model.transform(centred).select(key, vector_to_array("_p").alias("_p"))
+    else:
+        centred = centred.select(key, vector_to_array("_c").alias("_c"))
+        axes = leading_axes(centred, "_c", dimension, k, block)
+        placed = centred.select(key, _products(axes)("_c").alias("_p"))
     signs = [1.0 if axes[abs(axes[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
-    scores = model.transform(centred).select(key, vector_to_array("_p").alias("_p")).select(
-        key, *[(F.col("_p")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)]
-    )
+    scores = placed.select(key, *[(F.col("_p")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
     spark = df.sparkSession
     loadings = spark.createDataFrame(
         [(i, *[float(axes[i, j]) * signs[j] for j in range(k)]) for i in range(axes.shape[0])],
@@ -77,6 +90,16 @@ def projection(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame,
     return scores, loadings
 
 
+def _products(axes: np.ndarray) -> Callable[[str], Column]:
+    """Function of an array column: its products with every axis."""
+
+    @F.pandas_udf("array<double>")
+    def products(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(vectors) @ axes)) if len(vectors) else pd.Series([], dtype=object)
+
+    return products
+
+
 def facet(df: DataFrame, by: str, x: str, y: str, max_panels: int = 25) -> DataFrame:
     """Rows with their panel in a grid of at most `max_panels`, and shared axis limits.
 

@@ -359,17 +359,30 @@ def projection(spark, sf):
     return scores
 
 
-@register("cht32_projection_length", """
+LENGTHS = """
 with e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as d from embeddings),
 m as (select d, avg(x) as mean from e group by 1)
-select vec_id, round(sum(pow(x - mean, 2)), 6) as squared_length from e join m using (d) group by 1""")
-def projection_length(spark, sf):
-    """All components together keep the length of every centred vector."""
-    scores, _ = re.projection(v.table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
+select vec_id, round(sum(pow(x - mean, 2)), 6) as squared_length from e join m using (d) group by 1"""
+
+
+def projected_lengths(spark, sf, block=None):
+    scores, _ = re.projection(v.table(spark, sf, "embeddings"), "vec_id", "embedding", 64, block)
     squares = F.aggregate(F.array(*[F.col(f"pc{j}") * F.col(f"pc{j}") for j in range(1, 65)]), F.lit(0.0), lambda a, x: a + x)
     return scores.select("vec_id", F.round(squares, 6).alias("squared_length"))
 
 
+@register("cht32_projection_length", LENGTHS)
+def projection_length(spark, sf):
+    """All components together keep the length of every centred vector."""
+    return projected_lengths(spark, sf)
+
+
+@register("cht32_projection_rounds", LENGTHS)
+def projection_rounds(spark, sf):
+    """The same lengths, with axes found eight at a time and without the scatter matrix."""
+    return projected_lengths(spark, sf, 8)
+
+
 @register("cht33_facet", """
 with c as (select p_brand, count(*) as n, row_number() over (order by count(*) desc, p_brand) as rn, count(*) over () as g from part group by 1),
 p as (select p_brand, case when g <= 9 or rn <= 8 then p_brand else 'Other' end as panel from c)

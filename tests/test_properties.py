@@ -70,6 +70,27 @@ def test_projection_matches_numpy(spark):
         assert [r[name] for r in loadings.orderBy("dimension").collect()] == pytest.approx(list(axis), abs=1e-6)
 
 
+@pytest.mark.parametrize("spectrum", ["steep", "flat", "few", "zero"])
+def test_wide_axes_against_the_whole_matrix(spark, spectrum):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, d, k = 400, 150, 4
+    scale = {"steep": 0.8 ** np.arange(d), "flat": 1 - np.arange(d) / 1000, "few": np.r_[3.0, 2.0, np.zeros(d - 2)], "zero": np.zeros(d)}[spectrum]
+    turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
+    matrix = rng.standard_normal((n, d)) * scale @ turn.T + 5
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(matrix)], "id long, v array<double>").repartition(3)
+    scores, loadings = re.projection(rows, "id", "v", k, block=6)
+    matrix = matrix - matrix.mean(axis=0)
+    values = np.linalg.svd(matrix, compute_uv=False)[:k] ** 2
+    got = np.array([r[1:] for r in scores.orderBy("id").collect()])
+    assert (got**2).sum(axis=0) == pytest.approx(values, rel=1e-6, abs=1e-9)
+    axes = np.array([r[1:] for r in loadings.orderBy("dimension").collect()])
+    assert axes.T @ axes == pytest.approx(np.eye(k), abs=1e-9)
+    assert got == pytest.approx(matrix @ axes, abs=1e-9)
+    assert all(axes[abs(axes[:, j]).argmax(), j] > 0 for j in range(k))
+
+
 def test_shuffle_is_a_repeatable_permutation(spark):
     ids = spark.range(500)
     first = [r.place for r in sa.shuffled(ids, "id", 42).orderBy("id").collect()]
