@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from chartspark.session import scratch_dir
+
 MIN_BUCKETS, MAX_BUCKETS = 16, 8192
 BLOCK_ROWS = 1_000_000
 HOT_ROWS = 10_000_000
@@ -161,7 +163,7 @@ def quantiles_long(df: DataFrame, x: str, by: Sequence[str], probabilities: Sequ
         F.array(*[edge(2 * i, p > margin, "-inf") for i, p in enumerate(points)]).alias("_low"),
         F.array(*[edge(2 * i + 1, p < 1 - margin, "inf") for i, p in enumerate(points)]).alias("_high"))
     if by:
-        bracketed = join_groups(rows, brackets, by)
+        bracketed = join_measured(rows, brackets, by)
     else:
         one = brackets.select(F.struct("_rows", "_low", "_high").alias("s")).scalar()
         bracketed = rows.withColumns({c: one[c] for c in ("_rows", "_low", "_high")})
@@ -287,6 +289,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], how: str
     return rows.join(renamed, condition, how).drop(*[f"_k_{b}" for b in by])
 
 
+def join_measured(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`join_groups` for an aggregate over a table with few, hot groups: the groups are stored first, so their size is known when the join is planned.
+
+    A small list of groups is broadcast then, and no row is shuffled by a group that holds a third of them. With
+    `join_groups` alone the rows are already on their way when the size turns out.
+    """
+    path = scratch_dir(rows.sparkSession, "groups")
+    groups.write.parquet(path)
+    return join_groups(rows, rows.sparkSession.read.schema(groups.schema).parquet(path), by)
+
+
 def join_spread(rows: DataFrame, groups: DataFrame, by: Sequence[str], per_slice: int = HOT_ROWS) -> DataFrame:
     """`join_groups` for rows that are aggregated by the same keys afterwards.
 
