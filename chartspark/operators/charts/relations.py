@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chartspark.operators.charts.axes import leading_axes
 from chartspark.operators.charts.bars import top_or_other
 from chartspark.operators.charts.common import finite, limits
-from chartspark.operators.ordering import join_groups, ranked_desc
+from chartspark.operators.ordering import join_groups, join_measured, ranked_desc
 
 #: Widest vectors whose scatter matrix (8 MB) is gathered in one pass.
 GRAM_DIMENSIONS = 1024
@@ -38,7 +38,7 @@ def residuals(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame
         line = fitted.select(F.struct("slope", "intercept").alias("s")).scalar()
         out = df.withColumn("fitted", line["intercept"] + line["slope"] * F.col(x))
     else:
-        out = join_groups(df, fitted.select(by, "slope", "intercept"), [by])
+        out = join_measured(df, fitted.select(by, "slope", "intercept"), [by])
         out = out.withColumn("fitted", F.col("intercept") + F.col("slope") * F.col(x)).drop("slope", "intercept")
     return out.withColumn("residual", F.col(y) - F.col("fitted"))
 

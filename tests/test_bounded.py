@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chartspark.operators.charts import relations as re
 from chartspark.operators.ordering import quantiles_long
 
 
@@ -15,3 +16,10 @@ def test_rows_of_few_groups_are_not_shuffled_for_their_quantiles(spark):
     found = quantiles_long(rows, "x", ["g"], [0.5])
     assert "SortMergeJoin" not in planned(found) and "BroadcastHashJoin" in planned(found)
     assert {(r.g, r.q) for r in found.collect()} == {("0", 499.5), ("1", 499.0), ("2", 500.0), (None, 2.5)}
+
+
+def test_rows_of_few_groups_are_not_shuffled_for_their_residuals(spark):
+    rows = spark.range(1_000_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"), (2.0 * F.col("id") + 1).alias("y"))
+    found = re.residuals(rows, "x", "y", "g")
+    assert "SortMergeJoin" not in planned(found) and "BroadcastHashJoin" in planned(found)
+    assert found.agg(F.count("residual"), F.max(F.abs("residual")) < 1e-3).first() == (1_000_000, True)
