@@ -17,15 +17,18 @@ def file_name(path: Column) -> Column:
 def resolve_images(images: DataFrame, listing: DataFrame, folder: str = "images/") -> DataFrame:
     """Add the stored file of each image path: the exact path, else the same name in `folder`.
 
-    `listing` has one row per file (path, length). Both look-ups are equi-joins on that key.
+    `listing` has one row per file (path, length). Both look-ups are equi-joins on that key. Rows without a path find
+    nothing; they are dealt out by a second key, as all nulls of one join key are read by one task.
     """
-    exact = listing.select(F.col("path").alias("_exact"), F.col("length").alias("_exact_length"))
-    named = listing.select(F.col("path").alias("_named"), F.col("length").alias("_named_length"))
-    joined = images.join(exact, images["path"] == exact["_exact"], "left").join(
-        named, F.concat(F.lit(folder), file_name(images["path"])) == named["_named"], "left"
-    )
+    found = F.struct(F.col("path"), F.lit(0).cast("bigint"))
+    exact = listing.select(found.alias("_exact_key"), F.col("path").alias("_exact"), F.col("length").alias("_exact_length"))
+    named = listing.select(found.alias("_named_key"), F.col("path").alias("_named"), F.col("length").alias("_named_length"))
+    path = F.coalesce(images["path"], F.lit(""))
+    dealt = F.when(images["path"].isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+    rows = images.withColumn("_dealt", dealt).withColumns({"_path": F.struct(path, "_dealt"), "_name": F.struct(F.concat(F.lit(folder), file_name(path)), "_dealt")})
+    joined = rows.join(exact, rows["_path"] == exact["_exact_key"], "left").join(named, rows["_name"] == named["_named_key"], "left")
     return joined.select(
-        *[images[c] for c in images.columns],
+        *[rows[c] for c in images.columns],
         F.coalesce("_exact", "_named").alias("source"),
         F.coalesce("_exact_length", "_named_length").alias("length"),
     )

@@ -6,11 +6,14 @@ places in it) and `bitmaps` (facet, value, bucket and its bits). A click then re
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +26,37 @@ BLOCK_BITS = 16
 END = "\x00"
 #: Bytes of a row group of posting lists: a search skips all groups without its trigrams.
 GROUP_BYTES = 1 << 20
+#: Characters of text whose trigrams are held at once; their lists take some 30 times as much.
+HELD = 1 << 21
+
+
+def _parts(texts: pa.Array):
+    """`(first, end)`: runs of about HELD characters, one text at least."""
+    first, held = 0, 0
+    for i, size in enumerate(pc.utf8_length(texts).to_pylist()):
+        if held and held + size > HELD:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def _postings(batches):
-    """Places of each trigram in each block, combined within a batch."""
+    """Places of each trigram in each block, combined within a run of texts."""
     for batch in batches:
-        found: dict[tuple[str, int], list[int]] = defaultdict(list)
-        for number, text in zip(batch.column("id").to_pylist(), batch.column("blob"), strict=True):
-            block, place, whole = number >> BLOCK_BITS, number & ((1 << BLOCK_BITS) - 1), text.as_py() + 2 * END
-            for gram in {whole[i : i + 3] for i in range(len(whole) - 2)}:
-                found[gram, block].append(place)
-        yield pa.RecordBatch.from_pydict({
-            "gram": pa.array([g for g, _ in found], type=pa.string()), "block": pa.array([b for _, b in found], type=pa.int64()),
-            "places": pa.array(list(found.values()), type=pa.list_(pa.int32()))})
+        for first, end in _parts(batch.column("blob")):
+            part = batch.slice(first, end - first)
+            found: dict[tuple[str, int], array] = defaultdict(lambda: array("i"))
+            for number, text in zip(part.column("id").to_pylist(), part.column("blob"), strict=True):
+                block, place, whole = number >> BLOCK_BITS, number & ((1 << BLOCK_BITS) - 1), text.as_py() + 2 * END
+                for gram in {whole[i : i + 3] for i in range(len(whole) - 2)}:
+                    found[gram, block].append(place)
+            ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
+            places = pa.array(np.concatenate([np.frombuffer(p, dtype=np.int32) for p in found.values()]) if found else np.zeros(0, dtype=np.int32))
+            yield pa.RecordBatch.from_pydict({
+                "gram": pa.array([g for g, _ in found], type=pa.string()), "block": pa.array([b for _, b in found], type=pa.int64()),
+                "places": pa.ListArray.from_arrays(pa.array(ends), places)})
 
 
 def write_index(charts: DataFrame, path: str, columns: Sequence[str] = COLUMNS) -> None:

@@ -1,7 +1,11 @@
 """What one task reads and holds: joins with few groups, rows without a key, batches of long texts, texts that are shuffled once."""
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from chartspark.operators import bundle as bu
+from chartspark.operators import gallery_index as gi
 from chartspark.operators.charts import relations as re
 from chartspark.operators.ordering import quantiles_long
 
@@ -23,3 +27,37 @@ def test_rows_of_few_groups_are_not_shuffled_for_their_residuals(spark):
     found = re.residuals(rows, "x", "y", "g")
     assert "SortMergeJoin" not in planned(found) and "BroadcastHashJoin" in planned(found)
     assert found.agg(F.count("residual"), F.max(F.abs("residual")) < 1e-3).first() == (1_000_000, True)
+
+
+@pytest.fixture
+def plain_joins(spark):
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, value in held.items():
+        spark.conf.set(k, value)
+    yield
+    for k, value in before.items():
+        spark.conf.set(k, value)
+
+
+def test_images_without_a_path_are_dealt_out(spark, plain_joins):
+    images = spark.range(400).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("old/"), (F.col("id") % 100).cast("string"))).alias("path")).union(
+        spark.createDataFrame([(-1, ""), (-2, "images/")], "id long, path string"))
+    listing = spark.createDataFrame([(f"images/{i}", i) for i in range(0, 100, 2)] + [("old/1", 7), ("images/", 3), ("", 5), (None, 9)], "path string, length long")
+    rows = bu.resolve_images(images, listing).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows if r.path is None}) > 4
+    want = {None: (None, None), "": ("", 5), "images/": ("images/", 3), "old/1": ("old/1", 7)}
+    for r in rows:
+        n = int(r.path[4:]) if r.path and r.path.startswith("old/") else 0
+        assert (r.source, r.length) == want.get(r.path, (f"images/{n}", n) if n % 2 == 0 else (None, None))
+    assert len(rows) == 402
+
+
+def test_postings_hold_a_bounded_run_of_texts(monkeypatch):
+    monkeypatch.setattr(gi, "HELD", 50)
+    texts = [f"text {i} äö" * (1 + i % 9) for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([(i % 2 << gi.BLOCK_BITS) + i for i in range(40)], type=pa.int64()), "blob": texts})
+    parts = list(gi._postings([batch, batch.slice(0, 0)]))
+    assert len(parts) > 10
+    got = {(r["gram"], r["block"], p) for part in parts for r in part.to_pylist() for p in r["places"]}
+    assert got == {((t + 2 * gi.END)[k : k + 3], i % 2, i) for i, t in enumerate(texts) for k in range(len(t))}
