@@ -45,29 +45,36 @@ def upsert(shard: DataFrame, path: str, key: str, order: str, number: int, bucke
     """
     spark = shard.sparkSession
     rest = [c for c in shard.columns if c != key]
-    rows = shard.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row")).select(key, "_row.*")
-    rows = rows.withColumns({"_shard": F.lit(number), "_order": F.col(order), "_bucket": _bucket(F.col(key), buckets)})
+    # Which buckets change is found from keys and orders alone.
+    slim = shard.groupBy(key).agg(F.min(order).alias("_order")).withColumns({"_shard": F.lit(number), "_bucket": _bucket(F.col(key), buckets)})
+    new = shard.select(key, *rest, F.lit(number).alias("_shard"), F.col(order).alias("_order"), _bucket(F.col(key), buckets).alias("_bucket"), F.lit(True).alias("_new"))
     before = _folders(spark, path)
     version = (published(spark, f"{path}/manifest") or [-1])[-1] + 1
     folder = f"{path}/data/{version}"
     if before:
-        met = [r._bucket for r in rows.select("_bucket").distinct().collect()]
+        met = [r._bucket for r in slim.select("_bucket").distinct().collect()]
         old = _stored(spark, path, met)
         known = old.select(F.col(key).alias("_key"), F.struct("_shard", "_order").alias("_place"))
-        news = rows.join(known, F.col(key).eqNullSafe(F.col("_key")), "left").where(F.col("_place").isNull() | (F.struct("_shard", "_order") < F.col("_place")))
-        news = news.select(*rows.columns)
+        news = slim.join(known, F.col(key).eqNullSafe(F.col("_key")), "left").where(F.col("_place").isNull() | (F.struct("_shard", "_order") < F.col("_place")))
         touched = [r._bucket for r in news.select("_bucket").distinct().collect()]
-        whole = old.where(F.col("_bucket").isin(touched)).unionByName(news, allowMissingColumns=True)
-        merged = whole.groupBy(key).agg(F.min_by(F.struct(*[c for c in whole.columns if c != key]), F.struct("_shard", "_order")).alias("_row")).select(key, "_row.*")
+        there = F.col("_bucket").isin(touched)
+        whole = old.where(there).withColumn("_new", F.lit(False)).unionByName(new.where(there), allowMissingColumns=True)
     else:
-        merged, touched = rows, [r._bucket for r in rows.select("_bucket").distinct().collect()]
+        whole, touched = new, [r._bucket for r in slim.select("_bucket").distinct().collect()]
+    # Rows are shuffled once, by bucket, and written from there: both aggregates find their keys together.
+    dealt = whole.withColumn("b", F.col("_bucket")).repartition("b")
+    kept = [c for c in whole.columns if c not in (key, "_shard", "_new")]
+    once = dealt.groupBy("b", key, "_new", "_shard").agg(F.min_by(F.struct(*kept), F.col("_order")).alias("_row"))
+    place = F.struct(F.col("_shard"), F.col("_row._order"), F.col("_new"))
+    first = once.groupBy("b", key).agg(F.min_by(F.struct("_shard", "_row"), place).alias("_first"))
+    merged = first.select(key, *[F.col(f"_first._row.{c}").alias(c) for c in kept if c != "_bucket"], F.col("_first._shard").alias("_shard"), F.col("b").alias("_bucket"), "b")
     if not touched and before:
         return []
-    merged.withColumn("b", F.col("_bucket")).repartition("b").write.mode("overwrite").partitionBy("b").parquet(folder)
+    merged.write.mode("overwrite").partitionBy("b").parquet(folder)
     now = before | {b: f"{folder}/b={b}" for b in touched}
     if not now:
         # An empty first shard: its columns are kept in one empty bucket.
-        merged.write.mode("overwrite").parquet(f"{folder}/b=0")
+        merged.drop("b").write.mode("overwrite").parquet(f"{folder}/b=0")
         now = {0: f"{folder}/b=0"}
     publish(spark.createDataFrame(sorted(now.items()), "bucket int, folder string"), f"{path}/manifest", version)
     return sorted(touched)

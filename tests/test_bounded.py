@@ -8,6 +8,7 @@ from chartspark.operators import bundle as bu
 from chartspark.operators import gallery_index as gi
 from chartspark.operators.charts import relations as re
 from chartspark.operators.ordering import quantiles_long
+from chartspark.sources import upsert as up
 
 
 def planned(df):
@@ -61,3 +62,22 @@ def test_postings_hold_a_bounded_run_of_texts(monkeypatch):
     assert len(parts) > 10
     got = {(r["gram"], r["block"], p) for part in parts for r in part.to_pylist() for p in r["places"]}
     assert got == {((t + 2 * gi.END)[k : k + 3], i % 2, i) for i, t in enumerate(texts) for k in range(len(t))}
+
+
+def test_texts_of_a_shard_are_read_once_for_an_upsert(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    def shard(ids, mark):
+        own = F.udf(counted).asNondeterministic()
+        return spark.createDataFrame([(i, 0, f"{mark}{i}") for i in ids], "id long, pos long, t string").select("id", "pos", own("t").alias("text"))
+
+    path = str(tmp_path / "union")
+    up.upsert(shard(range(40), "a"), path, "id", "pos", 1, buckets=4)
+    read.value = 0
+    up.upsert(shard(range(20, 60), "b"), path, "id", "pos", 0, buckets=4)
+    assert read.value == 40
+    assert {r.id: r.text for r in up.read(spark, path).collect()} == {i: f"{'a' if i < 20 else 'b'}{i}" for i in range(60)}
