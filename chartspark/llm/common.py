@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartspark.session import scratch_dir
+from chartspark.session import BATCH_BYTES, scratch_dir, set_small_batches  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Arrow batches of stored results are cut at this size: buffers of a batch grow by doubling, on both sides of the pipe and in every task.
-BATCH_BYTES = "8m"
-
-
-def set_small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_BYTES for this session from now on, for results that are computed later, when their caller writes them."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of BATCH_BYTES for what is run inside; the session's own setting is back afterwards."""

@@ -20,7 +20,7 @@ from chartspark.functions.text import prompt_key, verdict
 from chartspark.operators.replies import REPLY, ask_once, in_waves
 from chartspark.operators.sampling import creativity
 from chartspark.operators.validate import LABEL_TRIES
-from chartspark.session import scratch_dir
+from chartspark.session import scratch_dir, set_small_batches
 
 Model = Callable[[list[str]], list]
 
@@ -97,7 +97,9 @@ def score(df: DataFrame, prompt: Column, factory: Callable[[], Model], out: str
 
     `tasks` spreads the rows over that many tasks first, for models slower than the scan. With `store`, a shared folder, replies of
     `model` are kept there task by task and looked up first: a job that died goes on where it was, and equal prompts are asked once.
+    Prompts may be long and come in batches by rows, so batches are cut by bytes as well, for the whole session: the caller runs the plan.
     """
+    set_small_batches(df.sparkSession)
     if store:
         def ask(rows: DataFrame) -> DataFrame:
             return rows.select("key", replies_udf(factory, **options)(F.col("prompt")).alias("reply"))

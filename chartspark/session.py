@@ -10,6 +10,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Arrow batches are cut at this size: a worker holds several copies of a batch, and a machine runs many workers.
+BATCH_BYTES = "8m"
+
+
+def set_small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES for this session from now on, for results that are computed later, when their caller writes them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def get_session(app: str = "chartspark", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution on; `master` and `conf` override the defaults."""
     builder = (

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from chartspark.operators import bundle as bu
 from chartspark.operators import gallery_index as gi
+from chartspark.operators import scoring as sc
 from chartspark.operators.charts import relations as re
 from chartspark.operators.ordering import quantiles_long
+from chartspark.session import BATCH_BYTES
 from chartspark.sources import upsert as up
 
 
@@ -64,6 +66,16 @@ def test_postings_hold_a_bounded_run_of_texts(monkeypatch):
     assert got == {((t + 2 * gi.END)[k : k + 3], i % 2, i) for i, t in enumerate(texts) for k in range(len(t))}
 
 
+def test_prompts_come_in_batches_of_bounded_size(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1g")
+    try:
+        out = sc.score(spark.range(3), F.lit("x"), lambda: lambda prompts: prompts)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == BATCH_BYTES and out.count() == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def test_texts_of_a_shard_are_read_once_for_an_upsert(spark, tmp_path):
     read = spark.sparkContext.accumulator(0)
 
