@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.llm import textarrays
-from chartspark.llm.common import fresh, stored, table, text_bytes
+from chartspark.llm.common import fresh, set_small_batches, stored, table, text_bytes
 from chartspark.llm.registry import query
 
 #: Positions that count (1) and positions whose word may differ (0). Two substitutions among any 15 words leave one mask intact.
@@ -89,6 +89,15 @@ def _probes(h: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(k)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) for k in (0, 20, 40)]
 
 
+def _within(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in `h` whose hashes may be in the bit set, which is read as it is: unpacked it takes eight times as much, in every worker."""
+    places = np.arange(len(h))
+    for k in (0, 20, 40):
+        probe = ((h[places] >> np.uint64(k)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+        places = places[(packed[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 == 1]
+    return places
+
+
 def _filter(index: DataFrame) -> np.ndarray:
     """Packed bit set of all hashes in `index`: 2 MB, however many there are. A handful of tasks fill one each."""
 
@@ -140,16 +149,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
     shared = spark.sparkContext.broadcast(_filter(index))
 
     def hits(batches):
-        flags = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for first, part in textarrays.chunks(batch.column("_t")):
                 words = textarrays.words_of(part, textarrays.MARKS)
                 places, found = [], []
                 for number, mask in used:
                     place, h = seed_hashes(words, mask, number)
-                    keep = np.ones(len(h), dtype=bool)
-                    for probe in _probes(h):
-                        keep[keep] = flags[probe[keep]]
+                    keep = _within(shared.value, h)
                     places.append(place[keep])
                     found.append(h[keep])
                 place, h = np.concatenate(places), np.concatenate(found)
@@ -164,6 +170,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
                     "row": batch.column("row").take(rows), "doc_id": batch.column("doc_id").take(rows), "words": pa.array(tokens, type=pa.binary()),
                     "h": pa.array(np.split(h.view(np.int64), cut) if len(seen) else [], type=pa.list_(pa.int64())),
                     "at": pa.array(np.split(place.astype(np.int32), cut) if len(seen) else [], type=pa.list_(pa.int32()))})
+        # Workers are used again; what their buffers took goes back to the system.
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_t"))
     marked_docs = stored(rows.mapInArrow(hits, "row long, doc_id long, words binary, h array<long>, at array<int>"), "bench-hits")
@@ -184,7 +192,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
                     for key, value in zip(out, (batch.column("doc_id")[row].as_py(), batch.column("item")[row].as_py(), *best), strict=True):
                         out[key].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
+        pa.default_memory_pool().release_unused()
 
+    # The pairs hold all words of both sides, and are verified when the caller writes them.
+    set_small_batches(spark)
     return both.mapInArrow(verify, "doc_id long, item_id long, start long, end long, equal long")
 
 

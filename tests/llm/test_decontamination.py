@@ -145,3 +145,17 @@ def test_pairs_against_every_stretch(spark, data):
             if most := max((every_stretch(own, other, s, 13, 0.8) for s in range(-len(other) + 1, len(own))), default=0):
                 want.append((str(d), i, most))
     assert sorted((str(r.doc_id), r.item_id, r.equal) for r in got if r.doc_id != 102 and r.item_id < 4) == sorted(want)
+
+
+def test_bit_set_is_read_packed():
+    rng = np.random.default_rng(5)
+    held, other = (rng.integers(0, 1 << 63, 2000).astype(np.uint64) for _ in range(2))
+    flags = np.zeros(1 << D.FILTER_BITS, dtype=bool)
+    for probe in D._probes(held):
+        flags[probe] = True
+    both = np.concatenate([other, held])
+    want = np.ones(len(both), dtype=bool)
+    for probe in D._probes(both):
+        want &= flags[probe]
+    assert (D._within(np.packbits(flags), both) == np.flatnonzero(want)).all() and want[2000:].all()
+    assert len(D._within(np.packbits(flags), both[:0])) == 0
