@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from chartspark.llm.common import map_rows, stored, table
 from chartspark.llm.registry import query
 
+#: Pieces of text between white space, and their words, that a tokenizer remembers.
 HELD = 400_000
 #: No fill of the program is worth less than the best one by more than twice this share.
 NEAR = 0.1
@@ -35,7 +38,7 @@ class WordTokenizer:
 
     Pieces of a text between white space are tokenized on their own by this vocabulary, and its
     words hold letters only, single digits only, or other signs only. Texts in plain Latin
-    characters are therefore cut into words here and each new word goes to the vocabulary's
+    characters are therefore cut into such pieces here, new pieces into words, and each new word goes to the vocabulary's
     merges; any other text, and one that spells a special token, goes through the tokenizer as it is.
     """
 
@@ -49,6 +52,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         letters = sorted(pre_tokenizers.ByteLevel.alphabet())
@@ -61,17 +65,30 @@ class WordTokenizer:
         """The text's identifiers; no special ones are added, those that the text spells stay."""
         if not self.PLAIN.fullmatch(text) or self.special and self.special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known, words = self.known, self.WORDS.findall(text.lower())
+        # No word holds white space, and the only one among plain characters is what `split` cuts at.
+        known, parts = self.known, text.lower().split()
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[p] for p in parts])
         except KeyError:
             if len(known) > HELD:
                 known.clear()
-            for w in words:
-                if w not in known:
-                    spelled = w.encode().decode("latin-1").translate(self.spell)
-                    known[w] = np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
-            return b"".join([known[w] for w in words])
+            for p in parts:
+                if p not in known:
+                    known[p] = self.word(p) if p.isalpha() else b"".join([known[w] if w in known else self.word(w) for w in self.WORDS.findall(p)])
+            return b"".join([known[p] for p in parts])
+
+    def word(self, word: str) -> bytes:
+        """Identifiers of one lower-case word in plain characters, remembered like a piece that is no more than the word."""
+        # Plain ASCII characters spell themselves.
+        merged = [x.id for x in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.spell))]
+        self.known[word] = ids = struct.pack(f"<{len(merged)}I", *merged)
+        return ids
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker: its tasks share the vocabulary and the words met so far."""
+    return WordTokenizer(path)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,7 +98,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, do
     """
 
     def convert(rows: Iterator[dict]) -> Iterator[dict]:
-        tokenizer, part = WordTokenizer(path), TaskContext.get().partitionId()
+        tokenizer, part = worker_tokenizer(path), TaskContext.get().partitionId()
         places: dict[int, int] = defaultdict(int)
         last, size = np.array([end], dtype="<u4").tobytes(), 4 * capacity
         for row in rows:

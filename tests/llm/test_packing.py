@@ -129,3 +129,27 @@ def test_slots_cover_each_item_once():
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), packing.vocabulary_path()).count() == 0
+
+
+def test_a_worker_merges_a_word_once(monkeypatch):
+    """Pieces between white space are remembered, by all tasks of a worker, and forgotten when there are too many."""
+    path = packing.vocabulary_path()
+    plain, asked = Tokenizer.from_file(path), []
+    packing.worker_tokenizer.cache_clear()
+    own = packing.worker_tokenizer(path)
+
+    class Model:
+        def tokenize(self, word, merge=own.model.tokenize):
+            asked.append(word)
+            return merge(word)
+
+    monkeypatch.setattr(own, "model", Model())
+    text = "walking, Walking walking's «walking» 12"
+    for _ in range(2):
+        task = packing.worker_tokenizer(path)
+        assert np.frombuffer(task.ids(text), dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == sorted(set(asked)) and len(asked) == 7
+    monkeypatch.setattr(packing, "HELD", 3)
+    for more in ("other words, more", text, "walking, on", text):
+        assert np.frombuffer(own.ids(more), dtype="<u4").tolist() == plain.encode(more, add_special_tokens=False).ids
+    packing.worker_tokenizer.cache_clear()
