@@ -14,6 +14,9 @@ from chartspark.llm.registry import query
 
 #: Hash functions are told apart by this many low bits of a window's key.
 FUNCTION_BITS = 4
+#: Sets the keys of windows with frequent shingles last apart from the others, above those bits.
+LAST = np.uint64(0x9E3779B97F4A7000)
+FOUND = pa.schema([(name, pa.int64()) for name in ("row", "start", "end", "other")])
 
 
 def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -103,18 +106,17 @@ def _shingles16(data: bytes, shingle: int) -> np.ndarray:
     return textarrays.shingles(np.frombuffer(data, dtype=np.uint16).astype(np.uint64), shingle)
 
 
-def _shared(windows: DataFrame, few: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """`(hits, many)`: `(a, b, f)` of texts, the larger first, with one key of function f (a bit), and the windows of keys that more than `few` windows have.
+def _tagged(windows: DataFrame, label: str) -> DataFrame:
+    """The `(key, row)` of keys that two texts share, once each, with the number `c` of the key's texts."""
+    texts = windows.select("key", "row").distinct()
+    keys = texts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    return stored(texts.join(keys, "key"), label)
 
-    Up to `few` windows of a key all meet; of more, each meets the smallest and the largest text.
-    """
-    keys = windows.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("c")).where(F.col("low") < F.col("high"))
-    tagged = stored(windows.join(keys, "key"), label)
-    bit = F.expr(f"shiftleft(1, cast(key & {(1 << FUNCTION_BITS) - 1} as int))").alias("f")
-    rare, many = tagged.where(F.col("c") <= few), tagged.where(F.col("c") > few)
-    met = rare.select("key", F.col("row").alias("a")).join(rare.select("key", F.col("row").alias("b")), "key").where(F.col("a") > F.col("b")).select("a", "b", bit)
-    star = many.select("row", F.explode(F.array("low", "high")).alias("other"), bit).where(F.col("row") != F.col("other"))
-    return met.unionByName(star.select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b"), "f")), many
+
+def _distinct_keys(tagged: DataFrame) -> DataFrame:
+    """`(key, kept)`: of keys with the same texts the smallest, as the pairs of all of them meet there. Texts are compared by their number and two 64-bit sums."""
+    sums = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"s{i}") for i in range(2)]
+    return tagged.groupBy("key").agg(F.min("c").alias("c"), *sums).groupBy("c", "s0", "s1").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("kept"))
 
 
 def _joined(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +136,7 @@ def _joined(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _windows_by_rarity(hot: DataFrame, width: int, shingle: int, functions: int, few: int) -> DataFrame:
-    """`(key, row, first, end)` of the texts and spans of `hot(row, words, spans)`, with shingles of more than `few` texts last in every hash order.
+    """`(key, row)` of the texts and spans of `hot(row, words, spans)`, with shingles of more than `few` texts last in every hash order.
 
     A window then has a frequent shingle as its minimum only if it has no other, so texts that share a common line
     within a passage of their own meet by that passage's own words. Frequent shingles are a bit set of fixed size; any
@@ -168,20 +170,81 @@ def _windows_by_rarity(hot: DataFrame, width: int, shingle: int, functions: int,
             for f in range(functions):
                 order = (textarrays.with_seed(hashes, f) >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
                 first, _, least = compact_windows(order, valid, width)
-                yield pa.RecordBatch.from_pydict({"key": ((least & ~low) | np.uint64(f)).view(np.int64), "row": rows[text[first]]})
+                yield pa.RecordBatch.from_pydict({"key": (((least & ~low) | np.uint64(f)) ^ LAST).view(np.int64), "row": rows[text[first]]})
 
     return hot.select("row", "words", "spans").mapInArrow(each, "key long, row long")
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 4, needed: int = 2, few: int = 8) -> DataFrame:
+def _blocks(hot: DataFrame, side: int) -> DataFrame:
+    """`(key, i, j, part, row)`: the texts of every frequent key in parts of about `side`, each pair of parts a block, so that every two texts of a key meet in one."""
+    texts = hot.select("row", F.explode("heavy").alias("key"))
+    parts = texts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(side)).alias("parts"))
+    part = F.pmod(F.xxhash64("row"), F.col("parts"))
+    placed = texts.join(parts, "key").select("key", "row", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_other"))
+    return placed.select("key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "row")
+
+
+class _Holders:
+    """Which texts hold an item, for lists of items of several texts."""
+
+    def __init__(self, items: list[np.ndarray]):
+        every, owner = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
+        order = np.argsort(every, kind="stable")
+        self.items, self.owner = every[order], owner[order]
+
+    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `wanted`, text) for each text that holds it."""
+        low, high = np.searchsorted(self.items, wanted, side="left"), np.searchsorted(self.items, wanted, side="right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(wanted)), n), self.owner[at]
+
+
+def _met(block: pa.Table, width: int, shingle: int, similarity: float, needed: int) -> pa.Table:
+    """`(row, start, end, other)` of a block: stretches of each text that another one holds, with the smallest of the texts that hold the same places of it.
+
+    A pair is verified in the blocks of its smallest frequent key only, and if its keys are of `needed` functions.
+    """
+    out: dict[str, list] = {"row": [], "start": [], "end": [], "other": []}
+    block = block.sort_by("row")
+    key, rows, part = block.column("key")[0].as_py(), block.column("row").to_numpy(), block.column("part").to_numpy()
+    apart = block.column("i")[0] != block.column("j")[0]
+    keys, heavy = ([np.array(x, dtype=np.int64) for x in block.column(c).to_pylist()] for c in ("keys", "heavy"))
+    texts = [np.unique(_shingles16(w.as_py(), shingle), return_inverse=True) for w in block.column("words")]
+    by_key, by_heavy, by_shingle = _Holders(keys), _Holders(heavy), _Holders([t[0] for t in texts])
+    for a, (own, place) in enumerate(texts):
+        able = part != part[a] if apart else np.arange(len(rows)) != a
+        able[by_heavy.of(heavy[a][heavy[a] < key])[1]] = False
+        if not able.any():
+            continue
+        at, text = by_key.of(keys[a])
+        shared = np.zeros(len(rows), dtype=np.int64)
+        np.bitwise_or.at(shared, text, np.left_shift(1, keys[a][at] & ((1 << FUNCTION_BITS) - 1)))
+        able &= np.bitwise_count(shared) >= needed
+        if not able.any():
+            continue
+        at, text = by_shingle.of(own)
+        held = np.zeros((len(rows), len(own)), dtype=bool)
+        held[text, at] = True
+        seen: set[bytes] = set()
+        for b in np.flatnonzero(able).tolist():
+            if (places := held[b].tobytes()) not in seen:
+                seen.add(places)
+                for first, end in stretches(held[b][place], width, similarity):
+                    for name, value in zip(out, (rows[a], first, end + shingle - 1, rows[b]), strict=True):
+                        out[name].append(value)
+    return pa.table(out, schema=FOUND)
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 4, needed: int = 2, few: int = 8, side: int = 256) -> DataFrame:
     """`(doc_id, start, end, partner)`: passages of at least `least_words` words that another text holds too.
 
     A passage is a stretch of words, `similarity` of whose `shingle`-word shingles occur in the partner's text. `start`
     and `end` count words; words are lower-cased (A-Z) and end at white space. Texts with compact windows of the same
     min-hash under `needed` of the `functions` hash functions are candidates; each pair is verified on all
-    its words (by 16 bits of each word's hash). Texts that share a key meet pair by pair. Where more than `few` windows do, each is
-    compared with the key's smallest and largest text, and the windows are made anew with frequent shingles last, so that texts with a common line
-    within a passage of their own meet by the rest of that passage. Passages repeated
+    its words (by 16 bits of each word's hash). All texts that share a key meet: pair by pair, or
+    in blocks of about 2 x `side` texts where more than `few` do. Texts with such a key have windows of a second order besides, with frequent
+    shingles last, so that a common line within a passage does not stand for all of it. Of equal texts one meets the others, for all of them. Passages repeated
     within one text only do not count. `partner` is the identifier of the text it was verified with.
 
     Null, empty and shorter texts have none. Repeated rows are texts of their own and so repeat each other; null
@@ -194,10 +257,25 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     both = stored(window_table(rows, width, shingle, functions), "passage-windows")
     names = both.where(F.col("key").isNull()).select("row", "doc_id")
     windows, words = both.where(F.col("key").isNotNull()).select("key", "row", "first", "end"), both.where(F.col("key").isNull()).select("row", "words")
-    hits, many = _shared(windows, few, "passage-shared")
-    hot = stored(many.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans")).join(words, "row"), "passage-hot")
-    more, _ = _shared(_windows_by_rarity(hot, width, shingle, functions, few), few, "passage-rare")
-    pairs = hits.unionByName(more).groupBy("a", "b").agg(F.bit_or("f").alias("f")).where(F.bit_count("f") >= needed)
+    # Of equal texts the smallest one meets the others' texts; the rest repeat it whole and share what it has.
+    equal = stored(words.select("row", F.sha2("words", 256).alias("_h"), (F.length("words") / 2).cast("long").alias("n")), "passage-equal")
+    firsts = equal.groupBy("_h").agg(F.min("row").alias("rep"))
+    members = stored(equal.join(firsts, "_h").select("row", "rep", "n"), "passage-members")
+    again = members.where(F.col("row") != F.col("rep"))
+    windows = windows.join(again.select("row"), "row", "left_anti")
+    plain = _tagged(windows, "passage-shared")
+    many = plain.where(F.col("c") > few)
+    spans = windows.join(many.select("key", "row"), ["key", "row"]).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    tagged = plain.unionByName(_tagged(_windows_by_rarity(stored(spans.join(words, "row"), "passage-spans"), width, shingle, functions, few), "passage-rare"))
+    bit = F.expr(f"shiftleft(1, cast(key & {(1 << FUNCTION_BITS) - 1} as int))").alias("f")
+    rare = tagged.where(F.col("c") <= few)
+    hits = rare.select("key", F.col("row").alias("a")).join(rare.select("key", F.col("row").alias("b")), "key").where(F.col("a") > F.col("b")).select("a", "b", bit)
+    frequent = F.when(F.col("kept"), F.col("key"))
+    hot = tagged.join(_distinct_keys(tagged.where(F.col("c") > few)), "key", "left").groupBy("row").agg(F.collect_set("key").alias("keys"), F.collect_set(frequent).alias("heavy")).where(F.size("heavy") > 0)
+    hot = stored(hot.join(words, "row"), "passage-hot")
+    blocks = _blocks(hot, side).join(hot, "row").groupBy("key", "i", "j")
+    met = blocks.applyInArrow(lambda block: _met(block, width, shingle, similarity, needed), "row long, start long, end long, other long")
+    pairs = hits.groupBy("a", "b").agg(F.bit_or("f").alias("f")).where(F.bit_count("f") >= needed)
     pairs = stored(pairs.select(F.col("a").alias("row"), F.col("b").alias("other")), "passage-pairs")
     joined = pairs.join(words, "row").join(words.select(F.col("row").alias("other"), F.col("words").alias("theirs")), "other")
 
@@ -217,11 +295,15 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
                     for a, b in spans:
                         for key, value in zip(out, (at, a, b + shingle - 1, with_), strict=True):
                             out[key].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other", pa.int64())]))
+            yield pa.RecordBatch.from_pydict(out, schema=FOUND)
 
     found = joined.select("row", "other", "words", "theirs").mapInArrow(verify, "row long, start long, end long, other long")
     # Many texts may name the same stretch of the same partner: one stays, with the smallest of them.
-    once = stored(found.groupBy("row", "start", "end").agg(F.min("other").alias("other")), "passage-found")
+    found = found.unionByName(met).groupBy("row", "start", "end").agg(F.min("other").alias("other"))
+    all_of = found.withColumnRenamed("row", "rep").join(members.select("row", "rep"), "rep").select("row", "start", "end", "other")
+    whole = again.select("row", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("rep").alias("other"))
+    whole = whole.unionByName(again.groupBy("rep").agg(F.lit(0).cast("long").alias("start"), F.min("n").alias("end"), F.min("row").alias("other")).withColumnRenamed("rep", "row"))
+    once = stored(all_of.unionByName(whole).groupBy("row", "start", "end").agg(F.min("other").alias("other")), "passage-found")
     return once.join(names, "row").join(names.select(F.col("row").alias("other"), F.col("doc_id").alias("partner")), "other").select(
         "doc_id", "start", "end", "partner")
 

@@ -126,5 +126,28 @@ def test_texts_against_all_pairs(spark):
     assert sum(len(found[d] & want[d]) for d in docs) >= 0.98 * sum(map(len, want.values()))
 
 
+def test_every_two_texts_of_a_frequent_key_meet(spark):
+    """60 texts hold one passage, and every two of them two or three words more after it; exact copies of some change nothing for the others."""
+    fresh = iter(range(10**9))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    passage, docs = new(70), {}
+    for i in range(30):
+        more = new(2 + i % 2)
+        docs[2 * i], docs[2 * i + 1] = [*new(9), *passage, *more, *new(20)], [*new(3), *passage, *more, *new(31)]
+    for i in range(0, 24, 3):
+        docs[100 + i] = docs[i]
+    sets, want = {d: shingle_set(w) for d, w in docs.items()}, {}
+    for d, w in docs.items():
+        for e in docs:
+            if d != e:
+                match = np.array([tuple(w[i : i + 5]) in sets[e] for i in range(len(w) - 4)], dtype=bool)
+                for a, b in passages.stretches(match, 46, 0.8):
+                    want[d, a, b + 4] = min(e, want.get((d, a, b + 4), e))
+    rows = spark.createDataFrame([(d, " ".join(w), None, None, None) for d, w in docs.items()], SCHEMA).coalesce(1)
+    for side in (256, 16):
+        got = [tuple(r) for r in passages.repeated_passages(rows, side=side).select("doc_id", "start", "end", "partner").collect()]
+        assert len(got) == len(want) and {g[:3]: g[3] for g in got} == want
+
+
 def test_empty_table(spark):
     assert passages.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
