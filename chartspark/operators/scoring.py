@@ -17,7 +17,8 @@ from pyspark.sql.functions import pandas_udf
 
 from chartspark.functions import prompts as pr
 from chartspark.functions.text import prompt_key, verdict
-from chartspark.operators.replies import REPLY, ask_once, in_waves
+from chartspark.operators.replies import REPLY, ask_once, in_waves, replies_of_rows
+from chartspark.operators.runs import flat, numbered, with_values
 from chartspark.operators.sampling import creativity
 from chartspark.operators.validate import LABEL_TRIES
 from chartspark.session import scratch_dir, set_small_batches
@@ -101,21 +102,32 @@ def score(df: DataFrame, prompt: Column, factory: Callable[[], Model], out: str
     """
     set_small_batches(df.sparkSession)
     if store:
-        def ask(rows: DataFrame) -> DataFrame:
-            return rows.select("key", replies_udf(factory, **options)(F.col("prompt")).alias("reply"))
-
-        return ask_once(df, prompt, model, store, ask, out, per_task)
+        return ask_once(df, prompt, model, store, _asks(factory, **options), out, per_task)
     rows = df.repartition(tasks) if tasks else df
     return rows.withColumn(out, replies_udf(factory, **options)(prompt))
 
 
+def _asks(factory: Callable[[], Model], **options) -> Callable[[DataFrame], DataFrame]:
+    def ask(prompts: DataFrame) -> DataFrame:
+        return prompts.select("key", replies_udf(factory, **options)(F.col("prompt")).alias("reply"))
+
+    return ask
+
+
+def _kept_replies(rows: DataFrame, prompt: Column, factory: Callable[[], Model], store: str, model: str = "", per_task: int = 1000, tasks: int | None = None,
+                  prefix: Column | None = None, order: Sequence[str] = (), **options) -> DataFrame:
+    """`(row, wave, reply)` of `numbered` rows, as `score` with a store asks for them."""
+    set_small_batches(rows.sparkSession)
+    return replies_of_rows(rows, prompt, model, store, _asks(factory, **options), per_task, prefix, order)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a scored table to the shared folder and read it back.
 
     A lost executor then costs no second model call, and later stages start from files.
     """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -211,48 +223,75 @@ def typed_questions(df: DataFrame, questions: str, factory, rounds: int = LABEL_
     return done.unionByName(left)
 
 
+def _answer_prompt(online: bool) -> Column:
+    dataset, question = F.col("dataset_description"), F.col("question.question")
+    return pr.answer_online(dataset, F.col("image"), question) if online else pr.answer_offline(dataset, question)
+
+
+def _answer_columns(reply: Column) -> dict[str, Column]:
+    return {"test_answer": F.trim(pr.parsed_answer(reply["text"])), "answer_error": reply["error"], "answer_usage": reply}
+
+
+def _check_prompt() -> Column:
+    return pr.grade(F.col("dataset_description"), F.col("question.question"), F.col("question.answer"), F.col("test_answer"))
+
+
+def _check_columns(reply: Column) -> dict[str, Column]:
+    return {"correct": verdict(pr.parsed_answer(reply["text"])), "check_error": reply["error"], "check_usage": reply}
+
+
+def _with_prefix(rows: DataFrame, online: bool, order: Sequence[str]) -> tuple[DataFrame, Column | None]:
+    """Online rows with `prompt_key`, and what their prompts begin with. Rows without an image share no key, but the prefix of their data set."""
+    if not online:
+        return rows, None
+    if not order:
+        raise ValueError("online answering needs columns that tell the questions of one chart apart")
+    return rows.withColumn("prompt_key", prompt_key(F.col("dataset_id"), F.col("image"))), F.to_json(F.struct("dataset_id", F.col("image").alias("image")))
+
+
+def _with_answers(rows: DataFrame, factory, prefix: Column | None, order: Sequence[str], **options) -> DataFrame:
+    """`numbered` rows and, as the struct `_answer`, what `answered` adds, with replies from a store."""
+    replies = _kept_replies(rows, _answer_prompt(prefix is not None), factory, prefix=prefix, order=order, **options)
+    columns = [c.alias(name) for name, c in _answer_columns(F.col("reply")).items()]
+    return with_values(rows, replies.select("row", *(["wave"] if prefix is not None else []), *columns), "_answer")
+
+
 def answered(rows: DataFrame, factory, online: bool = False, order: Sequence[str] = (), **options) -> DataFrame:
     """Add `test_answer`, `answer_error` and usage for every question row.
 
     Online rows are asked in two waves: the first question of every prompt prefix, which warms a server's cache, and when all of those are
     stored the others (`wave` 0 and 1). They are spread by prompt prefix and sorted inside a task, so that a server sees
-    the questions of one chart in a row; `order`, required then, splits a chart with very many questions.
+    the questions of one chart in a row; `order`, required then, splits a chart with very many questions. With a `store`, rows
+    keep their places and neighbours are asked together.
     """
-    if online and not order:
-        raise ValueError("online answering needs columns that tell the questions of one chart apart")
-    dataset, question, image = F.col("dataset_description"), F.col("question.question"), F.col("image")
+    marked, prefix = _with_prefix(rows, online, order)
+    if options.get("store"):
+        return flat(_with_answers(numbered(marked, "answered"), factory, prefix, order, **options)).drop("_row")
 
     def ask(part: DataFrame) -> DataFrame:
         if online:
             part = part.repartitionByRange("prompt_key", *order).sortWithinPartitions("prompt_key", *order)
-            prompt = pr.answer_online(dataset, image, question)
-        else:
-            prompt = pr.answer_offline(dataset, question)
-        scored = score(part, prompt, factory, **options)
-        return scored.withColumns({
-            "test_answer": F.trim(pr.parsed_answer(F.col("reply.text"))), "answer_error": F.col("reply.error"), "answer_usage": F.col("reply"),
-        }).drop("reply")
+        scored = score(part, _answer_prompt(online), factory, **options)
+        return scored.withColumns(_answer_columns(F.col("reply"))).drop("reply")
 
-    if not online:
-        return ask(rows)
-    # Rows without an image share no key, but the prefix of their data set.
-    return in_waves(rows.withColumn("prompt_key", prompt_key(F.col("dataset_id"), image)), F.to_json(F.struct("dataset_id", image.alias("image"))), order, ask, stored)
+    return in_waves(marked, prefix, order, ask, stored) if online else ask(marked)
 
 
 def graded(rows: DataFrame, factory, **options) -> DataFrame:
     """Add `correct` (true, false or null), `check_error` and usage."""
-    prompt = pr.grade(F.col("dataset_description"), F.col("question.question"), F.col("question.answer"), F.col("test_answer"))
-    scored = score(rows, prompt, factory, **options)
-    return scored.withColumns({
-        "correct": verdict(pr.parsed_answer(F.col("reply.text"))), "check_error": F.col("reply.error"), "check_usage": F.col("reply"),
-    }).drop("reply")
+    return score(rows, _check_prompt(), factory, **options).withColumns(_check_columns(F.col("reply"))).drop("reply")
 
 
 def evaluated(rows: DataFrame, answer_factory, check_factory, online: bool = False, order: Sequence[str] = (), store: str | None = None, **options) -> DataFrame:
-    """Answer all questions, store the answers, then grade them. With `store`, both phases go on where an earlier run died."""
-    kept = [{"store": f"{store}/{phase}"} if store else {} for phase in ("answer", "check")]
-    answers = stored(answered(rows, answer_factory, online, order, **kept[0], **options), "answers")
-    return graded(answers, check_factory, **kept[1], **options)
+    """Answer all questions, store the answers, then grade them. With `store`, both phases go on where an earlier run died, and
+    the rows are stored once for both; answers and verdicts are joined to them by number."""
+    if not store:
+        return graded(stored(answered(rows, answer_factory, online, order, **options), "answers"), check_factory, **options)
+    marked, prefix = _with_prefix(rows, online, order)
+    answers = _with_answers(numbered(marked, "evaluated"), answer_factory, prefix, order, store=f"{store}/answer", **options)
+    checks = _kept_replies(answers, _check_prompt(), check_factory, store=f"{store}/check", **options)
+    columns = [c.alias(name) for name, c in _check_columns(F.col("reply")).items()]
+    return flat(with_values(answers, checks.select("row", *columns), "_check")).drop("_row")
 
 
 def usage_rows(evaluated_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
