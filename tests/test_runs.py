@@ -57,8 +57,14 @@ def test_an_evaluation_over_a_store_has_the_rows_of_one_without(spark, tmp_path)
 
 def test_rows_with_replies_of_a_store_are_not_shuffled(spark, tmp_path):
     """No exchange of the result carries the text, which is all of a wide row."""
-    for i, online in enumerate((False, True)):
-        out = sc.evaluated(question_rows(spark), answers, verdicts, online, ["pos", "graph_id"], str(tmp_path / f"t{i}"), sleep=0.0, tries=1)
-        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
-        moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
-        assert moved and not [m for m in moved if "dataset_description" in m or "doc#" in m]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for i, online in enumerate((False, True)):
+            out = sc.evaluated(question_rows(spark), answers, verdicts, online, ["pos", "graph_id"], str(tmp_path / f"t{i}"), sleep=0.0, tries=1)
+            plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+            moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+            assert moved and not [m for m in moved if "dataset_description" in m or "doc#" in m]
+    finally:
+        spark.conf.set(key, before)
