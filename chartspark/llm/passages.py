@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +20,8 @@ from chartspark.llm.registry import query
 FUNCTION_BITS = 4
 #: Sets the keys of windows with frequent shingles last apart from the others, above those bits.
 LAST = np.uint64(0x9E3779B97F4A7000)
+#: Words of texts that a round of blocks may move: this many bytes, or this many times those of all texts in blocks.
+ROUND_BYTES, ROUND_SHARE = 1 << 28, 4
 FOUND = pa.schema([(name, pa.int64()) for name in ("row", "start", "end", "other")])
 
 
@@ -106,6 +112,18 @@ def _shingles16(data: bytes, shingle: int) -> np.ndarray:
     return textarrays.shingles(np.frombuffer(data, dtype=np.uint16).astype(np.uint64), shingle)
 
 
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Shuffle files of the jobs run inside go when each job ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _tagged(windows: DataFrame, label: str) -> DataFrame:
     """The `(key, row)` of keys that two texts share, once each, with the number `c` of the key's texts."""
     texts = windows.select("key", "row").distinct()
@@ -184,6 +202,21 @@ def _blocks(hot: DataFrame, side: int) -> DataFrame:
     return placed.select("key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "row")
 
 
+def _met_in_rounds(blocks: DataFrame, hot: DataFrame, meet: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """What `meet` makes of all blocks, a share of them at a time: a text goes to every block of its keys, and the shuffle of one round is bounded
+    by the texts' own size, however many blocks there are."""
+    size = stored(hot.select("row", F.length("words").alias("n")), "passage-sizes")
+    own, moved = size.agg(F.sum("n")).first()[0] or 0, blocks.join(size, "row").agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, -(-moved // max(ROUND_BYTES, ROUND_SHARE * own)))
+    share = F.pmod(F.xxhash64("key", "i", "j"), F.lit(rounds))
+    done = []
+    for number in range(rounds):
+        part = blocks.where(share == number).join(hot, "row").groupBy("key", "i", "j").applyInArrow(meet, "row long, start long, end long, other long")
+        # Many texts may name the same stretch of the same partner: one stays, with the smallest of them.
+        done.append(stored(part.groupBy("row", "start", "end").agg(F.min("other").alias("other")), "passage-met"))
+    return reduce(DataFrame.unionByName, done)
+
+
 class _Holders:
     """Which texts hold an item, for lists of items of several texts."""
 
@@ -273,8 +306,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     frequent = F.when(F.col("kept"), F.col("key"))
     hot = tagged.join(_distinct_keys(tagged.where(F.col("c") > few)), "key", "left").groupBy("row").agg(F.collect_set("key").alias("keys"), F.collect_set(frequent).alias("heavy")).where(F.size("heavy") > 0)
     hot = stored(hot.join(words, "row"), "passage-hot")
-    blocks = _blocks(hot, side).join(hot, "row").groupBy("key", "i", "j")
-    met = blocks.applyInArrow(lambda block: _met(block, width, shingle, similarity, needed), "row long, start long, end long, other long")
+    met = _met_in_rounds(stored(_blocks(hot, side), "passage-blocks"), hot, lambda block: _met(block, width, shingle, similarity, needed))
     pairs = hits.groupBy("a", "b").agg(F.bit_or("f").alias("f")).where(F.bit_count("f") >= needed)
     pairs = stored(pairs.select(F.col("a").alias("row"), F.col("b").alias("other")), "passage-pairs")
     joined = pairs.join(words, "row").join(words.select(F.col("row").alias("other"), F.col("words").alias("theirs")), "other")
@@ -310,4 +342,5 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
 
 @query("op3_compact_windows")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated_passages(table(spark, sf, "documents"))
+    with _tidy(spark):
+        return repeated_passages(table(spark, sf, "documents"))

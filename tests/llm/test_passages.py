@@ -149,5 +149,28 @@ def test_every_two_texts_of_a_frequent_key_meet(spark):
         assert len(got) == len(want) and {g[:3]: g[3] for g in got} == want
 
 
+def test_blocks_in_rounds_move_no_more_than_their_share(spark, monkeypatch):
+    """Texts with two lines that many hold meet in the blocks of several keys: one round or many, the rows are the same, and the setting of the session stays."""
+    rng = random.Random(5)
+    new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [new(56) for _ in range(4)]
+    rows = spark.createDataFrame([(i, " ".join([*new(9), *lines[i % 4], *new(30), *lines[(i + 1 + i % 3) % 4], *new(3)]), None, None, None) for i in range(120)], SCHEMA)
+    rounds, store = [], passages.stored
+
+    def seen(df, label):
+        rounds.append(label)
+        return store(df, label)
+
+    monkeypatch.setattr(passages, "stored", seen)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, want = spark.conf.get(key), sorted(map(str, passages.repeated_passages(rows, side=16).collect()))
+    assert rounds.count("passage-met") == 1 and len(want) >= 120
+    monkeypatch.setattr(passages, "ROUND_BYTES", 1)
+    monkeypatch.setattr(passages, "ROUND_SHARE", 2)
+    rounds.clear()
+    assert sorted(map(str, passages.repeated_passages(rows, side=16).collect())) == want
+    assert rounds.count("passage-met") > 3 and spark.conf.get(key) == before
+
+
 def test_empty_table(spark):
     assert passages.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
