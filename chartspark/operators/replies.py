@@ -53,8 +53,8 @@ def replies_of_rows(rows: DataFrame, prompt: Column, model: str, path: str, ask:
                     prefix: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
     """`(row, wave, reply)` for `numbered` rows, by `ask_once`; with `prefix`, in two waves as by `in_waves`, else all in wave 0.
 
-    Keys (as bytes), prefixes and replies travel. Of the prompts those that are asked are shuffled, once, and with neighbours, who often share
-    their data, next to each other.
+    Keys (as bytes), prefixes and replies travel. Of the prompts those that are asked are shuffled, once, and neighbours, who often share
+    their data, to the same task.
     """
     spark = rows.sparkSession
     keyed = flat(rows).select(F.col("_row").alias("row"), F.unhex(request_key(prompt, model)).alias("key"), *_prefix_columns(prefix, order))
@@ -70,7 +70,8 @@ def replies_of_rows(rows: DataFrame, prompt: Column, model: str, path: str, ask:
         tasks = max(1, -(-lacking.count() // per_task))
         chosen = with_values(rows, lacking.select("row", F.lower(F.hex("key")).alias("_key")), "_lacking", "inner").where(F.col("_lacking").isNotNull())
         prompts = flat(chosen).select(F.col("_key").alias("key"), prompt.alias("prompt"), F.floor(F.col("_row") / max(1, per_task // 16)).alias("_near"))
-        append(ask(prompts.repartition(tasks, "_near").select("key", "prompt")), path)
+        # By key, so that a job that runs again puts the same prompts into a batch.
+        append(ask(prompts.repartition(tasks, "_near").select("key", "prompt").sortWithinPartitions("key")), path)
     good = spark.read.schema(SCHEMA).parquet(path).select(F.unhex("key").alias("key"), "reply").groupBy("key").agg(F.coalesce(
         F.any_value(F.when(F.col("reply.error").isNull(), F.col("reply")), True), F.any_value("reply")).alias("reply"))
     return _kept(keyed.join(good, "key", "left").select("row", "wave", "reply"), "replies-of-rows")

@@ -262,7 +262,7 @@ def answered(rows: DataFrame, factory, online: bool = False, order: Sequence[str
     Online rows are asked in two waves: the first question of every prompt prefix, which warms a server's cache, and when all of those are
     stored the others (`wave` 0 and 1). They are spread by prompt prefix and sorted inside a task, so that a server sees
     the questions of one chart in a row; `order`, required then, splits a chart with very many questions. With a `store`, rows
-    keep their places and neighbours are asked together.
+    keep their places and neighbours are asked by the same task.
     """
     marked, prefix = _with_prefix(rows, online, order)
     if options.get("store"):
