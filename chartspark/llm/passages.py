@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chartspark.llm import textarrays
 from chartspark.llm.common import stored, table, text_bytes
-from chartspark.llm.decontamination import _filter, _probes
+from chartspark.llm.decontamination import _filter, _probes, _within
 from chartspark.llm.registry import query
 
 #: Hash functions are told apart by this many low bits of a window's key.
@@ -22,6 +22,8 @@ FUNCTION_BITS = 4
 LAST = np.uint64(0x9E3779B97F4A7000)
 #: Words of texts that a round of blocks may move: this many bytes, or this many times those of all texts in blocks.
 ROUND_BYTES, ROUND_SHARE = 1 << 28, 4
+#: Bytes of texts' words whose shingles make a bucket.
+BUCKET_BYTES = 1 << 21
 FOUND = pa.schema([(name, pa.int64()) for name in ("row", "start", "end", "other")])
 
 
@@ -88,10 +90,10 @@ def window_table(docs: DataFrame, width: int, shingle: int, functions: int) -> D
 def stretches(match: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
     """Disjoint stretches of at least `least` places, from match to match, with this share of matches: the longest one, then those on both sides of it."""
     out, todo = [], [(0, len(match))]
-    run = np.concatenate([[0.0], np.cumsum(np.where(match, 1 - similarity, -similarity))])
+    run, held = np.concatenate([[0.0], np.cumsum(np.where(match, 1 - similarity, -similarity))]), np.concatenate([[0], np.cumsum(match)])
     while todo:
         a, b = todo.pop()
-        if b - a < least:
+        if b - a < least or held[b] - held[a] < similarity * least - 1e-6:
             continue
         part = run[a : b + 1] + 1e-9 * np.arange(b - a + 1)
         low = np.minimum.accumulate(part)
@@ -193,13 +195,128 @@ def _windows_by_rarity(hot: DataFrame, width: int, shingle: int, functions: int,
     return hot.select("row", "words", "spans").mapInArrow(each, "key long, row long")
 
 
+def _dealt(hot: DataFrame, shingle: int, buckets: int) -> DataFrame:
+    """`(bucket, rows, hashes)`: the shingles of all texts, dealt out by their hash, in runs of eight bytes a text's row and four bytes a hash."""
+
+    def each(batches):
+        for batch in batches:
+            for at, part in textarrays.chunks(batch.column("words")):
+                values = [_shingles16(w.as_py(), shingle) for w in part]
+                hashes, rows = np.concatenate(values), np.repeat(batch.column("row").to_numpy()[at : at + len(part)], [len(v) for v in values])
+                bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+                order = np.argsort(bucket, kind="stable")
+                rows, hashes, ends = rows[order], hashes[order].astype(np.uint32), np.cumsum(np.bincount(bucket, minlength=buckets))
+                some = np.flatnonzero(np.diff(ends, prepend=0)).tolist()
+                cuts = [slice(ends[i - 1] if i else 0, ends[i]) for i in some]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some, type=pa.int32()), pa.array([rows[c].tobytes() for c in cuts], type=pa.binary()), pa.array([hashes[c].tobytes() for c in cuts], type=pa.binary())],
+                    names=["bucket", "rows", "hashes"])
+
+    return hot.select("row", "words").mapInArrow(each, "bucket int, rows binary, hashes binary")
+
+
+def _paired(bucket: pa.Table, most: int) -> pa.Table:
+    """`(h, a, b, n, m)` of a bucket: for texts a < b that share shingles of at most `most` texts, the places of such in a and in b; and the shingles `h` of more texts."""
+    number = bucket.column("bucket")[0].as_py()
+    rows = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64) for x in bucket.column("rows")])
+    code = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32) for x in bucket.column("hashes")]).astype(np.uint64) << np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    texts, place = np.unique(rows[first], return_inverse=True)
+    code |= np.repeat(place.astype(np.uint64), np.diff(np.append(first, len(rows))))
+    code.sort()
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    places, code = np.diff(np.append(first, len(code))), code[first]
+    value, text = code >> np.uint64(32), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    held = np.diff(np.append(first, len(value)))
+    frequent = (np.uint64(number) << np.uint64(32) | value[first[held > most]]).view(np.int64)
+    use = np.repeat((held > 1) & (held <= most), held)
+    rank = (np.arange(len(value)) - np.repeat(first, held))[use]
+    text, places = text[use], places[use]
+    pair, n, m = [], [], []
+    for k in range(1, int(rank.max(initial=0)) + 1):
+        at = np.flatnonzero(rank >= k)
+        pair.append(text[at - k] << 32 | text[at])
+        n.append(places[at - k])
+        m.append(places[at])
+    none = np.zeros(0, dtype=np.int64)
+    pair, n, m = (np.concatenate([none, *x]) for x in (pair, n, m))
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else none
+    n, m = (np.add.reduceat(x[order], first) if len(pair) else none for x in (n, m))
+    empty = [pa.nulls(len(frequent), pa.int64())] * 4
+    a, b = texts[pair[first] >> 32], texts[pair[first] & 0xFFFFFFFF]
+    columns = [pa.concat_arrays([pa.array(x), e]) for x, e in zip((a, b, n, m), empty, strict=True)]
+    return pa.table([pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(frequent)]), *columns], names=["h", "a", "b", "n", "m"])
+
+
+def _needs(hot: DataFrame, frequent: DataFrame, buckets: int, width: int, shingle: int, similarity: float) -> DataFrame:
+    """`(row, need)`: so many places with shingles that are not in `frequent(h)` every passage of a text has in common with its partner; 0 or less if it may do without.
+
+    Every stretch of `width` places or more lacks that many of its share, whichever of its frequent shingles the partner holds.
+    They are a bit set of fixed size; a shingle that is in it by chance lowers the need.
+    """
+    shared = hot.sparkSession.sparkContext.broadcast(_filter(frequent))
+
+    def each(batches):
+        for batch in batches:
+            rows, needs = batch.column("row"), []
+            for w in batch.column("words"):
+                hashes = _shingles16(w.as_py(), shingle)
+                known = ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
+                lack = np.full(len(hashes), similarity)
+                lack[_within(shared.value, textarrays.mixed(known))] -= 1
+                run = np.concatenate([[0.0], np.cumsum(lack)])
+                needs.append(float((run[width:] - np.maximum.accumulate(run[:-width])).min()) - 1e-6)
+            yield pa.RecordBatch.from_arrays([rows, pa.array(needs, type=pa.float64())], names=["row", "need"])
+
+    return hot.select("row", "words").mapInArrow(each, "row long, need double")
+
+
+def _by_shingles(hot: DataFrame, width: int, shingle: int, similarity: float, needed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, needs): `(row, other)` of all candidates of `hot` of which one may hold a passage of the other's with a shingle of at most `most` texts, and `_needs`.
+
+    Texts that share a frequent key seldom share more than a line, too short for a passage. So they are not compared
+    key by key: the places that two texts share are counted shingle by shingle, in shuffles that grow with the texts, and few
+    pairs have as many as a passage needs. Hashes that are equal by chance only add to the count.
+    """
+    size = hot.agg(F.sum(F.length("words"))).first()[0] or 0
+    buckets = max(int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    counted = _dealt(hot, shingle, buckets).groupBy("bucket").applyInArrow(lambda bucket: _paired(bucket, most), "h long, a long, b long, n long, m long")
+    counted = stored(counted, "passage-counted")
+
+    def spread(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(textarrays.mixed(batch.column("h").to_numpy().view(np.uint64)).view(np.int64))], names=["h"])
+
+    frequent = counted.where(F.col("h").isNotNull()).select("h").mapInArrow(spread, "h long")
+    needs = stored(_needs(hot, frequent, buckets, width, shingle, similarity), "passage-needs")
+    pairs = counted.where(F.col("a").isNotNull()).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    # No text needs fewer than the least of all needs above 0; the rest of the pairs goes before the join.
+    least = needs.where(F.col("need") > 0).agg(F.min("need")).first()[0] or 0.0
+    pairs = pairs.where(F.greatest("n", "m") >= least)
+    pairs = pairs.join(needs.select(F.col("row").alias("a"), F.col("need").alias("need_a")), "a").join(needs.select(F.col("row").alias("b"), F.col("need").alias("need_b")), "b")
+    pairs = pairs.where(((F.col("need_a") > 0) & (F.col("n") >= F.col("need_a"))) | ((F.col("need_b") > 0) & (F.col("m") >= F.col("need_b")))).select("a", "b")
+    ours, theirs = (hot.select(F.col("row").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("heavy").alias(f"heavy_{x}")) for x in "ab")
+    functions = F.expr(f"aggregate(array_intersect(keys_a, keys_b), 0, (s, k) -> s | shiftleft(1, cast(k & {(1 << FUNCTION_BITS) - 1} as int)))")
+    pairs = stored(pairs, "passage-close").join(ours, "a").join(theirs, "b").where(F.arrays_overlap("heavy_a", "heavy_b") & (F.bit_count(functions) >= needed))
+    return pairs.select(F.col("a").alias("row"), F.col("b").alias("other")), needs
+
+
 def _blocks(hot: DataFrame, side: int) -> DataFrame:
-    """`(key, i, j, part, row)`: the texts of every frequent key in parts of about `side`, each pair of parts a block, so that every two texts of a key meet in one."""
-    texts = hot.select("row", F.explode("heavy").alias("key"))
-    parts = texts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(side)).alias("parts"))
-    part = F.pmod(F.xxhash64("row"), F.col("parts"))
-    placed = texts.join(parts, "key").select("key", "row", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_other"))
-    return placed.select("key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "row")
+    """`(key, i, j, mine, row)`: for every frequent key, its texts with `whole` set in parts of about `side` (mine), and all its texts in such parts; each pair of parts is a block, so that every `whole` text meets all texts of the key."""
+    texts = hot.select("row", "whole", F.explode("heavy").alias("key"))
+    sides = texts.groupBy("key").agg(F.ceil(F.count_if("whole") / F.lit(side)).alias("wholes"), F.ceil(F.count(F.lit(1)) / F.lit(side)).alias("parts")).where(F.col("wholes") > 0)
+    texts = texts.join(sides, "key")
+
+    def dealt(chosen: DataFrame, mine: bool) -> DataFrame:
+        own, other = ("wholes", "parts") if mine else ("parts", "wholes")
+        part, rest = F.pmod(F.xxhash64("row"), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        return chosen.select("key", (part if mine else rest).alias("i"), "row", "parts", "wholes").select(
+            "key", "i", (F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if mine else F.pmod(F.xxhash64("row"), F.col("parts"))).alias("j"), F.lit(mine).alias("mine"), "row")
+
+    return dealt(texts.where("whole"), True).unionByName(dealt(texts, False))
 
 
 def _met_in_rounds(blocks: DataFrame, hot: DataFrame, meet: Callable[[pa.Table], pa.Table]) -> DataFrame:
@@ -211,19 +328,43 @@ def _met_in_rounds(blocks: DataFrame, hot: DataFrame, meet: Callable[[pa.Table],
     share = F.pmod(F.xxhash64("key", "i", "j"), F.lit(rounds))
     done = []
     for number in range(rounds):
-        part = blocks.where(share == number).join(hot, "row").groupBy("key", "i", "j").applyInArrow(meet, "row long, start long, end long, other long")
+        part = blocks.where(share == number).join(hot.drop("whole"), "row").groupBy("key", "i", "j").applyInArrow(meet, "row long, start long, end long, other long")
         # Many texts may name the same stretch of the same partner: one stays, with the smallest of them.
         done.append(stored(part.groupBy("row", "start", "end").agg(F.min("other").alias("other")), "passage-met"))
     return reduce(DataFrame.unionByName, done)
 
 
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are in `wanted`, which is sorted."""
+    if not len(wanted):
+        return np.zeros(len(values), dtype=bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 class _Holders:
     """Which texts hold an item, for lists of items of several texts."""
 
-    def __init__(self, items: list[np.ndarray]):
-        every, owner = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
-        order = np.argsort(every, kind="stable")
-        self.items, self.owner = every[order], owner[order]
+    def __init__(self, items: np.ndarray, owner: np.ndarray):
+        order = np.argsort(items, kind="stable")
+        self.items, self.owner = items[order], owner[order]
+
+    @classmethod
+    def of_lists(cls, lists: pa.ChunkedArray) -> _Holders:
+        items = [np.array(x, dtype=np.int64) for x in lists.to_pylist()]
+        return cls(np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items]))
+
+    @classmethod
+    def of_shingles(cls, words: list[bytes], shingle: int, wanted: np.ndarray) -> _Holders:
+        """Only shingles that are in `wanted`, which is sorted; most others go by 20 bits of their hashes."""
+        sizes = [len(w) // 2 for w in words]
+        hashes, text = _shingles16(b"".join(words), shingle), np.repeat(np.arange(len(words)), sizes)
+        low, flags = np.uint64((1 << 20) - 1), np.zeros(1 << 20, dtype=bool)
+        flags[wanted & low] = True
+        at = np.flatnonzero(flags[hashes & low] & (text[: len(hashes)] == text[shingle - 1 :]))
+        place = np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)
+        same = wanted[place] == hashes[at]
+        once = np.unique(place[same] * len(words) + text[at[same]])
+        return cls(wanted[once // len(words)], once % len(words))
 
     def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in `wanted`, text) for each text that holds it."""
@@ -234,37 +375,50 @@ class _Holders:
 
 
 def _met(block: pa.Table, width: int, shingle: int, similarity: float, needed: int) -> pa.Table:
-    """`(row, start, end, other)` of a block: stretches of each text that another one holds, with the smallest of the texts that hold the same places of it.
+    """`(row, start, end, other)` of a block: stretches of its texts with `mine` set that another one of the rest holds, with the smallest of the texts that hold the same places of it.
 
-    A pair is verified in the blocks of its smallest frequent key only, and if its keys are of `needed` functions.
+    A pair is verified in the blocks of its smallest frequent key only, if its keys are of `needed` functions, and if it shares as many places as a passage needs.
     """
     out: dict[str, list] = {"row": [], "start": [], "end": [], "other": []}
     block = block.sort_by("row")
-    key, rows, part = block.column("key")[0].as_py(), block.column("row").to_numpy(), block.column("part").to_numpy()
-    apart = block.column("i")[0] != block.column("j")[0]
-    keys, heavy = ([np.array(x, dtype=np.int64) for x in block.column(c).to_pylist()] for c in ("keys", "heavy"))
-    texts = [np.unique(_shingles16(w.as_py(), shingle), return_inverse=True) for w in block.column("words")]
-    by_key, by_heavy, by_shingle = _Holders(keys), _Holders(heavy), _Holders([t[0] for t in texts])
-    for a, (own, place) in enumerate(texts):
-        able = part != part[a] if apart else np.arange(len(rows)) != a
-        able[by_heavy.of(heavy[a][heavy[a] < key])[1]] = False
-        if not able.any():
-            continue
-        at, text = by_key.of(keys[a])
+    key, mine = block.column("key")[0].as_py(), block.column("mine").to_numpy()
+    ours, block = block.filter(pa.array(mine)), block.filter(pa.array(~mine))
+    if not len(block):
+        return pa.table(out, schema=FOUND)
+    rows, by_key, by_heavy = block.column("row").to_numpy(), _Holders.of_lists(block.column("keys")), _Holders.of_lists(block.column("heavy"))
+    meet = []
+    for row, keys, heavy, words in zip(*(ours.column(c).to_pylist() for c in ("row", "keys", "heavy", "words")), strict=True):
+        keys, heavy = np.array(keys, dtype=np.int64), np.array(heavy, dtype=np.int64)
+        able = rows != row
+        able[by_heavy.of(heavy[heavy < key])[1]] = False
+        at, text = by_key.of(keys)
         shared = np.zeros(len(rows), dtype=np.int64)
-        np.bitwise_or.at(shared, text, np.left_shift(1, keys[a][at] & ((1 << FUNCTION_BITS) - 1)))
+        np.bitwise_or.at(shared, text, np.left_shift(1, keys[at] & ((1 << FUNCTION_BITS) - 1)))
         able &= np.bitwise_count(shared) >= needed
+        if able.any():
+            meet.append((row, able, *np.unique(_shingles16(words, shingle), return_inverse=True, return_counts=True)))
+    if not meet:
+        return pa.table(out, schema=FOUND)
+    # The rest of the texts need no look at their words.
+    some = np.flatnonzero(np.logical_or.reduce([x[1] for x in meet]))
+    rows, words = rows[some], [w.as_py() for w in block.column("words").take(pa.array(some))]
+    by_shingle = _Holders.of_shingles(words, shingle, np.unique(np.concatenate([x[2] for x in meet])))
+    for row, able, own, place, places in meet:
+        able = able[some]
+        at, text = by_shingle.of(own)
+        able &= np.bincount(text, weights=places[at], minlength=len(rows)) >= similarity * width - 1e-6
         if not able.any():
             continue
-        at, text = by_shingle.of(own)
-        held = np.zeros((len(rows), len(own)), dtype=bool)
+        number = np.cumsum(able) - 1
+        at, text = at[able[text]], number[text[able[text]]]
+        held = np.zeros((int(able.sum()), len(own)), dtype=bool)
         held[text, at] = True
         seen: set[bytes] = set()
-        for b in np.flatnonzero(able).tolist():
-            if (places := held[b].tobytes()) not in seen:
-                seen.add(places)
+        for b, other in enumerate(rows[able].tolist()):
+            if (key_of := held[b].tobytes()) not in seen:
+                seen.add(key_of)
                 for first, end in stretches(held[b][place], width, similarity):
-                    for name, value in zip(out, (rows[a], first, end + shingle - 1, rows[b]), strict=True):
+                    for name, value in zip(out, (row, first, end + shingle - 1, other), strict=True):
                         out[name].append(value)
     return pa.table(out, schema=FOUND)
 
@@ -276,7 +430,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     and `end` count words; words are lower-cased (A-Z) and end at white space. Texts with compact windows of the same
     min-hash under `needed` of the `functions` hash functions are candidates; each pair is verified on all
     its words (by 16 bits of each word's hash). All texts that share a key meet: pair by pair, or
-    in blocks of about 2 x `side` texts where more than `few` do. Texts with such a key have windows of a second order besides, with frequent
+    where more than `few` do, those that share as many places as a passage needs. These are found by counting the shingles that they share; texts that may
+    hold a passage wholly of shingles of more than `side` / 4 texts meet all texts of their keys, in blocks of about 2 x `side`. Texts with such a key have windows of a second order besides, with frequent
     shingles last, so that a common line within a passage does not stand for all of it. Of equal texts one meets the others, for all of them. Passages repeated
     within one text only do not count. `partner` is the identifier of the text it was verified with.
 
@@ -306,9 +461,11 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     frequent = F.when(F.col("kept"), F.col("key"))
     hot = tagged.join(_distinct_keys(tagged.where(F.col("c") > few)), "key", "left").groupBy("row").agg(F.collect_set("key").alias("keys"), F.collect_set(frequent).alias("heavy")).where(F.size("heavy") > 0)
     hot = stored(hot.join(words, "row"), "passage-hot")
+    close, needs = _by_shingles(hot, width, shingle, similarity, needed, max(2, side // 4))
+    hot = stored(hot.join(needs.select("row", (F.col("need") <= 0).alias("whole")), "row"), "passage-whole")
     met = _met_in_rounds(stored(_blocks(hot, side), "passage-blocks"), hot, lambda block: _met(block, width, shingle, similarity, needed))
     pairs = hits.groupBy("a", "b").agg(F.bit_or("f").alias("f")).where(F.bit_count("f") >= needed)
-    pairs = stored(pairs.select(F.col("a").alias("row"), F.col("b").alias("other")), "passage-pairs")
+    pairs = stored(pairs.select(F.col("a").alias("row"), F.col("b").alias("other")).unionByName(close).distinct(), "passage-pairs")
     joined = pairs.join(words, "row").join(words.select(F.col("row").alias("other"), F.col("words").alias("theirs")), "other")
 
     def verify(batches):
@@ -321,8 +478,9 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
                 if mine == theirs:
                     found = back = [(0, len(own))]
                 else:
-                    found = stretches(np.isin(own, their), width, similarity)
-                    back = stretches(np.isin(their, own), width, similarity)
+                    match = _among(own, np.sort(their))
+                    found = stretches(match, width, similarity)
+                    back = stretches(_among(their, np.sort(own[match])), width, similarity)
                 for at, with_, spans in ((row, other, found), (other, row, back)):
                     for a, b in spans:
                         for key, value in zip(out, (at, a, b + shingle - 1, with_), strict=True):

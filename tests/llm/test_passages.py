@@ -172,5 +172,24 @@ def test_blocks_in_rounds_move_no_more_than_their_share(spark, monkeypatch):
     assert rounds.count("passage-met") > 3 and spark.conf.get(key) == before
 
 
+def test_texts_that_share_a_line_only_are_not_compared(spark, monkeypatch):
+    """300 texts hold a line too short for a passage, two of them a passage around it: no blocks, and the one pair that shares enough shingles is verified."""
+    rng, store, seen = random.Random(9), passages.stored, {}
+    new = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    line = new(13)
+    passage = [*new(30), *line, *new(30)]
+    rows = [(i, " ".join([*new(40), *(passage if i in (7, 200) else line), *new(40)]), None, None, None) for i in range(300)]
+
+    def counted(df, label):
+        out = store(df, label)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(passages, "stored", counted)
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {tuple(r) for r in got} == {(7, 40, 113, 200), (200, 40, 113, 7)}
+    assert seen["passage-blocks"] == 0 and seen["passage-pairs"] == 1
+
+
 def test_empty_table(spark):
     assert passages.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
