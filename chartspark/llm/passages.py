@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
+from fractions import Fraction
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,14 @@ FUNCTION_BITS = 4
 LAST = np.uint64(0x9E3779B97F4A7000)
 #: Words of texts that a round of blocks may move: this many bytes, or this many times those of all texts in blocks.
 ROUND_BYTES, ROUND_SHARE = 1 << 28, 4
-#: Bytes of texts' words whose shingles make a bucket.
-BUCKET_BYTES = 1 << 21
+#: Bytes of texts' words whose shingles make a bucket, of windows that make one, and at most of words on either side of a block.
+BUCKET_BYTES, WINDOW_BYTES, BLOCK_BYTES = 1 << 21, 1 << 24, 1 << 24
+#: Bytes of bit sets held at a time while the texts of a block meet, and runs of matches after which their stretches are looked for.
+HELD_BYTES, HELD_RUNS = 1 << 26, 1 << 17
+#: A window as it travels: its key, its text's row and the digest of that text's words, the words that it spans.
+WINDOW = np.dtype([("key", np.int64), ("row", np.int64), ("digest", np.int64), ("first", np.int32), ("end", np.int32)])
+#: A shingle's hash, and how many texts hold it.
+COUNTED = np.dtype([("h", np.int64), ("n", np.int64)])
 FOUND = pa.schema([(name, pa.int64()) for name in ("row", "start", "end", "other")])
 
 
@@ -56,10 +65,15 @@ def compact_windows(hashes: np.ndarray, valid: np.ndarray, width: int) -> tuple[
     return first[kept], last[kept] + width, least[first][kept]
 
 
+def _cut(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Bytes of so many values each."""
+    offsets = (np.concatenate([[0], np.cumsum(counts)]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def window_table(docs: DataFrame, width: int, shingle: int, functions: int) -> DataFrame:
-    """`(key, row, first, end)` for all hash functions, and in rows with a null key the identifier and words of each text that can hold a passage, 16 bits a word."""
+    """`(row, doc_id, words, digest, windows)` of each text that can hold a passage: its words, 16 bits a word, 16 bytes that tell those of different texts apart, and the windows of all hash functions, packed as WINDOW."""
     low = np.uint64((1 << FUNCTION_BITS) - 1)
-    names = ["key", "row", "first", "end", "words", "doc_id"]
 
     def each(batches):
         for batch in batches:
@@ -69,22 +83,73 @@ def window_table(docs: DataFrame, width: int, shingle: int, functions: int) -> D
                 text = np.repeat(np.arange(len(part)), np.diff(words.first))
                 hashes = textarrays.shingles(words.hashes, shingle)
                 valid = text[: len(hashes)] == text[shingle - 1 :] if len(hashes) else np.zeros(0, dtype=bool)
-                for f in range(functions):
-                    first, end, least = compact_windows(textarrays.with_seed(hashes, f), valid, width)
-                    key = ((least & ~low) | np.uint64(f)).view(np.int64)
-                    own = text[first]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(key), pa.array(rows[at + own]), pa.array((first - words.first[own]).astype(np.int32)), pa.array((end - words.first[own]).astype(np.int32)),
-                        pa.nulls(len(first), pa.binary()), pa.nulls(len(first), pa.int64())], names=names)
                 long = np.flatnonzero(np.diff(words.first) >= width + shingle - 1)
                 short = (words.hashes >> np.uint64(48)).astype(np.uint16)
                 held = [short[words.first[i] : words.first[i + 1]].tobytes() for i in long]
-                nothing = pa.nulls(len(long), pa.int32())
+                digests = [blake2b(w, digest_size=16).digest() for w in held]
+                number = np.zeros(len(part), dtype=np.int64)
+                number[long] = np.frombuffer(b"".join(digests), dtype=np.int64)[::2]
+                found = []
+                for f in range(functions):
+                    first, end, least = compact_windows(textarrays.with_seed(hashes, f), valid, width)
+                    own, windows = text[first], np.empty(len(first), dtype=WINDOW)
+                    windows["key"], windows["row"], windows["digest"] = ((least & ~low) | np.uint64(f)).view(np.int64), rows[at + own], number[own]
+                    windows["first"], windows["end"] = first - words.first[own], end - words.first[own]
+                    found.append((own, windows))
+                own, windows = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(len(long), pa.int64()), pa.array(rows[at + long]), nothing, nothing, pa.array(held, type=pa.binary()),
-                    batch.column("doc_id").take(pa.array(at + long))], names=names)
+                    pa.array(rows[at + long]), batch.column("doc_id").take(pa.array(at + long)), pa.array(held, type=pa.binary()), pa.array(digests, type=pa.binary()),
+                    _cut(windows[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(part))[long])], names=["row", "doc_id", "words", "digest", "windows"])
+
+    return docs.select("row", "doc_id", "_t").mapInArrow(each, "row long, doc_id long, words binary, digest binary, windows binary")
+
+
+def _deal(items: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """`(bucket, data)`: the items, packed, by buckets of their hashes."""
+    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+    n = np.bincount(bucket, minlength=buckets)
+    some = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _cut(items[np.argsort(bucket, kind="stable")], n[some])], names=["bucket", "data"])
+
+
+def _packed(bucket: pa.Table, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in bucket.column("data")])
+
+
+def _dealt_windows(texts: DataFrame, buckets: int) -> DataFrame:
+    def each(batches):
+        for batch in batches:
+            for _, part in textarrays.chunks(batch.column("windows"), 8 * textarrays.CHUNK_BYTES):
+                windows = np.frombuffer(b"".join(x.as_py() for x in part), dtype=WINDOW)
+                yield _deal(windows, textarrays.mixed(windows["key"].view(np.uint64)), buckets)
+
+    return texts.select("windows").mapInArrow(each, "bucket int, data binary")
+
+
+def _shared_windows(bucket: pa.Table, few: int) -> pa.Table:
+    """`(key, row, c, one, first, end)` of the keys of a bucket that two texts share, with the number `c` of the key's texts: their windows if those are more than `few`, and else a row a text.
 
-    return docs.select("row", "doc_id", "_t").mapInArrow(each, "key long, row long, first int, end int, words binary, doc_id long")
+    `one` is set once for each key and text. Of texts with the same digest, which share all their keys, only the smallest counts.
+    """
+    windows = _packed(bucket, WINDOW)
+    order = np.argsort(windows["key"])
+    key = windows["key"][order]
+    same = key[1:] == key[:-1]
+    windows = windows[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+    windows = windows[np.lexsort((windows["first"], windows["row"], windows["digest"], windows["key"]))]
+    new = lambda *names: np.concatenate([[True], np.logical_or.reduce([windows[x][1:] != windows[x][:-1] for x in names])])[: len(windows)]
+    text = new("key", "digest")
+    windows = windows[windows["row"] == windows["row"][text][np.cumsum(text) - 1]]
+    one, number = new("key", "row"), np.cumsum(new("key")) - 1
+    c = np.bincount(number, weights=one).astype(np.int64)[number]
+    kept = (c > few) | (one & (c > 1))
+    windows = windows[kept]
+    return pa.table({"key": windows["key"], "row": windows["row"], "c": c[kept], "one": one[kept], "first": windows["first"], "end": windows["end"]})
+
+
+def _tagged(dealt: DataFrame, few: int, label: str) -> DataFrame:
+    """`_shared_windows` of all buckets."""
+    return stored(dealt.groupBy("bucket").applyInArrow(lambda bucket: _shared_windows(bucket, few), "key long, row long, c long, one boolean, first int, end int"), label)
 
 
 def stretches(match: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
@@ -110,6 +175,52 @@ def stretches(match: np.ndarray, least: int, similarity: float) -> list[tuple[in
     return sorted(out)
 
 
+def all_stretches(own: np.ndarray, first: np.ndarray, end: np.ndarray, size: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, start, end): what `stretches` finds, for many lists of places at once, in any order. List `own` has `size[own]` places, and matches in the runs from `first` to `end`, sorted by list and place.
+
+    In whole numbers: with a similarity of p / q a match adds q - p and any other place takes p. The first of the longest stretches that sum to 0 or more
+    ends with a run and begins in the gap before one, or else begins where its list does and may end in a gap. So only runs are looked at, not places.
+    """
+    share = Fraction(similarity).limit_denominator(10_000)
+    p, q = share.numerator, share.denominator
+    held = np.concatenate([[0], np.cumsum(end - first)])
+    low, high = q * held[:-1] - p * first, q * held[1:] - p * end
+    of = np.arange(len(size))
+    lo, hi = np.searchsorted(own, of, side="left"), np.searchsorted(own, of, side="right")
+    a, b, out = np.zeros(len(size), dtype=np.int64), size, []
+    while True:
+        kept = (b - a >= least) & (q * (held[hi] - held[lo]) >= p * least)
+        lo, hi, a, b, of = (x[kept] for x in (lo, hi, a, b, of))
+        if not len(of):
+            break
+        n = hi - lo
+        at, part = np.concatenate([[0], np.cumsum(n)[:-1]]), np.repeat(np.arange(len(of)), n)
+        place = np.arange(len(part))
+        run = place + np.repeat(lo - at, n)
+        base = (low[lo] + p * (first[lo] - a))[part]
+        before, after = low[run] - base, high[run] - base
+        # Sums of later lists lie below those of all earlier ones, so one search serves all.
+        below = part * (2 * q * int((b - a).max()) + 1)
+        head = np.searchsorted(-np.minimum.accumulate(before - below), below - after)
+        whole = after >= 0
+        start = np.where(whole, a[part], first[run[head]] - (after - before[head]) // p)
+        length = end[run] - start
+        most = np.maximum.reduceat(length, at)
+        best = np.minimum.reduceat(np.where(length == most[part], place, len(place)), at)
+        last = np.maximum.reduceat(np.where(whole, place, -1), at)
+        y = np.where(last >= 0, np.minimum(b, end[run[last]] + after[last] // p), a)
+        begins = y - a >= most
+        x, y = np.where(begins, a, start[best]), np.where(begins, y, end[run[best]])
+        head, tail = np.where(begins | whole[best], lo, run[head[best]]), run[np.where(begins, last, best)]
+        kept = y - x >= least
+        lo, hi, a, b, of, x, y, head, tail = (z[kept] for z in (lo, hi, a, b, of, x, y, head, tail))
+        long = end[tail] - first[head] >= least
+        out.append((of[long], first[head][long], end[tail][long]))
+        lo, hi, a, b, of = (np.concatenate(z) for z in ((lo, tail + 1), (head, hi), (a, y), (x, b), (of, of)))
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate([none, *x]) for x in zip(*out, strict=True)) if out else (none, none, none)
+
+
 def _shingles16(data: bytes, shingle: int) -> np.ndarray:
     return textarrays.shingles(np.frombuffer(data, dtype=np.uint16).astype(np.uint64), shingle)
 
@@ -126,13 +237,6 @@ def _tidy(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def _tagged(windows: DataFrame, label: str) -> DataFrame:
-    """The `(key, row)` of keys that two texts share, once each, with the number `c` of the key's texts."""
-    texts = windows.select("key", "row").distinct()
-    keys = texts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    return stored(texts.join(keys, "key"), label)
-
-
 def _distinct_keys(tagged: DataFrame) -> DataFrame:
     """`(key, kept)`: of keys with the same texts the smallest, as the pairs of all of them meet there. Texts are compared by their number and two 64-bit sums."""
     sums = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"s{i}") for i in range(2)]
@@ -155,8 +259,8 @@ def _joined(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray
     return hashes, np.cumsum(edge[:-1]) > 0, text, begins
 
 
-def _windows_by_rarity(hot: DataFrame, width: int, shingle: int, functions: int, few: int) -> DataFrame:
-    """`(key, row)` of the texts and spans of `hot(row, words, spans)`, with shingles of more than `few` texts last in every hash order.
+def _windows_by_rarity(hot: DataFrame, width: int, shingle: int, functions: int, few: int, buckets: int) -> DataFrame:
+    """`(bucket, data)`: windows of the texts and spans of `hot(row, words, spans)`, with shingles of more than `few` texts last in every hash order.
 
     A window then has a frequent shingle as its minimum only if it has no other, so texts that share a common line
     within a passage of their own meet by that passage's own words. Frequent shingles are a bit set of fixed size; any
@@ -174,10 +278,17 @@ def _windows_by_rarity(hot: DataFrame, width: int, shingle: int, functions: int,
             values, place = np.unique(hashes[valid], return_inverse=True)
             # A text counts once for each of its shingles.
             once = np.unique(place.astype(np.int64) * len(batch) + text[: len(hashes)][valid]) // max(1, len(batch))
-            yield pa.RecordBatch.from_pydict({"h": values.view(np.int64), "n": np.bincount(once, minlength=len(values)).astype(np.int64)})
+            counted = np.empty(len(values), dtype=COUNTED)
+            counted["h"], counted["n"] = values.view(np.int64), np.bincount(once, minlength=len(values))
+            yield _deal(counted, values, buckets)
+
+    def frequent(bucket):
+        counted = _packed(bucket, COUNTED)
+        values, place = np.unique(counted["h"], return_inverse=True)
+        return pa.table({"h": values[np.bincount(place, weights=counted["n"], minlength=len(values)) > few]})
 
-    counted = hot.select("words", "spans").mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    shared = hot.sparkSession.sparkContext.broadcast(_filter(stored(counted.where(F.col("n") > few).select("h"), "passage-frequent")))
+    counted = hot.select("words", "spans").mapInArrow(counts, "bucket int, data binary").groupBy("bucket").applyInArrow(frequent, "h long")
+    shared = hot.sparkSession.sparkContext.broadcast(_filter(stored(counted, "passage-frequent")))
     low = np.uint64((1 << FUNCTION_BITS) - 1)
 
     def each(batches):
@@ -190,9 +301,12 @@ def _windows_by_rarity(hot: DataFrame, width: int, shingle: int, functions: int,
             for f in range(functions):
                 order = (textarrays.with_seed(hashes, f) >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
                 first, _, least = compact_windows(order, valid, width)
-                yield pa.RecordBatch.from_pydict({"key": (((least & ~low) | np.uint64(f)) ^ LAST).view(np.int64), "row": rows[text[first]]})
+                windows = np.zeros(len(first), dtype=WINDOW)
+                windows["key"], windows["row"] = (((least & ~low) | np.uint64(f)) ^ LAST).view(np.int64), rows[text[first]]
+                windows["digest"] = windows["row"]
+                yield _deal(windows, textarrays.mixed(windows["key"].view(np.uint64)), buckets)
 
-    return hot.select("row", "words", "spans").mapInArrow(each, "key long, row long")
+    return hot.select("row", "words", "spans").mapInArrow(each, "bucket int, data binary")
 
 
 def _dealt(hot: DataFrame, shingle: int, buckets: int) -> DataFrame:
@@ -305,30 +419,40 @@ def _by_shingles(hot: DataFrame, width: int, shingle: int, similarity: float, ne
 
 
 def _blocks(hot: DataFrame, side: int) -> DataFrame:
-    """`(key, i, j, mine, row)`: for every frequent key, its texts with `whole` set in parts of about `side` (mine), and all its texts in such parts; each pair of parts is a block, so that every `whole` text meets all texts of the key."""
-    texts = hot.select("row", "whole", F.explode("heavy").alias("key"))
-    sides = texts.groupBy("key").agg(F.ceil(F.count_if("whole") / F.lit(side)).alias("wholes"), F.ceil(F.count(F.lit(1)) / F.lit(side)).alias("parts")).where(F.col("wholes") > 0)
-    texts = texts.join(sides, "key")
+    """`(cluster, i, j, mine, row, clusters)`: the texts of each cluster of frequent keys with `whole` set, in parts (mine), and all its texts in parts; each pair of parts is a block, so that every `whole` text meets all texts of its keys.
+
+    The texts of one passage share many keys, each with almost the same texts. Keys are a cluster if the same text has the least hash among their
+    `whole` texts, which is as likely as the texts that two keys have in common are many. A text then meets the others once, not once a key.
+    Parts have about `side` texts, more where there were more than four, 16 x `side` or BLOCK_BYTES at most.
+    """
+    texts = hot.select("row", "whole", F.length("words").alias("n"), F.explode("heavy").alias("key"))
+    leads = texts.where("whole").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("cluster"))
+    texts = stored(texts.join(leads, "key").select("cluster", "row", "whole", "n").distinct(), "passage-clusters")
+    parts = lambda n, size: F.least(F.ceil(n / F.lit(side)), F.greatest(F.lit(4), F.ceil(n / F.lit(16 * side)), F.ceil(size / F.lit(BLOCK_BYTES))))
+    whole = F.count_if("whole")
+    sides = texts.groupBy("cluster").agg(parts(whole, F.sum(F.when(F.col("whole"), F.col("n")))).alias("wholes"), parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    lists = texts.groupBy("row").agg(F.collect_list("cluster").alias("clusters"))
+    texts = texts.join(sides, "cluster").join(lists, "row")
 
     def dealt(chosen: DataFrame, mine: bool) -> DataFrame:
         own, other = ("wholes", "parts") if mine else ("parts", "wholes")
         part, rest = F.pmod(F.xxhash64("row"), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
-        return chosen.select("key", (part if mine else rest).alias("i"), "row", "parts", "wholes").select(
-            "key", "i", (F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if mine else F.pmod(F.xxhash64("row"), F.col("parts"))).alias("j"), F.lit(mine).alias("mine"), "row")
+        return chosen.select("cluster", (part if mine else rest).alias("i"), "row", "clusters", "parts").select(
+            "cluster", "i", (F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if mine else F.pmod(F.xxhash64("row"), F.col("parts"))).alias("j"), F.lit(mine).alias("mine"), "row", "clusters")
 
     return dealt(texts.where("whole"), True).unionByName(dealt(texts, False))
 
 
 def _met_in_rounds(blocks: DataFrame, hot: DataFrame, meet: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """What `meet` makes of all blocks, a share of them at a time: a text goes to every block of its keys, and the shuffle of one round is bounded
+    """What `meet` makes of all blocks, a share of them at a time: a text goes to every block of its clusters, and the shuffle of one round is bounded
     by the texts' own size, however many blocks there are."""
     size = stored(hot.select("row", F.length("words").alias("n")), "passage-sizes")
     own, moved = size.agg(F.sum("n")).first()[0] or 0, blocks.join(size, "row").agg(F.sum("n")).first()[0] or 0
     rounds = max(1, -(-moved // max(ROUND_BYTES, ROUND_SHARE * own)))
-    share = F.pmod(F.xxhash64("key", "i", "j"), F.lit(rounds))
+    share = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(rounds))
     done = []
     for number in range(rounds):
-        part = blocks.where(share == number).join(hot.drop("whole"), "row").groupBy("key", "i", "j").applyInArrow(meet, "row long, start long, end long, other long")
+        part = blocks.where(share == number).join(hot, "row").groupBy("cluster", "i", "j").applyInArrow(meet, "row long, start long, end long, other long")
         # Many texts may name the same stretch of the same partner: one stays, with the smallest of them.
         done.append(stored(part.groupBy("row", "start", "end").agg(F.min("other").alias("other")), "passage-met"))
     return reduce(DataFrame.unionByName, done)
@@ -341,86 +465,152 @@ def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
 
 
-class _Holders:
-    """Which texts hold an item, for lists of items of several texts."""
+def _smallest(row: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.Table:
+    """A row for each stretch, with the smallest of its partners."""
+    order = np.lexsort((other, end, start, row))
+    row, start, end, other = (x[order] for x in (row, start, end, other))
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1])
+    return pa.table([x[new] for x in (row, start, end, other)], schema=FOUND)
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all lists, and the list of each."""
+    return pc.list_flatten(lists).to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+
 
-    def __init__(self, items: np.ndarray, owner: np.ndarray):
-        order = np.argsort(items, kind="stable")
-        self.items, self.owner = items[order], owner[order]
+def _bit_sets(item: np.ndarray, column: np.ndarray, wanted: np.ndarray, columns: int) -> np.ndarray:
+    """For each of the `wanted` items, which are sorted, a packed bit set of the columns that have it, and an empty set after them. Pairs of item and column are sorted, and each comes once."""
+    out = np.zeros((len(wanted) + 1, -(-columns // 8)), dtype=np.uint8)
+    chosen = _among(item, wanted)
+    item, column = np.searchsorted(wanted, item[chosen]), column[chosen]
+    if len(item):
+        cell = item * out.shape[1] + (column >> 3)
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        out.reshape(-1)[cell[first]] = np.add.reduceat((128 >> (column & 7)).astype(np.uint8), first)
+    return out
 
-    @classmethod
-    def of_lists(cls, lists: pa.ChunkedArray) -> _Holders:
-        items = [np.array(x, dtype=np.int64) for x in lists.to_pylist()]
-        return cls(np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items]))
 
-    @classmethod
-    def of_shingles(cls, words: list[bytes], shingle: int, wanted: np.ndarray) -> _Holders:
-        """Only shingles that are in `wanted`, which is sorted; most others go by 20 bits of their hashes."""
-        sizes = [len(w) // 2 for w in words]
-        hashes, text = _shingles16(b"".join(words), shingle), np.repeat(np.arange(len(words)), sizes)
-        low, flags = np.uint64((1 << 20) - 1), np.zeros(1 << 20, dtype=bool)
-        flags[wanted & low] = True
-        at = np.flatnonzero(flags[hashes & low] & (text[: len(hashes)] == text[shingle - 1 :]))
-        place = np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)
-        same = wanted[place] == hashes[at]
-        once = np.unique(place[same] * len(words) + text[at[same]])
-        return cls(wanted[once // len(words)], once % len(words))
+class _Stretches:
+    """Stretches of texts in their partners, from runs of matches that come bit by bit."""
 
-    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in `wanted`, text) for each text that holds it."""
-        low, high = np.searchsorted(self.items, wanted, side="left"), np.searchsorted(self.items, wanted, side="right")
-        n = high - low
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(np.arange(len(wanted)), n), self.owner[at]
+    def __init__(self, width: int, shingle: int, similarity: float):
+        self.width, self.shingle, self.similarity = width, shingle, similarity
+        self.done, self.lists, self.runs, self.count, self.held = [], [], [], 0, 0
+
+    def add(self, row: int, others: np.ndarray, size: int, own: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
+        """Runs of places from `first` to `end` that text `row`, of `size` places, shares with the partner at `own` in `others`, sorted."""
+        self.lists.append((np.full(len(others), row), others, np.full(len(others), size)))
+        self.runs.append((own + self.count, first, end))
+        self.count, self.held = self.count + len(others), self.held + len(own)
+        if self.held > HELD_RUNS:
+            self._look()
+
+    def _look(self) -> None:
+        if self.lists:
+            row, other, size = (np.concatenate(x) for x in zip(*self.lists, strict=True))
+            own, start, end = all_stretches(*(np.concatenate(x) for x in zip(*self.runs, strict=True)), size, self.width, self.similarity)
+            self.done.append(_smallest(row[own], start, end + self.shingle - 1, other[own]))
+            self.lists, self.runs, self.count, self.held = [], [], 0, 0
+
+    def found(self) -> pa.Table:
+        self._look()
+        return pa.concat_tables([FOUND.empty_table(), *self.done])
 
 
 def _met(block: pa.Table, width: int, shingle: int, similarity: float, needed: int) -> pa.Table:
     """`(row, start, end, other)` of a block: stretches of its texts with `mine` set that another one of the rest holds, with the smallest of the texts that hold the same places of it.
 
-    A pair is verified in the blocks of its smallest frequent key only, if its keys are of `needed` functions, and if it shares as many places as a passage needs.
+    A pair is verified in the blocks of its smallest cluster only, if it shares a frequent key and keys of `needed` functions, and if it shares as many places as a passage needs.
+    Which texts hold a shingle or a key is a bit set; all partners of a text are compared at once.
     """
-    out: dict[str, list] = {"row": [], "start": [], "end": [], "other": []}
-    block = block.sort_by("row")
-    key, mine = block.column("key")[0].as_py(), block.column("mine").to_numpy()
-    ours, block = block.filter(pa.array(mine)), block.filter(pa.array(~mine))
-    if not len(block):
-        return pa.table(out, schema=FOUND)
-    rows, by_key, by_heavy = block.column("row").to_numpy(), _Holders.of_lists(block.column("keys")), _Holders.of_lists(block.column("heavy"))
-    meet = []
-    for row, keys, heavy, words in zip(*(ours.column(c).to_pylist() for c in ("row", "keys", "heavy", "words")), strict=True):
-        keys, heavy = np.array(keys, dtype=np.int64), np.array(heavy, dtype=np.int64)
-        able = rows != row
-        able[by_heavy.of(heavy[heavy < key])[1]] = False
-        at, text = by_key.of(keys)
-        shared = np.zeros(len(rows), dtype=np.int64)
-        np.bitwise_or.at(shared, text, np.left_shift(1, keys[at] & ((1 << FUNCTION_BITS) - 1)))
-        able &= np.bitwise_count(shared) >= needed
-        if able.any():
-            meet.append((row, able, *np.unique(_shingles16(words, shingle), return_inverse=True, return_counts=True)))
-    if not meet:
-        return pa.table(out, schema=FOUND)
-    # The rest of the texts need no look at their words.
-    some = np.flatnonzero(np.logical_or.reduce([x[1] for x in meet]))
-    rows, words = rows[some], [w.as_py() for w in block.column("words").take(pa.array(some))]
-    by_shingle = _Holders.of_shingles(words, shingle, np.unique(np.concatenate([x[2] for x in meet])))
-    for row, able, own, place, places in meet:
-        able = able[some]
-        at, text = by_shingle.of(own)
-        able &= np.bincount(text, weights=places[at], minlength=len(rows)) >= similarity * width - 1e-6
-        if not able.any():
-            continue
-        number = np.cumsum(able) - 1
-        at, text = at[able[text]], number[text[able[text]]]
-        held = np.zeros((int(able.sum()), len(own)), dtype=bool)
-        held[text, at] = True
-        seen: set[bytes] = set()
-        for b, other in enumerate(rows[able].tolist()):
-            if (key_of := held[b].tobytes()) not in seen:
-                seen.add(key_of)
-                for first, end in stretches(held[b][place], width, similarity):
-                    for name, value in zip(out, (row, first, end + shingle - 1, other), strict=True):
-                        out[name].append(value)
-    return pa.table(out, schema=FOUND)
+    out, need, cluster = _Stretches(width, shingle, similarity), int(np.ceil(similarity * width - 1e-6)), block.column("cluster")[0].as_py()
+    row, mine = block.column("row").to_numpy(), block.column("mine").to_numpy()
+    rows, at = np.unique(row, return_index=True)
+    ours, theirs, block = np.isin(rows, row[mine]), np.isin(rows, row[~mine]), block.take(pa.array(at))
+    words, total = block.column("words"), len(rows)
+    sizes = pc.binary_length(words).to_numpy().astype(np.int64) // 2
+    hashes, text = _shingles16(b"".join(w.as_py() for w in words), shingle), np.repeat(np.arange(total), sizes)
+    at = np.flatnonzero(text[: len(hashes)] == text[shingle - 1 :])
+    hashes, text = hashes[at], text[at]
+    place = at - (np.cumsum(sizes) - sizes)[text]
+    # Places of shingles that one text alone holds match nothing.
+    order = np.argsort(hashes)
+    new = np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]])[: len(hashes)]
+    item = np.empty(len(hashes), dtype=np.int64)
+    item[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(np.bincount(item)[item] > 1)
+    item, text, place = item[at], text[at], place[at]
+    held, places = np.unique(item * total + text, return_counts=True)
+    held_item, held_text = held // total, held % total
+    several = np.bincount(held_item, minlength=int(new.sum())) > 1
+    at = np.flatnonzero(several[item])
+    item, text, place = item[at], text[at], place[at]
+    ours &= np.bincount(text, minlength=total) >= need
+    # As many places as another text has at most in common with one of ours.
+    most = np.zeros(len(several), dtype=np.int64)
+    chosen = ours[held_text] & several[held_item]
+    np.maximum.at(most, held_item[chosen], places[chosen])
+    theirs &= np.bincount(held_text, weights=most[held_item], minlength=total) >= need
+    others, columns = np.flatnonzero(theirs), int(theirs.sum())
+    if not columns or not ours.any():
+        return out.found()
+    number = np.cumsum(theirs) - 1
+    chosen = theirs[held_text] & (most[held_item] > 0)
+    held_item, held_column = held_item[chosen], number[held_text[chosen]]
+    # A place without a shingle follows each run of places, so that runs of matches end there.
+    ends = np.concatenate([(text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1), [True]])
+    again = np.cumsum(1 + ends)[ends] - 1
+    item, text, place = (np.repeat(x, 1 + ends) for x in (item, text, place))
+    item[again] = -1
+    place[again] += 1
+    first, last = np.searchsorted(text, np.arange(total), side="left"), np.searchsorted(text, np.arange(total), side="right")
+
+    def listed(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Items by text, where each text's begin, and the columns of each item, sorted."""
+        values, owner = _flat(block.column(name))
+        order = np.lexsort((owner, values))
+        order = order[theirs[owner[order]]]
+        return values, np.searchsorted(owner, np.arange(total + 1)), values[order], number[owner[order]], owner
+
+    keys, key_at, by_key, key_column, _ = listed("keys")
+    heavy, heavy_at, *_ = listed("heavy")
+    clusters, cluster_at, by_cluster, cluster_column, owner = listed("clusters")
+    sooner = np.unique(clusters[(clusters < cluster) & ours[owner]])
+    cluster_sets = _bit_sets(by_cluster, cluster_column, sooner, columns)
+    queue, weight = np.flatnonzero(ours), -(-columns // 8)
+    load = np.cumsum((last - first + np.diff(key_at))[queue] * weight) // HELD_BYTES
+    for some in np.split(queue, np.flatnonzero(np.diff(load)) + 1):
+        own = np.zeros(total, dtype=bool)
+        own[some] = True
+        wanted_items, wanted_keys = np.unique(item[own[text] & (item >= 0)]), np.unique(keys[np.repeat(own, np.diff(key_at))])
+        item_sets, key_sets = _bit_sets(held_item, held_column, wanted_items, columns), _bit_sets(by_key, key_column, wanted_keys, columns)
+        for d in some.tolist():
+            own_keys, own_heavy, own_clusters = keys[key_at[d] : key_at[d + 1]], heavy[heavy_at[d] : heavy_at[d + 1]], clusters[cluster_at[d] : cluster_at[d + 1]]
+            function = own_keys & ((1 << FUNCTION_BITS) - 1)
+            by_function = np.argsort(function)
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(function[by_function]) != 0]))
+            functions = np.bitwise_or.reduceat(key_sets[np.searchsorted(wanted_keys, own_keys[by_function])], edges, axis=0)
+            able = np.bitwise_or.reduce(key_sets[np.searchsorted(wanted_keys, own_heavy)], axis=0)
+            able &= ~np.bitwise_or.reduce(cluster_sets[np.searchsorted(sooner, own_clusters[own_clusters < cluster])], axis=0)
+            able = np.unpackbits(able, count=columns).astype(bool) & (np.unpackbits(functions, axis=1, count=columns).sum(axis=0) >= needed)
+            if theirs[d]:
+                able[number[d]] = False
+            partners = np.flatnonzero(able)
+            if not len(partners):
+                continue
+            own_items, own_place = item[first[d] : last[d]], place[first[d] : last[d]]
+            sets = item_sets[np.where(own_items < 0, len(wanted_items), np.searchsorted(wanted_items, own_items))]
+            match = np.unpackbits(sets, axis=1, count=columns)[:, partners]
+            chosen = match.sum(axis=0) >= need
+            if not chosen.any():
+                continue
+            match, length = np.ascontiguousarray(match[:, chosen].T), len(own_place)
+            match[:, 1:] ^= match[:, :-1].copy()
+            edges = np.flatnonzero(match)
+            of, edge = edges[0::2] // length, own_place[edges % length]
+            out.add(int(rows[d]), rows[others[partners[chosen]]], int(max(0, sizes[d] - shingle + 1)), of, edge[0::2], edge[1::2])
+    return out.found()
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 4, needed: int = 2, few: int = 8, side: int = 256) -> DataFrame:
@@ -442,19 +632,18 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
         raise ValueError("too many hash functions")
     width = least_words - shingle + 1
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_t"))
-    both = stored(window_table(rows, width, shingle, functions), "passage-windows")
-    names = both.where(F.col("key").isNull()).select("row", "doc_id")
-    windows, words = both.where(F.col("key").isNotNull()).select("key", "row", "first", "end"), both.where(F.col("key").isNull()).select("row", "words")
+    texts = stored(window_table(rows, width, shingle, functions), "passage-windows")
+    names, words = texts.select("row", "doc_id"), texts.select("row", "words")
     # Of equal texts the smallest one meets the others' texts; the rest repeat it whole and share what it has.
-    equal = stored(words.select("row", F.sha2("words", 256).alias("_h"), (F.length("words") / 2).cast("long").alias("n")), "passage-equal")
-    firsts = equal.groupBy("_h").agg(F.min("row").alias("rep"))
-    members = stored(equal.join(firsts, "_h").select("row", "rep", "n"), "passage-members")
+    firsts = texts.groupBy("digest").agg(F.min("row").alias("rep"))
+    members = stored(texts.select("row", "digest", (F.length("words") / 2).cast("long").alias("n")).join(firsts, "digest").select("row", "rep", "n"), "passage-members")
     again = members.where(F.col("row") != F.col("rep"))
-    windows = windows.join(again.select("row"), "row", "left_anti")
-    plain = _tagged(windows, "passage-shared")
-    many = plain.where(F.col("c") > few)
-    spans = windows.join(many.select("key", "row"), ["key", "row"]).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    tagged = plain.unionByName(_tagged(_windows_by_rarity(stored(spans.join(words, "row"), "passage-spans"), width, shingle, functions, few), "passage-rare"))
+    size = texts.agg(F.sum(F.length("windows"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // WINDOW_BYTES))
+    shared = _tagged(_dealt_windows(texts, buckets), few, "passage-shared")
+    spans = shared.where(F.col("c") > few).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    rare = _tagged(_windows_by_rarity(stored(spans.join(words, "row"), "passage-spans"), width, shingle, functions, few, buckets), few, "passage-rare")
+    tagged = shared.unionByName(rare).where("one").select("key", "row", "c")
     bit = F.expr(f"shiftleft(1, cast(key & {(1 << FUNCTION_BITS) - 1} as int))").alias("f")
     rare = tagged.where(F.col("c") <= few)
     hits = rare.select("key", F.col("row").alias("a")).join(rare.select("key", F.col("row").alias("b")), "key").where(F.col("a") > F.col("b")).select("a", "b", bit)
@@ -462,30 +651,24 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     hot = tagged.join(_distinct_keys(tagged.where(F.col("c") > few)), "key", "left").groupBy("row").agg(F.collect_set("key").alias("keys"), F.collect_set(frequent).alias("heavy")).where(F.size("heavy") > 0)
     hot = stored(hot.join(words, "row"), "passage-hot")
     close, needs = _by_shingles(hot, width, shingle, similarity, needed, max(2, side // 4))
-    hot = stored(hot.join(needs.select("row", (F.col("need") <= 0).alias("whole")), "row"), "passage-whole")
-    met = _met_in_rounds(stored(_blocks(hot, side), "passage-blocks"), hot, lambda block: _met(block, width, shingle, similarity, needed))
+    whole = hot.select("row", "heavy", "words").join(needs.select("row", (F.col("need") <= 0).alias("whole")), "row")
+    met = _met_in_rounds(stored(_blocks(whole, side), "passage-blocks"), hot, lambda block: _met(block, width, shingle, similarity, needed))
     pairs = hits.groupBy("a", "b").agg(F.bit_or("f").alias("f")).where(F.bit_count("f") >= needed)
     pairs = stored(pairs.select(F.col("a").alias("row"), F.col("b").alias("other")).unionByName(close).distinct(), "passage-pairs")
     joined = pairs.join(words, "row").join(words.select(F.col("row").alias("other"), F.col("words").alias("theirs")), "other")
 
     def verify(batches):
         for batch in batches:
-            out: dict[str, list] = {"row": [], "start": [], "end": [], "other": []}
-            for i in range(batch.num_rows):
-                row, other = batch.column("row")[i].as_py(), batch.column("other")[i].as_py()
-                mine, theirs = batch.column("words")[i].as_py(), batch.column("theirs")[i].as_py()
-                own, their = _shingles16(mine, shingle), _shingles16(theirs, shingle)
-                if mine == theirs:
-                    found = back = [(0, len(own))]
-                else:
-                    match = _among(own, np.sort(their))
-                    found = stretches(match, width, similarity)
-                    back = stretches(_among(their, np.sort(own[match])), width, similarity)
-                for at, with_, spans in ((row, other, found), (other, row, back)):
-                    for a, b in spans:
-                        for key, value in zip(out, (at, a, b + shingle - 1, with_), strict=True):
-                            out[key].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=FOUND)
+            out = _Stretches(width, shingle, similarity)
+            row, other = batch.column("row").to_numpy(), batch.column("other").to_numpy()
+            for i, (mine, theirs) in enumerate(zip(batch.column("words"), batch.column("theirs"), strict=True)):
+                own, their = _shingles16(mine.as_py(), shingle), _shingles16(theirs.as_py(), shingle)
+                match = _among(own, np.sort(their))
+                back = _among(their, np.sort(own[match]))
+                for at, with_, held in ((row[i], other[i : i + 1], match), (other[i], row[i : i + 1], back)):
+                    edges = np.flatnonzero(np.diff(held, prepend=False, append=False))
+                    out.add(at, with_, len(held), np.zeros(len(edges) // 2, dtype=np.int64), edges[0::2], edges[1::2])
+            yield from out.found().to_batches()
 
     found = joined.select("row", "other", "words", "theirs").mapInArrow(verify, "row long, start long, end long, other long")
     # Many texts may name the same stretch of the same partner: one stays, with the smallest of them.
