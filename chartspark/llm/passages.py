@@ -453,8 +453,7 @@ def _met_in_rounds(blocks: DataFrame, hot: DataFrame, meet: Callable[[pa.Table],
     done = []
     for number in range(rounds):
         part = blocks.where(share == number).join(hot, "row").groupBy("cluster", "i", "j").applyInArrow(meet, "row long, start long, end long, other long")
-        # Many texts may name the same stretch of the same partner: one stays, with the smallest of them.
-        done.append(stored(part.groupBy("row", "start", "end").agg(F.min("other").alias("other")), "passage-met"))
+        done.append(stored(part, "passage-met"))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -531,7 +530,16 @@ def _met(block: pa.Table, width: int, shingle: int, similarity: float, needed: i
     words, total = block.column("words"), len(rows)
     sizes = pc.binary_length(words).to_numpy().astype(np.int64) // 2
     hashes, text = _shingles16(b"".join(w.as_py() for w in words), shingle), np.repeat(np.arange(total), sizes)
-    at = np.flatnonzero(text[: len(hashes)] == text[shingle - 1 :])
+    inside = text[: len(hashes)] == text[shingle - 1 :]
+    # Most shingles of one text alone, or of none of ours, go by a few bits of their hashes.
+    bits = max(16, min(22, len(hashes).bit_length() + 1))
+    low = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+    own = np.zeros(1 << bits, dtype=bool)
+    own[low[inside & ours[text[: len(hashes)]]]] = True
+    inside &= own[low]
+    inside &= (np.bincount(low[inside], minlength=1 << bits) > 1)[low]
+    at = np.flatnonzero(inside)
+    del low, inside
     hashes, text = hashes[at], text[at]
     place = at - (np.cumsum(sizes) - sizes)[text]
     # Places of shingles that one text alone holds match nothing.
@@ -636,8 +644,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     names, words = texts.select("row", "doc_id"), texts.select("row", "words")
     # Of equal texts the smallest one meets the others' texts; the rest repeat it whole and share what it has.
     firsts = texts.groupBy("digest").agg(F.min("row").alias("rep"))
-    members = stored(texts.select("row", "digest", (F.length("words") / 2).cast("long").alias("n")).join(firsts, "digest").select("row", "rep", "n"), "passage-members")
-    again = members.where(F.col("row") != F.col("rep"))
+    members = stored(texts.select("row", "doc_id", "digest", (F.length("words") / 2).cast("long").alias("n")).join(firsts, "digest").select("row", "doc_id", "rep", "n"), "passage-members")
     size = texts.agg(F.sum(F.length("windows"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // WINDOW_BYTES))
     shared = _tagged(_dealt_windows(texts, buckets), few, "passage-shared")
@@ -660,24 +667,33 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     def verify(batches):
         for batch in batches:
             out = _Stretches(width, shingle, similarity)
-            row, other = batch.column("row").to_numpy(), batch.column("other").to_numpy()
-            for i, (mine, theirs) in enumerate(zip(batch.column("words"), batch.column("theirs"), strict=True)):
-                own, their = _shingles16(mine.as_py(), shingle), _shingles16(theirs.as_py(), shingle)
-                match = _among(own, np.sort(their))
-                back = _among(their, np.sort(own[match]))
-                for at, with_, held in ((row[i], other[i : i + 1], match), (other[i], row[i : i + 1], back)):
-                    edges = np.flatnonzero(np.diff(held, prepend=False, append=False))
-                    out.add(at, with_, len(held), np.zeros(len(edges) // 2, dtype=np.int64), edges[0::2], edges[1::2])
+            for at, part in textarrays.chunks(batch.column("words")):
+                pairs = batch.slice(at, len(part))
+                rows, others, hashes, ends = pairs.column("row").to_numpy(), pairs.column("other").to_numpy(), [], []
+                for name in ("words", "theirs"):
+                    words = [w.as_py() for w in pairs.column(name)]
+                    hashes.append(_shingles16(b"".join(words), shingle))
+                    ends.append(np.cumsum([0] + [len(w) // 2 for w in words]).tolist())
+                for i in range(len(rows)):
+                    # The last places of a text begin shingles that reach into the next one.
+                    own, their = (h[end[i] : end[i + 1] - shingle + 1] for h, end in zip(hashes, ends, strict=True))
+                    match = _among(own, np.sort(their))
+                    back = _among(their, np.sort(own[match]))
+                    for row, other, held in ((rows[i], others[i : i + 1], match), (others[i], rows[i : i + 1], back)):
+                        edges = np.flatnonzero(held[1:] != held[:-1]) + 1
+                        edges = np.concatenate([np.zeros(int(held[0]), dtype=np.int64), edges, np.full(int(held[-1]), len(held))])
+                        out.add(row, other, len(held), np.zeros(len(edges) // 2, dtype=np.int64), edges[0::2], edges[1::2])
             yield from out.found().to_batches()
 
     found = joined.select("row", "other", "words", "theirs").mapInArrow(verify, "row long, start long, end long, other long")
-    # Many texts may name the same stretch of the same partner: one stays, with the smallest of them.
-    found = found.unionByName(met).groupBy("row", "start", "end").agg(F.min("other").alias("other"))
-    all_of = found.withColumnRenamed("row", "rep").join(members.select("row", "rep"), "rep").select("row", "start", "end", "other")
-    whole = again.select("row", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("rep").alias("other"))
-    whole = whole.unionByName(again.groupBy("rep").agg(F.lit(0).cast("long").alias("start"), F.min("n").alias("end"), F.min("row").alias("other")).withColumnRenamed("rep", "row"))
-    once = stored(all_of.unionByName(whole).groupBy("row", "start", "end").agg(F.min("other").alias("other")), "passage-found")
-    return once.join(names, "row").join(names.select(F.col("row").alias("other"), F.col("doc_id").alias("partner")), "other").select(
+    nothing = F.lit(None).cast("long")
+    twins = members.where(F.col("row") != F.col("rep")).groupBy("rep").agg(F.min("n").alias("end"), F.min("row").alias("twin"))
+    twins = twins.select(F.col("rep").alias("row"), F.lit(0).cast("long").alias("start"), "end", nothing.alias("other"), "twin")
+    # Many texts may name the same stretch of the same partner: one stays, with the smallest of them. Rows are dealt by text, and so stay where they are until their partners' identifiers join.
+    best = found.unionByName(met).withColumn("twin", nothing).unionByName(twins).repartition("row").groupBy("row", "start", "end").agg(F.min("other").alias("other"), F.min("twin").alias("twin"))
+    other = F.when(F.col("twin").isNull(), F.col("other")).otherwise(F.least("other", F.when(F.col("row") == F.col("rep"), F.col("twin")).otherwise(F.col("rep"))))
+    once = stored(best.withColumnRenamed("row", "rep").join(members.select("row", "doc_id", "rep"), "rep").select("doc_id", "start", "end", other.alias("other")), "passage-found")
+    return once.join(names.select(F.col("row").alias("other"), F.col("doc_id").alias("partner")), "other").select(
         "doc_id", "start", "end", "partner")
 
 
